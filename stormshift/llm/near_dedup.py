@@ -171,3 +171,17 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+two_way AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, m) AS (SELECT a, a FROM two_way UNION SELECT l.b, r.m FROM reach r JOIN two_way l ON l.a = r.doc_id),
+found AS (SELECT doc_id, min(m) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(f.m, d.doc_id) AS component_id, coalesce(f.m, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""

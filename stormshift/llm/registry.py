@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stormshift.llm import chat_format
+from stormshift.llm import chat_format, near_dedup
 from stormshift.llm.chat_format import op1_chat_format
 from stormshift.llm.language_id import op8_language_id
 from stormshift.llm.lm_scoring import op9_lm_scoring
@@ -21,5 +21,4 @@ QUERIES = {
         op6_mixing, op7_near_dedup, op8_language_id, op9_lm_scoring, op10_vector_search,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
-ORACLE_SQL["op1_chat_format"] = chat_format.ORACLE
+ORACLE_SQL = {"op1_chat_format": chat_format.ORACLE, "op7_near_dedup": near_dedup.ORACLE}
