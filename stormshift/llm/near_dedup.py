@@ -128,7 +128,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
         named = named.select("doc_id", F.col("doc_id").alias("node")).distinct()
     named = named.join(linked.withColumnRenamed("component", "name"), "node", "left").select("doc_id", F.coalesce("name", "node").alias("name"))
     named = written(named, "names")
-    lowest = named.groupBy("name").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below has no aggregation in it and a hot name can be split
+    lowest = written(named.groupBy("name").agg(F.min("doc_id").alias("component_id")), "lowest")
     found = named.join(lowest, "name").select("doc_id", "component_id")
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
