@@ -29,7 +29,7 @@ def interpolate(points: DataFrame, keys: list[str], rp_min: int, top: DataFrame)
     """Depths at whole return periods from rp_min to the group's rp_top: each segment of a curve yields its own whole periods."""
     w = Window.partitionBy(*keys, "realization").orderBy("RP")
     s = points.withColumns({"RP2": F.lead("RP").over(w), "d2": F.lead("depth_in").over(w)})
-    s = s.join(F.broadcast(top), keys)
+    s = s.join(top, keys)
     last = F.when(F.col("RP2").isNull(), F.col("RP")).otherwise(F.ceil("RP2") - 1)
     s = s.withColumns({"a": F.greatest(F.ceil("RP").cast("long"), F.lit(rp_min).cast("long")), "b": F.least(F.floor(last).cast("long"), F.col("rp_top"))})
     s = s.where("a <= b").withColumn("RP0", F.col("RP")).withColumn("RP", F.explode(F.expr("sequence(a, b)")))
@@ -63,7 +63,7 @@ def summarize(
     points = curve_points(grouped, by, k, precip_col, exc_col, realization_col)
     curves = interpolate(points, by, rp_min, top_period(points, by, rp_min, rp_max_cap, use_common_min))
     out = bands(curves, by).where(F.coalesce("mean_in", "median_in").isNotNull())
-    out = out.join(F.broadcast(census(grouped, by, realization_col)), by)
+    out = out.join(census(grouped, by, realization_col), by)
     return out.select(*keys, "RP", "mean_in", "median_in", "ci90_low_in", "ci90_high_in", "ci95_low_in", "ci95_high_in", "n_realizations", "n_samples_per_realization")
 
 

@@ -14,7 +14,7 @@ def mean_depths(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, zero
     Moving a storm by (dy, dx) puts its cell (r - dy, c - dx) on cell (r, c) of the watershed. A cell off the storm's grid is 0;
     without zero_pad, one missing cell makes the mean missing.
     """
-    wanted = shifts.select(*PLACE).distinct().join(F.broadcast(mask), "watershed")
+    wanted = shifts.select(*PLACE).distinct().join(mask, "watershed")
     wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("col") - F.col("dx")).alias("col"))
     found = wanted.join(storm_cells.select("storm_path", "row", "col", "precip_mm"), ["storm_path", "row", "col"], "left")
     mean = F.sum(F.coalesce("precip_mm", F.lit(0.0))) / F.count("*") if zero_pad else F.when(F.count("precip_mm") == F.count("*"), F.avg("precip_mm"))
@@ -39,13 +39,13 @@ def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_cells: DataFra
     """mean_depths for large watersheds: two lookups per run of the mask instead of one per cell; cells off the grid are 0."""
     ps = running_rows(storm_cells, grid)
     size = mask.groupBy("watershed").agg(F.count("*").alias("cells"))
-    runs = F.broadcast(mask_runs(mask))
+    runs = mask_runs(mask)
     ends = F.expr(f"array(named_struct('col', least(c1 - dx, {cols - 1}), 's', 1), named_struct('col', least(c0 - dx - 1, {cols - 1}), 's', -1))")
     wanted = shifts.select(*PLACE).distinct().join(runs, "watershed").withColumn("e", F.explode(ends))
     wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), F.col("e.col").alias("col"), F.col("e.s").alias("s"))
     found = wanted.join(ps, ["storm_path", "row", "col"], "left")
     total = found.groupBy(*PLACE).agg(F.sum(F.coalesce(F.col("s") * F.col("ps"), F.lit(0.0))).alias("total"))
-    return total.join(F.broadcast(size), "watershed").select(*PLACE, (F.col("total") / F.col("cells")).alias("precip_avg_mm"))
+    return total.join(size, "watershed").select(*PLACE, (F.col("total") / F.col("cells")).alias("precip_avg_mm"))
 
 
 def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), depth: str = "precip_avg_mm", weight: str = "weight", renormalize: bool = False) -> DataFrame:
@@ -54,7 +54,7 @@ def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "reali
     if renormalize:
         sums = df.groupBy(*keys).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
         w = F.when(F.col("_sum") > 0, F.expr(f"try_divide({weight}, _sum)")).otherwise(1 / F.col("_n"))
-        df = df.join(F.broadcast(sums), list(keys)).withColumn("_w", w)
+        df = df.join(sums, list(keys)).withColumn("_w", w)
     else:
         df = df.withColumn("_w", F.col(weight))
     order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(depth), "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -66,7 +66,7 @@ def exceedance_by_buckets(depths: DataFrame, buckets: int = 256, keys: tuple = (
     keys = list(keys)
     known = depths.where(F.col(depth).isNotNull())
     ends = known.groupBy(*keys).agg(F.min(depth).alias("_lo"), F.max(depth).alias("_hi"))
-    b = known.join(F.broadcast(ends), keys)
+    b = known.join(ends, keys)
     place = F.coalesce(F.try_divide(F.col(depth) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
     b = b.withColumn("_b", F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
     sums = b.groupBy(*keys, "_b").agg(F.sum(weight).alias("_sum"))

@@ -1,4 +1,7 @@
-"""Drawing events: uniforms, storms, cells and weights."""
+"""Drawing events: uniforms, storms, cells and weights.
+
+Tables per storm, scenario or realization grow with the study, so no join here is forced to broadcast them.
+"""
 
 from __future__ import annotations
 
@@ -63,15 +66,15 @@ def weigh_cells(valid: DataFrame, density: DataFrame) -> DataFrame:
 def draw_storms(events: DataFrame, storms: DataFrame, u: Column) -> DataFrame:
     """Every storm equally likely."""
     sizes = storms.groupBy("watershed").agg(F.max("storms").alias("storms"))
-    e = events.join(F.broadcast(sizes), "watershed").withColumn("index", F.floor(u * F.col("storms")).cast("int"))
-    return e.drop("storms").join(F.broadcast(storms.drop("storms")), ["watershed", "index"]).drop("index")
+    e = events.join(sizes, "watershed").withColumn("index", F.floor(u * F.col("storms")).cast("int"))
+    return e.drop("storms").join(storms.drop("storms"), ["watershed", "index"]).drop("index")
 
 
 def draw_uniform_cells(events: DataFrame, weighed: DataFrame, u: Column) -> DataFrame:
     """The floor(u count)-th valid cell of the event's storm."""
     counts = weighed.groupBy(*KEYS, "storm_path").agg(F.first("count").alias("_count"))
     cells = weighed.select(*KEYS, "storm_path", F.col("rank").cast("long").alias("_rank"), F.col("x").alias("newx"), F.col("y").alias("newy"), "q", "mass", "count")
-    e = events.join(F.broadcast(counts), [*KEYS, "storm_path"]).withColumn("_rank", F.floor(u * F.col("_count"))).drop("_count")
+    e = events.join(counts, [*KEYS, "storm_path"]).withColumn("_rank", F.floor(u * F.col("_count"))).drop("_count")
     return e.join(cells, [*KEYS, "storm_path", "_rank"]).drop("_rank")
 
 
@@ -84,7 +87,7 @@ def guide_table(weighed: DataFrame) -> DataFrame:
 def draw_weighted_cells(events: DataFrame, weighed: DataFrame, u: Column) -> DataFrame:
     """The cell whose running mass holds u times the storm's mass: an equi-join on the bucket, not a range join."""
     masses = weighed.groupBy(*KEYS, "storm_path").agg(F.first("mass").alias("mass"), F.first("count").alias("count"))
-    e = events.join(F.broadcast(masses), [*KEYS, "storm_path"]).withColumn("_t", u * F.col("mass"))
+    e = events.join(masses, [*KEYS, "storm_path"]).withColumn("_t", u * F.col("mass"))
     e = e.withColumn("_bucket", F.expr("CAST(least(floor(_t / mass * count), count - 1) AS LONG)"))
     cells = guide_table(weighed).select(*KEYS, "storm_path", "_bucket", "lo", "hi", F.col("x").alias("newx"), F.col("y").alias("newy"), "q")
     return e.join(cells, [*KEYS, "storm_path", "_bucket"]).where("lo <= _t and _t < hi").drop("_bucket", "_t", "lo", "hi")
@@ -99,7 +102,7 @@ def with_weights(events: DataFrame, fallback: bool = False) -> DataFrame:
     sums = e.groupBy(*KEYS, "realization").agg(F.sum("weight_raw").alias("_sum"), F.count("*").alias("_n"))
     ok = (F.col("_sum") > 0) & (F.col("_sum") < F.lit(float("inf")))
     even = F.lit(1.0) / F.col("_n") if fallback else F.raise_error(F.lit("weights of a realization have no positive, finite sum"))
-    return e.join(F.broadcast(sums), [*KEYS, "realization"]).withColumn("weight", F.when(ok, F.expr("try_divide(weight_raw, _sum)")).otherwise(even)).drop("_sum", "_n")
+    return e.join(sums, [*KEYS, "realization"]).withColumn("weight", F.when(ok, F.expr("try_divide(weight_raw, _sum)")).otherwise(even)).drop("_sum", "_n")
 
 
 def with_shifts(events: DataFrame, cell: float) -> DataFrame:

@@ -20,7 +20,7 @@ def layer_stats(vertices: DataFrame) -> DataFrame:
     e = edges(vertices)
     box = vertices.groupBy("layer").agg(*(f(c).alias(f"{n}{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xy"))
     # about the layer's corner, so that squares of large coordinates don't cancel
-    e = e.join(F.broadcast(box.select("layer", "minx", "miny")), "layer")
+    e = e.join(box.select("layer", "minx", "miny"), "layer")
     ax, ay, bx, by = F.col("x1") - F.col("minx"), F.col("y1") - F.col("miny"), F.col("x2") - F.col("minx"), F.col("y2") - F.col("miny")
     cross = ax * by - bx * ay
     rings = e.groupBy("layer", "part", "ring").agg(F.sum(cross).alias("a"), F.sum((ax + bx) * cross).alias("sx"), F.sum((ay + by) * cross).alias("sy"))
@@ -79,7 +79,7 @@ def densify(vertices: DataFrame, longest: float) -> DataFrame:
 
 def boundary_offsets(vertices: DataFrame, stats: DataFrame, longest: float) -> DataFrame:
     """layer, dx, dy: boundary points about the layer's centroid, each once to nine places."""
-    p = densify(vertices, longest).join(F.broadcast(stats.select("layer", F.col("x").alias("cx"), F.col("y").alias("cy"))), "layer")
+    p = densify(vertices, longest).join(stats.select("layer", F.col("x").alias("cx"), F.col("y").alias("cy")), "layer")
     p = p.select("layer", (F.col("x") - F.col("cx")).alias("dx"), (F.col("y") - F.col("cy")).alias("dy"))
     keyed = p.withColumns({"kx": F.round("dx", 9), "ky": F.round("dy", 9)})
     return keyed.groupBy("layer", "kx", "ky").agg(F.min(F.struct("dx", "dy")).alias("d")).select("layer", "d.dx", "d.dy")
@@ -111,8 +111,11 @@ def standing_cells(cells: DataFrame, offsets: DataFrame, domain: DataFrame) -> D
     The work is cells x boundary points x edges of the domain, all in one narrow stage: both small sides are one row per layer.
     """
     shapes = offsets.groupBy(F.col("layer").alias("watershed")).agg(F.collect_list(F.struct("dx", "dy")).alias("points"))
-    outline = edge_arrays(domain).select("edges")
-    tested = cells.crossJoin(F.broadcast(shapes)).crossJoin(F.broadcast(outline))  # a row per watershed, and one row
+    reach = offsets.groupBy(F.col("layer").alias("watershed")).agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("dx", "dy")))
+    outline = edge_arrays(domain)
+    tested = cells.crossJoin(F.broadcast(shapes.join(reach, "watershed"))).crossJoin(F.broadcast(outline))  # a row per watershed, and one row
+    box = (F.col("x") + F.col("lodx") >= F.col("minx")) & (F.col("x") + F.col("hidx") <= F.col("maxx")) & (F.col("y") + F.col("lody") >= F.col("miny")) & (F.col("y") + F.col("hidy") <= F.col("maxy"))
+    tested = tested.where(box)  # most cells fall here, before any outline is walked
     ok = F.forall("points", lambda p: inside(F.col("x") + p["dx"], F.col("y") + p["dy"]))
     return tested.where(ok).select("watershed", *cells.columns)
 

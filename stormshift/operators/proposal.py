@@ -89,7 +89,7 @@ def axis_scores(component_rows: DataFrame, cells: DataFrame, axis: str) -> DataF
 def densities(cells: DataFrame, component_rows: DataFrame, floor: float = FLOOR, custom: dict[str, Proposal] | None = None) -> DataFrame:
     """watershed, scenario, row, col, q, q_narrow, q_wide for every grid cell (row, col, x, y)."""
     keys = ["watershed", "scenario", "component"]
-    fx, fy = (F.broadcast(axis_scores(component_rows, cells, a)) for a in "xy")
+    fx, fy = (axis_scores(component_rows, cells, a) for a in "xy")
     t = cells.crossJoin(F.broadcast(component_rows))
     t = t.join(fx, [*keys, "col"], "left").join(fy, [*keys, "row"], "left")
     own = F.when(F.col("family") == "uniform", F.lit(1.0))

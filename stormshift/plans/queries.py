@@ -98,7 +98,7 @@ _FOOT = f"wet AS (SELECT s.*, max(precip_mm) OVER (PARTITION BY storm_path) AS p
 
 def footprints(c: DataFrame) -> DataFrame:
     peak = c.groupBy("storm_path").agg(F.max("precip_mm").alias("peak"))
-    boxes = c.sparkSession.sql(_WET.format(cells="{c}"), c=c.join(F.broadcast(peak), "storm_path"))
+    boxes = c.sparkSession.sql(_WET.format(cells="{c}"), c=c.join(peak, "storm_path"))
     rings = boxes.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(5))))
     return rings.sparkSession.sql(_RING + " FROM {t}", t=rings)
 

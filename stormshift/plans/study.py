@@ -64,7 +64,7 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, cell: float, zero_pad:
         if c not in events.columns:
             events = events.withColumn(c, F.lit(value))
     centers = catalog.storm_centers.select("storm_path", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    e = events.join(F.broadcast(centers), "storm_path")  # one row per storm of the study
+    e = events.join(centers, "storm_path")
     e = e.withColumns({"dx": F.rint((F.col("newx") - F.col("_x")) / cell).cast("int"), "dy": F.rint((F.col("newy") - F.col("_y")) / cell).cast("int")})
     if by_runs:
         cols = catalog.grid.agg(F.max("col")).first()[0] + 1
