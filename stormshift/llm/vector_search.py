@@ -5,8 +5,10 @@ on a bounded sample. A vector is listed under its nearest centroid, and under ot
 nearly as near, `replicas` at most (boundary vectors). Centroids, 4,096 at most, are searched by a graph of near
 centroids that every task holds. A query reads the lists whose centroid is at most a ratio farther
 than its nearest one; the ratio is taken from the sample, so that `recall` of the sample's own nearest
-neighbours lie in the lists read. Lists and their queries are dealt in parts of bounded size; inner products
-inside a part are exact, in double precision, on the vectors as given.
+neighbours lie in the lists read. The sample also gives each query a score that its k nearest surely reach;
+only rows that reach it leave a list, so that hits grow with the queries and not with the lists read. Lists
+and their queries are dealt in parts of bounded size; inner products inside a part are exact, in double
+precision, on the vectors as given.
 
 Equal vectors are one entry with their k + 1 smallest ids: no more of them can be among the k nearest.
 
@@ -128,7 +130,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, rep
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pad = lambda xs: np.array([np.pad(np.asarray(x, float), (0, width - len(x))) for x in xs]).reshape(-1, width)
-    index = spark.sparkContext.broadcast(fit(pad([r.x for r in rows]), n, norm, k, recall))  # at most MOST_LISTS centroids
+    sample = pad([r.x for r in rows])
+    index = spark.sparkContext.broadcast(fit(sample, n, norm, k, recall))  # at most MOST_LISTS centroids
+    sample = spark.sparkContext.broadcast(sample)  # at most SAMPLE rows
 
     def deal(batches, query: bool):
         for batch in batches:
@@ -138,18 +142,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, rep
                 lists, d = idx.search(idx.lift(pad(part["x"]), query), idx.width if query else replicas)
                 near = d <= (idx.ratio if query else boundary) * d[:, :1] + 1e-12
                 r, c = np.nonzero(near)
-                out = part.iloc[r].assign(list=lists[r, c])
-                yield out
+                if query:  # the sample is part of all rows, and thrice as many of them reach this score as can be among the k nearest
+                    own, most = pad(part["x"]) @ sample.value.T, 3 * (k + 1)
+                    sure = np.partition(own, -most, axis=1)[:, -most] - 1e-9 if own.shape[1] >= most else np.full(len(part), -np.inf)
+                    part = part.assign(sure=sure)
+                yield part.iloc[r].assign(list=lists[r, c])
 
     posts = written(distinct.mapInPandas(lambda b: deal(b, False), "x array<double>, ids array<long>, e long, list int"), "posts")
-    asks = written(queries.mapInPandas(lambda b: deal(b, True), "x array<double>, q long, list int"), "asks")
+    asks = written(queries.mapInPandas(lambda b: deal(b, True), "x array<double>, q long, sure double, list int"), "asks")
     # lists, and what is asked of a list, in parts of about PART rows: at most MOST_LISTS rows each
     parts = lambda t, name: t.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
     shape = F.broadcast(parts(posts, "np").join(parts(asks, "nq"), "list"))
     ours = F.pmod(F.xxhash64("e"), F.col("np")).cast("int").alias("i")
     theirs = F.pmod(F.xxhash64("q"), F.col("nq")).cast("int").alias("j")
     posts = posts.join(shape, "list").select("list", "x", "ids", ours, F.explode(F.expr("sequence(0, nq - 1)")).alias("j"))
-    asks = asks.join(shape, "list").select("list", "x", "q", F.explode(F.expr("sequence(0, np - 1)")).alias("i"), theirs)
+    asks = asks.join(shape, "list").select("list", "x", "q", "sure", F.explode(F.expr("sequence(0, np - 1)")).alias("i"), theirs)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -158,6 +165,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, rep
             most = min(k + 1, len(left))
             firsts, ids = np.array([i[0] for i in left["ids"]]), left["ids"].tolist()
             floor = np.partition(scores, len(left) - most, axis=1)[:, len(left) - most]
+            floor = np.maximum(floor, right["sure"].to_numpy())
             for q, row, least in zip(right["q"], scores, floor):
                 at = np.flatnonzero(row >= least)
                 at = at[np.lexsort((firsts[at], -row[at]))]
