@@ -2,8 +2,8 @@
 
 A text in lower case, everything but letters as one blank, is a bag of hashed byte n-grams (2 to 4). Its vector is the mean of
 their embeddings; a linear softmax over it gives the language. Both are trained by stochastic gradient descent
-in numpy on a bounded sample of labelled rows: the `per_language` rows of smallest hash of each language,
-whole texts. A fifth of the sample is kept out of training; on it a temperature is fitted, so that the score is a
+in numpy on a bounded sample of labelled rows: about the `per_language` rows of smallest hash of each
+language, whole texts. A fifth of the sample is kept out of training; on it a temperature is fitted, so that the score is a
 probability, and the threshold under which a prediction is rejected: the largest one, 0.5 at most, that
 rejects no more than `lost` of its right predictions.
 
@@ -108,10 +108,19 @@ def train(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0
 
 
 def fit(docs: DataFrame, per_language: int = 600, languages: int = 64, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> Model:
-    """A model of labelled rows of docs. At most per_language x languages rows reach the driver."""
+    """A model of labelled rows of docs. At most per_language x languages rows reach the driver.
+
+    Counts per language come first; they give each language a hash limit that about twice per_language rows stay
+    under, so that what is dealt by language is as little for a large corpus as for a small one.
+    """
     rows = docs.select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"), F.xxhash64(id_column).alias("h")).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not counts:
+        return train([], [])
+    limit = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, 2 * per_language / r.n))))[F.col("lang")]
+    rows = rows.where(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < limit)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    rows = rows.withColumn("nth", nth).where(F.col("nth") <= per_language).orderBy("nth", "lang").limit(per_language * languages).collect()
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= per_language).collect()
     rows = sorted(rows, key=lambda r: (r.h, r.text))
     return train([r.text for r in rows], [r.lang for r in rows])
 
