@@ -135,20 +135,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, rep
     sample = spark.sparkContext.broadcast(sample)  # at most SAMPLE rows
 
     def deal(batches, query: bool):
+        idx = index.value
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.iloc[i : i + 512]
-                idx = index.value
-                lists, d = idx.search(idx.lift(pad(part["x"]), query), idx.width if query else replicas)
+                lists, d = idx.search(idx.lift(pad(part["x"]), query), max(idx.width, enough.value) if query else replicas)
                 near = d <= (idx.ratio if query else boundary) * d[:, :1] + 1e-12
+                if query:  # whatever the ratio, the nearest lists that surely hold k + 1 different entries
+                    held = np.cumsum(sizes.value[lists], 1)
+                    first = np.concatenate([np.zeros((len(part), 1)), held[:, :-1]], 1) < replicas * (k + 1)
+                    near |= first
                 r, c = np.nonzero(near)
                 if query:  # the sample is part of all rows, and thrice as many of them reach this score as can be among the k nearest
                     own, most = pad(part["x"]) @ sample.value.T, 3 * (k + 1)
                     sure = np.partition(own, -most, axis=1)[:, -most] - 1e-9 if own.shape[1] >= most else np.full(len(part), -np.inf)
-                    part = part.assign(sure=sure)
-                yield part.iloc[r].assign(list=lists[r, c])
+                    yield part.iloc[r].assign(sure=np.where(first[r, c], -np.inf, sure[r]), list=lists[r, c])
+                else:
+                    yield part.iloc[r].assign(list=lists[r, c])
 
     posts = written(distinct.mapInPandas(lambda b: deal(b, False), "x array<double>, ids array<long>, e long, list int"), "posts")
+    held = np.zeros(len(index.value.centroids), np.int64)
+    for r in posts.groupBy("list").count().collect():  # at most MOST_LISTS rows
+        held[r[0]] = r[1]
+    sizes = spark.sparkContext.broadcast(held)
+    # so many lists, whichever they are, hold that many entries
+    enough = spark.sparkContext.broadcast(int(np.searchsorted(np.cumsum(np.sort(held)), replicas * (k + 1))) + 1)
     asks = written(queries.mapInPandas(lambda b: deal(b, True), "x array<double>, q long, sure double, list int"), "asks")
     # lists, and what is asked of a list, in parts of about PART rows: at most MOST_LISTS rows each
     parts = lambda t, name: t.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
