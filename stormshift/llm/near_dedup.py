@@ -27,7 +27,6 @@ from stormshift.llm._shared import utf8, written
 
 PERMUTATIONS, BAND = 126, 7
 BANDS = 2 * PERMUTATIONS // BAND
-_known: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,20 +38,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """The set of a text as sorted 64-bit hashes."""
+def shingles(text: bytes, words: int = 5, known: dict[bytes, int] | None = None) -> np.ndarray:
+    """The set of a text as sorted 64-bit hashes. known: hashes of words met before, kept by the caller."""
     own = text.lower().split()
     if not own:
         return np.zeros(0, np.uint64)
+    known = {} if known is None else known
     try:
-        h = [_known[w] for w in own]
+        h = [known[w] for w in own]
     except KeyError:
-        if len(_known) > 1_000_000:
-            _known.clear()
+        if len(known) > 500_000:
+            known.clear()
         for w in own:
-            if w not in _known:
-                _known[w] = xxhash.xxh3_64_intdigest(w)
-        h = [_known[w] for w in own]
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+        h = [known[w] for w in own]
     h = np.array(h, np.uint64)
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
@@ -92,10 +92,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     rows = rows.withColumn("copy", F.xxhash64("text", F.length("text")))
 
     def sign(batches):
+        known: dict[bytes, int] = {}  # freed with the task
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
-            bands = pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("copy"), pa.array([len(s) for s in sets], pa.int64()), bands], names=["doc_id", "copy", "n_shingles", "bands"])
+            sizes, bands = [], []
+            for text in batch.column("text"):
+                own = shingles(text.as_py(), words, known)
+                sizes.append(len(own))
+                bands.append(band_keys(own) if len(own) else None)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "copy", "n_shingles", "bands"])
 
     signed = written(rows.mapInArrow(sign, "doc_id long, copy long, n_shingles long, bands array<long>"), "signatures")
     live = signed.where("n_shingles > 0 and doc_id is not null")
@@ -116,7 +120,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     def link(group: pa.Table) -> pa.Table:
         ids, own = group.column("doc_id").to_pylist(), group.column("own").to_numpy()
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        pairs = forest([shingles(t, words) for t in group.column("text").to_pylist()], ids, own == i, own == j, percent)
+        known: dict[bytes, int] = {}
+        pairs = forest([shingles(t.as_py(), words, known) for t in group.column("text")], ids, own == i, own == j, percent)
         return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     links = written(dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long"), "links")
