@@ -54,6 +54,11 @@ def encoder(path: str, by_chunk: bool) -> Encoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Frees the encoders of this worker; steps that need much memory and no tokenizer call it."""
+    _encoders.clear()
+
+
 def crc32(ids: np.ndarray, crc: int = 0) -> int:
     """Of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes(), crc)

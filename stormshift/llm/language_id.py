@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stormshift.llm._encode import release
+
 BUCKETS, DIMENSIONS, GRAMS = 1 << 12, 24, (2, 3, 4)
 PREDICTIONS = "lang_pred string, score double, rejected boolean"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -132,6 +134,7 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
     schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches):
+        release()
         for batch in batches:
             lang, score, rejected = zip(*shared.value.predict(batch.column(text_column).to_pylist())) if batch.num_rows else ((), (), ())
             yield pa.record_batch([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=schema.names)

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormshift.llm._encode import release
 from stormshift.llm._graph import components
 from stormshift.llm._shared import utf8, written
 
@@ -47,7 +48,7 @@ def shingles(text: bytes, words: int = 5, known: dict[bytes, int] | None = None)
     try:
         h = [known[w] for w in own]
     except KeyError:
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         for w in own:
             if w not in known:
@@ -92,6 +93,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     rows = rows.withColumn("copy", F.xxhash64("text", F.length("text")))
 
     def sign(batches):
+        release()
         known: dict[bytes, int] = {}  # freed with the task
         for batch in batches:
             sizes, bands = [], []
