@@ -1,13 +1,16 @@
 """Log-probabilities of whole texts under a word n-gram model, by one walk of a weighted backoff automaton.
 
 Unigrams: every distinct training token, add-one over the vocabulary and one unknown word. Longer n-grams:
-those that make up at least `share` of all training tokens (and occur `least` times), with absolute discounting
-interpolated with the shorter history. Their number is at most 1 / share for each order whatever the corpus,
-so the automaton of the longer n-grams fits every executor; the counts of single words, which grow with the
-corpus, stay distributed and reach each block of documents by a join (see _blocks).
+those that occur `least` times, however large the corpus, with absolute discounting interpolated with the
+shorter history. All counts grow with the corpus and stay distributed: a block of documents asks for the words
+and n-grams that occur in it, and the parts that hold their counts answer it (see _blocks and _merge).
 
 A state is the longest kept n-gram that the text read so far ends with. Reading a word follows the state's
-arc for it; where there is none, the failure arc leads to the next shorter history and adds its weight.
+arc for it; where there is none, the failure arc leads to the next shorter history and adds its weight. A block
+walks all its places at once, order by order (_Walk); Automaton is the same walk of a model that fits in memory.
+
+All n-grams of one history are summed in one task, since its backoff weight needs them all; what such a task
+holds uncompressed is the distinct n-grams of its histories, not the blocks' requests.
 
 Edge cases: null or empty text is the end token alone; repeated rows give repeated rows; an empty table or no
 training rows give an empty result or the scores of an empty model (p = 1 for its only, unknown word).
@@ -26,6 +29,9 @@ from stormshift.llm._blocks import make_blocks, opened, split_words, squeeze, un
 from stormshift.llm._shared import partitions, utf8, written
 
 END = b""
+BLOCK_BYTES = 16_000_000  # a walk holds some ten numbers for each place of its block
+ANSWERS = "block long, level int, bucket int, value binary, n long"
+ASKED = "block long, bucket int, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -95,13 +101,18 @@ def build(kept: dict[int, dict[tuple, int]], words: dict[int, int], n: int, v: i
     return a
 
 
-def score(docs: DataFrame, weight: str, order: int = 3, share: float = 1e-5, least: int = 4, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
-    """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V."""
+def score(docs: DataFrame, weight: str, order: int = 3, share: float = 0.0, least: int = 4, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
+    """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V.
+
+    share: on request, kept n-grams must also make up this share of all tokens.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long"), utf8(text_column), F.expr(weight).cast("int"))
-    blocks = written(make_blocks(rows, tokens, 4 * partitions(spark)), "lm-blocks", "none")
-    n = blocks.where("bucket = -1").agg(F.coalesce(F.sum("extra"), F.lit(0))).first()[0]
+    buckets = 4 * partitions(spark)
+    blocks = written(make_blocks(rows, tokens, buckets, block_bytes=BLOCK_BYTES), "lm-blocks", "none")
+    n, made = blocks.where("bucket = -1").agg(F.coalesce(F.sum("extra"), F.lit(0)), F.count("*")).first()
     floor = max(least, math.ceil(share * n))
+    parts = max(buckets, made // 2)  # so that a part stays about as large as two blocks
 
     def sum_up(group: pd.DataFrame) -> pd.DataFrame:
         """One bucket of words of all blocks: corpus counts, and numbers of the words that are frequent enough for longer n-grams."""
@@ -113,126 +124,192 @@ def score(docs: DataFrame, weight: str, order: int = 3, share: float = 1e-5, lea
         bucket = int(group["bucket"].iloc[0])
         # a count is at most 2^63: two words of 32 bits; the third is the number of a frequent word in its bucket, from 1
         value = [squeeze(np.array([x for w in own for x in (total[w] & 0xFFFFFFFF, total[w] >> 32, often.get(w, -1) + 1)], np.int64)) for own in words]
-        out = pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "value": value, "v": 0, "frequent": None})
-        out["frequent"] = [[] for _ in range(len(out))]
-        return pd.concat([out, pd.DataFrame({"block": [-1], "bucket": [bucket], "value": [b""], "v": [sum(c > 0 for c in total.values())], "frequent": [[x for w, i in often.items() for x in (i + 1, total[w])]]})])
-
-    answers = written(blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(sum_up, "block long, bucket int, value binary, v long, frequent array<long>"), "lm-counts", "none")
-    v = answers.where("block = -1").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
-    # at most 1 / share rows: each is that share of n tokens
-    frequent = answers.where("block = -1 and size(frequent) > 0").select("bucket", "frequent").collect()
-    pairs = sorted((r.bucket << 32 | i, c) for r in frequent for i, c in zip(r.frequent[::2], r.frequent[1::2]))
-    keys = spark.sparkContext.broadcast(np.array([k for k, _ in pairs], np.int64))
-    words = {i: c for i, (_, c) in enumerate(pairs, 1)}
-    answers = answers.where("block >= 0").select("block", "bucket", "value")
-
-    def resolve(x: dict, values: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word of the block: its count, and its number among the frequent ones or 0."""
-        counts, numbers = [], []
-        for bucket, value in values:
-            three = value.reshape(-1, 3).astype(np.int64)
-            counts.append(three[:, 0] | three[:, 1] << 32)
-            key = bucket << 32 | three[:, 2]
-            at = np.searchsorted(keys.value, key)
-            numbers.append(np.where(three[:, 2] > 0, at + 1, 0))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *counts]), np.concatenate([none, *numbers])
-
-    kept: dict[int, dict[tuple, int]] = {}
-    for length in range(2, order + 1):
-        if not words or (length > 2 and not kept[length - 1]):
+        out = pd.DataFrame({"block": group["block"], "level": 1, "bucket": group["bucket"], "value": value, "n": 0})
+        return pd.concat([out, pd.DataFrame({"block": [-1], "level": [1], "bucket": [bucket], "value": [b""], "n": [sum(c > 0 for c in total.values())]})])
+
+    answers = written(blocks.where("bucket >= 0").groupBy("bucket").applyInPandas(sum_up, ANSWERS), "lm-counts", "none")
+    v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept: dict[int, int] = {}
+    for level in range(2, order + 1):
+        asked = _with_answers(blocks, answers, lambda x, values: _ask(x, values, level, buckets, parts, discount), ASKED)
+        found = written(asked.groupBy("bucket").applyInPandas(lambda group: _merge(group, level, parts, floor, level == order), ANSWERS), "lm-grams", "none")
+        kept[level] = found.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not kept[level]:
             break
-        levels = spark.sparkContext.broadcast([_level(kept, k) for k in range(2, length)])
-        found = _ngrams(blocks, answers, resolve, levels, len(words) + 1, floor, partitions(spark))
-        grams = _grams(levels.value)
-        # at most 1 / share rows: each occurs in that share of n places
-        kept[length] = {(*grams(int(k) // (len(words) + 1), length - 1), int(k) % (len(words) + 1)): c for k, c in found.collect()}
-    model = spark.sparkContext.broadcast(build(kept, words, n, v, discount))
-
-    def use(x: dict | None, values) -> pd.DataFrame:
+        answers = answers.unionByName(found)
+    top = max((k for k, c in kept.items() if c), default=1)
+
+    def use(x: dict | None, values: dict) -> pd.DataFrame:
         if x is None:
             return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
-        counts, numbers = resolve(x, values)
-        p = np.log10((counts + 1) / (n + v + 1))
-        walk, out = model.value.walk, []
+        walk = _Walk(x, values, buckets, parts, discount)
+        walk.p = (walk.of + 1) / (n + v + 1)
+        root, known, out = np.log10(walk.p), walk.of > 0, []
+        for level in range(2, top + 1):
+            walk.step(values.get(level, []))
+        p = np.log10(walk.p)
         for doc, held, end, size in zip(x["doc"], x["weight"] == 0, x["ends"].tolist(), x["lengths"].tolist()):
-            ids = x["ids"][end - size : end]
-            root = p[ids]
-            out.append((doc, bool(held), size, int((counts[ids] > 0).sum()), math.fsum(root.tolist()), walk(numbers[ids].tolist(), root.tolist())))
+            own = slice(end - size, end)
+            out.append((doc, bool(held), size, int(known[own].sum()), math.fsum(root[own].tolist()), float(np.cumsum(p[own])[-1])))  # added up in the order of Automaton.walk
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
         frame["doc_id"] = pd.array(x["doc"], "Int64")
         return frame
 
-    return _with_buckets(blocks, answers, use, SCORES), {"n": n, "v": v, "kept": {k: len(g) for k, g in kept.items()}}
+    return _with_answers(blocks, answers, use, SCORES), {"n": n, "v": v, "kept": kept}
 
 
-def _with_buckets(blocks: DataFrame, answers: DataFrame, use, schema: str) -> DataFrame:
-    """use(opened payload, [(bucket, answers)]) for each block."""
+def _with_answers(blocks: DataFrame, answers: DataFrame, use, schema: str) -> DataFrame:
+    """use(opened payload, level -> [(bucket, answers)]) for each block."""
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("bucket")
-        values = [(int(b), unsqueeze(v)) for b, v in zip(right["bucket"], right["value"])]
-        frames = [use(opened(payload), values) for payload in left["a"]]
+        right = right.sort_values(["level", "bucket"])
+        values: dict[int, list] = {}
+        for level, bucket, value in zip(right["level"], right["bucket"], right["value"]):
+            values.setdefault(int(level), []).append((int(bucket), unsqueeze(value)))
+        frames = [use(opened(payload) | {"block": block}, values) for block, payload in zip(left["block"], left["a"])]
         return pd.concat(frames) if frames else use(None, values)
 
     payloads = blocks.where("bucket = -1").select("block", "a")
-    return payloads.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(one, schema)
-
+    return payloads.groupBy("block").cogroup(answers.where("block >= 0").select("block", "level", "bucket", "value").groupBy("block")).applyInPandas(one, schema)
 
-def _level(kept: dict, length: int) -> np.ndarray:
-    """The kept n-grams of one length in the order of their numbers, from 1: history's number among those one shorter, word."""
-    rows = kept[length] if length == 2 else None
-    if rows is None:
-        shorter = {g: i for i, g in enumerate(sorted(kept[length - 1]), 1)}
-        rows = [(shorter[g[:-1]], g[-1]) for g in kept[length]]
-    return np.array(sorted(rows), np.int64).reshape(-1, 2)
 
+def _numbers(index: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers from 1 that no two buckets share; two of them make a key of 64 bits."""
+    out = index.astype(np.int64) * buckets + bucket + 1
+    if len(out) and out.max() >= 2**32:
+        raise OverflowError("more than 2^32 words or n-grams are kept")
+    return out.astype(np.uint32)
 
-def _grams(levels: list[np.ndarray]):
-    """number of a kept n-gram and its length -> the n-gram."""
 
-    def gram(number: int, length: int) -> tuple:
-        if length == 1:
-            return (number,)
-        history, word = levels[length - 2][number - 1].tolist()
-        return (*gram(history, length - 1), word)
+class _Walk:
+    """All places of a block: p of their words after the longest kept history below the current order (where p is set).
 
-    return gram
-
-
-def _ngrams(blocks: DataFrame, answers: DataFrame, resolve, levels, width: int, floor: int, parts: int) -> DataFrame:
-    """Counts of the n-grams one longer than levels, whose history is kept and whose words are frequent: those that occur `floor` times."""
+    state: number of the kept n-gram, one word shorter than the next order, that ends at a place, or 0; of: its count.
+    """
 
-    def count(x: dict | None, values) -> pd.DataFrame:
-        if x is None:
-            return pd.DataFrame({"part": [], "keys": [], "counts": []})
-        _, numbers = resolve(x, values)
-        word = numbers[x["ids"]].astype(np.int64)
-        doc = np.repeat(np.arange(len(x["lengths"])), x["lengths"])
-        train = (x["weight"] == 1)[doc]
-        history = np.where(train, word, 0)
-        for level in levels.value:
-            keys = level[:, 0] * width + level[:, 1]
-            key = np.concatenate([[0], history[:-1]]) * width + word
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            same = np.concatenate([[False], doc[1:] == doc[:-1]])
-            history = np.where((keys[at] == key) & same & (word > 0) & train, at + 1, 0)
-        ok = (history[:-1] > 0) & (word[1:] > 0) & (doc[1:] == doc[:-1])
-        keys, counts = np.unique(history[:-1][ok] * width + word[1:][ok], return_counts=True)
-        part = keys % 1_000_003 % parts
+    def __init__(self, x: dict, values: dict, buckets: int, parts: int, discount: float):
+        counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for bucket, value in values.get(1, []):
+            three = value.reshape(-1, 3).astype(np.int64)
+            counts.append(three[:, 0] | three[:, 1] << 32)
+            numbers.append(np.where(three[:, 2] > 0, _numbers(np.maximum(three[:, 2] - 1, 0), bucket, buckets), np.uint32(0)))
+        self.parts, self.discount = parts, discount
+        self.of = np.concatenate(counts)[x["ids"]]
+        self.word = self.state = np.concatenate(numbers)[x["ids"]]
+        self.p = None
+        self.inside = np.ones(len(self.word), bool)  # not the first of a text
+        self.inside[x["ends"] - x["lengths"]] = False
+
+    def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places with a history; their distinct keys (history, word or 0) by part; the parts' edges; the key of each place."""
+        at = np.flatnonzero(self.inside[1:] & (self.state[:-1] > 0)) + 1
+        keys = self.state[at - 1].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= self.word[at]
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        back = np.empty(len(keys), np.int32)
+        back[order] = np.cumsum(first, dtype=np.int32) - 1
+        keys = keys[first]
+        part = ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.parts)
         order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[order], np.arange(parts + 1))
-        cuts = [(i, order[edges[i] : edges[i + 1]]) for i in range(parts) if edges[i] < edges[i + 1]]
-        return pd.DataFrame({"part": [i for i, _ in cuts], "keys": [keys[o].tobytes() for _, o in cuts], "counts": [squeeze(counts[o]) for _, o in cuts]})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, np.int64) for k in group["keys"]])
-        counts = np.concatenate([unsqueeze(c) for c in group["counts"]]).astype(np.int64)
-        distinct, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, counts).astype(np.int64)
-        return pd.DataFrame({"key": distinct[total >= floor], "count": total[total >= floor]})
-
-    partial = _with_buckets(blocks, answers, count, "part int, keys binary, counts binary")
-    return partial.groupBy("part").applyInPandas(merge, "key long, count long")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return at, keys[order], np.searchsorted(part[order], np.arange(self.parts + 1)), place[back]
+
+    def step(self, values: list[tuple[int, np.ndarray]]) -> None:
+        """To the next order. values: (part, answers) as _merge gives them."""
+        at, keys, edges, back = self.ask()
+        history = np.cumsum(np.diff(keys >> np.uint64(32), prepend=np.uint64(0)) != 0) - 1
+        found = [np.zeros((3, 0), np.uint32)], [np.zeros((3, 0), np.uint32)]
+        for part, value in values:
+            cut = 3 * int(edges[part + 1] - edges[part])
+            found[0].append(value[:cut].reshape(3, -1))
+            found[1].append(value[cut:].reshape(3, -1))
+        low, high, number = np.concatenate(found[0], 1)
+        count = low.astype(np.int64) | high.astype(np.int64) << 32
+        if self.p is not None:
+            low, high, kinds = np.concatenate(found[1], 1)
+            taken = (low.astype(np.int64) | high.astype(np.int64) << 32) - self.discount * kinds
+            of, c = self.of[at - 1], count[back]
+            own = np.where(c > 0, np.maximum(c - self.discount, 0), 0) / of
+            self.p[at] = own + np.maximum(1 - taken[history[back]] / of, 1e-12) * self.p[at]
+        self.state, self.of = np.zeros_like(self.state), np.zeros_like(self.of)
+        self.state[at], self.of[at] = number[back], count[back]
+        self.word = np.where(self.state > 0, self.word, np.uint32(0))  # a longer n-gram ends with a kept one
+
+
+def _ask(x: dict | None, values: dict, level: int, buckets: int, parts: int, discount: float) -> pd.DataFrame:
+    """A block's distinct n-grams of one length by part, and how often they occur in its training texts."""
+    if x is None:
+        return pd.DataFrame({c.split()[0]: [] for c in ASKED.split(", ")})
+    walk = _Walk(x, values, buckets, parts, discount)
+    for k in range(2, level):
+        walk.step(values.get(k, []))
+    at, keys, edges, back = walk.ask()
+    train = np.repeat(x["weight"] == 1, x["lengths"])[at]
+    counts = np.bincount(back[train], minlength=len(keys))
+    full = np.flatnonzero(np.diff(edges)).tolist()
+    cuts = [slice(edges[i], edges[i + 1]) for i in full]
+    return pd.DataFrame({"block": int(x["block"]), "bucket": full, "keys": [_pack_keys(keys[c]) for c in cuts], "counts": [squeeze(counts[c]) for c in cuts]})
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.concatenate([np.diff(keys >> np.uint64(32), prepend=np.uint64(0)), keys & np.uint64(0xFFFFFFFF)]))
+
+
+def _unpack_keys(x: bytes) -> np.ndarray:
+    steps, words = unsqueeze(x).reshape(2, -1).astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | words
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+def _merge(group: pd.DataFrame, level: int, parts: int, floor: int, last: bool) -> pd.DataFrame:
+    """One part of the histories, of all blocks: each block's n-grams answered.
+
+    An answer: counts (low, high) and numbers of the keys, 0 where not kept; then of each history the counts
+    (low, high) and the number of its kept n-grams.
+    """
+    keys, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held, size = [], 0
+
+    def fold() -> None:
+        nonlocal keys, total
+        keys, back = np.unique(np.concatenate([keys, *(k for k, _ in held)]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([total, *(c for _, c in held)]), len(keys)).astype(np.int64)
+
+    for packed, counts in zip(group["keys"], group["counts"]):
+        own, c = _unpack_keys(packed), unsqueeze(counts)
+        ok = (c > 0) & ((own & np.uint64(0xFFFFFFFF)) > 0)
+        held.append((own[ok], c[ok]))
+        size += int(ok.sum())
+        if size > max(2_000_000, len(keys)):
+            fold()
+            held, size = [], 0
+    fold()
+    part = int(group["bucket"].iloc[0])
+    keys, total = keys[total >= floor], total[total >= floor]
+    numbers = np.zeros(len(keys), np.uint32) if last else _numbers(np.arange(len(keys)), part, parts)
+    histories, starts = np.unique(keys >> np.uint64(32), return_index=True)
+    sums = np.add.reduceat(total, starts) if len(keys) else total
+    kinds = np.diff(starts, append=len(keys))
+    halves = lambda x: [x & 0xFFFFFFFF, x >> 32]
+    pick = lambda x, at, hit: np.where(hit, x[at], 0) if len(x) else np.zeros(len(at), np.int64)
+    values = []
+    for packed in group["keys"]:
+        own = _unpack_keys(packed)
+        at, hit = _find(keys, own)
+        h, there = _find(histories, np.unique(own >> np.uint64(32)))
+        values.append(squeeze(np.concatenate([*halves(pick(total, at, hit)), pick(numbers, at, hit), *halves(pick(sums, h, there)), pick(kinds, h, there)])))
+    out = pd.DataFrame({"block": group["block"], "level": level, "bucket": part, "value": values, "n": 0})
+    return pd.concat([out, pd.DataFrame({"block": [-1], "level": [level], "bucket": [part], "value": [b""], "n": [len(keys)]})])
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,29 @@ def test_lm_scoring(spark, docs):
     assert lm_scoring.score(docs.limit(0), "1")[0].isEmpty()
 
 
+def brute_scores(rows, held, least=4, discount=0.75):
+    """Scores by an automaton of all n-grams up to three words that occur `least` times, held in memory."""
+    toks = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""] for d, t in rows}
+    c = {k: collections.Counter(tuple(own[i : i + k]) for d, own in toks.items() if d not in held for i in range(len(own) - k + 1)) for k in (1, 2, 3)}
+    number = {w: i for i, w in enumerate(sorted(w for (w,), x in c[1].items() if x >= least and w), 1)}
+    kept = {k: {tuple(number[w] for w in g): x for g, x in c[k].items() if x >= least and all(w in number for w in g)} for k in (2, 3)}
+    n, v = sum(c[1].values()), len(c[1])
+    a = lm_scoring.build(kept, {i: c[1][(w,)] for w, i in number.items()}, n, v, discount)
+    return {d: a.walk([number.get(w, 0) for w in own], [math.log10((c[1][(w,)] + 1) / (n + v + 1)) for w in own]) for d, own in toks.items()}
+
+
+def test_lm_keeps_ngrams_however_large_the_corpus(spark):
+    """An n-gram that occurs six times is scored by its count, among a thousand tokens and among 600,000."""
+    draw = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in np.minimum(draw.zipf(1.4, n), 900))
+    few = [(i, "rare old phrase " + text(20)) for i in range(8)] + [(8, "the rare old phrase"), (9, "rare unseen old phrase"), (10, None)]
+    for rows in (few, few + [(100 + i, text(6000)) for i in range(100)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.score for r in lm_scoring.score(df, "case when doc_id in (6, 7, 8, 9) then 0 else 1 end")[0].collect()}
+        want = brute_scores(rows, {6, 7, 8, 9})
+        assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
+
+
 def test_automaton_is_a_distribution():
     words, n = {1: 50, 2: 30, 3: 20}, 120
     kept = {2: {(1, 2): 20, (2, 3): 10}, 3: {(1, 2, 3): 8}}
