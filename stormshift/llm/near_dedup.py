@@ -4,8 +4,8 @@ A document's set: its distinct shingles of five words (A-Z in lower case; fewer
 Per permutation both the smallest and the largest hash are kept, so each hash evaluation yields two values of
 the signature. Bands of the signature deal documents into buckets; documents that share buckets, directly or
 through others, form a candidate group (connected components). Inside a group every pair is compared on full
-sets, so a link can only be missed if no band of the two agrees: at the threshold 0.85, 36 bands of 7 values,
-less than once in a million links (0.8: 2 in 100,000).
+sets, so a link can only be missed if no band of the two agrees. The length of a band follows the threshold
+(band_size): at 0.85, 36 bands of 7 values miss less than 1 in a million links; at 0.8, 42 of 6 values 3 in a million.
 
 Exact copies of a text are one node from the start. A group is compared in blocks of `chunk` documents by
 `chunk`, each block in one task that returns a spanning forest of its links, never the pairs.
@@ -26,8 +26,7 @@ from stormshift.llm._encode import release
 from stormshift.llm._graph import components
 from stormshift.llm._shared import utf8, written
 
-PERMUTATIONS, BAND = 126, 7
-BANDS = 2 * PERMUTATIONS // BAND
+PERMUTATIONS = 126
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,18 +76,24 @@ def signature(members: np.ndarray) -> np.ndarray:
     return np.stack([low, high], 1).ravel()
 
 
-def band_keys(members: np.ndarray) -> list[int]:
+def band_size(percent: int) -> int:
+    """The most values a band may have so that at most 1 in 100,000 links at the threshold shares no band."""
+    values = 2 * PERMUTATIONS
+    return next((b for b in range(values, 0, -1) if values % b == 0 and (1 - (percent / 100) ** b) ** (values // b) <= 1e-5), 1)
+
+
+def band_keys(members: np.ndarray, band: int) -> list[int]:
     with np.errstate(over="ignore"):
-        rows = signature(members).reshape(BANDS, BAND).astype(np.uint64)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for i in range(BAND):
+        rows = signature(members).reshape(-1, band).astype(np.uint64)
+        key = np.arange(1, len(rows) + 1, dtype=np.uint64)
+        for i in range(band):
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
     return key.view(np.int64).tolist()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: int = 512, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs. Links: 100 * intersection >= percent * union."""
-    spark = docs.sparkSession
+    spark, band = docs.sparkSession, band_size(percent)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
     rows = rows.withColumn("copy", F.xxhash64("text", F.length("text")))
 
@@ -100,7 +105,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
             for text in batch.column("text"):
                 own = shingles(text.as_py(), words, known)
                 sizes.append(len(own))
-                bands.append(band_keys(own) if len(own) else None)
+                bands.append(band_keys(own, band) if len(own) else None)
             yield pa.record_batch([batch.column("doc_id"), batch.column("copy"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "copy", "n_shingles", "bands"])
 
     signed = written(rows.mapInArrow(sign, "doc_id long, copy long, n_shingles long, bands array<long>"), "signatures")

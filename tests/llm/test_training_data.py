@@ -207,6 +207,25 @@ def test_near_duplicates(spark, docs):
     assert all(r.kept for r in nothing)
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    """The stage against brute force at 0.8, on copies between 0.75 and 0.9; among them one of 176 of 216 shingles."""
+    import corpus_pipeline
+
+    draw, rows = np.random.default_rng(8), []
+    for base in range(30):
+        own = [f"b{base}w{i}" for i in range(200)]
+        rows.append((10 * base, " ".join(own)))
+        for k in (2, 4, 5):
+            copy = list(own)
+            for at in (np.arange(k) * (190 // k) + 10 if base < 15 else draw.choice(200, k, replace=False)):
+                copy[at] = f"new{base}x{k}x{at}"
+            rows.append((10 * base + k, " ".join(copy)))
+    want, strict = brute_components(rows, 80), brute_components(rows)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {d for d in want if want[d] == d} and want != strict
+    assert (near_dedup.band_size(85), near_dedup.band_size(80)) == (7, 6)
+
+
 def test_min_max_signatures_estimate_similarity():
     draw = np.random.default_rng(1)
     a = np.unique(draw.integers(0, 2**63, 2000, dtype=np.uint64))
