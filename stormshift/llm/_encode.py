@@ -1,22 +1,57 @@
-"""Token ids by the tokenizers library, one library call per distinct chunk of text and worker."""
+"""Token ids by the tokenizers library, each distinct word about once a worker."""
 
 from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 
+#: Marks that end a chunk; after a letter they are a pre-token of their own, so the ids of both parts follow each other.
+_MARKS = b".,;:!?"
+
+
+class _Chunks(dict):
+    """Chunk -> little-endian ids; one that is not there is encoded.
+
+    Entries live in two generations of `limit` bytes each: when the younger is full it becomes the older, and what is met
+    again returns to the younger. So memory is bounded by bytes, and frequent chunks stay.
+    """
+
+    def __init__(self, encode, limit: int):
+        super().__init__()
+        self.encode, self.limit, self.older, self.size = encode, limit, {}, 0
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha():  # ASCII letters: case does not matter to this vocabulary
+                word = word.lower()
+            elif not word.decode("utf-8", "replace")[-1:].isalpha():
+                word = chunk
+            marks = chunk[len(word) :]
+            if word == chunk:
+                ids = self.encode(chunk)
+            else:
+                ids = self[word] + self[marks] if marks else self[word]
+        if self.size > self.limit:
+            self.older, self.size = dict(self), 0
+            self.clear()
+        self[chunk] = ids
+        self.size += len(chunk) + len(ids) + 200  # with what Python takes for an entry
+        return ids
+
 
 class Encoder:
     """ids(text as UTF-8) -> little-endian ids.
 
-    by_chunk: for vocabularies that drop white space, where ids of a text are the ids of its chunks between
-    ASCII white space, one after another. Chunks seen are kept, `limit` of them at most, so that the library
-    encodes each about once for a worker. Otherwise whole texts go to the library.
+    by_chunk: for vocabularies that drop white space and fold case, where ids of a text are the ids of its chunks between
+    ASCII white space, one after another. Otherwise whole texts go to the library.
     """
 
-    def __init__(self, path: str, by_chunk: bool = False, limit: int = 1_000_000):
+    def __init__(self, path: str, by_chunk: bool = False, limit: int = 100_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -24,23 +59,15 @@ class Encoder:
         self.library.no_padding()
         self.library.no_truncation()
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65_536 else "<u4")
-        self.by_chunk, self.limit, self.known = by_chunk, limit, {}
+        self.chunks = _Chunks(self._library, limit) if by_chunk else None
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: bytes) -> bytes:
+        return array(self.dtype.char, self.library.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
 
     def ids(self, text: bytes) -> bytes:
-        if not self.by_chunk:
-            return self._library([text.decode("utf-8", "replace")])[0]
-        chunks, known = text.split(), self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            missing = [c for c in set(chunks) if c not in known]
-            known.update(zip(missing, self._library([c.decode("utf-8", "replace") for c in missing])))
-            return b"".join([known[c] for c in chunks])
+        if self.chunks is None:
+            return self._library(text)
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 _encoders: dict[tuple, Encoder] = {}

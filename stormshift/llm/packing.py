@@ -13,13 +13,14 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections import defaultdict
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormshift.llm._encode import crc32, encoder
+from stormshift.llm._encode import encoder
 from stormshift.llm._shared import partitions, utf8, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -78,14 +79,15 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by_chunk: b
 
     def pieces(batches):
         encode = encoder(tokenizer, by_chunk)
-        end = np.array([end_id], encode.dtype)
+        end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate([np.frombuffer(encode.ids(text), encode.dtype), end])
+                ids = np.frombuffer(encode.ids(text) + end, encode.dtype).astype("<u4", copy=False)
+                flat = memoryview(ids).cast("B")
                 for start in range(0, len(ids), capacity):
-                    own = ids[start : start + capacity]
-                    rows.append((doc, start, len(own), crc32(own), len(ids), *([own.astype("<u4").tobytes()] if with_ids else [])))
+                    own = flat[4 * start : 4 * (start + capacity)]
+                    rows.append((doc, start, len(own) // 4, crc32(own), len(ids), *([bytes(own)] if with_ids else [])))
             columns = list(zip(*rows)) or [()] * (5 + with_ids)
             kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids])
