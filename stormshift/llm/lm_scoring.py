@@ -1,8 +1,8 @@
 """Log-probabilities of whole texts under a word n-gram model, by one walk of a weighted backoff automaton.
 
 Unigrams: every distinct training token, add-one over the vocabulary and one unknown word. Longer n-grams:
-those that occur `least` times, however large the corpus, with absolute discounting interpolated with the
-shorter history. All counts grow with the corpus and stay distributed: a block of documents asks for the words
+those that occur `least` times, twice by default however large the corpus, with absolute discounting interpolated
+with the shorter history; the end of a text is predicted like a word. All counts grow with the corpus and stay distributed: a block of documents asks for the words
 and n-grams that occur in it, and the parts that hold their counts answer it (see _blocks and _merge).
 
 A state is the longest kept n-gram that the text read so far ends with. Reading a word follows the state's
@@ -101,17 +101,13 @@ def build(kept: dict[int, dict[tuple, int]], words: dict[int, int], n: int, v: i
     return a
 
 
-def score(docs: DataFrame, weight: str, order: int = 3, share: float = 0.0, least: int = 4, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
-    """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V.
-
-    share: on request, kept n-grams must also make up this share of all tokens.
-    """
+def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
+    """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long"), utf8(text_column), F.expr(weight).cast("int"))
     buckets = 4 * partitions(spark)
     blocks = written(make_blocks(rows, tokens, buckets, block_bytes=BLOCK_BYTES), "lm-blocks", "none")
     n, made = blocks.where("bucket = -1").agg(F.coalesce(F.sum("extra"), F.lit(0)), F.count("*")).first()
-    floor = max(least, math.ceil(share * n))
     parts = max(buckets, made // 2)  # so that a part stays about as large as two blocks
 
     def sum_up(group: pd.DataFrame) -> pd.DataFrame:
@@ -120,7 +116,7 @@ def score(docs: DataFrame, weight: str, order: int = 3, share: float = 0.0, leas
         for own, counts in zip(words, group["b"]):
             for w, c in zip(own, unsqueeze(counts).tolist()):
                 total[w] = total.get(w, 0) + c
-        often = {w: i for i, w in enumerate(sorted(w for w, c in total.items() if c >= floor and w != END))}
+        often = {w: i for i, w in enumerate(sorted(w for w, c in total.items() if c >= least))}
         bucket = int(group["bucket"].iloc[0])
         # a count is at most 2^63: two words of 32 bits; the third is the number of a frequent word in its bucket, from 1
         value = [squeeze(np.array([x for w in own for x in (total[w] & 0xFFFFFFFF, total[w] >> 32, often.get(w, -1) + 1)], np.int64)) for own in words]
@@ -132,7 +128,7 @@ def score(docs: DataFrame, weight: str, order: int = 3, share: float = 0.0, leas
     kept: dict[int, int] = {}
     for level in range(2, order + 1):
         asked = _with_answers(blocks, answers, lambda x, values: _ask(x, values, level, buckets, parts, discount), ASKED)
-        found = written(asked.groupBy("bucket").applyInPandas(lambda group: _merge(group, level, parts, floor, level == order), ANSWERS), "lm-grams", "none")
+        found = written(asked.groupBy("bucket").applyInPandas(lambda group: _merge(group, level, parts, least, level == order), ANSWERS), "lm-grams", "none")
         kept[level] = found.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not kept[level]:
             break
@@ -271,7 +267,7 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
 
 
-def _merge(group: pd.DataFrame, level: int, parts: int, floor: int, last: bool) -> pd.DataFrame:
+def _merge(group: pd.DataFrame, level: int, parts: int, least: int, last: bool) -> pd.DataFrame:
     """One part of the histories, of all blocks: each block's n-grams answered.
 
     An answer: counts (low, high) and numbers of the keys, 0 where not kept; then of each history the counts
@@ -295,7 +291,7 @@ def _merge(group: pd.DataFrame, level: int, parts: int, floor: int, last: bool)
             held, size = [], 0
     fold()
     part = int(group["bucket"].iloc[0])
-    keys, total = keys[total >= floor], total[total >= floor]
+    keys, total = keys[total >= least], total[total >= least]
     numbers = np.zeros(len(keys), np.uint32) if last else _numbers(np.arange(len(keys)), part, parts)
     histories, starts = np.unique(keys >> np.uint64(32), return_index=True)
     sums = np.add.reduceat(total, starts) if len(keys) else total

@@ -260,7 +260,7 @@ def test_language_id(spark):
 
 
 def test_lm_scoring(spark, docs):
-    scores, model = lm_scoring.score(docs.where("doc_id <> 9").unionByName(docs.where("doc_id = 9")), "case when doc_id % 7 = 3 then 0 else 1 end", share=1e-3, least=2)
+    scores, model = lm_scoring.score(docs.where("doc_id <> 9").unionByName(docs.where("doc_id = 9")), "case when doc_id % 7 = 3 then 0 else 1 end")
     got = {r.doc_id: r for r in scores.collect()}
     toks = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""] for d, t in enumerate(TEXTS)}
     c = collections.Counter(w for d, own in toks.items() if d % 7 != 3 for w in own)
@@ -273,11 +273,11 @@ def test_lm_scoring(spark, docs):
     assert lm_scoring.score(docs.limit(0), "1")[0].isEmpty()
 
 
-def brute_scores(rows, held, least=4, discount=0.75):
+def brute_scores(rows, held, least=2, discount=0.75):
     """Scores by an automaton of all n-grams up to three words that occur `least` times, held in memory."""
     toks = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b""] for d, t in rows}
     c = {k: collections.Counter(tuple(own[i : i + k]) for d, own in toks.items() if d not in held for i in range(len(own) - k + 1)) for k in (1, 2, 3)}
-    number = {w: i for i, w in enumerate(sorted(w for (w,), x in c[1].items() if x >= least and w), 1)}
+    number = {w: i for i, w in enumerate(sorted(w for (w,), x in c[1].items() if x >= least), 1)}
     kept = {k: {tuple(number[w] for w in g): x for g, x in c[k].items() if x >= least and all(w in number for w in g)} for k in (2, 3)}
     n, v = sum(c[1].values()), len(c[1])
     a = lm_scoring.build(kept, {i: c[1][(w,)] for w, i in number.items()}, n, v, discount)
