@@ -4,8 +4,8 @@ Vectors get one more component, so that the largest inner product is the smalles
 on a bounded sample. A vector is listed under its nearest centroid, and under others that are
 nearly as near, `replicas` at most (boundary vectors). Centroids, 4,096 at most, are searched by a graph of near
 centroids that every task holds. A query reads the lists whose centroid is at most a ratio farther
-than its nearest one; the ratio is taken from the sample, so that `recall` of the sample's own nearest
-neighbours lie in the lists read. The sample also gives each query a score that its k nearest surely reach;
+than its nearest one; the ratio is taken from some trial rows, so that `recall` of their true nearest
+neighbours among all rows lie in the lists read. The sample also gives each query a score that its k nearest surely reach;
 only rows that reach it leave a list, so that hits grow with the queries and not with the lists read. Lists
 and their queries are dealt in parts of bounded size; inner products inside a part are exact, in double
 precision, on the vectors as given.
@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormshift.llm._shared import written
+from stormshift.llm._shared import partitions, written
 
-SAMPLE, LIST_SIZE, MOST_LISTS, PART = 20_000, 256, 4_096, 4_096
+SAMPLE, TRIALS, LIST_SIZE, MOST_LISTS, PART = 20_000, 128, 256, 4_096, 4_096
 
 
 class Index:
@@ -45,36 +45,56 @@ class Index:
         return np.concatenate([x, more[:, None]], 1)
 
     def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest `width` centroids of each row, by beam search over the graph: numbers and distances, nearest first."""
+        """The nearest `width` centroids of each row, by beam search over the graph: numbers and distances, nearest first.
+
+        A row keeps a pool of the best it has met; its work follows the centroids it visits, not all of them.
+        """
         n, k = len(x), len(self.centroids)
         width = min(width, k)
+        beam = min(k, max(width, 16))
         rows = np.arange(n)[:, None]
         seen = np.zeros((n, k), bool)
-        dist = np.full((n, k), np.inf)
-
-        def visit(nodes: np.ndarray) -> None:
-            """nodes: rows x some, not seen rows are measured."""
-            fresh = np.zeros((n, k), bool)
-            fresh[rows, nodes] = True
-            fresh &= ~seen
-            r, c = np.nonzero(fresh)
-            for i in range(0, len(r), 100_000):
-                a, b = r[i : i + 100_000], c[i : i + 100_000]
-                diff = x[a] - self.centroids[b]
-                dist[a, b] = np.sqrt((diff * diff).sum(1))
-            seen[r, c] = True
-
-        visit(np.broadcast_to(self.entries, (n, len(self.entries))))
-        done, beam = np.zeros((n, k), bool), max(width, 16)
+        pool, dist, done = np.zeros((n, 0), int), np.zeros((n, 0)), np.zeros((n, 0), bool)
+        nodes = np.broadcast_to(self.entries, (n, len(self.entries)))
         while True:
-            best = np.argpartition(dist, min(beam, k) - 1, axis=1)[:, : min(beam, k)]
-            open_ = ~done[rows, best] & np.isfinite(dist[rows, best])
-            if not open_.any():
+            fresh = ~seen[rows, nodes]
+            seen[rows, nodes] = True
+            d = np.full(nodes.shape, np.inf)
+            r, c = np.nonzero(fresh)
+            for i in range(0, len(r), 50_000):
+                part = r[i : i + 50_000], c[i : i + 50_000]
+                diff = x[part[0]] - self.centroids[nodes[part]]
+                d[part] = np.sqrt((diff * diff).sum(1))
+            pool, dist, done = np.concatenate([pool, nodes], 1), np.concatenate([dist, d], 1), np.concatenate([done, np.zeros(nodes.shape, bool)], 1)
+            if pool.shape[1] > beam:
+                best = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
+                pool, dist, done = pool[rows, best], dist[rows, best], done[rows, best]
+            # the nearest that are not yet followed, a few at a time
+            open_ = np.where(done, np.inf, dist)
+            some = np.argsort(open_, 1)[:, :8]
+            if not np.isfinite(open_[rows, some]).any():
                 break
-            done[rows, best] = True
-            visit(self.links[best].reshape(n, -1))
+            done[rows, some] = True
+            nodes = np.where(np.isfinite(open_[rows, some])[:, :, None], self.links[pool[rows, some]], self.entries[0]).reshape(n, -1)
+            nodes = np.sort(nodes, 1)
+            nodes[:, 1:][nodes[:, 1:] == nodes[:, :-1]] = self.entries[0]  # a centroid once; this one is always seen
         order = np.argsort(dist, 1, kind="stable")[:, :width]
-        return order, dist[rows, order]
+        return pool[rows, order], dist[rows, order]
+
+    def lists(self, x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, list, and whether it lies within the ratio: all such lists of each row and its `least` nearest, nearest first."""
+        found, todo, k = [], np.arange(len(x)), len(self.centroids)
+        wide = min(k, max(least, self.width))
+        while len(todo):
+            near, d = self.search(x[todo], wide)
+            inside = d <= self.ratio * d[:, :1] + 1e-12
+            over = inside[:, -1] & (wide < k)  # there may be more: these rows search again, wider
+            r, c = np.nonzero((inside | (np.arange(d.shape[1]) < least)) & ~over[:, None])
+            found.append((todo[r], near[r, c], inside[r, c]))
+            todo, wide = todo[over], min(k, 2 * wide)
+        r, near, inside = (np.concatenate(f) for f in zip(*found))
+        order = np.argsort(r, kind="stable")
+        return r[order], near[order], inside[order]
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,25 +116,47 @@ def balanced_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np
     return centroids
 
 
-def fit(sample: np.ndarray, n: int, norm: float, k: int, recall: float) -> Index:
-    lists = int(np.clip(n // LIST_SIZE, 1, min(MOST_LISTS, len(sample))))
+def fit(sample: np.ndarray, n: int, norm: float, list_size: int) -> Index:
+    """Centroids of about n / list_size lists, MOST_LISTS at most."""
+    lists = int(np.clip(n // list_size, 1, min(MOST_LISTS, len(sample))))
     index = Index(np.zeros((1, sample.shape[1] + 1)), norm)
-    lifted = index.lift(sample)
-    index = Index(balanced_means(lifted, lists), norm)
-    asked = sample[: min(400, len(sample))]
-    scores = asked @ sample.T
-    scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
-    near = np.argsort(-scores, 1)[:, : max(1, min(k, len(sample) - 1))]
-    # nearest list of each neighbour (copies in other lists only help), and its distance from the query
-    home = _distances(lifted, index.centroids).argmin(1)
-    d = _distances(index.lift(asked, True), index.centroids)
-    ratio = d[np.arange(len(asked))[:, None], home[near]] / np.maximum(d.min(1), 1e-12)[:, None]
-    index.ratio = float(np.quantile(ratio, recall))
-    index.width = int(np.ceil(np.quantile((d <= index.ratio * d.min(1)[:, None]).sum(1), 0.99) * 1.25)) + 4
-    return index
-
-
-def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, replicas: int = 3, boundary: float = 1.02, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    return Index(balanced_means(index.lift(sample), lists), norm)
+
+
+def _calibrated(posts: DataFrame, index: Index, trials: np.ndarray, own: np.ndarray, pad, k: int, recall: float) -> tuple[float, int]:
+    """The ratio of distances at which `recall` of the trials' true k nearest, found among all rows, lie in a list that is read; and
+    how many lists a trial then reads, for a start of the search.
+
+    A task keeps the best of what it has met for each trial, so what leaves it does not grow with the rows.
+    """
+    d = _distances(index.lift(trials, True), index.centroids)
+    far = d / np.maximum(d.min(1, keepdims=True), 1e-12)
+    most = 4 * k  # an entry stands in some lists
+
+    def best(batches):
+        held = None
+        for batch in batches:
+            for i in range(0, len(batch), 2_000):
+                part = batch.iloc[i : i + 2_000]
+                e = part["e"].to_numpy()
+                scores = np.where(own[:, None] == e[None, :], -np.inf, trials @ pad(part["x"]).T)
+                now = [scores, np.broadcast_to(e, scores.shape), far[:, part["list"].to_numpy()]]
+                held = now if held is None else [np.concatenate(x, 1) for x in zip(held, now)]
+                if held[0].shape[1] > most:
+                    at = np.argpartition(-held[0], most - 1, axis=1)[:, :most]
+                    held = [np.take_along_axis(x, at, 1) for x in held]
+        if held is not None:
+            t = np.repeat(np.arange(len(trials)), held[0].shape[1])
+            yield pd.DataFrame({"t": t, "score": held[0].ravel(), "e": held[1].ravel(), "far": held[2].ravel()})
+
+    hits = posts.select("x", "e", "list").mapInPandas(best, "t int, score double, e long, far double").where("score > double('-infinity')")
+    hits = hits.groupBy("t", "e").agg(F.max("score").alias("score"), F.min("far").alias("far"))
+    hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "e"))).where(F.col("r") <= k)
+    ratio = hits.agg(F.percentile("far", F.lit(recall))).first()[0] or 1.0
+    return float(ratio), int(np.ceil(1.1 * np.quantile((far <= ratio).sum(1), 0.9))) + 1
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, replicas: int = 3, boundary: float = 1.02, list_size: int = LIST_SIZE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row where is_query, found among all other rows."""
     spark = vectors.sparkSession
     v = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("x"), is_query.alias("asked"))
@@ -131,36 +173,49 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.97, rep
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pad = lambda xs: np.array([np.pad(np.asarray(x, float), (0, width - len(x))) for x in xs]).reshape(-1, width)
     sample = pad([r.x for r in rows])
-    index = spark.sparkContext.broadcast(fit(sample, n, norm, k, recall))  # at most MOST_LISTS centroids
-    sample = spark.sparkContext.broadcast(sample)  # at most SAMPLE rows
-
-    def deal(batches, query: bool):
-        idx = index.value
+    # drawn anew from all rows: as many of them as of the queries are among those that the centroids are trained on
+    trials = distinct.orderBy(F.xxhash64("e", F.lit(1)), "e").limit(TRIALS).select("x", "e").collect()
+    trials, own = pad([r.x for r in trials]), np.array([r.e for r in trials])
+    index = fit(sample, n, norm, list_size)  # at most MOST_LISTS centroids
+    shared = spark.sparkContext.broadcast(index)
+
+    def post(batches):
+        idx = shared.value
         for batch in batches:
             for i in range(0, len(batch), 512):
                 part = batch.iloc[i : i + 512]
-                lists, d = idx.search(idx.lift(pad(part["x"]), query), max(idx.width, enough.value) if query else replicas)
-                near = d <= (idx.ratio if query else boundary) * d[:, :1] + 1e-12
-                if query:  # whatever the ratio, the nearest lists that surely hold k + 1 different entries
-                    held = np.cumsum(sizes.value[lists], 1)
-                    first = np.concatenate([np.zeros((len(part), 1)), held[:, :-1]], 1) < replicas * (k + 1)
-                    near |= first
-                r, c = np.nonzero(near)
-                if query:  # the sample is part of all rows, and thrice as many of them reach this score as can be among the k nearest
-                    own, most = pad(part["x"]) @ sample.value.T, 3 * (k + 1)
-                    sure = np.partition(own, -most, axis=1)[:, -most] - 1e-9 if own.shape[1] >= most else np.full(len(part), -np.inf)
-                    yield part.iloc[r].assign(sure=np.where(first[r, c], -np.inf, sure[r]), list=lists[r, c])
-                else:
-                    yield part.iloc[r].assign(list=lists[r, c])
-
-    posts = written(distinct.mapInPandas(lambda b: deal(b, False), "x array<double>, ids array<long>, e long, list int"), "posts")
-    held = np.zeros(len(index.value.centroids), np.int64)
+                near, d = idx.search(idx.lift(pad(part["x"])), replicas)
+                r, c = np.nonzero(d <= boundary * d[:, :1] + 1e-12)
+                yield part.iloc[r].assign(list=near[r, c])
+
+    posts = written(distinct.mapInPandas(post, "x array<double>, ids array<long>, e long, list int"), "posts")
+    held = np.zeros(len(index.centroids), np.int64)
     for r in posts.groupBy("list").count().collect():  # at most MOST_LISTS rows
         held[r[0]] = r[1]
-    sizes = spark.sparkContext.broadcast(held)
     # so many lists, whichever they are, hold that many entries
-    enough = spark.sparkContext.broadcast(int(np.searchsorted(np.cumsum(np.sort(held)), replicas * (k + 1))) + 1)
-    asks = written(queries.mapInPandas(lambda b: deal(b, True), "x array<double>, q long, sure double, list int"), "asks")
+    enough = int(np.searchsorted(np.cumsum(np.sort(held)), replicas * (k + 1))) + 1
+    index.ratio, index.width = _calibrated(posts, index, trials, own, pad, k, recall)
+    shared, sizes = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(held)
+    sample = spark.sparkContext.broadcast(sample)  # at most SAMPLE rows
+
+    def ask(batches):
+        idx = shared.value
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.iloc[i : i + 256]
+                x = pad(part["x"])
+                r, near, keep = idx.lists(idx.lift(x, True), enough)
+                # whatever the ratio, the nearest lists that surely hold k + 1 different entries
+                before = np.cumsum(sizes.value[near]) - sizes.value[near]
+                first = before - before[np.searchsorted(r, np.arange(len(part)))][r] < replicas * (k + 1)
+                keep |= first
+                # the sample is part of all rows, and thrice as many of them reach this score as can be among the k nearest
+                own, most = x @ sample.value.T, 3 * (k + 1)
+                sure = np.partition(own, -most, axis=1)[:, -most] - 1e-9 if own.shape[1] >= most else np.full(len(part), -np.inf)
+                yield part.iloc[r[keep]].assign(sure=np.where(first, -np.inf, sure[r])[keep], list=near[keep])
+
+    # a number of partitions of its own, so that few queries are not one task
+    asks = written(queries.repartition(partitions(spark)).mapInPandas(ask, "x array<double>, q long, sure double, list int"), "asks")
     # lists, and what is asked of a list, in parts of about PART rows: at most MOST_LISTS rows each
     parts = lambda t, name: t.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
     shape = F.broadcast(parts(posts, "np").join(parts(asks, "nq"), "list"))

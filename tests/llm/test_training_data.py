@@ -335,6 +335,24 @@ def test_vector_search(spark):
     assert vector_search.nearest(few.limit(0), F.lit(True)).isEmpty()
 
 
+def test_vector_search_over_hundreds_of_lists(spark):
+    """Recall against brute force on vectors without any structure, and in groups: 250 lists, 20 of 10,000 vectors and no query."""
+    draw = np.random.default_rng(6)
+    for x in (draw.normal(size=(10_000, 24)), np.repeat(draw.normal(size=(400, 24)), 25, 0) + 0.3 * draw.normal(size=(10_000, 24))):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = collections.defaultdict(set)
+        for r in vector_search.nearest(df, F.col("vec_id") % 20 == 0, list_size=40).collect():
+            got[r.query_id].add(r.vec_id)
+        hit = 0
+        for q in range(0, 10_000, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hit += len(got[q] & set(np.argpartition(-s, 20)[:20].tolist()))
+        assert hit >= 0.92 * 20 * 500, hit
+    assert vector_search.nearest(df, F.lit(False)).isEmpty()
+
+
 def test_pipeline_on_small_tables(spark):
     """Every stage keeps the columns, and the packed pieces are whole documents of what the stages kept."""
     import corpus_pipeline
@@ -346,7 +364,7 @@ def test_pipeline_on_small_tables(spark):
         kept = stage(spark, kept, sf_dir)
         assert kept.columns == docs.columns
     letters = [(r.doc_id, r.text) for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
-    want = brute_components(letters)
+    want = brute_components(letters, 80)
     assert {r.doc_id for r in kept.collect()} == {d for d in want if want[d] == d}
     out = corpus_pipeline.run(spark, sf_dir)
     totals = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
