@@ -17,6 +17,9 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stormshift.llm._shared import partitions
 
 #: bucket -1: the payload. Else a = words of the bucket, b = their counts in the block; extra: free.
 BLOCKS = "block long, bucket int, a binary, b binary, extra long"
@@ -123,6 +126,12 @@ def make_blocks(docs: DataFrame, split: Callable[[bytes], list[bytes]], buckets:
     return docs.mapInArrow(blocks, BLOCKS)
 
 
+def bucket_count(docs: DataFrame, text: str = "text") -> int:
+    """Buckets of words: four for each shuffle partition, and more where a bucket would hold more than the words of about 16 MB."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(4 * partitions(docs.sparkSession), -(-size // 16_000_000))
+
+
 def opened(payload: bytes) -> dict[str, np.ndarray]:
     """A payload; its ids are turned into places in the order of buckets. doc: object array of ids or None."""
     x = unpack_arrays(payload)

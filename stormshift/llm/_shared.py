@@ -13,12 +13,16 @@ BROADCAST_ROWS = 20_000
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (a local session), one of our own."""
+    """The folder in spark.checkpoint.dir, as a full URI of its file system; where that is unset (a local session), one of our own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="stormshift-work-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/") if "://" in root or root.startswith("file:") else "file://" + root.rstrip("/")
+    if "://" not in root:  # a path of the cluster's default file system
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = root if "://" in root else root.replace(":", "://", 1)
+    return root.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -33,6 +37,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

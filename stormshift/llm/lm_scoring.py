@@ -12,7 +12,8 @@ walks all its places at once, order by order (_Walk); Automaton is the same walk
 All n-grams of one history are summed in one task, since its backoff weight needs them all; what such a task
 holds uncompressed is the distinct n-grams of its histories, not the blocks' requests.
 
-Edge cases: null or empty text is the end token alone; repeated rows give repeated rows; an empty table or no
+Edge cases: null or empty text is the end token alone; repeated rows give repeated rows; a very long text is a block of
+its own, whole; an empty table or no
 training rows give an empty result or the scores of an empty model (p = 1 for its only, unknown word).
 """
 
@@ -25,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormshift.llm._blocks import make_blocks, opened, split_words, squeeze, unsqueeze
-from stormshift.llm._shared import partitions, utf8, written
+from stormshift.llm._blocks import bucket_count, make_blocks, opened, split_words, squeeze, unsqueeze
+from stormshift.llm._shared import utf8, written
 
 END = b""
 BLOCK_BYTES = 16_000_000  # a walk holds some ten numbers for each place of its block
@@ -103,9 +104,8 @@ def build(kept: dict[int, dict[tuple, int]], words: dict[int, int], n: int, v: i
 
 def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
     """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).cast("long"), utf8(text_column), F.expr(weight).cast("int"))
-    buckets = 4 * partitions(spark)
+    rows = docs.select(F.col(id_column).cast("long"), utf8(text_column).alias("text"), F.expr(weight).cast("int"))
+    buckets = bucket_count(rows)
     blocks = written(make_blocks(rows, tokens, buckets, block_bytes=BLOCK_BYTES), "lm-blocks", "none")
     n, made = blocks.where("bucket = -1").agg(F.coalesce(F.sum("extra"), F.lit(0)), F.count("*")).first()
     parts = max(buckets, made // 2)  # so that a part stays about as large as two blocks

@@ -5,7 +5,7 @@ with them. Media are kept once written, by the digest of their samples, as PNG f
 their payload by a join on the digest and keep page and position, so the order of a page is never lost.
 
 Edge cases: a null page or one without content has no items; a reference that no medium has keeps null
-columns; media of one digest are one medium; a null text is the empty text (192 blanks as payload); repeated
+columns; media of one digest are one medium; a very long page or text is one row, whole; a null text is the empty text (192 blanks as payload); repeated
 rows give repeated rows; empty tables give empty results; other columns are ignored.
 """
 
@@ -97,7 +97,10 @@ def interleave(pages: DataFrame, id_column: str = "page_id", html_column: str =
 
 
 def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
-    """items with the columns of media(digest, ...), one row per digest. A hot digest is a skewed join, which AQE splits."""
+    """items with the columns of media(digest, ...), a written table with one row per digest.
+
+    Nothing else stands in the join's stage, so that AQE can split a hot digest.
+    """
     return items.join(media.withColumnRenamed("digest", "media"), "media", "left")
 
 
@@ -187,5 +190,5 @@ def op3_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("payload", text_payload(utf8())).withColumn("digest", F.sha2("payload", 256))
     media = store_media(docs)
     items = interleave(illustrated_pages(docs), "doc_id").where("kind = 'media'")
-    found = resolve(items.select("page_id", "position", "media", "caption"), media_features(media))
+    found = resolve(items.select("page_id", "position", "media", "caption"), written(media_features(media), "features"))
     return found.select(F.col("page_id").alias("doc_id"), F.substring_index("caption", " ", 1).cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position")

@@ -7,8 +7,9 @@ The seed of each source is the one of `seeds` whose draw comes closest to the so
 sources meet their targets too; reruns give the same mix.
 
 Edge cases: a null text has size 0; a null source is the last source; a source without words has target 0 and
-its documents are left out; rows of one doc_id fare alike; an empty table gives an empty result; other columns
-are kept by `mix`.
+its documents are left out; rows of one doc_id fare alike, and those of a null doc_id; a very long text is one draw of
+its size, so a source of few such texts may miss its target by one of them; an empty table gives an empty result;
+other columns are kept by `mix`, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormshift.llm._shared import checked_broadcast, partitions, written
+from stormshift.llm._shared import checked_broadcast, free_name, partitions, written
 
 SEEDS = 32
 
@@ -86,12 +87,12 @@ def copies():
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **how) -> DataFrame:
     """docs, each row as often as the mix takes it; the same columns."""
     _, t = rates(docs, id_column, text_column, source_column, **how)
-    t = t.select(F.col("source").alias("_source"), "times", "fraction", "seed")
-    t = t.select(*(F.col(c).alias("_mix" + c) for c in t.columns))
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.col("_mixseed")), 11) * F.lit(2.0**-53)
-    n = (F.col("_mixtimes") + F.when(u < F.col("_mixfraction"), 1).otherwise(0)).cast("int")
-    out = docs.join(checked_broadcast(t), F.col(source_column).eqNullSafe(F.col("_mix_source")))
-    return out.withColumn("_mixcopy", F.explode(F.array_repeat(F.lit(0), n))).select(*(F.col(c) for c in docs.columns))
+    m, copy = free_name(docs, "_mix"), free_name(docs, "_copy")
+    t = t.select(F.struct("source", "times", "fraction", "seed").alias(m))
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_column), F.col(f"{m}.seed")), 11) * F.lit(2.0**-53)
+    n = (F.col(f"{m}.times") + F.when(u < F.col(f"{m}.fraction"), 1).otherwise(0)).cast("int")
+    out = docs.join(checked_broadcast(t), F.col(source_column).eqNullSafe(F.col(f"{m}.source")))
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from stormshift.llm._encode import release
 from stormshift.llm._graph import components
-from stormshift.llm._shared import utf8, written
+from stormshift.llm._shared import free_name, utf8, written
 
 PERMUTATIONS = 126
 
@@ -176,10 +176,20 @@ def forest(sets: list[np.ndarray], ids: list[int], left: np.ndarray, right: np.n
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
-    """docs without the near-duplicates of a smaller doc_id; the same columns. Of equal (doc_id, text) rows one stays."""
+    """docs without the near-duplicates of a smaller doc_id; the same columns.
+
+    Of rows with equal doc_id and text one stays; rows without a doc_id all stay.
+    """
     found = near_duplicates(docs, id_column=id_column, text_column=text_column, **how)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_column) == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, F.col(id_column) == F.col(name), "left_anti")
+    again = docs.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias(name)).count().where("count > 1").select(name)
+    if again.isEmpty():
+        return kept
+    again = written(again, "repeated")  # only rows of these ids are shuffled with their text
+    twice = kept.join(again, F.col(id_column) == F.col(name), "left_semi").dropDuplicates([id_column, text_column])
+    return kept.join(again, F.col(id_column) == F.col(name), "left_anti").unionByName(twice)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

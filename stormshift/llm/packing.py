@@ -7,7 +7,7 @@ uses it as often as the counts allow. The plan is a list of runs (length, first
 sequence, offset); pieces take their rank within their length and look up their run.
 
 Edge cases: null or empty text is one piece of the end id; repeated rows are documents of their own; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; a very long text is many full pieces and a rest; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ pre-token of the corpus is counted once, where its occurrences in all blocks of
 go back to the documents and are summed with the frequencies.
 
 Edge cases: null or empty text has 0 tokens; special strings are one token each, as the library has it;
-repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+repeated rows give repeated rows; a very long text is a block of its own, whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormshift.llm._blocks import make_blocks, per_block, split_words, squeeze
+from stormshift.llm._blocks import bucket_count, make_blocks, per_block, split_words, squeeze
 from stormshift.llm._encode import encoder
-from stormshift.llm._shared import partitions, utf8, written
+from stormshift.llm._shared import utf8, written
 
 #: Unicode's white space.
 _SPACE = "\\t-\\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -47,8 +47,8 @@ def pre_tokens(text: bytes, special: str = "<|endoftext|>") -> list[bytes]:
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row of docs, for a byte-level BPE file of the tokenizers library."""
-    buckets = 4 * partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long"), utf8(text_column), F.lit(0))
+    rows = docs.select(F.col(id_column).cast("long"), utf8(text_column).alias("text"), F.lit(0))
+    buckets = bucket_count(rows)
     blocks = written(make_blocks(rows, pre_tokens, buckets, counted=True), "token-count-blocks", "none")
 
     def count(group: pd.DataFrame) -> pd.DataFrame:

@@ -1,17 +1,19 @@
 """Token-ID files: Arrow IPC files whose record batches hold fixed-size lists of ids and masks.
 
 A dataset is a folder with, per shard, `ids-NNNNN.arrow` (tokens: fixed_size_list<uint16 or uint32>[length],
-mask: fixed_size_list<bool>[length]) and `docs-NNNNN.arrow` (doc_id, start in the shard, n_tokens), and a
+mask: fixed_size_list<uint8>[length], 1 or 0) and `docs-NNNNN.arrow` (doc_id, start in the shard, n_tokens), and a
 Parquet `manifest`. Shards follow each other in document order; each begins at a new sequence, and its last
-one is filled up under a false mask. All sequences have one length, so sequence i of a shard is row
+one is filled up under a mask of 0. All sequences have one length, so sequence i of a shard is row
 i - b*batch_rows of batch b = i // batch_rows of a memory-mapped file: no copy, no parsing.
 
 Edge cases: null or empty text has the end id alone; a null doc_id sorts first; rows of one doc_id follow each
-other by text; an empty table gives a dataset without shards; other columns are ignored.
+other by a hash of their text; a very long text is one row and runs on through sequences; an empty table gives a dataset without shards; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +26,7 @@ from stormshift.llm._shared import partitions, utf8, work_path
 MANIFEST = "shard int, n_sequences long, n_tokens long, n_docs long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, sequence long"
 BATCH_ROWS = 256
+SHARD_BYTES = 64_000_000  # of text, about
 
 
 def _open(uri: str):
@@ -38,7 +41,7 @@ class _Sequences:
     def __init__(self, sink, length: int, dtype: np.dtype):
         self.length, self.dtype, self.left, self.held, self.rows = length, dtype, [], 0, 0
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
@@ -54,7 +57,7 @@ class _Sequences:
     def _write(self, flat: np.ndarray) -> None:
         real = len(flat)
         flat = np.concatenate([flat, np.zeros(-real % self.length, self.dtype)])
-        mask = np.arange(len(flat)) < real
+        mask = (np.arange(len(flat)) < real).view(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
         self.rows += len(flat) // self.length
@@ -103,10 +106,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, l
             fs.move(temporary, final)
         yield pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (rows, tokens, len(index)))], names=["shard", "n_sequences", "n_tokens", "n_docs"])
 
-    n = shards or partitions(spark)
     dealt = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
-    dealt = dealt.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    size = 0 if shards else dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = shards or max(partitions(spark), math.ceil(size / SHARD_BYTES))
+    order = ("doc_id", F.xxhash64("text"), "text")  # rows of one doc_id, or of none, may be many: they are split, too
+    dealt = dealt.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
+    dealt.select("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -141,7 +146,7 @@ def _checksums(ids, lengths: np.ndarray) -> tuple[np.ndarray, int]:
     length = ids.schema.field("tokens").type.list_size
     for b in range(ids.num_record_batches):
         batch = ids.get_batch(b)
-        flat, mask = batch.column("tokens").values.to_numpy(), batch.column("mask").values.to_numpy(zero_copy_only=False)
+        flat, mask = batch.column("tokens").values.to_numpy(), batch.column("mask").values.to_numpy()
         flat, at = flat[: int(mask.sum())], 0
         while at < len(flat):
             take = min(need, len(flat) - at)
@@ -160,7 +165,7 @@ def read_sequence(path: str, shard: int, i: int) -> tuple[np.ndarray, np.ndarray
     source = pa.memory_map(name) if fs.type_name == "local" else fs.open_input_file(name)
     batch = pa.ipc.open_file(source).get_batch(i // BATCH_ROWS)
     tokens, mask = (batch.column(c)[i % BATCH_ROWS].values for c in ("tokens", "mask"))
-    return tokens.to_numpy(), mask.to_numpy(zero_copy_only=False)
+    return tokens.to_numpy(), mask.to_numpy()
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
