@@ -30,7 +30,7 @@ from stormshift.llm._blocks import bucket_count, make_blocks, opened, split_word
 from stormshift.llm._shared import utf8, written
 
 END = b""
-BLOCK_BYTES = 16_000_000  # a walk holds some ten numbers for each place of its block
+BLOCK_BYTES = 12_000_000  # a walk holds some ten numbers for each place of its block
 ANSWERS = "block long, level int, bucket int, value binary, n long"
 ASKED = "block long, bucket int, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
