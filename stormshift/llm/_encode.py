@@ -51,7 +51,7 @@ class Encoder:
     ASCII white space, one after another. Otherwise whole texts go to the library.
     """
 
-    def __init__(self, path: str, by_chunk: bool = False, limit: int = 100_000_000):
+    def __init__(self, path: str, by_chunk: bool = False, limit: int = 72_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
