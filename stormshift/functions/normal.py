@@ -46,6 +46,8 @@ def ppf(p: str) -> str:
     )
 
 
+#: Distance from 0 and 1 at which a distribution is clipped before its latent score.
+CLIP = 1e-15
 #: Columns that turn (v, mu, sd, lo, hi) into the truncated density f, distribution c and latent normal score s, in stages.
 TRUNCATED = (
     {"z": "(v - mu) / sd", "za": "(lo - mu) / sd", "zb": "(hi - mu) / sd"},
@@ -54,24 +56,24 @@ TRUNCATED = (
         "f": "CASE WHEN v < lo OR v > hi THEN 0e0 ELSE dz / (sd * (pb - pa)) END",
         "c": "CASE WHEN v <= lo THEN 0e0 WHEN v >= hi THEN 1e0 ELSE (pz - pa) / (pb - pa) END",
     },
-    {"u": "greatest(1e-15, least(1e0 - 1e-15, c))"},
+    {"u": "greatest({clip}, least(1e0 - {clip}, c))"},
     {"s": ppf("u")},
 )
 
 
-def truncated(df):
+def truncated(df, clip: float = CLIP):
     """df(v, mu, sd, lo, hi, ...) with f, c and s."""
     from pyspark.sql import functions as F
 
     for stage in TRUNCATED:
-        df = df.withColumns({k: F.expr(x) for k, x in stage.items()})
+        df = df.withColumns({k: F.expr(x.replace("{clip}", num(clip))) for k, x in stage.items()})
     return df.drop("z", "za", "zb", "pz", "pa", "pb", "dz", "u")
 
 
-def truncated_sql(source: str) -> str:
+def truncated_sql(source: str, clip: float = CLIP) -> str:
     """The same as nested SELECTs."""
     for stage in TRUNCATED:
-        source = f"(SELECT *, {', '.join(f'{x} AS {k}' for k, x in stage.items())} FROM {source})"
+        source = f"(SELECT *, {', '.join(f'{x} AS {k}' for k, x in stage.items()).replace('{clip}', num(clip))} FROM {source})"
     return source
 
 

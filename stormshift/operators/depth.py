@@ -61,14 +61,41 @@ def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "reali
     return df.withColumn("exc_prb", F.when(F.col(depth).isNotNull(), F.sum("_w").over(order))).select(*depths.columns, "exc_prb")
 
 
+#: Events of a realization up to which one task sorts it.
+ONE_TASK = 5_000_000
+
+
+def exceedance_by_size(depths: DataFrame, events: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), renormalize: bool = False, **names) -> DataFrame:
+    """exceedance, or the same in buckets where a realization of events, which depths come from, has more than ONE_TASK rows."""
+    largest = events.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    if largest <= ONE_TASK:
+        return exceedance(depths, keys, renormalize=renormalize, **names)
+    weight = names.get("weight", "weight")
+    if not renormalize:
+        return exceedance_by_buckets(depths, max(64, 4 * largest // ONE_TASK), keys, **names)
+    sums = depths.groupBy(*keys).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
+    scaled = depths.join(sums, list(keys)).withColumn("_weight", F.col(weight))
+    scaled = scaled.withColumn(weight, F.when(F.col("_sum") > 0, F.expr(f"try_divide({weight}, _sum)")).otherwise(1 / F.col("_n"))).drop("_sum", "_n")
+    out = exceedance_by_buckets(scaled, max(64, 4 * largest // ONE_TASK), keys, **names)
+    return out.withColumn(weight, F.col("_weight")).drop("_weight")
+
+
 def exceedance_by_buckets(depths: DataFrame, buckets: int = 256, keys: tuple = ("watershed", "scenario", "realization"), depth: str = "precip_avg_mm", weight: str = "weight") -> DataFrame:
-    """exceedance for realizations too large for one task: a running sum inside depth buckets, plus the weight of all deeper ones."""
+    """exceedance for realizations too large for one task: a running sum inside buckets, plus the weight of all deeper ones.
+
+    Buckets are cut at quantiles of (depth, place in a hash of the event), so that a depth that many events share is split, too.
+    """
     keys = list(keys)
     known = depths.where(F.col(depth).isNotNull())
-    ends = known.groupBy(*keys).agg(F.min(depth).alias("_lo"), F.max(depth).alias("_hi"))
-    b = known.join(ends, keys)
-    place = F.coalesce(F.try_divide(F.col(depth) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    b = b.withColumn("_b", F.least(F.floor(place * buckets), F.lit(buckets - 1)).cast("int")).drop("_lo", "_hi")
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(depth, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_cuts"))
+    b = known.join(cuts, keys)
+    # twice the number of cuts below the depth, and one more if the depth is a cut itself: such depths stand alone and are split by ranges of the event
+    at = F.size(F.filter("_cuts", lambda c: c < F.col(depth)))
+    same = F.exists("_cuts", lambda c: c == F.col(depth))
+    ids = known.groupBy(*keys).agg(F.min("event_id").alias("_first"), F.max("event_id").alias("_last"))
+    b = b.join(ids, keys)
+    later = F.floor(F.coalesce(F.try_divide((F.col("_last") - F.col("event_id")) * F.lit(buckets), F.col("_last") - F.col("_first") + 1), F.lit(0)))
+    b = b.withColumn("_b", (2 * at.cast("long") + same.cast("long")) * (buckets + 1) + F.when(same, later).otherwise(0).cast("long")).drop("_cuts", "_first", "_last")
     sums = b.groupBy(*keys, "_b").agg(F.sum(weight).alias("_sum"))
     deeper = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_sum").over(deeper), F.lit(0.0)).alias("_deeper"))

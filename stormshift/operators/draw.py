@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["watershed", "scenario"]
+RUN = 5_000
 
 
 def hashed(seed: int) -> Callable[[int], Column]:
@@ -18,10 +19,12 @@ def hashed(seed: int) -> Callable[[int], Column]:
     return lambda stream: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "watershed", "scenario", "realization", "event_id", F.lit(stream)), 11) * F.lit(2.0**-53)
 
 
-def portable(n: Column | None = None) -> Callable[[int], Column]:
-    """Uniforms by two rounds of a Lehmer generator, in integer arithmetic that every SQL engine has."""
-    at = "((realization - 1) * n + event_id - 1)"
-    del n
+def portable() -> Callable[[int], Column]:
+    """Uniforms by two rounds of a Lehmer generator, in integer arithmetic that every SQL engine has; for checks.
+
+    Each watershed and scenario starts at a place of its own, by the first letters of their names.
+    """
+    at = "((realization - 1) * n + event_id - 1 + 1000003L * (131 * ascii(scenario) + ascii(watershed)))"
     draws = {1: (48271, 82166, 16807), 2: (69621, 95028, 39373)}
 
     def stream(k: int) -> Column:
@@ -34,9 +37,12 @@ def portable(n: Column | None = None) -> Callable[[int], Column]:
 def generate(plan: DataFrame, seed: int = 0) -> DataFrame:
     """plan(watershed, scenario, n, realizations) -> an event per row: n events in each realization, numbered from 1."""
     r = plan.withColumn("realization", F.explode(F.expr("sequence(1, CAST(realizations AS INT))")))
+    # in runs of RUN events, so that neither an array nor a task holds a whole realization
+    r = r.withColumn("_run", F.explode(F.expr(f"sequence(0L, greatest(0L, (CAST(n AS BIGINT) - 1) div {RUN}))"))).where("n > 0")
     r = r.withColumn("realization_seed", F.xxhash64(F.lit(seed), "watershed", "scenario", "realization"))
-    r = r.repartition(*KEYS, "realization")
-    return r.select(*KEYS, "n", "realization", "realization_seed", F.explode(F.expr("sequence(1, CAST(n AS INT))")).alias("event_id"))
+    r = r.repartition(*KEYS, "realization", "_run")
+    events = F.expr(f"sequence(CAST(_run * {RUN} + 1 AS INT), CAST(least(n, (_run + 1) * {RUN}) AS INT))")
+    return r.select(*KEYS, "n", "realization", "realization_seed", F.explode(events).alias("event_id"))
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

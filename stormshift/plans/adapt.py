@@ -22,6 +22,8 @@ from stormshift.plans.study import SAMPLES, evaluate_depths, sample_with, sampli
 from stormshift.sources.store import Catalog, snapshot
 
 KEYS = draw.KEYS
+#: Fixed value: the clip of latent scores in the correlation step.
+SCORE_CLIP = 1e-12
 
 
 @dataclass(frozen=True)
@@ -160,7 +162,7 @@ class AdaptedProposals:
             ends = self.catalog.grid.agg(F.min(a).alias("lo"), F.max(a).alias("hi"))
             values = self.catalog.grid.select(F.col(a).alias("v")).distinct()
             axis = p.select(*KEYS, F.col(f"mu_{a}_n").alias("mu"), F.col(f"sd_{a}_n").alias("sd")).crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(values))
-            axis = truncated(axis).select(*KEYS, F.col("v").alias(f"new{a}"), F.col("s").alias(f"s{a}"))
+            axis = truncated(axis, SCORE_CLIP).select(*KEYS, F.col("v").alias(f"new{a}"), F.col("s").alias(f"s{a}"))
             e = e.join(axis, [*KEYS, f"new{a}"])
         w = F.col("weight") * F.col("reward") * F.col("r")
         sums = e.groupBy(*KEYS).agg(F.sum(w).alias("w"), *(F.sum(w * c).alias(k) for k, c in (("x", F.col("sx")), ("y", F.col("sy")), ("xx", F.col("sx") * F.col("sx")), ("yy", F.col("sy") * F.col("sy")), ("xy", F.col("sx") * F.col("sy")))))

@@ -15,18 +15,18 @@ def standing_region(cells: DataFrame, domain: DataFrame, watersheds: DataFrame,
     return geometry.standing_cells(cells, geometry.boundary_offsets(watersheds, stats, max_seg_len), domain)
 
 
-def prepare_catalog(grid_cells: DataFrame, domain: DataFrame, watersheds: DataFrame, cell: float, max_seg_len: float = 100.0, origin: tuple[float, float] | None = None) -> Catalog:
+def prepare_catalog(grid_cells: DataFrame, domain: DataFrame, watersheds: DataFrame, cell: float, max_seg_len: float = 100.0, bounds: tuple[float, float, float, float] | None = None) -> Catalog:
     """grid_cells(storm_path, record, row, col, value, ll_x, ll_y, cell_size); polygons as vertex tables.
 
-    origin: lower left corner of the grid; the domain's by default.
+    bounds: minx, miny, maxx, maxy of the grid; the domain's by default.
     """
     spark = grid_cells.sparkSession
     storm_cells = snapshot(fields.cumulative(precipitation(grid_cells)), "storm_cells")
     centers = fields.storm_centers(storm_cells)
     stats = geometry.layer_stats(domain.unionByName(watersheds))
     box = geometry.layer_stats(domain).first()
-    x0, y0 = origin or (box.minx, box.miny)
-    grid = geometry.master_grid(spark, x0, y0, box.maxx, box.maxy, cell)
+    x0, y0, x1, y1 = bounds or (box.minx, box.miny, box.maxx, box.maxy)
+    grid = geometry.master_grid(spark, x0, y0, x1, y1, cell)
     marks = geometry.layer_stats(watersheds)
     valid = geometry.valid_cells(geometry.cells_in_layers(grid, domain).drop("layer"), standing_region(grid, domain, watersheds, max_seg_len), centers, marks, x0, y0, cell)
     mask = geometry.cells_in_layers(grid, watersheds).selectExpr("layer AS watershed", "row", "col")

@@ -13,7 +13,7 @@ from stormshift.operators import align, curves, depth, draw, fields, geometry, p
 from stormshift.operators.proposal import Proposal
 from stormshift.plans import prepare, sql, study
 from stormshift.plans.adapt import AdaptedProposals, Adaptation
-from stormshift.sources import derived, store
+from stormshift.sources import derived, polygons, records, store
 from stormshift.sources.records import precipitation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,13 +40,19 @@ def r(columns: str, places: int = 6) -> str:
     return ", ".join(f"round({c}, {places}) AS {c}" for c in columns.split())
 
 
+_written: dict[tuple[str, str], store.Catalog] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str):
-    """Prepared from the line items' storms; written once, as a study would have it."""
-    return prepared(spark, sf_dir).written()
+    """Prepared from the line items' storms; written once per application and folder of tables, as a study would have it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = prepared(spark, sf_dir).written()
+    return _written[key]
 
 
 def prepared(spark: SparkSession, sf_dir: str):
-    return prepare.prepare_catalog(derived.grid_cells(spark, sf_dir), derived.domain_vertices(spark), derived.watershed_vertices(spark), CELL, max_seg_len=1000.0)
+    return prepare.prepare_catalog(derived.grid_cells(spark, sf_dir), derived.domain_vertices(spark), derived.watershed_vertices(spark), CELL, max_seg_len=1000.0, bounds=(0.0, 0.0, derived.COLS * CELL, derived.ROWS * CELL))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +181,7 @@ def p16(spark, sf_dir):
 
 @query("m3_valid_cells", sql.steps(sql.GRID, sql.PLACES) + " SELECT watershed, storm_path, row, col, x, y FROM valid")
 def m3(spark, sf_dir):
-    return catalog(spark, sf_dir).valid_cells
+    return prepared(spark, sf_dir).written().valid_cells
 
 
 @query(
@@ -230,25 +236,25 @@ def rows_of(*names: str) -> list[tuple]:
 _DENSITY = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS))
 
 
-@query("p8_proposal_densities", _DENSITY + f" SELECT v.storm_path, d.watershed, d.scenario, d.row, d.col, {r('q q_narrow q_wide', 9)} FROM density d JOIN valid v ON v.watershed = d.watershed AND v.row = d.row AND v.col = d.col")
+@query("p8_proposal_densities", _DENSITY + f" SELECT v.storm_path, d.watershed, d.scenario, d.row, d.col, round(ln(q), 6) AS q, round(ln(q_narrow), 6) AS q_narrow, round(ln(q_wide), 6) AS q_wide FROM density d JOIN valid v ON v.watershed = d.watershed AND v.row = d.row AND v.col = d.col")
 def p8(spark, sf_dir):
-    """On the valid cells of every storm."""
+    """On the valid cells of every storm, as logarithms: densities per square metre are small."""
     c = catalog(spark, sf_dir)
     stats = c.layer_stats.where("layer <> 'domain'")
     d = proposal.densities(c.grid, proposal.components(spark, PROPOSALS, stats))
-    return rounded(c.valid_cells.select("watershed", "storm_path", "row", "col").join(d, ["watershed", "row", "col"]).select("storm_path", "watershed", "scenario", "row", "col", "q", "q_narrow", "q_wide"), 9)
+    return rounded(c.valid_cells.select("watershed", "storm_path", "row", "col").join(d, ["watershed", "row", "col"]).select("storm_path", "watershed", "scenario", "row", "col", *(F.ln(c).alias(c) for c in ("q", "q_narrow", "q_wide"))))
 
 
 _DRAWN = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS), sql.draws(SIZES))
 
 
-@query("w4_running_mass", _DRAWN + f" SELECT watershed, scenario, storm_path, row, col, rank, cnt, {r('lo hi mass', 8)} FROM weighed")
+@query("w4_running_mass", _DRAWN + f" SELECT watershed, scenario, storm_path, row, col, rank, cnt, round(lo / mass, 9) AS lo, round(hi / mass, 9) AS hi, round(ln(mass), 9) AS mass FROM weighed")
 def w4(spark, sf_dir):
-    """Running mass, total and rank of cells (a5: mass and count per storm; w7: rank)."""
+    """Running mass in shares of the total, the total's logarithm, and rank of cells (a5: mass and count per storm; w7: rank)."""
     c = catalog(spark, sf_dir)
     d = proposal.densities(c.grid, proposal.components(spark, PROPOSALS, c.layer_stats.where("layer <> 'domain'")))
-    w = draw.weigh_cells(c.valid_cells, d).select("watershed", "scenario", "storm_path", "row", "col", F.col("rank").cast("long").alias("rank"), F.col("count").alias("cnt"), "lo", "hi", "mass")
-    return rounded(w, 8)
+    w = draw.weigh_cells(c.valid_cells, d).select("watershed", "scenario", "storm_path", "row", "col", F.col("rank").cast("long").alias("rank"), F.col("count").alias("cnt"), (F.col("lo") / F.col("mass")).alias("lo"), (F.col("hi") / F.col("mass")).alias("hi"), F.ln("mass").alias("mass"))
+    return rounded(w, 9)
 
 
 _EVENT = "watershed, scenario, realization, event_id, storm_path, x, y, newx, newy, delx, dely"
@@ -292,6 +298,17 @@ def a7_strict(spark, sf_dir):
     return rounded(depth.mean_depths(draw.with_shifts(e, CELL), c.watershed_mask, c.storm_cells, zero_pad=False))
 
 
+_ONCE = {"uniform": (300, 1)}
+
+
+@query("p26_default_realization", sql.steps(sql.GRID, sql.PLACES, sql.densities(rows_of("uniform")), sql.draws(_ONCE), sql.DEPTHS) + f" SELECT watershed, realization, event_id, storm_path, {r('precip_avg_mm exc_prb')} FROM depths")
+def p26(spark, sf_dir):
+    """Events without a realization belong to realization 1."""
+    c, e = sampled(spark, sf_dir, ["uniform"], _ONCE)
+    d = study.evaluate_depths(e.drop("realization", "realization_seed"), c, CELL)
+    return rounded(d.select("watershed", "realization", "event_id", "storm_path", "precip_avg_mm", "exc_prb"))
+
+
 #: Depth-like rows without sampling: ten realizations of user events.
 _EVENTS = "SELECT event_id, CAST(user_id % 10 AS INT) AS realization, value AS depth, 1e0 AS weight FROM {events}"
 _RUN = "SUM({w}) OVER (PARTITION BY realization ORDER BY depth DESC NULLS LAST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -388,6 +405,60 @@ def m11(spark, sf_dir):
     return rounded(study.sweep(c, PROPOSALS["mixture"], _SWEEP, 10, base, 400, CELL, uniforms=draw.portable()))
 
 
+# sources and sinks ---------------------------------------------------------------------------------------------------
+
+
+@query("s2_polygon_layers", sql.steps(sql.GRID, _FOOT) + " SELECT layer, ring, seq, round(x, 4) AS x, round(y, 4) AS y FROM foot")
+def s2(spark, sf_dir):
+    """Outlines written as one GeoJSON file and read again as vertices."""
+    points = footprints(cells(spark, sf_dir)).groupBy("layer", "ring").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    features = points.select(F.expr("""named_struct('type', 'Feature', 'properties', map('name', layer),
+        'geometry', named_struct('type', 'Polygon', 'coordinates', array(transform(p, v -> array(v.x, v.y))))) AS f"""))  # a feature per storm
+    text = features.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
+    path = store.scratch(spark, "outlines")
+    text.coalesce(1).write.text(path)
+    return rounded(polygons.read_geojson(spark, path, layer_property="name").select("layer", "ring", "seq", "x", "y"), 4)
+
+
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query("s3_file_listing", "SELECT name AS storm_path FROM (VALUES {}) AS t(name)".format(", ".join(f"('{t}')" for t in _TABLES)))
+def s3(spark, sf_dir):
+    """A folder of files as a sorted list of their stems."""
+    return records.list_storms(spark, sf_dir).select("storm_path")
+
+
+@query("s5_tables_as_csv", sql.steps(sql.GRID) + f" SELECT storm_path, x, y, {r('pmax_mm')} FROM centers")
+def s5(spark, sf_dir):
+    """Written as CSV, a folder per storm, and read again."""
+    path = store.scratch(spark, "centers")
+    store.write_table(fields.storm_centers(cells(spark, sf_dir)), path, ("storm_path",), "csv")
+    return rounded(spark.read.option("header", True).schema("x double, y double, pmax_mm double, storm_path string").csv(path).select("storm_path", "x", "y", "pmax_mm"))
+
+
+_BASELINE = "SELECT CAST(l_linenumber AS INT) AS RP, round(avg(l_quantity), 6) AS median_in, min(l_quantity) AS ci95_low_in, max(l_quantity) AS ci95_high_in FROM {lines} GROUP BY l_linenumber"
+
+
+@query("s11_baseline", _BASELINE.format(lines="lineitem"))
+def s11(spark, sf_dir):
+    """A summary written, then read as a baseline: its columns are checked."""
+    path = store.scratch(spark, "baseline")
+    store.write_table(spark.sql(_BASELINE, lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet")), path, ())
+    return store.read_baseline(spark, path)
+
+
+@query("g8_uniforms", "SELECT CAST(d AS INT) AS tenth, s AS stream, true AS even FROM range(10) a(d), (VALUES (1), (2)) b(s)")
+def g8(spark, sf_dir):
+    """Hashed uniforms of a row per line item: each tenth holds a tenth of them, in both streams, within five deviations."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_returnflag").alias("watershed"), F.col("l_linestatus").alias("scenario"), F.col("l_linenumber").alias("realization"), F.col("l_orderkey").alias("event_id"))
+    u = draw.hashed(11)
+    each = lines.select(F.explode(F.array(*(F.struct(F.lit(s).alias("stream"), u(s).alias("u")) for s in (1, 2)))).alias("e")).select("e.stream", F.floor(10 * F.col("e.u")).cast("int").alias("tenth"))
+    n = each.groupBy("stream", "tenth").agg(F.count("*").alias("n"))
+    total = each.groupBy("stream").agg(F.count("*").alias("total"))
+    return n.join(total, "stream").select("tenth", "stream", (F.abs(F.col("n") - F.col("total") / 10) < 5 * F.sqrt(0.09 * F.col("total"))).alias("even"))
+
+
 # grids ---------------------------------------------------------------------------------------------------------------
 
 _FINE = "fine AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col, (5e-1 + i % 40) * 3e3 AS x, (5e-1 + i // 40) * 3e3 AS y FROM range(1200) t(i))"

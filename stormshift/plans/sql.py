@@ -62,7 +62,8 @@ density AS (SELECT watershed, scenario, row, col, greatest(sum(share * d), 1e-30
 def draws(sizes: dict[str, tuple[int, int]]) -> str:
     """Events with storms and cells, weights and depths; all scenarios by mass except those whose proposal is uniform, by rank."""
     plan = ", ".join(f"('{s}', {n}, {r})" for s, (n, r) in sizes.items())
-    u = lambda a, c, m: f"CAST((((id * {a} + {c}) % 2147483647) * {m}) % 2147483647 AS DOUBLE) / 2147483647e0"
+    at = "(id + CAST(1000003 AS BIGINT) * (131 * ascii(p.scenario) + ascii(l.layer)))"
+    u = lambda a, c, m: f"CAST((({at} * {a} + {c}) % 2147483647 * {m}) % 2147483647 AS DOUBLE) / 2147483647e0"
     return f"""ids AS (SELECT l.layer AS watershed, p.scenario, n, CAST(id // n AS INT) + 1 AS realization, CAST(id % n AS INT) + 1 AS event_id, {u(48271, 82166, 16807)} AS u1, {u(69621, 95028, 39373)} AS u2
   FROM (SELECT DISTINCT layer FROM sheds) l, (SELECT *, unnest(range(n * r)) AS id FROM (VALUES {plan}) AS v(scenario, n, r)) p),
 storms AS (SELECT v.watershed, c.storm_path, c.x, c.y, row_number() OVER (PARTITION BY v.watershed ORDER BY c.storm_path) - 1 AS idx, count(*) OVER (PARTITION BY v.watershed) AS n FROM (SELECT DISTINCT watershed, storm_path FROM valid) v JOIN centers c USING (storm_path)),

@@ -60,6 +60,8 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, cell: float, zero_pad:
 
     Events without a realization belong to realization 1; events of unknown storms are dropped; empty in, empty out.
     """
+    if by_runs and not zero_pad:
+        raise ValueError("runs of the mask are read with cells off the grid as 0; use zero_pad")
     for c, value in (("realization", 1), ("scenario", "")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(value))
@@ -74,12 +76,13 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, cell: float, zero_pad:
     e = e.join(means, depth.PLACE)
     names = [c for c in ("realization_seed",) if c in events.columns]
     e = e.select("watershed", "scenario", "realization", *names, "event_id", "storm_path", F.col("newx").alias("x"), F.col("newy").alias("y"), "newx", "newy", "weight", "precip_avg_mm")
-    return depth.exceedance(e, renormalize=renormalize)
+    return depth.exceedance_by_size(e, events, renormalize=renormalize)
 
 
 def study(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[str, tuple[int, int]], cell: float, seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:
     """Sample, evaluate, summarize."""
-    return curves.summarize(evaluate_depths(sample_events(catalog, proposals, sizes, seed, uniforms), catalog, cell), **summary)
+    events = snapshot(sample_events(catalog, proposals, sizes, seed, uniforms), "events")  # read twice
+    return curves.summarize(evaluate_depths(events, catalog, cell), **summary)
 
 
 def sweep(catalog: Catalog, family: Proposal, numbers: list[int], realizations: int, baseline: DataFrame, baseline_n: int, cell: float, seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS, COLS, CELL = 24, 32, 4000.0
-DOMAIN = ((0, 0), (128000, 0), (128000, 70000), (102000, 96000), (0, 96000))
+#: Inside the grid, so that no valid cell lies at the end of an axis, where latent scores are clipped.
+DOMAIN = ((7000, 7000), (121000, 7000), (121000, 66000), (98000, 89000), (7000, 89000))
 WATERSHEDS = {
     "bend": ((48000, 36000), (72000, 36000), (72000, 52000), (60000, 52000), (60000, 64000), (48000, 64000)),
     "field": ((20000, 20000), (44000, 20000), (44000, 40000), (20000, 40000)),

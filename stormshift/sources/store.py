@@ -50,7 +50,7 @@ class Catalog:
         for f in fields(self):
             df = getattr(self, f.name)
             by = self.PARTITIONED.get(f.name, [])
-            df = df.repartition(*by) if by else df
+            df = df.repartition(*by, *(c for c in ("storm_path",) if by and c in df.columns and c not in by)) if by else df
             df.write.mode(mode).partitionBy(*by).parquet(f"{path}/{f.name}")
 
     @classmethod

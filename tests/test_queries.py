@@ -8,7 +8,6 @@ import pytest
 from stormshift.registry import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-SLOW = {"m5_depths", "j7_depths_by_runs", "a7_strict_depths", "w4_running_mass", "p8_proposal_densities", "m7_metrics", "m11_sweep", "w6_curves", "m8_adapt", "m9_final_draw"}
 
 
 def plain(rows, columns):
@@ -17,7 +16,7 @@ def plain(rows, columns):
     return sorted((tuple(value(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", [n for n in ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events"):
