@@ -1,7 +1,7 @@
 """Token-ID files: Arrow IPC files whose record batches hold fixed-size lists of ids and masks.
 
 A dataset is a folder with, per shard, `ids-NNNNN.arrow` (tokens: fixed_size_list<uint16 or uint32>[length],
-mask: fixed_size_list<uint8>[length], 1 or 0) and `docs-NNNNN.arrow` (doc_id, start in the shard, n_tokens), and a
+mask: fixed_size_list<bool>[length], which Arrow keeps as bits) and `docs-NNNNN.arrow` (doc_id, start in the shard, n_tokens), and a
 Parquet `manifest`. Shards follow each other in document order; each begins at a new sequence, and its last
 one is filled up under a mask of 0. All sequences have one length, so sequence i of a shard is row
 i - b*batch_rows of batch b = i // batch_rows of a memory-mapped file: no copy, no parsing.
@@ -41,30 +41,30 @@ class _Sequences:
     def __init__(self, sink, length: int, dtype: np.dtype):
         self.length, self.dtype, self.left, self.held, self.rows = length, dtype, [], 0, 0
         kind = pa.uint16() if dtype.itemsize == 2 else pa.uint32()
-        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: bytes) -> None:
         self.left.append(ids)
-        self.held += len(ids)
+        self.held += len(ids) // self.dtype.itemsize
         if self.held >= self.length * BATCH_ROWS:
-            flat = np.concatenate(self.left)
+            flat = np.frombuffer(b"".join(self.left), self.dtype)
             whole = len(flat) // (self.length * BATCH_ROWS) * self.length * BATCH_ROWS
             for i in range(0, whole, self.length * BATCH_ROWS):
                 self._write(flat[i : i + self.length * BATCH_ROWS])
-            self.left, self.held = [flat[whole:]], len(flat) - whole
+            self.left, self.held = [flat[whole:].tobytes()], len(flat) - whole
 
     def _write(self, flat: np.ndarray) -> None:
         real = len(flat)
         flat = np.concatenate([flat, np.zeros(-real % self.length, self.dtype)])
-        mask = (np.arange(len(flat)) < real).view(np.uint8)
+        mask = np.arange(len(flat)) < real
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
         self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
         self.rows += len(flat) // self.length
 
     def close(self) -> int:
         if self.held:
-            self._write(np.concatenate(self.left))
+            self._write(np.frombuffer(b"".join(self.left), self.dtype))
         self.writer.close()
         return self.rows
 
@@ -75,6 +75,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, l
     One shuffle: texts are dealt by ranges of the id and sorted there; ids go straight to the files. A file is
     written under a name of its own attempt and then renamed, so that a task that is run again is harmless.
     """
+    if length % 8:
+        raise ValueError("length must be a multiple of 8, so that a mask begins at a byte")
     spark = docs.sparkSession
 
     def write(batches):
@@ -83,7 +85,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, l
         fs, root = _open(path)
         fs.create_dir(root, recursive=True)
         encode, index, tokens, seqs = encoder(tokenizer, by_chunk), [], 0, None
-        end = np.array([end_id], encode.dtype)
+        end = np.array([end_id], encode.dtype).tobytes()
         names = {k: (f"{root}/_{k}-{shard:05d}-{attempt}", f"{root}/{k}-{shard:05d}.arrow") for k in ("ids", "docs")}
         sink = None
         for batch in batches:
@@ -91,10 +93,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, l
                 if seqs is None:
                     sink = fs.open_output_stream(names["ids"][0])
                     seqs = _Sequences(sink, length, encode.dtype)
-                ids = np.concatenate([np.frombuffer(encode.ids(text), encode.dtype), end])
+                ids = encode.ids(text) + end
                 seqs.add(ids)
-                index.append((doc, tokens, len(ids)))
-                tokens += len(ids)
+                n = len(ids) // encode.dtype.itemsize
+                index.append((doc, tokens, n))
+                tokens += n
         if seqs is None:
             return
         rows = seqs.close()
@@ -146,7 +149,7 @@ def _checksums(ids, lengths: np.ndarray) -> tuple[np.ndarray, int]:
     length = ids.schema.field("tokens").type.list_size
     for b in range(ids.num_record_batches):
         batch = ids.get_batch(b)
-        flat, mask = batch.column("tokens").values.to_numpy(), batch.column("mask").values.to_numpy()
+        flat, mask = batch.column("tokens").values.to_numpy(), batch.column("mask").values.to_numpy(zero_copy_only=False)
         flat, at = flat[: int(mask.sum())], 0
         while at < len(flat):
             take = min(need, len(flat) - at)
@@ -159,13 +162,18 @@ def _checksums(ids, lengths: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def read_sequence(path: str, shard: int, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence i of a shard and its mask: views of a memory-mapped file where the store is local."""
+    """Sequence i of a shard and the bits of its mask, first bit lowest: views of a memory-mapped file where the store is local.
+
+    np.unpackbits(bits, bitorder="little") gives a byte for each token.
+    """
     fs, root = _open(path)
     name = f"{root}/ids-{shard:05d}.arrow"
     source = pa.memory_map(name) if fs.type_name == "local" else fs.open_input_file(name)
     batch = pa.ipc.open_file(source).get_batch(i // BATCH_ROWS)
-    tokens, mask = (batch.column(c)[i % BATCH_ROWS].values for c in ("tokens", "mask"))
-    return tokens.to_numpy(), mask.to_numpy()
+    tokens = batch.column("tokens")[i % BATCH_ROWS].values.to_numpy()
+    bits = np.frombuffer(batch.column("mask").values.buffers()[1], np.uint8)
+    size = len(tokens) // 8
+    return tokens, bits[i % BATCH_ROWS * size : (i % BATCH_ROWS + 1) * size]
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,8 +67,13 @@ def test_token_files(spark, docs):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     shard = spark.read.parquet(f"{path}/manifest").orderBy("shard").first()
-    tokens, mask = token_files.read_sequence(path, shard.shard, 0)
-    assert tokens.shape == mask.shape == (64,) and tokens[0] == 2
+    tokens, bits = token_files.read_sequence(path, shard.shard, 0)
+    mask = np.unpackbits(bits, bitorder="little")
+    assert tokens.shape == mask.shape == (64,) and tokens[0] == 2 and not bits.flags.owndata
+    last, bits = token_files.read_sequence(path, shard.shard, shard.n_sequences - 1)
+    assert np.unpackbits(bits, bitorder="little").sum() == shard.n_tokens - 64 * (shard.n_sequences - 1)
+    with pytest.raises(ValueError):
+        token_files.write_token_files(docs, path, public_tokenizers.path(WORD), 2, length=63)
     empty = work_path(spark, "t")
     token_files.write_token_files(docs.limit(0), empty, public_tokenizers.path(WORD), 2)
     assert token_files.read_documents(spark, empty).isEmpty()
@@ -146,6 +151,21 @@ def test_media(spark, docs):
     assert got == [(0, "text", "Top", None, None, None), (1, "text", "one & two", None, None, None), (2, "media", None, "d1", "cap", 9), (3, "text", "tail", None, None, None), (4, "media", None, "u", None, None)]
 
 
+def test_media_query_against_a_plain_version(spark, tmp_path):
+    """The whole query: null, empty, repeated and long texts, markup inside texts, and a column of a clashing name."""
+    rows = [(i, t) for i, t in enumerate([*TEXTS, "<figure><img src='x'></figure> & <p>", "That it."])]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("d")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in media_sequences.op3_media_sequences(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        raw = (t or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        image = media_sequences.encode_png(payload)
+        assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (got[d].tail_crc32, got[d].media_bytes, got[d].media_sha256) == (zlib.crc32(payload[-16:]), len(image), hashlib.sha256(image).hexdigest())
+    assert got[3].feature == got[4].feature != got[9].feature
+
+
 def test_mixing(spark, docs):
     sizes = spark.createDataFrame([("a", 100), ("b", 5), ("c", 0), ("d", 60), (None, 40)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
