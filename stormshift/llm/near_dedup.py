@@ -2,10 +2,14 @@
 
 A document's set: its distinct shingles of five words (A-Z in lower case; fewer words: all of them as one).
 Per permutation both the smallest and the largest hash are kept, so each hash evaluation yields two values of
-the signature. Bands of the signature deal documents into buckets; documents that share buckets, directly or
-through others, form a candidate group (connected components). Inside a group every pair is compared on full
-sets, so a link can only be missed if no band of the two agrees. The length of a band follows the threshold
-(band_size): at 0.85, 36 bands of 7 values miss less than 1 in a million links; at 0.8, 42 of 6 values 3 in a million.
+the signature. Bands of the signature deal documents into buckets, and a link can only be missed if no band of
+the two agrees. The length of a band follows the threshold (band_size): at 0.85, 36 bands of 7 values miss less than 1 in a
+million links; at 0.8, 42 of 6 values 3 in a million.
+
+Candidates are confirmed on full sets in two steps. First each document is compared with one hub, the smallest member
+of the bucket that most of its bands name: work in proportion to the documents, which settles groups whose members are
+all close to one text. Then only buckets whose members are not one component yet go on: documents that share such
+buckets, directly or through others, form a group, and all its pairs that no link joins so far are compared.
 
 Exact copies of a text are one node from the start. A group is compared in blocks of `chunk` documents by
 `chunk`, each block in one task that returns a spanning forest of its links, never the pairs.
@@ -110,34 +114,59 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
 
     signed = written(rows.mapInArrow(sign, "doc_id long, copy long, n_shingles long, bands array<long>"), "signatures")
     live = signed.where("n_shingles > 0 and doc_id is not null")
+    repeated = not live.groupBy("doc_id").count().where("count > 1").isEmpty()
+    texts = rows.dropDuplicates(["doc_id", "copy"]) if repeated else rows
     # copies of a text: one node, the smallest doc_id. (Two texts of one 64-bit hash would only share candidates and be told apart below.)
     copies = live.groupBy("copy").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.count("*").alias("n"))
     copies = written(copies, "copies")
     buckets = written(copies.select("node", F.explode("bands").alias("band")), "bands")
     shared = buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = buckets.join(shared, "band").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    groups = components(edges)
-    sized = written(groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component"), "groups")
-    sized = sized.select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    # blocks (i, j), i <= j, of a group's chunks: a document of chunk c goes to (c, j >= c) and (i <= c, c)
-    dealt = rows.join(sized, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "text")
+    stars = written(buckets.join(shared, "band").select("band", F.col("first").alias("hub"), "node"), "stars")
 
     def link(group: pa.Table) -> pa.Table:
-        ids, own = group.column("doc_id").to_pylist(), group.column("own").to_numpy()
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         known: dict[bytes, int] = {}
-        pairs = forest([shingles(t.as_py(), words, known) for t in group.column("text")], ids, own == i, own == j, percent)
+        own = group.column("own").to_numpy()
+        left, right = (own == group.column(side)[0].as_py() for side in "ij")
+        sets = [shingles(t.as_py(), words, known) for t in group.column("text")]
+        pairs = forest(sets, group.column("label").to_numpy(), left, right, percent)
         return pa.table([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    links = written(dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long"), "links")
-    linked = components(links)
+    def confirmed(dealt: DataFrame, name: str) -> DataFrame:
+        """dealt(component, i, j, own, label, text) -> links of labels, found between own = i and own = j."""
+        return written(dealt.groupBy("component", "i", "j").applyInArrow(link, "a long, b long"), name)
+
+    # first step: own 0 is the hub, own 1 its documents, dealt to as many tasks as they need
+    voted = stars.where("hub <> node").groupBy("node", "hub").count().groupBy("node").agg(F.min(F.struct(-F.col("count"), "hub"))["hub"].alias("component"))
+    voted = written(voted, "hubs")
+    sizes = written(voted.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "sizes")
+    spread = voted.join(sizes, "component")
+    spread = written(spread.withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "spread")
+    sides = spread.select("component", "part", F.lit(1).alias("own"), "node").union(
+        spread.select("component", "part", F.lit(0).alias("own"), F.col("component").alias("node")).distinct()
+    )
+    dealt = texts.join(sides.withColumnRenamed("node", "doc_id"), "doc_id")
+    dealt = dealt.select(F.struct("component", "part").alias("component"), F.lit(0).alias("i"), F.lit(1).alias("j"), "own", F.col("doc_id").alias("label"), "text")
+    near = confirmed(dealt, "near")
+    settled = components(near)
+    # second step: buckets that hold several components so far
+    labels = settled.withColumnRenamed("component", "label")
+    marked = written(stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
+    open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    groups = components(marked.join(open_, "band").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").join(labels, "node", "left")
+    sized = written(sized.select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.coalesce("label", "node").alias("label")), "groups")
+    # blocks (i, j), i <= j, of a group's chunks: a document of chunk c goes to (c, j >= c) and (i <= c, c)
+    dealt = texts.join(sized, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "label", "text")
+    linked = components(confirmed(dealt, "links"))
     # copies of a text follow their node; a vertex alone is its own component
     named = live.select("doc_id", "copy").distinct().join(copies.select("copy", "node"), "copy")
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():  # several texts under one doc_id: all are its links
-        linked = components(links.union(named.select("node", "doc_id")))
+    if repeated:  # several texts under one doc_id: all are its links
+        edges = settled.union(linked).union(named.select("node", "doc_id")).toDF("a", "b")
+        labels = components(edges).withColumnRenamed("component", "label")
         named = named.select("doc_id", F.col("doc_id").alias("node")).distinct()
+    named = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
     named = named.join(linked.withColumnRenamed("component", "name"), "node", "left").select("doc_id", F.coalesce("name", "node").alias("name"))
     named = written(named, "names")
     # written, so that the join below has no aggregation in it and a hot name can be split
@@ -147,31 +176,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def forest(sets: list[np.ndarray], ids: list[int], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that join what is linked, between rows of left and of right; at most one less than there are rows."""
-    up = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
+def forest(sets: list[np.ndarray], labels: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links, as pairs of labels, that join what neither labels nor earlier links join, between rows of left and of right; at most one less than there are rows."""
+    label = np.unique(labels, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    distinct, at = np.unique(flat, return_inverse=True)
-    starts, mark, out = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.zeros(len(distinct), np.int32), []
-    for p in np.flatnonzero(left):
-        mine = at[starts[p] : starts[p] + sizes[p]]
-        mark[mine] = 1
-        both = np.add.reduceat(mark[at], starts)
-        mark[mine] = 0
-        hit = (100 * both >= percent * (sizes + sizes[p] - both)) & right
-        for q in np.flatnonzero(hit).tolist():
-            a, b = root(int(p)), root(q)
-            if a != b:
-                up[a] = b
-                out.append((ids[p], ids[q]))
+    distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends, mark, out = np.cumsum(sizes), np.zeros(len(distinct), np.int32), []
+    starts, place = ends - sizes, np.arange(len(sets))
+    once = bool((left & right).all())  # a block of a chunk with itself: each pair has one turn
+    for p in np.flatnonzero(left & (sizes > 0)):
+        # sets of such different sizes can't be linked, and what is joined already needs no comparison
+        fit = 100 * np.minimum(sizes, sizes[p]) >= percent * np.maximum(sizes, sizes[p])
+        if once:
+            fit &= place > p
+        rest = np.flatnonzero(right & (sizes > 0) & (label != label[p]) & fit)
+        if not len(rest):
+            continue
+        mark[at[starts[p] : ends[p]]] = 1
+        both = np.add.reduceat(mark[np.concatenate([at[starts[q] : ends[q]] for q in rest])], np.cumsum(sizes[rest]) - sizes[rest])
+        mark[at[starts[p] : ends[p]]] = 0
+        for q in rest[100 * both >= percent * (sizes[rest] + sizes[p] - both)].tolist():
+            if label[p] != label[q]:
+                label[label == label[q]] = label[p]
+                out.append((labels[p], labels[q]))
     return out
 
 
