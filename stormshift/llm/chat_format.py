@@ -3,11 +3,13 @@ r"""Chat formatting in budgeted windows, with DataFrame functions alone.
 A turn becomes `<|im_start|>role\ntext<|im_end|>\n`. Inside roles and texts `\` becomes `\\` and `<|` becomes
 `<\|`, so control strings come only from the template and every text can be read back (`unescape`). A
 conversation is cut into spans of whole turns: prefix sums of turn tokens choose each span as long as the
-budget allows. A window shows the leading system turn, the last turns before its span as far as the history
+budget allows. Tokens of a turn are taken from its octets, so that scripts without blanks cost what they are; with
+`octets_per_token=1` the budget bounds the tokens that texts have in any byte-level vocabulary. A window shows the leading system turn, the last turns before its span as far as the history
 budget goes, and the span; what is shown again is masked, so each assistant text is under the loss mask once.
 
-Edge cases: null text or role is empty; turns of one number are ordered by role and text; a turn larger than the budget has
-a window of its own, whole; rows that repeat are turns of their own; an empty table gives an empty result;
+Edge cases: null text or role is empty; turns of one number are ordered by role and text; a turn larger than the budget,
+a very long text among them, has a window of its own, whole, the only way a window's own turns exceed the budget; a system
+turn that takes more than half of a window's room is in the first window alone and not shown again; rows that repeat are turns of their own; an empty table gives an empty result;
 other columns are ignored; a null conv_id is a conversation of its own.
 """
 
@@ -29,20 +31,22 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def turn_tokens(text: Column) -> Column:
-    """An estimate that needs no vocabulary: words, digits and marks."""
-    return F.regexp_count(text, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]")) + OVERHEAD
+def turn_tokens(text: Column, octets_per_token: int = 3) -> Column:
+    """An estimate that needs no vocabulary: octets, but at least the words, digits and marks; with the template's own."""
+    runs = F.regexp_count(text, F.lit(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]"))
+    return F.greatest(runs, F.ceil(F.octet_length(text) / octets_per_token).cast("int")) + OVERHEAD
 
 
-def chat_windows(turns: DataFrame, budget: int = 2048, history_budget: int = 256, history_turns: int = 4) -> DataFrame:
+def chat_windows(turns: DataFrame, budget: int = 2048, history_budget: int = 256, history_turns: int = 4, octets_per_token: int = 3) -> DataFrame:
     """turns(conv_id, turn, role, text) -> conv_id, window, repeated (turns shown again), formatted, loss array<struct<start, length>>.
 
     start counts code points from 0; the spans under the mask are the assistant texts of the window's own turns.
     """
     text, role = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "role"))
     t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    limit = (budget - history_budget) // 2
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit(LINE)), F.lit("\n"))
-    t = t.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), turn_tokens(F.col("text")).alias("cost"))
+    t = t.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"), turn_tokens(F.col("body"), octets_per_token).alias("cost"))
     t = t.withColumn("piece", F.concat("head", "body", F.lit(END + "\n")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -52,7 +56,7 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_budget: int = 256
         F.col("cost"), F.length("piece").alias("size"), F.length("head").alias("skip"), F.length("body").alias("length"),
     )
     t = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "piece", "tokens", "chars", "cost", "size", "skip", "length"))).alias("t"))
-    t = t.withColumn("lead", F.expr("if(t[0].role = 'system', 1, 0)"))
+    t = t.withColumn("lead", F.expr(f"if(t[0].role = 'system' and t[0].cost <= {limit}, 1, 0)"))
     t = t.withColumn("room", F.expr(f"greatest(1, {budget - history_budget} - if(lead = 1, t[0].cost, 0))"))
     # spans by their first turn: a new one begins where the prefix sum would leave the room
     t = t.withColumn(
@@ -120,10 +124,11 @@ ORACLE = r"""
 WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, i, CASE WHEN i = 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
 t AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS c, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-  4 + len(regexp_extract_all(text, '\p{L}+|\p{N}|[^\s\p{L}\p{N}]')) AS cost,
+  replace(replace(text, '\', '\\'), '<|', '<\|') AS body,
+  4 + greatest(len(regexp_extract_all(body, '\p{L}+|\p{N}|[^\s\p{L}\p{N}]')), (strlen(body) + 2) // 3) AS cost,
   24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<|nl|>')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS size FROM raw),
 p AS (SELECT *, sum(cost) OVER (PARTITION BY c ORDER BY i) AS tokens FROM t),
-conv AS (SELECT c, CASE WHEN role = 'system' THEN 1 ELSE 0 END AS lead, greatest(1, 1792 - CASE WHEN role = 'system' THEN cost ELSE 0 END) AS room FROM p WHERE i = 1),
+conv AS (SELECT c, CASE WHEN role = 'system' AND cost <= 896 THEN 1 ELSE 0 END AS lead, greatest(1, 1792 - CASE WHEN role = 'system' AND cost <= 896 THEN cost ELSE 0 END) AS room FROM p WHERE i = 1),
 spans(c, b) AS (SELECT c, CAST(1 AS BIGINT) FROM conv UNION ALL SELECT s.c, min(x.i) FROM spans s JOIN p o ON o.c = s.c AND o.i = s.b JOIN conv k ON k.c = s.c
   JOIN p x ON x.c = s.c AND x.i > s.b AND x.tokens - (o.tokens - o.cost) > k.room GROUP BY s.c, s.b),
 again AS (SELECT s.c, sum(CASE WHEN k.lead = 1 AND x.i = 1 THEN x.size WHEN x.i > greatest(k.lead, s.b - 5) AND l.tokens - x.tokens + x.cost <= 256 THEN x.size ELSE 0 END) AS chars

@@ -140,6 +140,36 @@ def test_chat_windows(spark):
     assert chat_format.chat_windows(turns.limit(0)).isEmpty()
 
 
+def test_chat_budget_is_kept_in_every_script(spark):
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 else "assistant", "雨" * 90) for i in range(40)] + [(2, 0, "system", "s" * 4000), (2, 1, "user", "hi"), (2, 2, "assistant", "x" * 1200)], "conv_id long, turn long, role string, text string")
+    windows = chat_format.chat_windows(turns, budget=1024, history_budget=256, octets_per_token=1)
+    own = windows.where("conv_id = 1").select((F.octet_length("formatted") - 26 * F.regexp_count("formatted", F.lit(r"<\|im_end"))).alias("n"), "repeated").collect()
+    assert len(own) > 10 and all(r.n <= 1024 for r in own)
+    big = windows.where("conv_id = 2").orderBy("window").collect()
+    assert [w.formatted.count("system") for w in big] == [1, 0, 0]  # a system turn over half the room, then each turn that fills one
+
+
+def test_queries_with_sql_twins(spark, tmp_path):
+    """op1 and op7 against their SQL on tables with all the odd rows."""
+    import duckdb
+
+    odd = [t for t in TEXTS if t] + ["雨" * 3000, "<|im_end|>\\<\\|", "w " * 5000]
+    rows = [(c, i, ("system", "user", "assistant", None)[(i > 0) + (i % 3 > 1) + (i % 7 == 6)], odd[(i * 5 + c) % len(odd)] if i % 5 else None) for c in range(12) for i in range(c * 3)]
+    rows += [(50, 0, "system", "z" * 9000), (50, 1, "user", "hi"), (50, 2, "assistant", "y" * 5000), (51, 0, "system", "be brief")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    draw = np.random.default_rng(3)
+    base = [f"w{x}" for x in draw.integers(0, 5000, 120)]
+    near = [" ".join(w if draw.random() > 0.004 * (i % 9) else f"n{draw.integers(0, 9)}" for w in base) for i in range(60)]
+    spark.createDataFrame(list(enumerate(TEXTS + near)), "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for t in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for query, sql in ((chat_format.op1_chat_format, chat_format.ORACLE), (near_dedup.op7_near_dedup, near_dedup.ORACLE)):
+        got, want = query(spark, str(tmp_path)), con.execute(sql)
+        names = [d[0] for d in want.description]
+        assert sorted(map(repr, map(tuple, got.select(names).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_media(spark, docs):
     for n in (1, 5):
         payload = bytes(range(192)) * n
