@@ -28,15 +28,15 @@ def mask_runs(mask: DataFrame) -> DataFrame:
 
 
 def running_rows(storm_cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """storm_path, row, col, ps: precipitation of the row up to and with col, for every cell of the grid."""
+    """storm_path, row, col, ps, seen: precipitation of the row up to and with col and its cells that have one, for every cell of the grid."""
     dense = storm_cells.select("storm_path").distinct().crossJoin(F.broadcast(grid.select("row", "col")))  # the grid, once per storm
     dense = dense.join(storm_cells.select("storm_path", "row", "col", "precip_mm"), ["storm_path", "row", "col"], "left")
     order = Window.partitionBy("storm_path", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select("storm_path", "row", "col", F.sum(F.coalesce("precip_mm", F.lit(0.0))).over(order).alias("ps"))
+    return dense.select("storm_path", "row", "col", F.sum(F.coalesce("precip_mm", F.lit(0.0))).over(order).alias("ps"), F.count("precip_mm").over(order).alias("seen"))
 
 
-def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, grid: DataFrame, cols: int) -> DataFrame:
-    """mean_depths for large watersheds: two lookups per run of the mask instead of one per cell; cells off the grid are 0."""
+def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, grid: DataFrame, cols: int, zero_pad: bool = True) -> DataFrame:
+    """mean_depths for large watersheds: two lookups per run of the mask instead of one per cell."""
     ps = running_rows(storm_cells, grid)
     size = mask.groupBy("watershed").agg(F.count("*").alias("cells"))
     runs = mask_runs(mask)
@@ -44,8 +44,9 @@ def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_cells: DataFra
     wanted = shifts.select(*PLACE).distinct().join(runs, "watershed").withColumn("e", F.explode(ends))
     wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), F.col("e.col").alias("col"), F.col("e.s").alias("s"))
     found = wanted.join(ps, ["storm_path", "row", "col"], "left")
-    total = found.groupBy(*PLACE).agg(F.sum(F.coalesce(F.col("s") * F.col("ps"), F.lit(0.0))).alias("total"))
-    return total.join(size, "watershed").select(*PLACE, (F.col("total") / F.col("cells")).alias("precip_avg_mm"))
+    total = found.groupBy(*PLACE).agg(F.sum(F.coalesce(F.col("s") * F.col("ps"), F.lit(0.0))).alias("total"), F.sum(F.coalesce(F.col("s") * F.col("seen"), F.lit(0))).alias("seen"))
+    mean = F.col("total") / F.col("cells")
+    return total.join(size, "watershed").select(*PLACE, (mean if zero_pad else F.when(F.col("seen") == F.col("cells"), mean)).alias("precip_avg_mm"))
 
 
 def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), depth: str = "precip_avg_mm", weight: str = "weight", renormalize: bool = False) -> DataFrame:

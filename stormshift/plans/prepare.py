@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from stormshift.functions.albers import Albers
 from stormshift.operators import fields, geometry
-from stormshift.sources.records import precipitation
+from stormshift.sources.polygons import read_geojson
+from stormshift.sources.records import list_storms, precipitation, read_storms
 from stormshift.sources.store import Catalog, snapshot
 
+_CONFIG = """watershed struct<id: string, geometry_file: string>, transposition_region struct<id: string, geometry_file: string>,
+    catalog struct<id: string, catalog_folder: string>, preprocess_opts struct<valid_region_max_seg_len: double, valid_region_simplify_tol: double>"""
+
 
 def standing_region(cells: DataFrame, domain: DataFrame, watersheds: DataFrame, max_seg_len: float = 100.0) -> DataFrame:
     """watershed, row, col, x, y: where each watershed's centroid may stand so that the whole of it lies in the domain."""
@@ -31,3 +36,30 @@ def prepare_catalog(grid_cells: DataFrame, domain: DataFrame, watersheds: DataFr
     valid = geometry.valid_cells(geometry.cells_in_layers(grid, domain).drop("layer"), standing_region(grid, domain, watersheds, max_seg_len), centers, marks, x0, y0, cell)
     mask = geometry.cells_in_layers(grid, watersheds).selectExpr("layer AS watershed", "row", "col")
     return Catalog(storm_cells=storm_cells, storm_centers=centers, layer_stats=stats, watershed_mask=mask, valid_cells=valid, grid=grid)
+
+
+def catalog_from_config(spark: SparkSession, path: str, projection: Albers | None = Albers()) -> Catalog:
+    """The catalog that a JSON file describes: watershed.geometry_file and transposition_region.geometry_file (GeoJSON in
+    longitude and latitude; projection None: in metres already), catalog.catalog_folder (a Parquet file of gridded
+    records per storm) and preprocess_opts.valid_region_max_seg_len. The watershed's layer is its id.
+
+    Refused: a file without these entries, a folder without storms, and valid_region_simplify_tol above 0, as
+    outlines are never simplified.
+    """
+    c = spark.read.schema(_CONFIG).json(path, multiLine=True).first()
+    files = c and (c.watershed and c.watershed.geometry_file, c.transposition_region and c.transposition_region.geometry_file, c.catalog and c.catalog.catalog_folder)
+    if not files or not all(files):
+        raise ValueError(f"{path}: watershed.geometry_file, transposition_region.geometry_file and catalog.catalog_folder are needed")
+    segment = c.preprocess_opts and c.preprocess_opts.valid_region_max_seg_len
+    if c.preprocess_opts and (c.preprocess_opts.valid_region_simplify_tol or 0) > 0:
+        raise ValueError(f"{path}: outlines are not simplified; leave out valid_region_simplify_tol")
+    watershed, domain, folder = files
+    list_storms(spark, folder)
+    cells = read_storms(spark, folder)
+    # snapshots: each outline is parsed and projected once
+    sheds = snapshot(read_geojson(spark, watershed, c.watershed.id or "watershed", projection), "watershed")
+    region = snapshot(read_geojson(spark, domain, "domain", projection), "domain")
+    size = cells.where("cell_size is not null").select("cell_size").first()
+    if size is None:
+        raise ValueError(f"no gridded records in {folder}")
+    return prepare_catalog(cells, region, sheds, float(size[0]), 100.0 if segment is None else segment)

@@ -60,8 +60,6 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, cell: float, zero_pad:
 
     Events without a realization belong to realization 1; events of unknown storms are dropped; empty in, empty out.
     """
-    if by_runs and not zero_pad:
-        raise ValueError("runs of the mask are read with cells off the grid as 0; use zero_pad")
     for c, value in (("realization", 1), ("scenario", "")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(value))
@@ -70,7 +68,7 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, cell: float, zero_pad:
     e = e.withColumns({"dx": F.rint((F.col("newx") - F.col("_x")) / cell).cast("int"), "dy": F.rint((F.col("newy") - F.col("_y")) / cell).cast("int")})
     if by_runs:
         cols = catalog.grid.agg(F.max("col")).first()[0] + 1
-        means = depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_cells, catalog.grid, cols)
+        means = depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_cells, catalog.grid, cols, zero_pad)
     else:
         means = depth.mean_depths(e, catalog.watershed_mask, catalog.storm_cells, zero_pad)
     e = e.join(means, depth.PLACE)

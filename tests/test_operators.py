@@ -1,5 +1,7 @@
 """Operators against numpy models on small data."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from stormshift.operators import align, curves, depth, draw, fields, geometry
 from stormshift.operators.proposal import Proposal
 from stormshift.plans.adapt import AdaptedProposals, Adaptation
-from stormshift.plans.prepare import prepare_catalog
+from stormshift.plans.prepare import catalog_from_config, prepare_catalog
 from stormshift.plans.study import evaluate_depths, sample_events
 from stormshift.sources import derived, polygons, records, store
 
@@ -108,8 +110,38 @@ def test_depths_equal_roll_and_cut(spark, catalog):
         rows = got.collect()
         assert len(rows) == len(shifts)
         assert all(abs(r.precip_avg_mm - want[r.storm_path, r.dy, r.dx]) < 1e-9 for r in rows)
-    strict = {(r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths(df, c.watershed_mask, c.storm_cells, False).where("storm_path = 's0'").collect()}
-    assert strict[-20, 0] is None and abs(strict[0, 0] - want["s0", 0, 0]) < 1e-9
+    holes = c.storm_cells.where("not (storm_path = 's1' and row = 5 and col = 6)")
+    strict = {(r.storm_path, r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths(df, c.watershed_mask, holes, False).collect()}
+    assert strict["s0", -20, 0] is None and strict["s1", 0, 0] is None and abs(strict["s0", 0, 0] - want["s0", 0, 0]) < 1e-9
+    by_runs = {(r.storm_path, r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths_by_runs(df, c.watershed_mask, holes, c.grid, 16, False).collect()}
+    assert by_runs.keys() == strict.keys()
+    assert all((x is None) == (by_runs[k] is None) and (x is None or abs(x - by_runs[k]) < 1e-9) for k, x in strict.items())
+
+
+def test_catalog_from_config(spark, tmp_path):
+    """Files in, the catalog of the same tables out; what the file can't mean is refused."""
+    field = np.random.default_rng(2).random((8, 10))
+    for name in ("a", "b"):
+        spark.createDataFrame([(*x[1:],) for x in grid_rows(name, field if name == "a" else field[::-1])], RECORDS.split(", ", 1)[1]).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    outline = {"shed": [(3, 2), (6, 2), (6, 5), (3, 5), (3, 2)], "domain": [(0.3, 0.3), (9.7, 0.3), (9.7, 7.7), (0.3, 7.7), (0.3, 0.3)]}
+    for name, points in outline.items():
+        (tmp_path / f"{name}.geojson").write_text(json.dumps({"features": [{"properties": {}, "geometry": {"type": "Polygon", "coordinates": [points]}}]}))
+    entries = {"watershed": {"id": "w", "geometry_file": f"{tmp_path}/shed.geojson"}, "transposition_region": {"geometry_file": f"{tmp_path}/domain.geojson"}, "catalog": {"catalog_folder": f"{tmp_path}/*.parquet"}}
+    opts = {"preprocess_opts": {"valid_region_max_seg_len": 0.5}}
+
+    def load(**more):
+        (tmp_path / "config.json").write_text(json.dumps({**entries, **more}, indent=2))
+        return catalog_from_config(spark, str(tmp_path / "config.json"), projection=None)
+
+    got = load(**opts)
+    cells = spark.createDataFrame(grid_rows("a", field) + grid_rows("b", field[::-1]), RECORDS)
+    want = prepare_catalog(cells, *(spark.createDataFrame(ring(n, outline[k][:-1]), VERTICES) for n, k in (("domain", "domain"), ("w", "shed"))), CELL, 0.5)
+    for part in ("storm_centers", "layer_stats", "watershed_mask", "valid_cells", "grid"):
+        a, b = getattr(got, part), getattr(want, part)
+        assert a.count() and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect())), part
+    for bad in ({"preprocess_opts": {"valid_region_simplify_tol": 5.0}}, {"watershed": {"id": "w"}}, {"catalog": {"catalog_folder": f"{tmp_path}/*.geojson"}}):
+        with pytest.raises(ValueError):
+            load(**bad)
 
 
 def test_guided_draw_is_the_range_join(spark, catalog):
