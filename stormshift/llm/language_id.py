@@ -59,9 +59,10 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = [("und", 0.0, True)] * len(texts)
-        bags = [(i, x) for i, t in enumerate(texts) if t and (x := bag(t)) is not None]
-        for k in range(0, len(bags) if self.languages else 0, 256):
-            part = bags[k : k + 256]
+        for k in range(0, len(texts) if self.languages else 0, 256):  # a bag is dense: few at a time
+            part = [(i, x) for i, t in enumerate(texts[k : k + 256], k) if t and (x := bag(t)) is not None]
+            if not part:
+                continue
             p = _softmax((np.stack([x for _, x in part]) @ self.table + self.bias) / self.temperature)
             for (i, _), row in zip(part, p):
                 best = int(row.argmax())
