@@ -10,6 +10,8 @@ import numpy as np
 
 #: Marks that end a chunk; after a letter they are a pre-token of their own, so the ids of both parts follow each other.
 _MARKS = b".,;:!?"
+#: Bytes of each of the two generations of known chunks.
+CACHE_BYTES = 72_000_000
 
 
 class _Chunks(dict):
@@ -51,7 +53,7 @@ class Encoder:
     ASCII white space, one after another. Otherwise whole texts go to the library.
     """
 
-    def __init__(self, path: str, by_chunk: bool = False, limit: int = 72_000_000):
+    def __init__(self, path: str, by_chunk: bool = False, limit: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,11 +75,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, by_chunk: bool) -> Encoder:
+def encoder(path: str, by_chunk: bool, limit: int = CACHE_BYTES) -> Encoder:
     """The worker's own encoder; it lives as long as the Python worker."""
-    key = (path, by_chunk)
+    key = (path, by_chunk, limit)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, by_chunk)
+        _encoders[key] = Encoder(path, by_chunk, limit)
     return _encoders[key]
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stormshift.llm._encode import encoder
+from stormshift.llm._encode import CACHE_BYTES, encoder
 from stormshift.llm._shared import partitions, utf8, written
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -74,11 +74,14 @@ def plan_windows(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     return runs
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by_chunk: bool = False, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Pieces of all documents: full ones of `capacity` ids and a rest. with_ids adds the ids (little-endian)."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, by_chunk: bool = False, with_ids: bool = False, id_column: str = "doc_id", text_column: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """Pieces of all documents: full ones of `capacity` ids and a rest. with_ids adds the ids (little-endian).
+
+    cache_bytes bounds what a worker knows of chunks met before: less memory for more time, the same ids.
+    """
 
     def pieces(batches):
-        encode = encoder(tokenizer, by_chunk)
+        encode = encoder(tokenizer, by_chunk, cache_bytes)
         end = np.array([end_id], encode.dtype).tobytes()
         for batch in batches:
             rows = []
@@ -131,8 +134,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, by_chunk: bool = False, with_ids: bool = False) -> DataFrame:
-    return pack(written(cut(docs, tokenizer, end_id, capacity, by_chunk, with_ids), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, by_chunk: bool = False, with_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    return pack(written(cut(docs, tokenizer, end_id, capacity, by_chunk, with_ids, cache_bytes=cache_bytes), "pieces"), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

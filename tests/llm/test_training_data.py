@@ -95,6 +95,8 @@ def test_packing(docs):
             at += length
         assert at <= 256
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path(WORD)).isEmpty()
+    small = packing.pack_documents(docs, public_tokenizers.path(WORD), capacity=256, by_chunk=True, with_ids=True, cache_bytes=1_000).collect()
+    assert sorted(map(str, small)) == sorted(map(str, got))
 
 
 @settings(max_examples=60, deadline=None)
