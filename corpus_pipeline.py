@@ -36,7 +36,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 4,096 tokens."""
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), by_chunk=True)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), by_chunk=True, cache_bytes=36_000_000)
 
 
 STAGES: list[tuple[str, Callable]] = [("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
