@@ -62,3 +62,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def utf8(column: str = "text"):
     """The bytes of a text column, null as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def ascii_lower(column: str):
+    """A-Z in lower case, every other letter as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    plain = F.octet_length(column) == F.length(column)  # code points of one octet alone: the faster function does the same
+    return F.when(plain, F.lower(column)).otherwise(F.translate(F.col(column), upper, upper.lower()))
