@@ -6,6 +6,8 @@ The text repeats its argument; pass a column name and stage longer chains by `wi
 
 from __future__ import annotations
 
+import math
+
 from stormshift.functions.text import horner, num
 
 # The rational approximation of the normal distribution after Hart (1968), as published by West (2005).
@@ -46,19 +48,49 @@ def ppf(p: str) -> str:
     )
 
 
+#: Below this, the tail's logarithm comes from its continued fraction: the rational form loses relative accuracy there.
+FAR = 4.5
+LN_ROOT_2PI = math.log(math.sqrt(2 * math.pi))
+
+
+def ln_cdf(x: str) -> str:
+    """Logarithm of the distribution, accurate however far out in the lower tail."""
+    a, tail = f"(-({x}))", ""
+    for k in range(20, 0, -1):
+        tail = f"({a} + {num(k)} / {tail})" if tail else f"({a} + {num(k)} / {a})"
+    return f"(CASE WHEN {x} < {num(-FAR)} THEN -({x}) * ({x}) / 2e0 - {num(LN_ROOT_2PI)} - ln({tail}) ELSE ln({cdf(x)}) END)"
+
+
+def less_one(x: str) -> str:
+    """exp(x) - 1, accurate near 0."""
+    return f"(CASE WHEN abs({x}) < 1e-4 THEN {x} * (1e0 + {x} / 2e0 * (1e0 + {x} / 3e0 * (1e0 + {x} / 4e0))) ELSE exp({x}) - 1e0 END)"
+
+
 #: Distance from 0 and 1 at which a distribution is clipped before its latent score.
 CLIP = 1e-15
 #: Columns that turn (v, mu, sd, lo, hi) into the truncated density f, distribution c and latent normal score s, in stages.
+#: The heavier side is folded onto the lower tail, and differences of tails are taken between logarithms, so that a mean
+#: many deviations outside [lo, hi], on either side, keeps its digits. One value (lo = hi): density 1.
 TRUNCATED = (
     {"z": "(v - mu) / sd", "za": "(lo - mu) / sd", "zb": "(hi - mu) / sd"},
-    {"pz": cdf("z"), "pa": cdf("za"), "pb": cdf("zb"), "dz": pdf("z")},
+    {"fold": "CASE WHEN za + zb > 0e0 THEN -1e0 ELSE 1e0 END"},
+    {"z": "fold * z", "za": "CASE WHEN fold > 0e0 THEN za ELSE -zb END", "zb": "CASE WHEN fold > 0e0 THEN zb ELSE -za END"},
+    {"lz": ln_cdf("z"), "la": ln_cdf("za"), "lb": ln_cdf("zb"), "dz": f"-z * z / 2e0 - {num(LN_ROOT_2PI)}"},
+    {"ab": "la - lb", "zt": "lz - lb", "az": "la - lz"},
+    {"ab": less_one("ab"), "up": less_one("zt"), "low": less_one("az"), "ez": "exp(zt)", "dz": "exp(dz - lb)"},
+    {
+        # shares below and above v, each from its own tail
+        "low": "CASE WHEN ab < 0e0 THEN ez * low / ab ELSE 0e0 END", "up": "CASE WHEN ab < 0e0 THEN up / ab ELSE 0e0 END",
+        "f": "CASE WHEN v < lo OR v > hi THEN 0e0 WHEN ab < 0e0 THEN dz / (sd * -ab) ELSE 1e0 END",
+    },
     {
-        "f": "CASE WHEN v < lo OR v > hi THEN 0e0 ELSE dz / (sd * (pb - pa)) END",
-        "c": "CASE WHEN v <= lo THEN 0e0 WHEN v >= hi THEN 1e0 ELSE (pz - pa) / (pb - pa) END",
+        "c": "CASE WHEN v <= lo THEN 0e0 WHEN v >= hi THEN 1e0 WHEN fold > 0e0 THEN low ELSE up END",
+        "d": "CASE WHEN v <= lo THEN 1e0 WHEN v >= hi THEN 0e0 WHEN fold > 0e0 THEN up ELSE low END",
     },
-    {"u": "greatest({clip}, least(1e0 - {clip}, c))"},
-    {"s": ppf("u")},
-)
+    {"u": "CASE WHEN c <= d THEN greatest({clip}, c) ELSE greatest(1e0 - (1e0 - {clip}), d) END"},
+    {"s": f"CASE WHEN c <= d THEN 1e0 ELSE -1e0 END * {ppf('u')}"},
+)
+_STEPS = ("z", "za", "zb", "fold", "lz", "la", "lb", "dz", "ab", "zt", "az", "up", "low", "ez", "d", "u")
 
 
 def truncated(df, clip: float = CLIP):
@@ -67,13 +99,17 @@ def truncated(df, clip: float = CLIP):
 
     for stage in TRUNCATED:
         df = df.withColumns({k: F.expr(x.replace("{clip}", num(clip))) for k, x in stage.items()})
-    return df.drop("z", "za", "zb", "pz", "pa", "pb", "dz", "u")
+    return df.drop(*_STEPS)
 
 
 def truncated_sql(source: str, clip: float = CLIP) -> str:
     """The same as nested SELECTs."""
+    known: set[str] = set()
     for stage in TRUNCATED:
-        source = f"(SELECT *, {', '.join(f'{x} AS {k}' for k, x in stage.items()).replace('{clip}', num(clip))} FROM {source})"
+        again = ", ".join(k for k in stage if k in known)
+        old = f"* EXCLUDE ({again})" if again else "*"
+        source = f"(SELECT {old}, {', '.join(f'{x} AS {k}' for k, x in stage.items()).replace('{clip}', num(clip))} FROM {source})"
+        known |= set(stage)
     return source
 
 

@@ -36,7 +36,7 @@ def align(storm_cells: DataFrame, grid: DataFrame, method: str = "nearest", allo
         for a in "xy":
             if not grid.select(a).distinct().exceptAll(storm_cells.select(a).distinct()).isEmpty():
                 raise ValueError("the storms' grid differs from the mask's")
-    maps = {a: F.broadcast(axis_map(storm_cells, grid, a, method).select(F.col("v").alias(a), *(F.col(c).alias(f"{c}_{a}") for c in ("below", "above", "t")))) for a in "xy"}
+    maps = {a: axis_map(storm_cells, grid, a, method).select(F.col("v").alias(a), *(F.col(c).alias(f"{c}_{a}") for c in ("below", "above", "t"))) for a in "xy"}
     cells = grid.select("row", "col", "x", "y").join(maps["x"], "x").join(maps["y"], "y")
     weight = {"below": "(1 - t_{0})", "above": "t_{0}"}
     corners = ", ".join(f"named_struct('sx', {i}_x, 'sy', {j}_y, 'w', {weight[i].format('x')} * {weight[j].format('y')})" for i in weight for j in weight)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormshift.functions.scalars import inches, return_period
+from stormshift.sources.store import snapshot
 
 STATISTICS = ("mean", "median", "ci90_low", "ci90_high", "ci95_low", "ci95_high")
 
@@ -52,17 +53,88 @@ def bands(curves: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "RP", "mean_in", *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
 
 
+#: Curves of a group up to which the values of one period are sorted by one task.
+ONE_TASK = 50_000
+#: Cuts of each interval in one round of the selection.
+CUTS = 512
+
+
+def order_statistics(values: DataFrame, keys: list[str], wanted: DataFrame, value: str = "v", leaf: int = ONE_TASK) -> DataFrame:
+    """keys, rank, x: the value of each wanted(keys, rank) rank, from 0, among values(keys, value), for groups of any size.
+
+    Selection by histograms: each round counts the values of an interval in CUTS equal parts (a partial aggregate: no
+    task sees a whole group), and each rank goes on in the part that holds it, until that part holds `leaf` values at most,
+    or one repeated value, and is sorted. Values outside all parts that are left are dropped on the way.
+    """
+    v = values.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    ends = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    # an interval is one row of keys, _lo, _hi, _n values in it, _below values of the group under it; ranks point to intervals
+    ranks = snapshot(wanted.join(ends, keys).withColumn("_below", F.lit(0).cast("long")), "ranks")
+    v = v.join(ends.select(*keys, "_lo", "_hi"), keys)
+    own, found = [*keys, "_lo", "_hi"], None
+    while True:
+        done = ranks.where((F.col("_n") <= leaf) | (F.col("_lo") == F.col("_hi")))
+        found = done if found is None else found.unionByName(done)
+        ranks = ranks.where((F.col("_n") > leaf) & (F.col("_lo") < F.col("_hi")))
+        if ranks.isEmpty():
+            break
+        part = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CUTS), F.lit(CUTS - 1))
+        live = v.join(ranks.select(*own).distinct(), own).withColumn("_part", part)
+        parts = live.groupBy(*own, "_part").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count("*").alias("_m"))
+        w = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+        parts = snapshot(parts.withColumn("_upto", F.sum("_m").over(w)), "parts")
+        inside = (F.col("rank") >= F.col("_below") + F.col("_upto") - F.col("_m")) & (F.col("rank") < F.col("_below") + F.col("_upto"))
+        ranks = ranks.join(parts, own).where(inside)
+        ranks = ranks.select(*keys, "rank", F.col("_a").alias("_lo"), F.col("_b").alias("_hi"), F.col("_m").alias("_n"), (F.col("_below") + F.col("_upto") - F.col("_m")).alias("_below"))
+        ranks = snapshot(ranks, "ranks")
+        # only values of parts that go on, each under its part's name; a part of one repeated value is done
+        rest = ranks.where("_lo < _hi").select(*keys, "_lo", "_hi").distinct()
+        named = parts.select(*own, "_part", "_a", "_b")
+        v = live.join(named, [*own, "_part"]).select(*keys, "_v", F.col("_a").alias("_lo"), F.col("_b").alias("_hi")).join(rest, own)
+        v = snapshot(v, "values") if not rest.isEmpty() else v.limit(0)
+        found = snapshot(found, "found")
+    found = snapshot(found, "found")
+    same = found.where("_lo = _hi").select(*keys, "rank", F.col("_lo").alias("x"))
+    sort = found.where("_lo < _hi")
+    w = Window.partitionBy(*own).orderBy("_v")
+    leaves = values.select(*keys, F.col(value).alias("_v")).join(sort.select(*own).distinct(), keys).where("_v >= _lo and _v <= _hi")
+    leaves = leaves.withColumn("_at", F.row_number().over(w) - 1)
+    picked = sort.join(leaves, own).where(F.col("rank") - F.col("_below") == F.col("_at")).select(*keys, "rank", F.col("_v").alias("x"))
+    return same.unionByName(picked)
+
+
+def bands_by_selection(curves: DataFrame, keys: list[str], leaf: int = ONE_TASK) -> DataFrame:
+    """bands for more curves than one buffer should hold: the same numbers, from order statistics on either side of each quantile."""
+    names = {"median_in": 0.5, "ci90_low_in": 0.05, "ci90_high_in": 0.95, "ci95_low_in": 0.025, "ci95_high_in": 0.975}
+    by = [*keys, "RP"]
+    sizes = snapshot(curves.groupBy(*by).agg(F.avg("depth_in").alias("mean_in"), F.count("depth_in").alias("_n")), "sizes")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in names.items())))
+    at = sizes.select(*by, "_n", each.alias("q")).select(*by, "q.name", ((F.col("_n") - 1) * F.col("q.p")).alias("h")).where("h >= 0")
+    at = at.select(*by, "name", F.floor("h").alias("low"), F.ceil("h").alias("high"), "h")
+    wanted = at.select(*by, F.explode(F.array("low", "high")).alias("rank")).distinct()
+    x = snapshot(order_statistics(curves, by, wanted, "depth_in", leaf), "order-statistics")
+    a, b = (x.withColumnsRenamed({"rank": r, "x": f"x_{r}"}) for r in ("low", "high"))
+    # blended as percentile does it
+    blend = (F.col("high") - F.col("h")) * F.col("x_low") + (F.col("h") - F.col("low")) * F.col("x_high")
+    q = at.join(a, [*by, "low"]).join(b, [*by, "high"]).withColumn("x", F.when(F.col("low") == F.col("high"), F.col("x_low")).otherwise(blend))
+    wide = q.groupBy(*by).agg(*(F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in names))
+    return sizes.join(wide, by, "left").select(*by, "mean_in", *names)
+
+
 def summarize(
     depths: DataFrame, keys: tuple = ("watershed", "scenario"), precip_col: str = "precip_avg_mm", exc_col: str = "exc_prb", realization_col: str = "realization",
-    k: float = 10.0, rp_min: int = 2, rp_max_cap: int = 2000, use_common_min: bool = True,
+    k: float = 10.0, rp_min: int = 2, rp_max_cap: int = 2000, use_common_min: bool = True, realizations: int = 0,
 ) -> DataFrame:
-    """Depths by return period for every group of keys at once. An empty input, or curves below rp_min, give no rows."""
+    """Depths by return period for every group of keys at once. An empty input, or curves below rp_min, give no rows.
+
+    realizations: how many curves a group has at most; above ONE_TASK their bands are selected instead of sorted.
+    """
     keys = [c for c in keys if c in depths.columns]
     grouped = depths if keys else depths.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     points = curve_points(grouped, by, k, precip_col, exc_col, realization_col)
     curves = interpolate(points, by, rp_min, top_period(points, by, rp_min, rp_max_cap, use_common_min))
-    out = bands(curves, by).where(F.coalesce("mean_in", "median_in").isNotNull())
+    out = (bands_by_selection if realizations > ONE_TASK else bands)(curves, by).where(F.coalesce("mean_in", "median_in").isNotNull())
     out = out.join(census(grouped, by, realization_col), by)
     return out.select(*keys, "RP", "mean_in", "median_in", "ci90_low_in", "ci90_high_in", "ci95_low_in", "ci95_high_in", "n_realizations", "n_samples_per_realization")
 

@@ -9,44 +9,45 @@ PLACE = ["watershed", "storm_path", "dy", "dx"]
 
 
 def mean_depths(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, zero_pad: bool = True) -> DataFrame:
-    """precip_avg_mm for each distinct (watershed, storm_path, dy, dx).
+    """precip_avg_mm for each distinct (watershed, storm_path, dy, dx), cell by cell of mask(watershed, grid_id, row, col).
 
-    Moving a storm by (dy, dx) puts its cell (r - dy, c - dx) on cell (r, c) of the watershed. A cell off the storm's grid is 0;
-    without zero_pad, one missing cell makes the mean missing.
+    Rows and columns are those of the storm's own grid, on which the mask was cut. Moving a storm by (dy, dx) puts its cell
+    (r - dy, c - dx) on cell (r, c) of the watershed. A cell off the storm's grid is 0; without zero_pad, one missing cell
+    makes the mean missing.
     """
-    wanted = shifts.select(*PLACE).distinct().join(mask, "watershed")
+    wanted = shifts.select(*PLACE, "grid_id").distinct().join(mask, ["watershed", "grid_id"])
     wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("col") - F.col("dx")).alias("col"))
     found = wanted.join(storm_cells.select("storm_path", "row", "col", "precip_mm"), ["storm_path", "row", "col"], "left")
     mean = F.sum(F.coalesce("precip_mm", F.lit(0.0))) / F.count("*") if zero_pad else F.when(F.count("precip_mm") == F.count("*"), F.avg("precip_mm"))
     return found.groupBy(*PLACE).agg(mean.alias("precip_avg_mm"))
 
 
-def mask_runs(mask: DataFrame) -> DataFrame:
-    """watershed, row, c0, c1: the mask as horizontal runs."""
-    run = F.col("col") - F.row_number().over(Window.partitionBy("watershed", "row").orderBy("col"))
-    return mask.withColumn("_run", run).groupBy("watershed", "row", "_run").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).drop("_run")
+def running_rows(storm_cells: DataFrame) -> DataFrame:
+    """storm_path, row, first, ps, seen: of each row of a storm, from its first cell on to its last, precipitation up to and with each column, and cells that have one."""
+    w = Window.partitionBy("storm_path", "row").orderBy("col")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    cells = storm_cells.select(
+        "storm_path", "row", "col", F.sum(F.coalesce("precip_mm", F.lit(0.0))).over(upto).alias("p"), F.count("precip_mm").over(upto).cast("int").alias("n"),
+        F.coalesce(F.lead("col").over(w) - F.col("col"), F.lit(1)).alias("wide"),
+    )
+    rows = cells.groupBy("storm_path", "row").agg(F.min("col").alias("first"), F.array_sort(F.collect_list(F.struct("col", "p", "n", "wide"))).alias("c"))
+    filled = (F.expr(f"flatten(transform(c, x -> array_repeat(x.{key}, x.wide)))").alias(name) for name, key in (("ps", "p"), ("seen", "n")))
+    return rows.select("storm_path", "row", "first", *filled)
 
 
-def running_rows(storm_cells: DataFrame, grid: DataFrame) -> DataFrame:
-    """storm_path, row, col, ps, seen: precipitation of the row up to and with col and its cells that have one, for every cell of the grid."""
-    dense = storm_cells.select("storm_path").distinct().crossJoin(F.broadcast(grid.select("row", "col")))  # the grid, once per storm
-    dense = dense.join(storm_cells.select("storm_path", "row", "col", "precip_mm"), ["storm_path", "row", "col"], "left")
-    order = Window.partitionBy("storm_path", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select("storm_path", "row", "col", F.sum(F.coalesce("precip_mm", F.lit(0.0))).over(order).alias("ps"), F.count("precip_mm").over(order).alias("seen"))
+def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_rows: DataFrame, zero_pad: bool = True) -> DataFrame:
+    """mean_depths by one lookup per run of mask(watershed, grid_id, row, c0, c1), in the running sums of the storm's row.
 
-
-def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, grid: DataFrame, cols: int, zero_pad: bool = True) -> DataFrame:
-    """mean_depths for large watersheds: two lookups per run of the mask instead of one per cell."""
-    ps = running_rows(storm_cells, grid)
-    size = mask.groupBy("watershed").agg(F.count("*").alias("cells"))
-    runs = mask_runs(mask)
-    ends = F.expr(f"array(named_struct('col', least(c1 - dx, {cols - 1}), 's', 1), named_struct('col', least(c0 - dx - 1, {cols - 1}), 's', -1))")
-    wanted = shifts.select(*PLACE).distinct().join(runs, "watershed").withColumn("e", F.explode(ends))
-    wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), F.col("e.col").alias("col"), F.col("e.s").alias("s"))
-    found = wanted.join(ps, ["storm_path", "row", "col"], "left")
-    total = found.groupBy(*PLACE).agg(F.sum(F.coalesce(F.col("s") * F.col("ps"), F.lit(0.0))).alias("total"), F.sum(F.coalesce(F.col("s") * F.col("seen"), F.lit(0))).alias("seen"))
+    shifts need the storm's grid_id. storm_rows is the side that stays in place if it is bucketed by storm and row.
+    """
+    wanted = shifts.select(*PLACE, "grid_id").distinct().join(mask, ["watershed", "grid_id"])
+    wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("c0") - F.col("dx") - 1).alias("_before"), (F.col("c1") - F.col("dx")).alias("_last"))
+    found = wanted.join(storm_rows, ["storm_path", "row"], "left")
+    upto = lambda name, at: F.expr(f"CASE WHEN {at} < first OR first IS NULL THEN 0 ELSE {name}[least({at} - first, size({name}) - 1)] END")
+    part = {name: upto(name, "_last") - upto(name, "_before") for name in ("ps", "seen")}
+    total = found.groupBy(*PLACE).agg(F.sum(part["ps"]).alias("total"), F.sum(part["seen"]).alias("seen"), F.sum(F.col("_last") - F.col("_before")).alias("cells"))
     mean = F.col("total") / F.col("cells")
-    return total.join(size, "watershed").select(*PLACE, (mean if zero_pad else F.when(F.col("seen") == F.col("cells"), mean)).alias("precip_avg_mm"))
+    return total.select(*PLACE, (mean if zero_pad else F.when(F.col("seen") == F.col("cells"), mean)).alias("precip_avg_mm"))
 
 
 def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), depth: str = "precip_avg_mm", weight: str = "weight", renormalize: bool = False) -> DataFrame:
@@ -66,9 +67,13 @@ def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "reali
 ONE_TASK = 5_000_000
 
 
-def exceedance_by_size(depths: DataFrame, events: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), renormalize: bool = False, **names) -> DataFrame:
-    """exceedance, or the same in buckets where a realization of events, which depths come from, has more than ONE_TASK rows."""
-    largest = events.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+def exceedance_by_size(depths: DataFrame, events: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), renormalize: bool = False, largest: int | None = None, **names) -> DataFrame:
+    """exceedance, or the same in buckets where a realization of events, which depths come from, has more than ONE_TASK rows.
+
+    largest: rows of the largest realization, where they are known; else they are counted.
+    """
+    if largest is None:
+        largest = events.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     if largest <= ONE_TASK:
         return exceedance(depths, keys, renormalize=renormalize, **names)
     weight = names.get("weight", "weight")

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormshift.operators.geometry import Grid, run_cells
+
 KEYS = ["watershed", "scenario"]
 RUN = 5_000
 
@@ -19,12 +21,13 @@ def hashed(seed: int) -> Callable[[int], Column]:
     return lambda stream: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "watershed", "scenario", "realization", "event_id", F.lit(stream)), 11) * F.lit(2.0**-53)
 
 
-def portable() -> Callable[[int], Column]:
+def portable(part: int = 0) -> Callable[[int], Column]:
     """Uniforms by two rounds of a Lehmer generator, in integer arithmetic that every SQL engine has; for checks.
 
-    Each watershed and scenario starts at a place of its own, by the first letters of their names.
+    Each watershed and scenario starts at a place of its own, by the first letters of their names, and so does each part of
+    a study that draws several times.
     """
-    at = "((realization - 1) * n + event_id - 1 + 1000003L * (131 * ascii(scenario) + ascii(watershed)))"
+    at = f"((realization - 1) * n + event_id - 1 + {50_000_017 * part}L + 1000003L * (131 * ascii(scenario) + ascii(watershed)))"
     draws = {1: (48271, 82166, 16807), 2: (69621, 95028, 39373)}
 
     def stream(k: int) -> Column:
@@ -58,15 +61,15 @@ def drawable_storms(valid: DataFrame, centers: DataFrame) -> DataFrame:
     return live.select("watershed", "storm_path", "x", "y", (F.row_number().over(w.orderBy("storm_path")) - 1).cast("int").alias("index"), F.count("*").over(w).alias("storms"))
 
 
-def weigh_cells(valid: DataFrame, density: DataFrame) -> DataFrame:
-    """Valid cells of each scenario with q, the running mass (lo, hi] and mass of their storm, its count, and rank."""
-    cells = valid.join(density.select(*KEYS, "row", "col", "q"), ["watershed", "row", "col"])
+def weigh_cells(valid: DataFrame, density: DataFrame, grid: Grid) -> DataFrame:
+    """Cells of valid runs for each scenario, with the densities, the running mass (lo, hi] and mass of their storm, its count, and rank."""
+    cells = grid.placed(run_cells(valid, "watershed", "storm_path", "c0", "before", "count"))
+    cells = cells.withColumn("rank", F.col("before") + F.col("col") - F.col("c0")).drop("c0", "before")
+    cells = cells.join(density, ["watershed", "row", "col"])
     w = Window.partitionBy(*KEYS, "storm_path")
     order = w.orderBy("row", "col")
-    upto = F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    cells = cells.withColumns({"hi": upto, "rank": F.row_number().over(order) - 1})
-    cells = cells.withColumns({"lo": F.coalesce(F.lag("hi").over(order), F.lit(0.0)), "mass": F.max("hi").over(w), "count": F.count("*").over(w)})
-    return cells
+    cells = cells.withColumn("hi", F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return cells.withColumns({"lo": F.coalesce(F.lag("hi").over(order), F.lit(0.0)), "mass": F.max("hi").over(w)})
 
 
 def draw_storms(events: DataFrame, storms: DataFrame, u: Column) -> DataFrame:
@@ -76,12 +79,21 @@ def draw_storms(events: DataFrame, storms: DataFrame, u: Column) -> DataFrame:
     return e.drop("storms").join(storms.drop("storms"), ["watershed", "index"]).drop("index")
 
 
-def draw_uniform_cells(events: DataFrame, weighed: DataFrame, u: Column) -> DataFrame:
-    """The floor(u count)-th valid cell of the event's storm."""
-    counts = weighed.groupBy(*KEYS, "storm_path").agg(F.first("count").alias("_count"))
-    cells = weighed.select(*KEYS, "storm_path", F.col("rank").cast("long").alias("_rank"), F.col("x").alias("newx"), F.col("y").alias("newy"), "q", "mass", "count")
-    e = events.join(counts, [*KEYS, "storm_path"]).withColumn("_rank", F.floor(u * F.col("_count"))).drop("_count")
-    return e.join(cells, [*KEYS, "storm_path", "_rank"]).drop("_rank")
+def draw_uniform_cells(events: DataFrame, valid: DataFrame, u: Column, grid: Grid) -> DataFrame:
+    """The floor(u count)-th valid cell of the event's storm, found in its runs by their counts.
+
+    A storm's ranks are cut into as many equal buckets as it has runs; a run lies under the buckets that it reaches into, twice as
+    many rows as runs at most, and an event meets the few runs of its bucket.
+    """
+    sizes = valid.groupBy("watershed", "storm_path").agg(F.first("count").alias("count"), F.count("*").alias("_runs"))
+    bucket = lambda k: f"({k}) * _runs div count"
+    runs = valid.select("watershed", "storm_path", "row", "c0", "before", (F.col("c1") - F.col("c0") + 1).alias("_size")).join(sizes, ["watershed", "storm_path"])
+    runs = runs.withColumn("_bucket", F.explode(F.expr(f"sequence({bucket('before')}, {bucket('before + _size - 1')})"))).drop("_runs", "count")
+    e = events.join(sizes, ["watershed", "storm_path"]).withColumn("_k", F.floor(u * F.col("count"))).withColumn("_bucket", F.expr(bucket("_k")))
+    e = e.join(runs, ["watershed", "storm_path", "_bucket"]).where("before <= _k and _k < before + _size")
+    e = e.withColumn("col", F.expr("CAST(c0 + _k - before AS INT)"))
+    e = grid.placed(e.withColumnsRenamed({"x": "_x", "y": "_y"})).withColumnsRenamed({"x": "newx", "y": "newy", "_x": "x", "_y": "y"})
+    return e.withColumns({"q": F.lit(1.0), "mass": F.col("count").cast("double")}).drop("_k", "_bucket", "_runs", "_size", "before", "c0", "row", "col")
 
 
 def guide_table(weighed: DataFrame) -> DataFrame:
@@ -95,7 +107,8 @@ def draw_weighted_cells(events: DataFrame, weighed: DataFrame, u: Column) -> Dat
     masses = weighed.groupBy(*KEYS, "storm_path").agg(F.first("mass").alias("mass"), F.first("count").alias("count"))
     e = events.join(masses, [*KEYS, "storm_path"]).withColumn("_t", u * F.col("mass"))
     e = e.withColumn("_bucket", F.expr("CAST(least(floor(_t / mass * count), count - 1) AS LONG)"))
-    cells = guide_table(weighed).select(*KEYS, "storm_path", "_bucket", "lo", "hi", F.col("x").alias("newx"), F.col("y").alias("newy"), "q")
+    own = [c for c in ("q_narrow", "q_wide") if c in weighed.columns]
+    cells = guide_table(weighed).select(*KEYS, "storm_path", "_bucket", "lo", "hi", F.col("x").alias("newx"), F.col("y").alias("newy"), "row", "col", "q", *own)
     return e.join(cells, [*KEYS, "storm_path", "_bucket"]).where("lo <= _t and _t < hi").drop("_bucket", "_t", "lo", "hi")
 
 
@@ -111,7 +124,9 @@ def with_weights(events: DataFrame, fallback: bool = False) -> DataFrame:
     return e.join(sums, [*KEYS, "realization"]).withColumn("weight", F.when(ok, F.expr("try_divide(weight_raw, _sum)")).otherwise(even)).drop("_sum", "_n")
 
 
-def with_shifts(events: DataFrame, cell: float) -> DataFrame:
-    """delx, dely and the same in whole cells, half to even."""
-    e = events.withColumns({"delx": F.col("newx") - F.col("x"), "dely": F.col("newy") - F.col("y")})
-    return e.withColumns({"dx": F.rint(F.col("delx") / cell).cast("int"), "dy": F.rint(F.col("dely") / cell).cast("int")})
+def with_shifts(events: DataFrame, storms: DataFrame) -> DataFrame:
+    """Events with grid_id and the shift of their storm in whole cells of its grid, half to even. storms(storm_path, x, y, grid_id, cell_size)."""
+    at = storms.select("storm_path", "grid_id", "cell_size", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    e = events.join(at, "storm_path")
+    shift = lambda to, of: F.rint((F.col(to) - F.col(of)) / F.col("cell_size")).cast("int")
+    return e.withColumns({"dx": shift("newx", "_x"), "dy": shift("newy", "_y")}).drop("_x", "_y", "cell_size")

@@ -9,10 +9,25 @@ from stormshift.functions.scalars import center
 
 
 def cumulative(cells: DataFrame) -> DataFrame:
-    """Total of all records per storm and cell, missing as 0, with the cell's centre. Sums are partial before the shuffle."""
-    total = cells.groupBy("storm_path", "row", "col").agg(F.coalesce(F.sum(F.col("value").cast("double")), F.lit(0.0)).alias("precip_mm"), *(F.first(c).alias(c) for c in ("ll_x", "ll_y", "cell_size")))
+    """Total of all records per storm and cell, missing as 0, with the cell's centre and grid. Sums are partial before the shuffle."""
+    grid = ("ll_x", "ll_y", "cell_size")
+    total = cells.groupBy("storm_path", "row", "col", *grid).agg(F.coalesce(F.sum(F.col("value").cast("double")), F.lit(0.0)).alias("precip_mm"))
     x, y = F.expr(center("ll_x", "col", "cell_size")), F.expr(center("ll_y", "row", "cell_size"))
-    return total.select("storm_path", "row", "col", x.alias("x"), y.alias("y"), "precip_mm")
+    return total.select("storm_path", "row", "col", x.alias("x"), y.alias("y"), "precip_mm", F.col("ll_x").alias("x0"), F.col("ll_y").alias("y0"), "cell_size")
+
+
+def storm_grids(storm_cells: DataFrame) -> DataFrame:
+    """storm_path, grid_id, x0, y0, cell_size, rows, cols: the grid of each storm. Storms of one origin and cell share a grid, as large as the largest of them.
+
+    A storm whose records lie on several grids is an error.
+    """
+    own = ["x0", "y0", "cell_size"]
+    each = storm_cells.groupBy("storm_path", *own).agg(F.max("row").alias("_row"), F.max("col").alias("_col"))
+    mixed = each.groupBy("storm_path").count().where("count > 1").limit(5).collect()
+    if mixed:
+        raise ValueError(f"storms on more than one grid: {', '.join(r[0] for r in mixed)}")
+    size = each.groupBy(*own).agg((F.max("_row") + 1).alias("rows"), (F.max("_col") + 1).alias("cols"))
+    return each.select("storm_path", *own).join(size, own).select("storm_path", F.concat_ws(":", *own).alias("grid_id"), *own, "rows", "cols")
 
 
 def storm_centers(storm_cells: DataFrame) -> DataFrame:
@@ -29,10 +44,12 @@ def require_unique_storms(centers: DataFrame) -> DataFrame:
     return centers
 
 
-def same_grid(storm_cells: DataFrame) -> bool:
-    """Whether all storms cover one grid."""
-    per_storm = storm_cells.groupBy("storm_path").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)), F.count("*").alias("n"))
-    return per_storm.drop("storm_path").distinct().count() <= 1
+def require_one_grid(storm_cells: DataFrame) -> DataFrame:
+    """storm_cells, if all its storms cover one and the same set of axes; else an error."""
+    per_storm = storm_cells.groupBy("storm_path").agg(*(F.sort_array(F.collect_set(c)).alias(c) for c in "xy"))  # axes: rows and columns of a grid
+    if len(per_storm.select("x", "y").distinct().take(2)) > 1:
+        raise ValueError("the storms' axes differ")
+    return storm_cells
 
 
 def normalized(storm_cells: DataFrame, storm_column: str = "storm_path") -> DataFrame:
@@ -43,9 +60,9 @@ def normalized(storm_cells: DataFrame, storm_column: str = "storm_path") -> Data
     return storm_cells.select(F.col(storm_column).cast("string").alias("storm_path"), *need[1:])
 
 
-def stack(*storms: DataFrame) -> DataFrame:
-    """Cells of several storms or sets of storms, one below another."""
+def stack(*storms: DataFrame, any_grid: bool = False) -> DataFrame:
+    """Cells of several storms or sets of storms, one below another. Their axes must be equal, unless any_grid."""
     first, *rest = storms
     for df in rest:
         first = first.unionByName(df, allowMissingColumns=True)
-    return first
+    return first if any_grid else require_one_grid(first)

@@ -1,11 +1,19 @@
-"""Polygons as tables: statistics, point tests, boundaries, and where a watershed may stand."""
+"""Polygons as tables: statistics, boundaries, and sets of grid cells as runs.
+
+A set of cells is kept as runs (row, c0, c1) of one grid row each: outlines become runs by scanlines, sets are shifted, met
+and counted as intervals, and work grows with edges and runs, not with cells. Cell (row, col) of a grid
+has its centre at x0 + (col + 1/2) cell_size, y0 + (row + 1/2) cell_size; many grids are a table with Grid's names.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormshift.functions.scalars import center
+from stormshift.functions.text import num
 
 
 def edges(vertices: DataFrame) -> DataFrame:
@@ -31,32 +39,84 @@ def layer_stats(vertices: DataFrame) -> DataFrame:
     return out.select("layer", "minx", "miny", "maxx", "maxy", x.alias("x"), y.alias("y"), (F.col("maxx") - F.col("minx")).alias("range_x"), (F.col("maxy") - F.col("miny")).alias("range_y"))
 
 
-def edge_arrays(vertices: DataFrame) -> DataFrame:
-    """layer, edges array<struct<x1, y1, x2, y2>>, bounds: a row per layer, for a broadcast of a few outlines."""
-    return edges(vertices).groupBy("layer").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"), F.min(F.least("x1", "x2")).alias("minx"), F.max(F.greatest("x1", "x2")).alias("maxx"), F.min(F.least("y1", "y2")).alias("miny"), F.max(F.greatest("y1", "y2")).alias("maxy")
-    )
+@dataclass(frozen=True)
+class Grid:
+    """One grid as numbers; `on` puts them beside every row, so that no join is needed."""
+
+    x0: float
+    y0: float
+    cell_size: float
+    rows: int
+    cols: int
+    grid_id: str = "master"
+
+    @classmethod
+    def over(cls, minx: float, miny: float, maxx: float, maxy: float, cell: float) -> Grid:
+        """All cells that cover the bounds, from their lower left corner."""
+        return cls(float(minx), float(miny), float(cell), _ceil((maxy - miny) / cell), _ceil((maxx - minx) / cell))
+
+    def on(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({k: F.lit(v) for k, v in vars(self).items()})
+
+    def frame(self, spark) -> DataFrame:
+        return self.on(spark.range(1)).drop("id")
 
+    def cells(self, spark) -> DataFrame:
+        """row, col, x, y of all cells."""
+        i = spark.range(self.rows * self.cols).select(F.expr(f"CAST(id div {self.cols} AS INT)").alias("row"), F.expr(f"CAST(id % {self.cols} AS INT)").alias("col"))
+        return self.placed(i)
 
-def inside(px: Column, py: Column, outline: str = "edges") -> Column:
-    """Crossing parity against an array of edges."""
+    def placed(self, cells: DataFrame) -> DataFrame:
+        """cells(row, col, ...) with x and y."""
+        return cells.withColumns({"x": F.expr(center(num(self.x0), "col", num(self.cell_size))), "y": F.expr(center(num(self.y0), "row", num(self.cell_size)))})
 
-    def crosses(e: Column) -> Column:
-        at = F.try_divide((e["x2"] - e["x1"]) * (py - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-        return ((e["y1"] > py) != (e["y2"] > py)) & (px < at)
 
-    return F.aggregate(outline, F.lit(False), lambda a, e: F.when(crosses(e), ~a).otherwise(a))
+def on_grids(df: DataFrame, grids: Grid | DataFrame) -> DataFrame:
+    return grids.on(df) if isinstance(grids, Grid) else df.crossJoin(grids)
 
 
-def cells_in_layers(cells: DataFrame, vertices: DataFrame) -> DataFrame:
-    """layer joined with every cell whose centre lies in it. Few, checked outlines; see `points_in_layers` for many."""
-    outlines = F.broadcast(edge_arrays(vertices))
-    box = (F.col("x") >= F.col("minx")) & (F.col("x") <= F.col("maxx")) & (F.col("y") >= F.col("miny")) & (F.col("y") <= F.col("maxy"))
-    return cells.join(outlines, box).where(inside(F.col("x"), F.col("y"))).select("layer", *cells.columns)
+def first_center(bound: str, origin: str = "x0", cell: str = "cell_size", moved: str = "") -> str:
+    """SQL: index of the first cell whose centre (and `moved`, if given) is not below bound. The comparison is that of the points themselves."""
+    at = lambda i: f"({center(origin, i, cell)}{moved})"
+    guess = f"CAST(ceil(({bound} - ({origin}{moved})) / {cell} - 5e-1) AS INT)"
+    return f"CASE WHEN {at(f'({guess} - 1)')} >= {bound} THEN {guess} - 1 WHEN {at(guess)} < {bound} THEN {guess} + 1 ELSE {guess} END"
+
+
+def _between_crossings(crossings: DataFrame, keys: list[str], moved: str = "") -> DataFrame:
+    """crossings(keys, row, at, x0, cell_size, cols): of each scanline the columns between its odd crossings and the next, as keys, row, c0, c1."""
+    w = Window.partitionBy(*keys, "row").orderBy("at")
+    spans = crossings.select("*", F.row_number().over(w).alias("_k"), F.lead("at").over(w).alias("_next")).where("_k % 2 = 1 and _next is not null")
+    spans = spans.select("*", F.expr(first_center("at", moved=moved)).alias("_a"), F.expr(first_center("_next", moved=moved)).alias("_b"))
+    spans = spans.select(*keys, "row", F.greatest(F.lit(0), F.col("_a")).alias("c0"), F.least(F.col("cols"), F.col("_b")).alias("_end"))
+    return spans.select(*keys, "row", "c0", (F.col("_end") - 1).alias("c1")).where("c0 <= c1")
+
+
+def layer_runs(vertices: DataFrame, grids: Grid | DataFrame) -> DataFrame:
+    """layer, grid_id, row, c0, c1: the cells of each grid whose centre lies in the layer (parity of crossings).
+
+    An edge meets only the rows that it crosses. Every layer is looked up on every grid, which is what is asked for.
+    """
+    e = on_grids(edges(vertices), grids)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first, last = (F.floor((y - F.col("y0")) / F.col("cell_size") - 0.5 + d).cast("int") for y, d in ((low, 0.0), (high, 1.0)))
+    e = e.withColumns({"_first": F.greatest(F.lit(0), first), "_last": F.least(F.col("rows") - 1, last)}).where("_first <= _last")
+    e = e.withColumn("row", F.explode(F.expr("sequence(_first, _last)"))).withColumn("y", F.expr(center("y0", "row", "cell_size")))
+    e = e.where("(y1 > y) != (y2 > y)").withColumn("at", F.expr("(x2 - x1) * (y - y1) / (y2 - y1) + x1"))
+    return _between_crossings(e, ["layer", "grid_id"])
+
+
+def run_cells(runs: DataFrame, *names: str) -> DataFrame:
+    """A row per cell of runs(names, row, c0, c1): names, row, col."""
+    return runs.select(*names, "row", F.explode(F.expr("sequence(c0, c1)")).alias("col"))
+
+
+def cells_in_layers(grid: Grid, vertices: DataFrame) -> DataFrame:
+    """layer, row, col, x, y of the cells in each layer."""
+    return grid.placed(run_cells(layer_runs(vertices, grid), "layer"))
 
 
 def points_in_layers(cells: DataFrame, vertices: DataFrame, y0: float, cell: float) -> DataFrame:
-    """The same by a join on grid rows, for many or detailed outlines: edges meet only the cells of rows that they cross."""
+    """The same for cells(row, y, x, ...) of any kind, point by point: a join on grid rows, in which edges meet only the cells of rows that they cross."""
     e = edges(vertices)
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     band = F.sequence(F.floor((low - y0) / cell).cast("int"), F.floor((high - y0) / cell).cast("int"))
@@ -66,6 +126,15 @@ def points_in_layers(cells: DataFrame, vertices: DataFrame, y0: float, cell: flo
     return hit.groupBy("layer", *cells.columns).agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
 
 
+def depth_of_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, row, c0, c1, depth: disjoint runs and how many of the given ones lie over them, by a sweep over their ends."""
+    ends = runs.select(*keys, "row", F.explode(F.array(F.struct(F.col("c0").alias("at"), F.lit(1).alias("d")), F.struct((F.col("c1") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    ends = ends.groupBy(*keys, "row", F.col("e.at").alias("c0")).agg(F.sum("e.d").alias("_d"))  # no more than columns in a row, however many runs
+    w = Window.partitionBy(*keys, "row").orderBy("c0")
+    swept = ends.select(*keys, "row", "c0", (F.lead("c0").over(w) - 1).alias("c1"), F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    return swept.where("depth > 0")
+
+
 def densify(vertices: DataFrame, longest: float) -> DataFrame:
     """Boundary points at most `longest` apart; vertices alone if it is not positive. The closing point stays."""
     e = edges(vertices)
@@ -85,14 +154,6 @@ def boundary_offsets(vertices: DataFrame, stats: DataFrame, longest: float) -> D
     return keyed.groupBy("layer", "kx", "ky").agg(F.min(F.struct("dx", "dy")).alias("d")).select("layer", "d.dx", "d.dy")
 
 
-def master_grid(spark, minx: float, miny: float, maxx: float, maxy: float, cell: float) -> DataFrame:
-    """row, col, x, y of all cells that cover the bounds, from their lower left corner."""
-    rows, cols = _ceil((maxy - miny) / cell), _ceil((maxx - minx) / cell)
-    i = spark.range(rows * cols).select((F.expr(f"id div {cols}")).cast("int").alias("row"), F.pmod("id", F.lit(cols)).cast("int").alias("col"))
-    x, y = F.expr(center(f"{float(minx)!r}", "col", f"{float(cell)!r}")), F.expr(center(f"{float(miny)!r}", "row", f"{float(cell)!r}"))
-    return i.select("row", "col", x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-
 def _ceil(x: float) -> int:
     return max(1, int(-(-x // 1)))
 
@@ -105,31 +166,55 @@ def from_flat_index(index: Column, cols: int) -> tuple[Column, Column]:
     return F.floor(index / cols).cast("int"), F.pmod(index, F.lit(cols)).cast("int")
 
 
-def standing_cells(cells: DataFrame, offsets: DataFrame, domain: DataFrame) -> DataFrame:
-    """watershed and the cells on which its centroid may stand: all its boundary points, moved along, lie in the domain.
+def standing_runs(domain: DataFrame, offsets: DataFrame, grid: Grid) -> DataFrame:
+    """watershed, row, c0, c1: cells on which its centroid may stand: all its boundary points, moved along, lie in the domain.
 
-    The work is cells x boundary points x edges of the domain, all in one narrow stage: both small sides are one row per layer.
+    A boundary point (dx, dy) allows, in each grid row, the cells under the domain's scanline at that row's y + dy, moved by -dx.
+    Cells that all points allow are the standing ones, found by counting runs. Points and edges meet by bands of one
+    cell's height, so the work is points x rows x the edges of a band.
     """
-    shapes = offsets.groupBy(F.col("layer").alias("watershed")).agg(F.collect_list(F.struct("dx", "dy")).alias("points"))
-    reach = offsets.groupBy(F.col("layer").alias("watershed")).agg(*(f(c).alias(f"{n}{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("dx", "dy")))
-    outline = edge_arrays(domain)
-    tested = cells.crossJoin(F.broadcast(shapes.join(reach, "watershed"))).crossJoin(F.broadcast(outline))  # a row per watershed, and one row
-    box = (F.col("x") + F.col("lodx") >= F.col("minx")) & (F.col("x") + F.col("hidx") <= F.col("maxx")) & (F.col("y") + F.col("lody") >= F.col("miny")) & (F.col("y") + F.col("hidy") <= F.col("maxy"))
-    tested = tested.where(box)  # most cells fall here, before any outline is walked
-    ok = F.forall("points", lambda p: inside(F.col("x") + p["dx"], F.col("y") + p["dy"]))
-    return tested.where(ok).select("watershed", *cells.columns)
-
-
-def valid_cells(domain_cells: DataFrame, region: DataFrame, centers: DataFrame, stats: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
-    """watershed, storm_path and the cells P to which the storm's centre may be moved.
+    e = grid.on(edges(domain))
+    band = lambda y: F.floor((y - F.col("y0")) / F.col("cell_size")).cast("int")
+    e = e.select("x1", "y1", "x2", "y2", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("band"))
+    p = offsets.select(F.col("layer").alias("watershed"), "dx", "dy")
+    p = grid.on(p)
+    p = p.withColumn("row", F.explode(F.expr("sequence(0, rows - 1)")))
+    p = p.withColumn("y", F.expr(f"{center('y0', 'row', 'cell_size')} + dy")).withColumn("band", band(F.col("y")))
+    hit = p.join(e, "band").where("(y1 > y) != (y2 > y)").withColumn("at", F.expr("(x2 - x1) * (y - y1) / (y2 - y1) + x1"))
+    allowed = _between_crossings(hit, ["watershed", "dx", "dy"], " + dx")
+    need = offsets.groupBy(F.col("layer").alias("watershed")).agg(F.count("*").alias("need"))
+    deep = depth_of_runs(allowed, ["watershed"]).join(need, "watershed").where("depth = need")
+    return deep.select("watershed", "row", "c0", "c1")
+
+
+def valid_runs(domain_runs: DataFrame, region: DataFrame, centers: DataFrame, stats: DataFrame, grid: Grid) -> DataFrame:
+    """watershed, storm_path, row, c0, c1, before, count: the cells P to which the storm's centre may be moved, as runs.
 
     Moving centre C to P moves the watershed's centroid c, seen from the storm, to c + C - P: its nearest cell must be one where
-    the watershed may stand, and P a cell of the domain.
+    the watershed may stand, and P a cell of the domain. So a run of standing cells is turned round and shifted as a whole,
+    once for each storm, and met with the domain's runs of that row. before: cells of earlier runs in order of (row, c0);
+    count: cells of the storm.
     """
     places = stats.select(F.col("layer").alias("watershed"), F.col("x").alias("cx"), F.col("y").alias("cy"))
-    pairs = F.broadcast(centers.select("storm_path", F.col("x").alias("sx"), F.col("y").alias("sy")))
-    p = domain_cells.crossJoin(pairs).crossJoin(F.broadcast(places))  # storms and watersheds: the study's own lists
-    to = lambda c, d, o: F.rint((F.col(c) + F.col(d) - F.col(d[1:])) / cell - F.lit(o / cell + 0.5)).cast("int")
-    p = p.withColumns({"to_row": to("cy", "sy", y0), "to_col": to("cx", "sx", x0)})
-    allowed = region.select("watershed", F.col("row").alias("to_row"), F.col("col").alias("to_col"))
-    return p.join(allowed, ["watershed", "to_row", "to_col"], "left_semi").select("watershed", "storm_path", "row", "col", "x", "y")
+    pairs = centers.select("storm_path", F.col("x").alias("sx"), F.col("y").alias("sy")).crossJoin(places)  # every storm for every watershed: the question itself
+    to = lambda i, c, s, o: f"CAST(rint(({c} + {s} - {center(o, i, 'cell_size')}) / cell_size - ({o} / cell_size + 5e-1)) AS INT)"
+    p = grid.on(region.select("watershed", F.col("row").alias("r"), F.col("c0").alias("r0"), F.col("c1").alias("r1")).join(pairs, "watershed"))
+    near = "CAST(rint((cy + sy - 2e0 * y0) / cell_size - 1e0) AS INT) - r"
+    p = p.withColumn("row", F.explode(F.expr(f"filter(sequence({near} - 2, {near} + 2), row -> row >= 0 AND row < rows AND {to('row', 'cy', 'sy', 'y0')} = r)")))
+    middle = "CAST(rint((cx + sx - 2e0 * x0) / cell_size - 1e0) AS INT)"
+    col = lambda i: to(f"({i})", "cx", "sx", "x0")
+    # the column's image falls as the column rises: ends are guessed and set right within two cells, by the image itself
+    least = f"array_min(filter(sequence({middle} - r1 - 2, {middle} - r1 + 2), i -> {col('i')} <= r1))"
+    most = f"array_max(filter(sequence({middle} - r0 - 2, {middle} - r0 + 2), i -> {col('i')} >= r0))"
+    p = p.select("watershed", "storm_path", "row", F.expr(least).alias("a"), F.expr(most).alias("b")).where("a <= b")
+    met = p.join(domain_runs.select("row", "c0", "c1"), "row")
+    met = met.select("watershed", "storm_path", "row", F.greatest("a", "c0").alias("c0"), F.least("b", "c1").alias("c1")).where("c0 <= c1")
+    return numbered_runs(met, ["watershed", "storm_path"])
+
+
+def numbered_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """runs with before, the cells of earlier runs of the group, and count, all its cells."""
+    w = Window.partitionBy(*keys)
+    size = (F.col("c1") - F.col("c0") + 1).cast("long")
+    before = F.coalesce(F.sum(size).over(w.orderBy("row", "c0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return runs.select(*keys, "row", "c0", "c1", before.alias("before"), F.sum(size).over(w).alias("count"))

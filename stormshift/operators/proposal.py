@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormshift.functions.normal import copula, truncated
+from stormshift.functions.normal import CLIP, copula, truncated
+from stormshift.functions.scalars import center
+from stormshift.functions.text import num
+from stormshift.operators.geometry import Grid
 
 FLOOR = 1e-300
 COMPONENTS = "watershed string, scenario string, component string, share double, family string, mu_x double, sd_x double, mu_y double, sd_y double, rho double"
@@ -65,32 +68,32 @@ class Proposal:
         return [("only", 1.0, self.family, *p.values())]
 
 
-def components(spark: SparkSession, proposals: dict[str, Proposal], stats: DataFrame) -> DataFrame:
+def components(proposals: dict[str, Proposal], stats: DataFrame) -> DataFrame:
     """COMPONENTS for all scenarios and all watersheds of stats (layer, x, y)."""
+    names = ("scenario", "component", "share", "family", "mu_x", "sd_x", "mu_y", "sd_y", "rho")
+    kinds = dict(c.split() for c in COMPONENTS.split(", "))
     rows = [(s, *c) for s, p in proposals.items() for c in p.components()]
-    t = spark.createDataFrame(rows, "scenario string, component string, share double, family string, mu_x double, sd_x double, mu_y double, sd_y double, rho double")
-    t = F.broadcast(t).crossJoin(stats.select(F.col("layer").alias("watershed"), "x", "y"))  # scenarios x watersheds: the study's own lists
+    each = F.array(*(F.struct(*(F.lit(v).cast(kinds[n]).alias(n) for n, v in zip(names, row))) for row in rows))
+    t = stats.select(F.col("layer").alias("watershed"), "x", "y", F.explode(each).alias("c")).select("watershed", "x", "y", "c.*")
     need = F.col("family").isin("gaussian", "copula")
     t = t.withColumns({f"mu_{c}": F.when(need, F.coalesce(f"mu_{c}", c)) for c in "xy"})
     return t.select("watershed", "scenario", "component", "share", "family", "mu_x", "sd_x", "mu_y", "sd_y", "rho")
 
 
-def axis_scores(component_rows: DataFrame, cells: DataFrame, axis: str) -> DataFrame:
+def axis_scores(component_rows: DataFrame, grid: Grid, axis: str, clip: float = CLIP) -> DataFrame:
     """watershed, scenario, component, row or col, density f and latent score s along one axis; bounds are the first and last centre."""
-    i = {"x": "col", "y": "row"}[axis]
-    values = cells.groupBy(i).agg(F.first(axis).alias("v"))
-    ends = cells.agg(F.min(axis).alias("lo"), F.max(axis).alias("hi"))
+    i, n, origin = {"x": ("col", grid.cols, grid.x0), "y": ("row", grid.rows, grid.y0)}[axis]
+    at = lambda k: F.expr(center(num(origin), k, num(grid.cell_size)))
     t = component_rows.where(F.col("family").isin("gaussian", "copula")).select("watershed", "scenario", "component", F.col(f"mu_{axis}").alias("mu"), F.col(f"sd_{axis}").alias("sd"))
-    t = t.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(values))  # rows or columns of the grid
-    t = truncated(t)
-    return t.select("watershed", "scenario", "component", i, F.col("f").alias(f"f{axis}"), F.col("s").alias(f"s{axis}"))
+    t = t.withColumn(i, F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"v": at(i), "lo": at("0"), "hi": at(str(n - 1))})
+    return truncated(t, clip).select("watershed", "scenario", "component", i, F.col("f").alias(f"f{axis}"), F.col("s").alias(f"s{axis}"))
 
 
-def densities(cells: DataFrame, component_rows: DataFrame, floor: float = FLOOR, custom: dict[str, Proposal] | None = None) -> DataFrame:
-    """watershed, scenario, row, col, q, q_narrow, q_wide for every grid cell (row, col, x, y)."""
+def densities(places: DataFrame, component_rows: DataFrame, grid: Grid, floor: float = FLOOR, custom: dict[str, Proposal] | None = None) -> DataFrame:
+    """watershed, scenario, row, col, q, q_narrow, q_wide for places(watershed, row, col): the cells that are asked for, not the grid."""
     keys = ["watershed", "scenario", "component"]
-    fx, fy = (axis_scores(component_rows, cells, a) for a in "xy")
-    t = cells.crossJoin(F.broadcast(component_rows))
+    fx, fy = (axis_scores(component_rows, grid, a) for a in "xy")
+    t = grid.placed(places.select("watershed", "row", "col")).join(component_rows, "watershed")
     t = t.join(fx, [*keys, "col"], "left").join(fy, [*keys, "row"], "left")
     own = F.when(F.col("family") == "uniform", F.lit(1.0))
     own = own.when(F.col("family") == "gaussian", F.greatest("fx", F.lit(floor)) * F.greatest("fy", F.lit(floor)))

@@ -13,13 +13,12 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from stormshift.functions.normal import truncated
 from stormshift.functions.scalars import responsibility, reward
 from stormshift.functions.text import num
 from stormshift.operators import depth as depth_
 from stormshift.operators import draw, proposal
-from stormshift.plans.study import SAMPLES, evaluate_depths, sample_with, sampling_plan
-from stormshift.sources.store import Catalog, snapshot
+from stormshift.plans.study import SAMPLES, evaluate_depths, placed, sample_with, sampling_plan
+from stormshift.sources.store import Catalog, scratch, snapshot
 
 KEYS = draw.KEYS
 #: Fixed value: the clip of latent scores in the correlation step.
@@ -58,25 +57,47 @@ class Adaptation:
 HISTORY = "watershed string, scenario string, iter int, n long, updated int, mix double, mu_x_n double, mu_y_n double, sd_x_n double, sd_y_n double, rho_n double, beta_hat_reward double"
 
 
+class DepthMemo:
+    """Depths that earlier iterations evaluated, as a written table by PLACE; only shifts that are not in it are evaluated.
+
+    evaluated: shifts evaluated in each call.
+    """
+
+    def __init__(self, catalog: Catalog):
+        self.catalog, self.evaluated = catalog, []
+        self.path = scratch(catalog.grid_meta.sparkSession, "depth-memo")
+
+    def depths(self, shifts: DataFrame) -> DataFrame:
+        """PLACE, precip_avg_mm for the distinct shifts(PLACE, grid_id) and those of earlier calls."""
+        spark, schema = shifts.sparkSession, "watershed string, storm_path string, dy int, dx int, precip_avg_mm double"
+        fresh = shifts.select(*depth_.PLACE, "grid_id").distinct()
+        if self.evaluated:
+            fresh = fresh.join(spark.read.schema(schema).parquet(f"{self.path}/*"), depth_.PLACE, "left_anti")
+        part = f"{self.path}/{len(self.evaluated)}"
+        depth_.mean_depths_by_runs(fresh, self.catalog.watershed_mask, self.catalog.storm_rows).write.parquet(part)
+        self.evaluated.append(spark.read.schema(schema).parquet(part).count())
+        return spark.read.schema(schema).parquet(f"{self.path}/*")
+
+
 class AdaptedProposals:
     """State per (watershed, scenario), the history of the iterations, and draws from the final mixtures."""
 
-    def __init__(self, catalog: Catalog, states: dict[tuple[str, str], Adaptation], cell: float):
-        self.catalog, self.cell = catalog, cell
+    def __init__(self, catalog: Catalog, states: dict[tuple[str, str], Adaptation]):
+        self.catalog, self.memo = catalog, DepthMemo(catalog)
         centers = {r.layer: (r.x, r.y) for r in catalog.layer_stats.collect()}  # a row per layer
 
-        def placed(key: tuple[str, str], s: Adaptation) -> Adaptation:
+        def centred(key: tuple[str, str], s: Adaptation) -> Adaptation:
             if key[0] not in centers:
                 raise ValueError(f"no centre for {key[0]}")
             x, y = centers[key[0]]
             return replace(s, **{f"mu_{a}_{c}": v if getattr(s, f"mu_{a}_{c}") is None else getattr(s, f"mu_{a}_{c}") for a, v in (("x", x), ("y", y)) for c in "nw"})
 
-        self.states = {k: placed(k, s) for k, s in states.items()}
+        self.states = {k: centred(k, s) for k, s in states.items()}
         self.rows: list[tuple] = []
 
     @property
     def spark(self):
-        return self.catalog.valid_cells.sparkSession
+        return self.catalog.grid_meta.sparkSession
 
     def components(self) -> DataFrame:
         rows = [(*k, *c) for k, s in self.states.items() for c in s.components()]
@@ -93,12 +114,13 @@ class AdaptedProposals:
         for k, s in self.states.items():
             self.rows.append((*k, i, n, int(updated.get(k, 0)), s.mix, s.mu_x_n, s.mu_y_n, s.sd_x_n, s.sd_y_n, s.rho_n, beta.get(k)))
 
-    def adapt(self, iterations: int, samples: int, threshold: float = 0.0, seed: int = 0, uniforms: Callable | None = None) -> DataFrame:
-        """HISTORY with a row for the start and one for each iteration."""
+    def adapt(self, iterations: int, samples: int, threshold: float = 0.0, seed: int = 0, uniforms: Callable[[int], Callable] | None = None) -> DataFrame:
+        """HISTORY with a row for the start and one for each iteration. uniforms: iteration -> its streams; by default hashed ones of seed + iteration."""
         if not self.rows:
             self._note(0, 0, {}, {})
         for i in range(1, iterations + 1):
-            events = snapshot(self._rewarded(samples, threshold, seed + i, uniforms), "rewarded")
+            u = uniforms(i) if uniforms else draw.hashed(seed + i)
+            events = snapshot(self._rewarded(samples, threshold, u), "rewarded")
             moments = self._moments(events)
             before = self.states
             self.states = {k: self._moved(s, moments.get(k)) for k, s in self.states.items()}
@@ -109,23 +131,21 @@ class AdaptedProposals:
             self._note(i, samples, updated, beta)
         return self.history()
 
-    def _rewarded(self, samples: int, threshold: float, seed: int, uniforms: Callable | None) -> DataFrame:
+    def _plan(self, n: int, realizations: int) -> DataFrame:
+        plan = sampling_plan(self.catalog, {s: (n, realizations) for s in {k[1] for k in self.states}})
+        return plan.join(self.parameters().select(*KEYS), KEYS, "left_semi")
+
+    def _rewarded(self, samples: int, threshold: float, uniforms: Callable) -> DataFrame:
         """Events with normalized weight, reward and the narrow component's responsibility."""
-        plan = sampling_plan(self.spark, self.catalog, {s: (samples, 1) for s in {k[1] for k in self.states}})
-        plan = plan.join(F.broadcast(self.parameters().select(*KEYS)), KEYS, "left_semi")
-        e = sample_with(self.catalog, plan, self.components(), seed, uniforms, fallback=True)
-        cells = self.catalog.grid.select(F.col("x").alias("newx"), F.col("y").alias("newy"), "row", "col")
-        density = snapshot(proposal.densities(self.catalog.grid, self.components()).drop("q"), "density")
-        e = e.join(cells, ["newx", "newy"]).join(density, [*KEYS, "row", "col"])
-        e = draw.with_shifts(e, self.cell)
-        e = e.join(depth_.mean_depths(e, self.catalog.watershed_mask, self.catalog.storm_cells), depth_.PLACE)
-        e = e.join(F.broadcast(self.parameters().select(*KEYS, "mix")), KEYS)
+        e = sample_with(self.catalog, self._plan(samples, 1), self.components(), uniforms=uniforms, fallback=True)
+        e = snapshot(placed(e, self.catalog), "drawn")  # read twice: for the shifts that are new, and with their depths
+        e = e.join(self.memo.depths(e), depth_.PLACE).join(self.parameters().select(*KEYS, "mix"), KEYS)
         e = e.withColumns({"r": F.expr(responsibility("mix", "q_narrow", "q_wide")), "reward": F.expr(reward("coalesce(precip_avg_mm, 0e0)", num(threshold)))})
-        return e.select(*KEYS, "event_id", "newx", "newy", "weight", "reward", "r", "precip_avg_mm")
+        return e.select(*KEYS, "event_id", "newx", "newy", "row", "col", "weight", "reward", "r", "precip_avg_mm")
 
     def _moments(self, events: DataFrame) -> dict:
         """One job: responsibility's share of the reward, and moments about the present centre."""
-        e = events.join(F.broadcast(self.parameters().select(*KEYS, "mu_x_n", "mu_y_n")), KEYS)
+        e = events.join(self.parameters().select(*KEYS, "mu_x_n", "mu_y_n"), KEYS)
         w = F.col("weight") * F.col("reward")
         n = w * F.col("r")
         dx, dy = F.col("newx") - F.col("mu_x_n"), F.col("newy") - F.col("mu_y_n")
@@ -156,14 +176,11 @@ class AdaptedProposals:
 
     def _correlations(self, events: DataFrame) -> dict:
         """The second job: latent scores under the moved centre and spread."""
-        p = self.parameters()
+        narrow = self.components().where("component = 'narrow'")
         e = events
-        for a in "xy":
-            ends = self.catalog.grid.agg(F.min(a).alias("lo"), F.max(a).alias("hi"))
-            values = self.catalog.grid.select(F.col(a).alias("v")).distinct()
-            axis = p.select(*KEYS, F.col(f"mu_{a}_n").alias("mu"), F.col(f"sd_{a}_n").alias("sd")).crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(values))
-            axis = truncated(axis, SCORE_CLIP).select(*KEYS, F.col("v").alias(f"new{a}"), F.col("s").alias(f"s{a}"))
-            e = e.join(axis, [*KEYS, f"new{a}"])
+        for axis, i in (("x", "col"), ("y", "row")):
+            scores = proposal.axis_scores(narrow, self.catalog.domain_grid, axis, SCORE_CLIP)
+            e = e.join(scores.select(*KEYS, i, f"s{axis}"), [*KEYS, i])
         w = F.col("weight") * F.col("reward") * F.col("r")
         sums = e.groupBy(*KEYS).agg(F.sum(w).alias("w"), *(F.sum(w * c).alias(k) for k, c in (("x", F.col("sx")), ("y", F.col("sy")), ("xx", F.col("sx") * F.col("sx")), ("yy", F.col("sy") * F.col("sy")), ("xy", F.col("sx") * F.col("sy")))))
         return {(r.watershed, r.scenario): r for r in sums.collect()}  # a row per watershed and scenario
@@ -179,11 +196,10 @@ class AdaptedProposals:
 
     def sample_final(self, n: int, realizations: int = 1, with_depths: bool = True, seed: int = 0, uniforms: Callable | None = None) -> DataFrame:
         """SAMPLES from the adapted mixtures; with depths and exceedance, or with depth 0."""
-        plan = sampling_plan(self.spark, self.catalog, {s: (n, realizations) for s in {k[1] for k in self.states}})
-        plan = plan.join(F.broadcast(self.parameters().select(*KEYS)), KEYS, "left_semi")
-        e = sample_with(self.catalog, plan, self.components(), seed, uniforms, fallback=True).select(*SAMPLES)
+        e = sample_with(self.catalog, self._plan(n, realizations), self.components(), seed, uniforms, fallback=True).select(*SAMPLES)
         if not with_depths:
             return e.withColumn("precip_avg_mm", F.lit(0.0))
-        d = evaluate_depths(e, self.catalog, self.cell, renormalize=True)
+        e = snapshot(e, "final")  # read twice
+        d = evaluate_depths(e, self.catalog, renormalize=True, largest=n)
         found = d.select(*KEYS, "realization", "event_id", "precip_avg_mm", "exc_prb")
         return e.join(found, [*KEYS, "realization", "event_id"])

@@ -19,6 +19,7 @@ from stormshift.sources.records import precipitation
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 CELL = derived.CELL
+DOMAIN_GRID = geometry.Grid.over(0, 0, derived.COLS * CELL, derived.ROWS * CELL, CELL)
 
 
 def query(name: str, oracle: str | None = None):
@@ -40,19 +41,13 @@ def r(columns: str, places: int = 6) -> str:
     return ", ".join(f"round({c}, {places}) AS {c}" for c in columns.split())
 
 
-_written: dict[tuple[str, str], store.Catalog] = {}
+def catalog(spark: SparkSession, sf_dir: str, shifted: bool = False) -> store.Catalog:
+    """Prepared from the line items' storms, written, and read from there, as a study would have it."""
+    return prepared(spark, sf_dir, shifted).written()
 
 
-def catalog(spark: SparkSession, sf_dir: str):
-    """Prepared from the line items' storms; written once per application and folder of tables, as a study would have it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        _written[key] = prepared(spark, sf_dir).written()
-    return _written[key]
-
-
-def prepared(spark: SparkSession, sf_dir: str):
-    return prepare.prepare_catalog(derived.grid_cells(spark, sf_dir), derived.domain_vertices(spark), derived.watershed_vertices(spark), CELL, max_seg_len=1000.0, bounds=(0.0, 0.0, derived.COLS * CELL, derived.ROWS * CELL))
+def prepared(spark: SparkSession, sf_dir: str, shifted: bool = False) -> store.Catalog:
+    return prepare.prepare_catalog(derived.grid_cells(spark, sf_dir, shifted), derived.domain_vertices(spark), derived.watershed_vertices(spark), CELL, max_seg_len=1000.0)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a1_cumulative_fields", sql.steps(sql.GRID) + f" SELECT storm_path, row, col, x, y, {r('precip_mm')} FROM storm_cells")
 def a1(spark, sf_dir):
-    return rounded(cells(spark, sf_dir))
+    return rounded(cells(spark, sf_dir).drop("x0", "y0", "cell_size"))
 
 
 @query("a2_storm_centers", sql.steps(sql.GRID) + f" SELECT storm_path, x, y, {r('pmax_mm')} FROM centers")
@@ -87,7 +82,7 @@ def s4(spark, sf_dir):
 
 @query("s10_normalized_cube", sql.steps(sql.GRID) + " SELECT storm_path, count(*) AS cells, round(sum(precip_mm), 6) AS total, min(x) AS x0, max(y) AS y1 FROM storm_cells GROUP BY storm_path")
 def s10(spark, sf_dir):
-    """Two cubes under different names become one table."""
+    """Two cubes under different names become one table; their axes are equal."""
     c = cells(spark, sf_dir)
     first = fields.normalized(c.where("storm_path < 'storm_4'").withColumnRenamed("storm_path", "storm"), "storm")
     both = fields.stack(first, fields.normalized(c.where("storm_path >= 'storm_4'")))
@@ -119,14 +114,13 @@ _INSIDE = sql.steps(sql.GRID, _FOOT, sql.within("hit", "grid", "p.row, p.col", "
 
 @query("j9_cells_in_polygons", _INSIDE)
 def j9(spark, sf_dir):
-    grid = geometry.master_grid(spark, 0, 0, 128000, 96000, CELL)
-    return geometry.cells_in_layers(grid, footprints(cells(spark, sf_dir))).select("layer", "row", "col")
+    return geometry.cells_in_layers(DOMAIN_GRID, footprints(cells(spark, sf_dir))).select("layer", "row", "col")
 
 
 @query("j9_cells_in_polygons_by_bands", _INSIDE)
 def j9_bands(spark, sf_dir):
-    grid = geometry.master_grid(spark, 0, 0, 128000, 96000, CELL)
-    return geometry.points_in_layers(grid, footprints(cells(spark, sf_dir)), 0.0, CELL).select("layer", "row", "col")
+    """Point by point instead of by scanlines."""
+    return geometry.points_in_layers(DOMAIN_GRID.cells(spark), footprints(cells(spark, sf_dir)), 0.0, CELL).select("layer", "row", "col")
 
 
 @query(
@@ -181,7 +175,7 @@ def p16(spark, sf_dir):
 
 @query("m3_valid_cells", sql.steps(sql.GRID, sql.PLACES) + " SELECT watershed, storm_path, row, col, x, y FROM valid")
 def m3(spark, sf_dir):
-    return prepared(spark, sf_dir).written().valid_cells
+    return catalog(spark, sf_dir).valid_cells
 
 
 @query(
@@ -189,14 +183,15 @@ def m3(spark, sf_dir):
     sql.steps(sql.GRID, sql.PLACES) + " SELECT watershed, storm_path, count(*) AS cells FROM valid GROUP BY watershed, storm_path",
 )
 def j8(spark, sf_dir):
-    return catalog(spark, sf_dir).valid_cells.groupBy("watershed", "storm_path").agg(F.count("*").alias("cells"))
+    """A row per storm comes from the runs' own counts."""
+    return catalog(spark, sf_dir).valid_runs.groupBy("watershed", "storm_path").agg(F.max("count").alias("cells"))
 
 
 @query(
     "s8_catalog_reload",
     sql.steps(sql.GRID, sql.PLACES)
     + """ SELECT 'storm_cells' AS name, count(*) AS n, round(sum(precip_mm), 4) AS total FROM storm_cells UNION ALL SELECT 'storm_centers', count(*), round(sum(pmax_mm), 4) FROM centers
-UNION ALL SELECT 'valid_cells', count(*), round(sum(x), 4) FROM valid UNION ALL SELECT 'watershed_mask', count(*), CAST(sum(row) AS DOUBLE) FROM mask UNION ALL SELECT 'grid', count(*), round(sum(x), 4) FROM grid""",
+UNION ALL SELECT 'valid_cells', count(*), round(sum(x), 4) FROM valid UNION ALL SELECT 'mask_cells', count(*), CAST(sum(row) AS DOUBLE) FROM mask UNION ALL SELECT 'grid', count(*), round(sum(x), 4) FROM grid""",
 )
 def s8(spark, sf_dir):
     """Saved, loaded again, and counted."""
@@ -205,7 +200,7 @@ def s8(spark, sf_dir):
     c = store.Catalog.load(spark, path)
     total = lambda name, column: getattr(c, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum(column).cast("double"), 4).alias("total"))
     out = total("storm_cells", "precip_mm")
-    for name, column in (("storm_centers", "pmax_mm"), ("valid_cells", "x"), ("watershed_mask", "row"), ("grid", "x")):
+    for name, column in (("storm_centers", "pmax_mm"), ("valid_cells", "x"), ("mask_cells", "row"), ("grid", "x")):
         out = out.unionByName(total(name, column))
     return out
 
@@ -219,30 +214,37 @@ PROPOSALS = {
     "mixture": Proposal("mixture", rho=0.2, mix=0.35, narrow={"sd_x": 15000.0, "sd_y": 12000.0, "rho": 0.5}, wide={"sd_x": 60000.0, "sd_y": 50000.0}),
 }
 ROWS = [(s, *c) for s, p in PROPOSALS.items() for c in p.components()]
-SIZES = {s: (300, 5) for s in PROPOSALS}
+#: Realizations; each has as many events as the tables have customers.
+REALIZATIONS = 5
+SIZES = {s: (derived.DRAWS_SQL, REALIZATIONS) for s in PROPOSALS}
 
 
-def sampled(spark, sf_dir, names=None, sizes=None):
-    c = catalog(spark, sf_dir)
+def sampled(spark, sf_dir, names=None, realizations=REALIZATIONS, shifted=False):
+    c, n = catalog(spark, sf_dir, shifted), derived.draws(spark, sf_dir)
     names = names or list(PROPOSALS)
-    events = study.sample_events(c, {s: PROPOSALS[s] for s in names}, {s: (sizes or SIZES)[s] for s in names}, uniforms=draw.portable())
+    events = study.sample_events(c, {s: PROPOSALS[s] for s in names}, {s: (n, realizations) for s in names}, uniforms=draw.portable())
     return c, store.snapshot(events, "events")
 
 
+def components(c, proposals):
+    return proposal.components(proposals, c.layer_stats.where("layer <> 'domain'"))
+
+
 def rows_of(*names: str) -> list[tuple]:
     return [x for x in ROWS if x[0] in names]
 
 
-_DENSITY = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS))
+#: A mean twelve deviations below the grid, where both tails of the distribution are all but 0.
+FAR = {"far": Proposal("gaussian", sd_x=30000.0, mu_y=-58000.0, sd_y=5000.0)}
+_DENSITY = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS + [("far", *c) for c in FAR["far"].components()]))
 
 
 @query("p8_proposal_densities", _DENSITY + f" SELECT v.storm_path, d.watershed, d.scenario, d.row, d.col, round(ln(q), 6) AS q, round(ln(q_narrow), 6) AS q_narrow, round(ln(q_wide), 6) AS q_wide FROM density d JOIN valid v ON v.watershed = d.watershed AND v.row = d.row AND v.col = d.col")
 def p8(spark, sf_dir):
     """On the valid cells of every storm, as logarithms: densities per square metre are small."""
     c = catalog(spark, sf_dir)
-    stats = c.layer_stats.where("layer <> 'domain'")
-    d = proposal.densities(c.grid, proposal.components(spark, PROPOSALS, stats))
-    return rounded(c.valid_cells.select("watershed", "storm_path", "row", "col").join(d, ["watershed", "row", "col"]).select("storm_path", "watershed", "scenario", "row", "col", *(F.ln(c).alias(c) for c in ("q", "q_narrow", "q_wide"))))
+    w = study.weighed_cells(c, components(c, PROPOSALS | FAR))
+    return rounded(w.select("storm_path", "watershed", "scenario", "row", "col", *(F.ln(c).alias(c) for c in ("q", "q_narrow", "q_wide"))))
 
 
 _DRAWN = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS), sql.draws(SIZES))
@@ -252,8 +254,7 @@ _DRAWN = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS), sql.draws(SIZES))
 def w4(spark, sf_dir):
     """Running mass in shares of the total, the total's logarithm, and rank of cells (a5: mass and count per storm; w7: rank)."""
     c = catalog(spark, sf_dir)
-    d = proposal.densities(c.grid, proposal.components(spark, PROPOSALS, c.layer_stats.where("layer <> 'domain'")))
-    w = draw.weigh_cells(c.valid_cells, d).select("watershed", "scenario", "storm_path", "row", "col", F.col("rank").cast("long").alias("rank"), F.col("count").alias("cnt"), (F.col("lo") / F.col("mass")).alias("lo"), (F.col("hi") / F.col("mass")).alias("hi"), F.ln("mass").alias("mass"))
+    w = study.weighed_cells(c, components(c, PROPOSALS)).select("watershed", "scenario", "storm_path", "row", "col", F.col("rank").cast("long").alias("rank"), F.col("count").alias("cnt"), (F.col("lo") / F.col("mass")).alias("lo"), (F.col("hi") / F.col("mass")).alias("hi"), F.ln("mass").alias("mass"))
     return rounded(w, 9)
 
 
@@ -269,43 +270,53 @@ def m4(spark, sf_dir):
 # depths -------------------------------------------------------------------------------------------------------------
 
 _DEPTHS = sql.steps(sql.GRID, sql.PLACES, sql.densities(ROWS), sql.draws(SIZES), sql.DEPTHS)
+_SHIFTED = sql.steps(sql.SHIFTED, sql.PLACES, sql.densities(rows_of("copula")), sql.draws({"copula": SIZES["copula"]}), sql.DEPTHS)
 
 
 @query("m5_depths", _DEPTHS + f" SELECT watershed, scenario, realization, event_id, storm_path, {r('precip_avg_mm exc_prb weight')} FROM depths")
 def m5(spark, sf_dir):
     """j7, a7, j13, w1: moved storms read on the watershed's cells, then exceedance."""
     c, e = sampled(spark, sf_dir)
-    d = study.evaluate_depths(e, c, CELL).select("watershed", "scenario", "realization", "event_id", "storm_path", "precip_avg_mm", "exc_prb", "weight")
+    d = study.evaluate_depths(e, c).select("watershed", "scenario", "realization", "event_id", "storm_path", "precip_avg_mm", "exc_prb", "weight")
     return rounded(d)
 
 
+@query("m5_shifted_storms", _SHIFTED + f" SELECT watershed, scenario, realization, event_id, storm_path, {r('precip_avg_mm exc_prb weight')} FROM depths")
+def m5_shifted(spark, sf_dir):
+    """Storms whose grids start elsewhere than the domain's, at six corners: the mask is cut on each storm's own cells."""
+    c, e = sampled(spark, sf_dir, ["copula"], shifted=True)
+    return rounded(study.evaluate_depths(e, c).select("watershed", "scenario", "realization", "event_id", "storm_path", "precip_avg_mm", "exc_prb", "weight"))
+
+
+@query("j7_depths_by_cells", _DEPTHS + f" SELECT watershed, scenario, realization, event_id, {r('precip_avg_mm')} FROM depths")
+def j7_cells(spark, sf_dir):
+    """One lookup per cell of the mask."""
+    c, e = sampled(spark, sf_dir)
+    return rounded(study.evaluate_depths(e, c, by_cells=True).select("watershed", "scenario", "realization", "event_id", "precip_avg_mm"))
+
+
 @query("j7_depths_by_runs", _DEPTHS + f" SELECT watershed, scenario, realization, event_id, {r('precip_avg_mm')} FROM depths")
 def j7_runs(spark, sf_dir):
-    """Two lookups of running sums per run of the mask."""
+    """One lookup of running sums per run of the mask."""
     c, e = sampled(spark, sf_dir)
-    return rounded(study.evaluate_depths(e, c, CELL, by_runs=True).select("watershed", "scenario", "realization", "event_id", "precip_avg_mm"))
+    return rounded(study.evaluate_depths(e, c).select("watershed", "scenario", "realization", "event_id", "precip_avg_mm"))
 
 
-@query(
-    "a7_strict_depths",
-    _DEPTHS
-    + f""", strict AS (SELECT s.watershed, s.storm_path, s.dy, s.dx, CASE WHEN count(c.precip_mm) = count(*) THEN avg(c.precip_mm) END AS precip_avg_mm FROM shifts s JOIN mask m ON m.layer = s.watershed
-  LEFT JOIN storm_cells c ON c.storm_path = s.storm_path AND c.row = m.row - s.dy AND c.col = m.col - s.dx GROUP BY ALL) SELECT watershed, storm_path, dy, dx, {r('precip_avg_mm')} FROM strict""",
-)
+@query("a7_strict_depths", _DEPTHS + " SELECT watershed, storm_path, dy, dx, round(strict_mm, 6) AS precip_avg_mm FROM means")
 def a7_strict(spark, sf_dir):
     """A mean with a missing cell is missing."""
     c, e = sampled(spark, sf_dir)
-    return rounded(depth.mean_depths(draw.with_shifts(e, CELL), c.watershed_mask, c.storm_cells, zero_pad=False))
+    return rounded(depth.mean_depths_by_runs(study.placed(e, c), c.watershed_mask, c.storm_rows, zero_pad=False))
 
 
-_ONCE = {"uniform": (300, 1)}
+_ONCE = {"uniform": (derived.DRAWS_SQL, 1)}
 
 
 @query("p26_default_realization", sql.steps(sql.GRID, sql.PLACES, sql.densities(rows_of("uniform")), sql.draws(_ONCE), sql.DEPTHS) + f" SELECT watershed, realization, event_id, storm_path, {r('precip_avg_mm exc_prb')} FROM depths")
 def p26(spark, sf_dir):
     """Events without a realization belong to realization 1."""
-    c, e = sampled(spark, sf_dir, ["uniform"], _ONCE)
-    d = study.evaluate_depths(e.drop("realization", "realization_seed"), c, CELL)
+    c, e = sampled(spark, sf_dir, ["uniform"], 1)
+    d = study.evaluate_depths(e.drop("realization", "realization_seed"), c)
     return rounded(d.select("watershed", "realization", "event_id", "storm_path", "precip_avg_mm", "exc_prb"))
 
 
@@ -343,14 +354,14 @@ _STATS = "mean_in median_in ci90_low_in ci90_high_in ci95_low_in ci95_high_in"
 def m6(spark, sf_dir):
     """p16-p18, w5, w6, a8-a10: sample, depth, exceedance, curve and bands for all watersheds and scenarios."""
     c, e = sampled(spark, sf_dir)
-    return rounded(curves.summarize(study.evaluate_depths(e, c, CELL)))
+    return rounded(curves.summarize(study.evaluate_depths(e, c)))
 
 
 @query("w6_curves", _CURVES + " SELECT watershed, scenario, realization, CAST(RP AS INT) AS RP, round(d, 6) AS depth_in FROM whole")
 def w6(spark, sf_dir):
     c, e = sampled(spark, sf_dir)
     keys = ["watershed", "scenario"]
-    points = curves.curve_points(study.evaluate_depths(e, c, CELL), keys)
+    points = curves.curve_points(study.evaluate_depths(e, c), keys)
     return rounded(curves.interpolate(points, keys, 2, curves.top_period(points, keys, 2, 2000, True)))
 
 
@@ -372,37 +383,40 @@ def m7(spark, sf_dir):
 
 def m6_raw(spark, sf_dir):
     c, e = sampled(spark, sf_dir)
-    return curves.summarize(study.evaluate_depths(e, c, CELL))
+    return curves.summarize(study.evaluate_depths(e, c))
 
 
-_BASE = {"uniform": (400, 10)}
+_BASE = {"uniform": (derived.DRAWS_SQL, 10)}
 _BASE_SQL = sql.steps(sql.GRID, sql.PLACES, sql.densities(rows_of("uniform")), sql.draws(_BASE), sql.DEPTHS, sql.curves(rp_min=2, cap=500))
 
 
 @query("m10_baseline", _BASE_SQL + f" SELECT watershed, RP, {r(_STATS)}, n_realizations, n_samples_per_realization FROM summary JOIN census USING (watershed, scenario)")
 def m10(spark, sf_dir):
     """The full Monte Carlo baseline of all watersheds in one job."""
-    c, e = sampled(spark, sf_dir, ["uniform"], _BASE)
-    return rounded(curves.summarize(study.evaluate_depths(e, c, CELL), rp_max_cap=500).drop("scenario"))
+    c, e = sampled(spark, sf_dir, ["uniform"], 10)
+    return rounded(curves.summarize(study.evaluate_depths(e, c), rp_max_cap=500).drop("scenario"))
 
 
-_SWEEP = [100, 200]
-_SWEEP_ROWS = rows_of("uniform") + [(f"n{n}", *c) for n in _SWEEP for c in PROPOSALS["mixture"].components()]
-_SWEEP_SQL = sql.steps(sql.GRID, sql.PLACES, sql.densities(_SWEEP_ROWS), sql.draws({**_BASE, **{f"n{n}": (n, 10) for n in _SWEEP}}), sql.DEPTHS, sql.curves())
+#: The mixture's draws, in tenths of the baseline's.
+_SWEEP = (3, 6, 9)
+_TENTHS = [f"{derived.DRAWS_SQL} * {k} // 10" for k in _SWEEP]
+_SWEEP_ROWS = [("n", *c) for c in PROPOSALS["mixture"].components()]
+_SWEEP_SQL = sql.steps(sql.GRID, sql.PLACES, sql.densities(_SWEEP_ROWS), sql.draws({"n": (_TENTHS[-1], 10)}), sql.depths(), sql.nested(_TENTHS), sql.curves())
+_SWEEP_BASE = sql.steps(sql.GRID, sql.PLACES, sql.densities(rows_of("uniform")), sql.draws(_BASE), sql.DEPTHS, sql.curves()) + " SELECT * FROM summary"
 
 
 @query(
     "m11_sweep",
-    _SWEEP_SQL
-    + ", base AS (SELECT * FROM summary WHERE scenario = 'uniform'), sim AS (SELECT * FROM summary WHERE scenario <> 'uniform'), m AS ("
+    f"WITH base AS ({_SWEEP_BASE}), sim AS ({_SWEEP_SQL} SELECT * FROM summary), m AS ("
     + _errors("base", "sim", "o.watershed = s.watershed AND o.RP = s.RP", "s.watershed, s.scenario")
-    + ") SELECT *, CAST(substr(scenario, 2) AS BIGINT) AS num_simulations, round(1e2 * (400 - CAST(substr(scenario, 2) AS BIGINT)) / 4e2, 6) AS reduction_pct FROM m",
+    + f") SELECT *, CAST(substr(scenario, 2) AS BIGINT) AS num_simulations, round(1e2 * ({derived.DRAWS_SQL} - CAST(substr(scenario, 2) AS BIGINT)) / CAST({derived.DRAWS_SQL} AS DOUBLE), 6) AS reduction_pct FROM m",
 )
 def m11(spark, sf_dir):
-    """Numbers of draws of a mixture against the baseline, as scenarios of one job."""
-    c, e = sampled(spark, sf_dir, ["uniform"], _BASE)
-    base = curves.summarize(study.evaluate_depths(e, c, CELL)).drop("scenario")
-    return rounded(study.sweep(c, PROPOSALS["mixture"], _SWEEP, 10, base, 400, CELL, uniforms=draw.portable()))
+    """Numbers of draws of a mixture against the baseline: prefixes of one sample, whose depths are evaluated once."""
+    c, e = sampled(spark, sf_dir, ["uniform"], 10)
+    n = derived.draws(spark, sf_dir)
+    base = curves.summarize(study.evaluate_depths(e, c)).drop("scenario")
+    return rounded(study.sweep(c, PROPOSALS["mixture"], [n * k // 10 for k in _SWEEP], 10, base, n, uniforms=draw.portable()))
 
 
 # sources and sinks ---------------------------------------------------------------------------------------------------
@@ -420,13 +434,16 @@ def s2(spark, sf_dir):
     return rounded(polygons.read_geojson(spark, path, layer_property="name").select("layer", "ring", "seq", "x", "y"), 4)
 
 
-_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
-
-
-@query("s3_file_listing", "SELECT name AS storm_path FROM (VALUES {}) AS t(name)".format(", ".join(f"('{t}')" for t in _TABLES)))
+@query("s3_file_listing", "SELECT concat('storm_', CAST(l_suppkey AS STRING)) AS storm_path, count(*) AS records, count(DISTINCT l_linenumber) AS lines FROM lineitem GROUP BY l_suppkey")
 def s3(spark, sf_dir):
-    """A folder of files as a sorted list of their stems."""
-    return records.list_storms(spark, sf_dir).select("storm_path")
+    """A file of gridded records for each storm: listed by their stems, and read by the same pattern."""
+    path = store.scratch(spark, "storms")
+    derived.grid_cells(spark, sf_dir).repartition("storm_path").write.partitionBy("storm_path").parquet(path)
+    files = records.list_storms(spark, path)
+    stem = lambda c: F.regexp_extract(c, "storm_path=([^/]+)", 1)
+    found = records.read_storms(spark, path).select(stem("_metadata.file_path").alias("storm_path"), "record")
+    counts = found.groupBy("storm_path").agg(F.count("*").alias("records"), F.countDistinct("record").alias("lines"))
+    return files.select(stem("file").alias("storm_path")).join(counts, "storm_path")
 
 
 @query("s5_tables_as_csv", sql.steps(sql.GRID) + f" SELECT storm_path, x, y, {r('pmax_mm')} FROM centers")
@@ -465,7 +482,7 @@ _FINE = "fine AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col
 
 
 def fine(spark):
-    return geometry.master_grid(spark, 0, 0, 120000, 90000, 3000.0)
+    return geometry.Grid.over(0, 0, 120000, 90000, 3000.0).cells(spark)
 
 
 @query(
@@ -493,21 +510,30 @@ def j11_linear(spark, sf_dir):
 # adaptation ----------------------------------------------------------------------------------------------------------
 
 ADAPTED = Adaptation(sd_x_n=20000.0, sd_y_n=15000.0, sd_x_w=70000.0, sd_y_w=60000.0, rho_n=0.1)
+_DRAWS, _ITERATIONS = 500, 2
+_HISTORY = " UNION ALL ".join(
+    f"SELECT watershed, scenario, {i} AS iter, CAST({_DRAWS if i else 0} AS BIGINT) AS n, updated, {r('mix mu_x_n mu_y_n sd_x_n sd_y_n rho_n')}, round(beta, 6) AS beta_hat_reward FROM state{i}" for i in range(_ITERATIONS + 1)
+)
 
 
-def adapted(spark, sf_dir, iterations: int = 2):
+def adapted(spark, sf_dir, iterations: int = _ITERATIONS):
     c = catalog(spark, sf_dir)
-    a = AdaptedProposals(c, {(w, "storms"): ADAPTED for w in derived.WATERSHEDS}, CELL)
-    a.adapt(iterations, 500, threshold=1.0, uniforms=draw.portable())
+    a = AdaptedProposals(c, {(w, "storms"): ADAPTED for w in derived.WATERSHEDS})
+    a.adapt(iterations, _DRAWS, threshold=1.0, uniforms=draw.portable)
     return a
 
 
-@query("m8_adapt")
+@query("m8_adapt", sql.steps(sql.GRID, sql.PLACES, sql.adaptation(_ITERATIONS, _DRAWS, 1.0, ADAPTED, "storms")) + f" SELECT * FROM ({_HISTORY})")
 def m8(spark, sf_dir):
     """p14, p15, a13-a16: history of the adapted mixtures."""
-    return adapted(spark, sf_dir).history()
+    return rounded(adapted(spark, sf_dir).history())
 
 
-@query("m9_final_draw")
+@query(
+    "m9_final_draw",
+    sql.steps(sql.GRID, sql.PLACES, sql.adaptation(1, _DRAWS, 1.0, ADAPTED, "storms", (derived.DRAWS_SQL, 3))) + f" SELECT {_EVENT}, {r('weight_raw weight', 9)}, {r('precip_avg_mm exc_prb')} FROM depths_final",
+)
 def m9(spark, sf_dir):
-    return adapted(spark, sf_dir, 1).sample_final(300, 3)
+    a = adapted(spark, sf_dir, 1)
+    e = a.sample_final(derived.draws(spark, sf_dir), 3, uniforms=draw.portable(2)).drop("realization_seed")
+    return e.select(*(F.round(c, 9 if c.startswith("weight") else 6).alias(c) if t == "double" and c not in ("x", "y", "newx", "newy", "delx", "dely") else F.col(c) for c, t in e.dtypes))

@@ -4,33 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormshift.operators import curves, depth, draw, proposal
+from stormshift.operators.geometry import depth_of_runs, run_cells
 from stormshift.operators.proposal import Proposal
 from stormshift.sources.store import Catalog, snapshot
 
 SAMPLES = ("watershed", "scenario", "realization", "realization_seed", "event_id", "storm_path", "x", "y", "newx", "newy", "delx", "dely", "weight_raw", "weight")
 
 
-def sampling_plan(spark: SparkSession, catalog: Catalog, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+def sampling_plan(catalog: Catalog, sizes: dict[str, tuple[int, int]]) -> DataFrame:
     """watershed, scenario, n, realizations for scenario -> (n, realizations)."""
-    rows = [(s, int(n), int(r)) for s, (n, r) in sizes.items()]
-    names = catalog.valid_cells.select("watershed").distinct()
-    return names.crossJoin(F.broadcast(spark.createDataFrame(rows, "scenario string, n long, realizations long")))
+    names = catalog.valid_runs.select("watershed").distinct()
+    each = F.array(*(F.struct(F.lit(s).alias("scenario"), F.lit(int(n)).cast("long").alias("n"), F.lit(int(r)).cast("long").alias("realizations")) for s, (n, r) in sizes.items()))
+    return names.select("watershed", F.explode(each).alias("p")).select("watershed", "p.*")
+
+
+def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
+    """The cells that weighted draws choose from, with densities of the cells that are valid for any storm."""
+    grid = catalog.domain_grid
+    valid = catalog.valid_runs.join(catalog.storm_centers.select("storm_path"), "storm_path", "left_semi")
+    places = run_cells(depth_of_runs(valid, ["watershed"]), "watershed")
+    density = proposal.densities(places, components, grid, floor, custom)
+    return draw.weigh_cells(valid, density, grid)
 
 
 def sample_with(catalog: Catalog, plan: DataFrame, components: DataFrame, seed: int = 0, uniforms: Callable | None = None, guided: bool = True, fallback: bool = False, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
     """Events of every row of plan, with the density at the cell drawn. guided: by mass; else by rank, for uniform proposals."""
-    grid = catalog.grid
-    density = snapshot(proposal.densities(grid, components, floor, custom), "density")
-    valid = catalog.valid_cells.join(catalog.storm_centers.select("storm_path"), "storm_path", "left_semi")
-    weighed = snapshot(draw.weigh_cells(valid, density), "weighed")
+    valid = catalog.valid_runs.join(catalog.storm_centers.select("storm_path"), "storm_path", "left_semi")
     storms = draw.drawable_storms(valid, catalog.storm_centers)
     u = uniforms or draw.hashed(seed)
     events = draw.draw_storms(draw.generate(plan, seed), storms, u(1))
-    events = (draw.draw_weighted_cells if guided else draw.draw_uniform_cells)(events, weighed, u(2))
+    if guided:
+        weighed = snapshot(weighed_cells(catalog, components, custom, floor), "weighed")  # read twice
+        events = draw.draw_weighted_cells(events, weighed, u(2))
+    else:
+        events = draw.draw_uniform_cells(events, valid, u(2), catalog.domain_grid)
     events = draw.with_weights(events, fallback)
     return events.withColumns({"delx": F.col("newx") - F.col("x"), "dely": F.col("newy") - F.col("y")})
 
@@ -40,54 +51,68 @@ def sample_events(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[
 
     Uniform scenarios draw a cell by rank, the others by mass; both give the same distribution for a uniform proposal.
     """
-    spark = catalog.valid_cells.sparkSession
-    draw.require_rows(catalog.valid_cells.join(catalog.storm_centers, "storm_path", "left_semi").limit(1), "no storm has a valid cell")
-    stats = catalog.layer_stats.join(catalog.valid_cells.select(F.col("watershed").alias("layer")).distinct(), "layer", "left_semi")
-    parts = proposal.components(spark, proposals, stats)
-    plan = sampling_plan(spark, catalog, sizes)
+    draw.require_rows(catalog.valid_runs.join(catalog.storm_centers, "storm_path", "left_semi").limit(1), "no storm has a valid cell")
+    stats = catalog.layer_stats.join(catalog.valid_runs.select(F.col("watershed").alias("layer")).distinct(), "layer", "left_semi")
     custom = {s: p for s, p in proposals.items() if p.family == "custom"}
-    flat = [s for s, p in proposals.items() if p.family == "uniform"]
     out = []
     for guided in (False, True):
-        names = [s for s in proposals if (s in flat) != guided]
-        if names:
-            out.append(sample_with(catalog, plan.where(F.col("scenario").isin(names)), parts.where(F.col("scenario").isin(names)), seed, uniforms, guided, custom=custom, floor=floor).select(*SAMPLES))
+        chosen = {s: p for s, p in proposals.items() if (p.family == "uniform") != guided}
+        if chosen:
+            plan = sampling_plan(catalog, {s: sizes[s] for s in chosen})
+            out.append(sample_with(catalog, plan, proposal.components(chosen, stats), seed, uniforms, guided, custom=custom, floor=floor).select(*SAMPLES))
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def evaluate_depths(events: DataFrame, catalog: Catalog, cell: float, zero_pad: bool = True, by_runs: bool = False, renormalize: bool = False) -> DataFrame:
+def placed(events: DataFrame, catalog: Catalog) -> DataFrame:
+    """Events of known storms with grid_id and the shift (dy, dx) in cells of the storm's own grid."""
+    return draw.with_shifts(events, catalog.storm_centers.join(catalog.storm_grids.drop("x0", "y0", "rows", "cols"), "storm_path"))
+
+
+def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True, by_cells: bool = False, renormalize: bool = False, largest: int | None = None) -> DataFrame:
     """Mean depth over the watershed and exceedance for each event. x, y are the new centre, as are newx, newy.
 
     Events without a realization belong to realization 1; events of unknown storms are dropped; empty in, empty out.
+    by_cells: cell by cell instead of run by run. largest: events of the largest realization, if known.
     """
     for c, value in (("realization", 1), ("scenario", "")):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(value))
-    centers = catalog.storm_centers.select("storm_path", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    e = events.join(centers, "storm_path")
-    e = e.withColumns({"dx": F.rint((F.col("newx") - F.col("_x")) / cell).cast("int"), "dy": F.rint((F.col("newy") - F.col("_y")) / cell).cast("int")})
-    if by_runs:
-        cols = catalog.grid.agg(F.max("col")).first()[0] + 1
-        means = depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_cells, catalog.grid, cols, zero_pad)
-    else:
-        means = depth.mean_depths(e, catalog.watershed_mask, catalog.storm_cells, zero_pad)
+    e = placed(events, catalog)
+    means = depth.mean_depths(e, catalog.mask_cells, catalog.storm_cells, zero_pad) if by_cells else depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_rows, zero_pad)
     e = e.join(means, depth.PLACE)
     names = [c for c in ("realization_seed",) if c in events.columns]
     e = e.select("watershed", "scenario", "realization", *names, "event_id", "storm_path", F.col("newx").alias("x"), F.col("newy").alias("y"), "newx", "newy", "weight", "precip_avg_mm")
-    return depth.exceedance_by_size(e, events, renormalize=renormalize)
+    return depth.exceedance_by_size(e, events, renormalize=renormalize, largest=largest)
 
 
-def study(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[str, tuple[int, int]], cell: float, seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:
+def study(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[str, tuple[int, int]], seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:
     """Sample, evaluate, summarize."""
     events = snapshot(sample_events(catalog, proposals, sizes, seed, uniforms), "events")  # read twice
-    return curves.summarize(evaluate_depths(events, catalog, cell), **summary)
+    n, realizations = (max(x) for x in zip(*sizes.values()))
+    return curves.summarize(evaluate_depths(events, catalog, largest=n), realizations=realizations, **summary)
 
 
-def sweep(catalog: Catalog, family: Proposal, numbers: list[int], realizations: int, baseline: DataFrame, baseline_n: int, cell: float, seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:
-    """Errors against a baseline for several numbers of draws, in one job, with the draws saved in per cent."""
-    names = {f"n{n}": n for n in numbers}
-    curves_ = study(catalog, dict.fromkeys(names, family), {s: (n, realizations) for s, n in names.items()}, cell, seed, uniforms, **summary)
-    out = curves.compare(baseline, curves_)
+def nested_depths(depths: DataFrame, numbers: list[int]) -> DataFrame:
+    """depths of one scenario -> a scenario n<number> for each of numbers: its first events, with weights and exceedance of their own.
+
+    An event's depth does not depend on how many others are drawn, so the largest sample is evaluated once. Events are
+    numbered in the order they are drawn, and a prefix of a stream is a smaller sample of it.
+    """
+    each = F.filter(F.array(*(F.lit(int(n)) for n in numbers)), lambda n: n >= F.col("event_id"))
+    d = depths.drop("exc_prb").withColumn("_n", F.explode(each)).withColumn("scenario", F.concat(F.lit("n"), F.col("_n").cast("string"))).drop("_n")
+    by = ["watershed", "scenario", "realization"]
+    sums = d.groupBy(*by).agg(F.sum("weight").alias("_sum"), F.count("*").alias("_rows"))
+    share = F.when((F.col("_sum") > 0) & (F.col("_sum") < F.lit(float("inf"))), F.expr("try_divide(weight, _sum)")).otherwise(1 / F.col("_rows"))
+    d = d.join(sums, by).withColumn("weight", share).drop("_sum", "_rows")
+    return depth.exceedance_by_size(d, d, largest=max(numbers))
+
+
+def sweep(catalog: Catalog, family: Proposal, numbers: list[int], realizations: int, baseline: DataFrame, baseline_n: int, seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:
+    """Errors against a baseline for several numbers of draws, with the draws saved in per cent. Smaller samples are the first events of larger ones."""
+    most = max(numbers)
+    events = snapshot(sample_events(catalog, {"n": family}, {"n": (most, realizations)}, seed, uniforms), "events")  # read twice
+    depths = snapshot(evaluate_depths(events, catalog, largest=most), "depths")  # read once for each number
+    out = curves.compare(baseline, curves.summarize(nested_depths(depths, numbers), realizations=realizations, **summary))
     out = out.withColumn("num_simulations", F.substring("scenario", 2, 20).cast("long"))
     return out.withColumn("reduction_pct", 100.0 * (baseline_n - F.col("num_simulations")) / baseline_n)
 

@@ -10,17 +10,17 @@ NODATA = -3.4028234663852886e38
 
 
 def list_storms(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
-    """storm_path (the file's stem) and file, in order of name; an error if there is none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+    """storm_path (the file's stem) and file of the folder itself, not of folders in it, in order of name; an error if there is none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path")
     storms = files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("storm_path"), F.col("path").alias("file")).orderBy("storm_path")
     if storms.isEmpty():
         raise ValueError(f"no storms in {path}")
     return storms
 
 
-def read_storms(spark: SparkSession, path: str) -> DataFrame:
-    """Gridded records of a folder with a Parquet file per storm; storm_path is the file's stem."""
-    cells = spark.read.parquet(path)
+def read_storms(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """Gridded records of the files that list_storms finds, one per storm; storm_path is the file's stem."""
+    cells = spark.read.option("pathGlobFilter", pattern).parquet(path)
     return cells.withColumn("storm_path", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1))
 
 

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormshift.operators.geometry import Grid, run_cells
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, in spark.checkpoint.dir; a local one where that is unset."""
+    """A new folder that driver and executors share, in spark.checkpoint.dir; where that is unset, a local one of a local session."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stormshift-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -27,53 +33,99 @@ def snapshot(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, path: str, by: tuple[str, ...], buckets: int) -> DataFrame:
+    """A table whose files under path are buckets of `by`, read as such: a join on these columns needs no shuffle of it."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    name, keys = f"buckets_{uuid.uuid4().hex}", ", ".join(by)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def write_buckets(df: DataFrame, path: str, by: tuple[str, ...], buckets: int, mode: str = "error") -> None:
+    """One file for each bucket."""
+    name = f"buckets_{uuid.uuid4().hex}"
+    df.repartition(buckets, *by).write.mode(mode).bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # its files stay
+
+
 @dataclass(frozen=True)
 class Catalog:
-    """Everything a study draws from; each field is a lazy table.
+    """Everything a study draws from; each field is a lazy table. Sets of cells are runs (row, c0, c1).
 
-    storm_cells(storm_path, row, col, x, y, precip_mm), storm_centers(storm_path, x, y, pmax_mm),
-    layer_stats(layer, minx, miny, maxx, maxy, x, y, range_x, range_y), watershed_mask(watershed, row, col),
-    valid_cells(watershed, storm_path, row, col, x, y), grid(rows, cols, cell_size, x0, y0).
+    storm_cells(storm_path, row, col, x, y, precip_mm, x0, y0, cell_size), storm_centers(storm_path, x, y, pmax_mm),
+    storm_grids(storm_path, grid_id, x0, y0, cell_size, rows, cols), storm_rows(storm_path, row, first, ps, seen): see
+    depth.running_rows; layer_stats(layer, minx, miny, maxx, maxy, x, y, range_x, range_y),
+    watershed_mask(watershed, grid_id, row, c0, c1) on the grid of each storm, valid_runs(watershed, storm_path, row, c0, c1, before, count)
+    and grid_meta(x0, y0, cell_size, rows, cols, grid_id), one row, on the grid of the domain.
     """
 
     storm_cells: DataFrame
     storm_centers: DataFrame
+    storm_grids: DataFrame
+    storm_rows: DataFrame
     layer_stats: DataFrame
     watershed_mask: DataFrame
-    valid_cells: DataFrame
-    grid: DataFrame
+    valid_runs: DataFrame
+    grid_meta: DataFrame
+
+    PARTITIONED = {"valid_runs": ["watershed"]}
+    #: What depths are looked up in, by storm and row; buckets rather than a folder for each of millions of storms.
+    BUCKETED = {"storm_cells": ("storm_path", "row"), "storm_rows": ("storm_path", "row")}
 
-    #: Tables that hold one storm after another are kept that way, so that a storm's cells are one folder.
-    PARTITIONED = {"storm_cells": ["storm_path"], "valid_cells": ["watershed"]}
+    @cached_property
+    def domain_grid(self) -> Grid:
+        return Grid(**self.grid_meta.first().asDict())
+
+    @property
+    def grid(self) -> DataFrame:
+        """row, col, x, y of all cells of the domain's grid."""
+        return self.domain_grid.cells(self.grid_meta.sparkSession)
+
+    @property
+    def valid_cells(self) -> DataFrame:
+        """watershed, storm_path, row, col, x, y: a row for each cell of valid_runs."""
+        return self.domain_grid.placed(run_cells(self.valid_runs, "watershed", "storm_path")).select("watershed", "storm_path", "row", "col", "x", "y")
+
+    @property
+    def mask_cells(self) -> DataFrame:
+        """watershed, grid_id, row, col: a row for each cell of watershed_mask."""
+        return run_cells(self.watershed_mask, "watershed", "grid_id")
 
     def save(self, path: str, mode: str = "error") -> None:
-        for f in fields(self):
-            df = getattr(self, f.name)
-            by = self.PARTITIONED.get(f.name, [])
+        """All tables, several at a time: most of them are small."""
+        spark = self.grid_meta.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def put(name: str) -> None:
+            df = getattr(self, name)
+            if name in self.BUCKETED:
+                return write_buckets(df, f"{path}/{name}", self.BUCKETED[name], buckets, mode)
+            by = self.PARTITIONED.get(name, [])
             df = df.repartition(*by, *(c for c in ("storm_path",) if by and c in df.columns and c not in by)) if by else df
-            df.write.mode(mode).partitionBy(*by).parquet(f"{path}/{f.name}")
+            return df.write.mode(mode).partitionBy(*by).parquet(f"{path}/{name}")
+
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(put, [f.name for f in fields(self)]))
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode(mode).parquet(f"{path}/layout")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Catalog:
         try:
-            tables = {f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)}
+            tables = {f.name: spark.read.parquet(f"{path}/{f.name}") for f in fields(cls) if f.name not in cls.BUCKETED}
+            buckets = spark.read.parquet(f"{path}/layout").first().buckets
+            tables |= {name: bucketed(spark, f"{path}/{name}", by, buckets) for name, by in cls.BUCKETED.items()}
         except AnalysisException as e:
             raise ValueError(f"{path} holds no prepared catalog") from e
         return cls(**tables)
 
     def written(self) -> Catalog:
         """The same catalog, saved in the shared folder and loaded from there."""
-        spark = self.grid.sparkSession
+        spark = self.grid_meta.sparkSession
         path = scratch(spark, "catalog")
         self.save(path)
         return self.load(spark, path)
 
 
-def mask_from_flags(flags: DataFrame) -> DataFrame:
-    """Cells whose flag is set; a missing flag counts as 0."""
-    return flags.where(F.coalesce(F.col("valid"), F.lit(0)) != 0).drop("valid")
-
-
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("watershed",), form: str = "parquet", mode: str = "error") -> None:
     """Summaries, metrics, depths and other results; CSV with a header for hand-over."""
     by = [c for c in by if c in df.columns]

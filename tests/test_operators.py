@@ -16,8 +16,8 @@ from stormshift.sources import derived, polygons, records, store
 CELL = 1.0
 
 
-def grid_rows(name, field):
-    return [(name, "/SHG/PRECIPITATION/1", r, c, float(v), 0.0, 0.0, CELL) for r, line in enumerate(field) for c, v in enumerate(line)]
+def grid_rows(name, field, ll_x=0.0, ll_y=0.0):
+    return [(name, "/SHG/PRECIPITATION/1", r, c, float(v), ll_x, ll_y, CELL) for r, line in enumerate(field) for c, v in enumerate(line)]
 
 
 RECORDS = "storm_path string, record string, row int, col int, value double, ll_x double, ll_y double, cell_size double"
@@ -58,8 +58,8 @@ def test_polygon_with_hole(spark):
     v = spark.createDataFrame(ring("a", [(0, 0), (4, 0), (4, 4), (0, 4)]) + [(n, 0, 1, i, x, y) for n, _, _, i, x, y in ring("a", [(1, 1), (1, 2), (2, 2), (2, 1)])], VERTICES)
     s = geometry.layer_stats(v).first()
     assert abs(s.x - (16 * 2 - 1.5) / 15) < 1e-12 and (s.minx, s.maxx, s.range_y) == (0, 4, 4)
-    grid = geometry.master_grid(spark, 0, 0, 4, 4, 1.0)
-    for hit in (geometry.cells_in_layers(grid, v), geometry.points_in_layers(grid, v, 0.0, 1.0)):
+    grid = geometry.Grid.over(0, 0, 4, 4, 1.0)
+    for hit in (geometry.cells_in_layers(grid, v), geometry.points_in_layers(grid.cells(spark), v, 0.0, 1.0)):
         assert {(r.row, r.col) for r in hit.collect()} == {(r, c) for r in range(4) for c in range(4)} - {(1, 1)}
 
 
@@ -97,23 +97,24 @@ def test_valid_cells_against_a_plain_model(catalog):
 
 def test_depths_equal_roll_and_cut(spark, catalog):
     storms, c = catalog
-    shifts = [("w", n, dy, dx) for n in storms for dy in (-20, -3, 0, 2, 11) for dx in (-17, -1, 0, 4)]
-    df = spark.createDataFrame(shifts, "watershed string, storm_path string, dy int, dx int")
-    mask = {(r.row, r.col) for r in c.watershed_mask.collect()}
+    grid_id = c.storm_grids.first().grid_id
+    shifts = [("w", n, grid_id, dy, dx) for n in storms for dy in (-20, -3, 0, 2, 11) for dx in (-17, -1, 0, 4)]
+    df = spark.createDataFrame(shifts, "watershed string, storm_path string, grid_id string, dy int, dx int")
+    mask = {(r.row, r.col) for r in c.mask_cells.collect()}
     want = {}
-    for _, n, dy, dx in shifts:
+    for _, n, _, dy, dx in shifts:
         f = storms[n]
         want[n, dy, dx] = sum(f[r - dy, k - dx] if 0 <= r - dy < 12 and 0 <= k - dx < 16 else 0 for r, k in mask) / len(mask)
-    plain = depth.mean_depths(df, c.watershed_mask, c.storm_cells)
-    runs = depth.mean_depths_by_runs(df, c.watershed_mask, c.storm_cells, c.grid, 16)
+    plain = depth.mean_depths(df, c.mask_cells, c.storm_cells)
+    runs = depth.mean_depths_by_runs(df, c.watershed_mask, c.storm_rows)
     for got in (plain, runs):
         rows = got.collect()
         assert len(rows) == len(shifts)
         assert all(abs(r.precip_avg_mm - want[r.storm_path, r.dy, r.dx]) < 1e-9 for r in rows)
     holes = c.storm_cells.where("not (storm_path = 's1' and row = 5 and col = 6)")
-    strict = {(r.storm_path, r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths(df, c.watershed_mask, holes, False).collect()}
+    strict = {(r.storm_path, r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths(df, c.mask_cells, holes, False).collect()}
     assert strict["s0", -20, 0] is None and strict["s1", 0, 0] is None and abs(strict["s0", 0, 0] - want["s0", 0, 0]) < 1e-9
-    by_runs = {(r.storm_path, r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths_by_runs(df, c.watershed_mask, holes, c.grid, 16, False).collect()}
+    by_runs = {(r.storm_path, r.dy, r.dx): r.precip_avg_mm for r in depth.mean_depths_by_runs(df, c.watershed_mask, depth.running_rows(holes), False).collect()}
     assert by_runs.keys() == strict.keys()
     assert all((x is None) == (by_runs[k] is None) and (x is None or abs(x - by_runs[k]) < 1e-9) for k, x in strict.items())
 
@@ -136,7 +137,7 @@ def test_catalog_from_config(spark, tmp_path):
     got = load(**opts)
     cells = spark.createDataFrame(grid_rows("a", field) + grid_rows("b", field[::-1]), RECORDS)
     want = prepare_catalog(cells, *(spark.createDataFrame(ring(n, outline[k][:-1]), VERTICES) for n, k in (("domain", "domain"), ("w", "shed"))), CELL, 0.5)
-    for part in ("storm_centers", "layer_stats", "watershed_mask", "valid_cells", "grid"):
+    for part in ("storm_centers", "layer_stats", "watershed_mask", "valid_cells", "grid", "storm_grids"):
         a, b = getattr(got, part), getattr(want, part)
         assert a.count() and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect())), part
     for bad in ({"preprocess_opts": {"valid_region_simplify_tol": 5.0}}, {"watershed": {"id": "w"}}, {"catalog": {"catalog_folder": f"{tmp_path}/*.geojson"}}):
@@ -147,10 +148,10 @@ def test_catalog_from_config(spark, tmp_path):
 def test_guided_draw_is_the_range_join(spark, catalog):
     _, c = catalog
     peaked = c.grid.select(F.lit("w").alias("watershed"), F.lit("s").alias("scenario"), "row", "col", F.exp(-((F.col("x") - 5) ** 2 + (F.col("y") - 4) ** 2)).alias("q"))
-    w = store.snapshot(draw.weigh_cells(c.valid_cells, peaked), "weighed")
+    w = store.snapshot(draw.weigh_cells(c.valid_runs, peaked, c.domain_grid), "weighed")
     plan = spark.createDataFrame([("w", "s", 500, 4)], "watershed string, scenario string, n long, realizations long")
     u = draw.hashed(5)
-    e = store.snapshot(draw.draw_storms(draw.generate(plan), draw.drawable_storms(c.valid_cells, c.storm_centers), u(1)).withColumn("u", u(2)), "e")
+    e = store.snapshot(draw.draw_storms(draw.generate(plan), draw.drawable_storms(c.valid_runs, c.storm_centers), u(1)).withColumn("u", u(2)), "e")
     got = draw.draw_weighted_cells(e, w, F.col("u")).select("realization", "event_id", "newx", "newy")
     plain = e.join(w.withColumnsRenamed({"x": "newx", "y": "newy"}), ["watershed", "scenario", "storm_path"]).where("lo <= u * mass and u * mass < hi").select("realization", "event_id", "newx", "newy")
     assert got.count() == 2000 and got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
@@ -164,12 +165,12 @@ def test_samples(catalog):
     assert {(r.scenario, r.n) for r in rows} == {("u", 200), ("g", 300), ("own", 100)} and all(abs(r.w - 1) < 1e-9 for r in rows)
     again = sample_events(c, proposals, {"u": (200, 3), "g": (300, 2), "own": (100, 1)}, seed=3).repartition(7)
     assert e.exceptAll(again).isEmpty()
-    d = evaluate_depths(e, c, CELL)
+    d = evaluate_depths(e, c)
     top = d.groupBy("scenario", "realization").agg(F.max("exc_prb").alias("m")).collect()
     assert all(abs(r.m - 1) < 1e-9 for r in top)
-    assert evaluate_depths(e.limit(0), c, CELL).isEmpty()
+    assert evaluate_depths(e.limit(0), c).isEmpty()
     unknown = e.withColumn("storm_path", F.lit("nowhere"))
-    assert evaluate_depths(unknown, c, CELL).isEmpty()
+    assert evaluate_depths(unknown, c).isEmpty()
 
 
 def test_proposal_checks():
@@ -234,7 +235,7 @@ def test_alignment(spark):
 
 def test_adaptation_moves_to_the_wet_corner(spark, catalog):
     _, c = catalog
-    a = AdaptedProposals(c, {("w", "s"): Adaptation(sd_x_n=2.0, sd_y_n=2.0, sd_x_w=8.0, sd_y_w=8.0, mu_x_n=10.0, mu_y_n=7.0)}, CELL)
+    a = AdaptedProposals(c, {("w", "s"): Adaptation(sd_x_n=2.0, sd_y_n=2.0, sd_x_w=8.0, sd_y_w=8.0, mu_x_n=10.0, mu_y_n=7.0)})
     h = {r.iter: r for r in a.adapt(2, 300, threshold=1.0, seed=4).collect()}
     assert sorted(h) == [0, 1, 2] and h[0].mix == 0.3 and all(0.05 <= r.mix <= 0.95 for r in h.values()) and h[1].updated == 1
     assert abs(h[2].mu_x_n - 5.5) < abs(h[0].mu_x_n - 5.5)
@@ -250,6 +251,13 @@ def test_storms_from_files(spark, tmp_path):
         spark.createDataFrame([(0, 0, 1.0)], "row int, col int, value double").toPandas().to_parquet(tmp_path / f"{name}.parquet")
     assert [r.storm_path for r in records.list_storms(spark, str(tmp_path)).collect()] == ["a", "b"]
     assert {r.storm_path for r in records.read_storms(spark, str(tmp_path)).collect()} == {"a", "b"}
+    (tmp_path / "deeper").mkdir()
+    spark.createDataFrame([(0, 0, 1.0)], "row int, col int, value double").toPandas().to_parquet(tmp_path / "deeper" / "c.parquet")
+    spark.createDataFrame([(0, 0, 1.0)], "row int, col int, value double").toPandas().to_parquet(tmp_path / "d.other")
+    assert [r.storm_path for r in records.list_storms(spark, str(tmp_path)).collect()] == ["a", "b"]
+    assert {r.storm_path for r in records.read_storms(spark, str(tmp_path)).collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        records.list_storms(spark, str(tmp_path), "*.none")
 
 
 def test_baseline_columns(spark, tmp_path):
@@ -274,10 +282,8 @@ def test_stream_of_records(spark, tmp_path):
 
 
 def test_domain_of_the_derived_study(spark):
-    cells = geometry.master_grid(spark, 0, 0, 128000, 96000, derived.CELL)
+    grid = geometry.Grid.over(0, 0, 128000, 96000, derived.CELL)
     v = derived.watershed_vertices(spark)
     s = geometry.layer_stats(v).where("layer = 'bend'").first()
     assert abs(s.x - 58363.636363636364) < 1e-6 and abs(s.y - 47818.181818181818) < 1e-6
-    assert geometry.cells_in_layers(cells, v).where("layer = 'bend'").count() == 33
-    offsets = geometry.boundary_offsets(v, geometry.layer_stats(v), 1000.0)
-    assert geometry.standing_cells(cells, offsets, derived.domain_vertices(spark)).where("watershed = 'bend'").count() == 296
+    assert geometry.cells_in_layers(grid, v).where("layer = 'bend'").count() == 33

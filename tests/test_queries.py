@@ -19,7 +19,7 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events"):
+    for t in ("lineitem", "events", "customer"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF_DIR}/{t}.parquet'")
     df = QUERIES[name](spark, SF_DIR)
     want = con.execute(ORACLE_SQL[name])
