@@ -55,7 +55,8 @@ def recipes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     held = checked_broadcast(shared)
     contents = each.join(held, "h", "left_semi").distinct()
     contents = written(contents.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1), "numbered-chunks")
-    placed = cut.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_sha256", F.posexplode_outer("chunks").alias("at", "chunk")).withColumn("h", hashed(F.col("chunk")))
+    placed = cut.withColumn("row", F.monotonically_increasing_id())  # before the chunks become rows
+    placed = placed.select("row", "doc_id", "text_sha256", F.posexplode_outer("chunks").alias("at", "chunk")).withColumn("h", hashed(F.col("chunk")))
     placed = placed.join(contents, ["h", "chunk"], "left")
     listed = placed.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "h", F.coalesce("k", F.lit(0)).alias("k"))))).alias("listed"))
     return written(listed.select("doc_id", "text_sha256", F.transform("listed", lambda x: F.struct(x["h"].alias("h"), x["k"].alias("k"))).alias("recipe")), "numbered-recipes")

@@ -119,7 +119,7 @@ def number_nodes(words: list[str], p: int, before: list[int], after: list[int])
     for w in words:
         keep = len(before) if previous is None else _common(previous, w)
         del path[keep + 1 :]
-        if after and w[0] == last[0]:
+        if after and w[:1] == last[:1]:
             path.extend(after[keep : min(len(after), _common(w, last))])
         for _ in range(len(w) + 1 - len(path)):
             fresh += 1
