@@ -9,8 +9,9 @@ A state is the longest kept n-gram that the text read so far ends with. Reading
 arc for it; where there is none, the failure arc leads to the next shorter history and adds its weight. A block
 walks all its places at once, order by order (_Walk); Automaton is the same walk of a model that fits in memory.
 
-All n-grams of one history are summed in one task, since its backoff weight needs them all; what such a task
-holds uncompressed is the distinct n-grams of its histories, not the blocks' requests.
+All n-grams of one history are summed in one task, since its backoff weight needs them all; those of a history as common as
+all words of a part are split by their last word, and a block adds up the sums that the parts give. What a task
+holds uncompressed is the distinct n-grams of its part, not the blocks' requests. N-grams are numbered by 64 bits.
 
 Edge cases: null or empty text is the end token alone; repeated rows give repeated rows; a very long text is a block of
 its own, whole; an empty table or no
@@ -30,6 +31,8 @@ from stormshift.llm._blocks import bucket_count, make_blocks, opened, split_word
 from stormshift.llm._shared import utf8, written
 
 END = b""
+#: A history of fewer occurrences is not split, however small the parts.
+LEAST_SPLIT = 4_000_000
 BLOCK_BYTES = 12_000_000  # a walk holds some ten numbers for each place of its block
 ANSWERS = "block long, level int, bucket int, value binary, n long"
 ASKED = "block long, bucket int, keys binary, counts binary"
@@ -102,13 +105,17 @@ def build(kept: dict[int, dict[tuple, int]], words: dict[int, int], n: int, v: i
     return a
 
 
-def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount: float = 0.75, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
-    """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V."""
+def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount: float = 0.75, parts: int | None = None, split: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, dict]:
+    """Scores of all rows of docs by a model of those whose `weight` (an SQL expression) is 1; the model's N and V.
+
+    parts: of n-grams, by the number of blocks; split: occurrences of a history from which its n-grams lie in several parts.
+    """
     rows = docs.select(F.col(id_column).cast("long"), utf8(text_column).alias("text"), F.expr(weight).cast("int"))
     buckets = bucket_count(rows)
     blocks = written(make_blocks(rows, tokens, buckets, block_bytes=BLOCK_BYTES), "lm-blocks", "none")
     n, made = blocks.where("bucket = -1").agg(F.coalesce(F.sum("extra"), F.lit(0)), F.count("*")).first()
-    parts = max(buckets, made // 2)  # so that a part stays about as large as two blocks
+    parts = parts or max(buckets, made // 2)  # so that a part stays about as large as two blocks
+    split = split or max(LEAST_SPLIT, -(-n // parts))  # a history that occurs as often as a part has words has several
 
     def sum_up(group: pd.DataFrame) -> pd.DataFrame:
         """One bucket of words of all blocks: corpus counts, and numbers of the words that are frequent enough for longer n-grams."""
@@ -118,8 +125,8 @@ def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount
                 total[w] = total.get(w, 0) + c
         often = {w: i for i, w in enumerate(sorted(w for w, c in total.items() if c >= least))}
         bucket = int(group["bucket"].iloc[0])
-        # a count is at most 2^63: two words of 32 bits; the third is the number of a frequent word in its bucket, from 1
-        value = [squeeze(np.array([x for w in own for x in (total[w] & 0xFFFFFFFF, total[w] >> 32, often.get(w, -1) + 1)], np.int64)) for own in words]
+        # the count, and the number of a frequent word in its bucket, from 1, as two halves of 32 bits each
+        value = [squeeze(np.array([y for w in own for x in (total[w], often.get(w, -1) + 1) for y in (x & 0xFFFFFFFF, x >> 32)], np.int64)) for own in words]
         out = pd.DataFrame({"block": group["block"], "level": 1, "bucket": group["bucket"], "value": value, "n": 0})
         return pd.concat([out, pd.DataFrame({"block": [-1], "level": [1], "bucket": [bucket], "value": [b""], "n": [sum(c > 0 for c in total.values())]})])
 
@@ -127,7 +134,7 @@ def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount
     v = answers.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept: dict[int, int] = {}
     for level in range(2, order + 1):
-        asked = _with_answers(blocks, answers, lambda x, values: _ask(x, values, level, buckets, parts, discount), ASKED)
+        asked = _with_answers(blocks, answers, lambda x, values: _ask(x, values, level, buckets, parts, discount, split), ASKED)
         found = written(asked.groupBy("bucket").applyInPandas(lambda group: _merge(group, level, parts, least, level == order), ANSWERS), "lm-grams", "none")
         kept[level] = found.where("block = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not kept[level]:
@@ -138,7 +145,7 @@ def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount
     def use(x: dict | None, values: dict) -> pd.DataFrame:
         if x is None:
             return pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
-        walk = _Walk(x, values, buckets, parts, discount)
+        walk = _Walk(x, values, buckets, parts, discount, split)
         walk.p = (walk.of + 1) / (n + v + 1)
         root, known, out = np.log10(walk.p), walk.of > 0, []
         for level in range(2, top + 1):
@@ -169,95 +176,174 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, use, schema: str) -> Da
 
 
 def _numbers(index: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """Numbers from 1 that no two buckets share; two of them make a key of 64 bits."""
-    out = index.astype(np.int64) * buckets + bucket + 1
-    if len(out) and out.max() >= 2**32:
-        raise OverflowError("more than 2^32 words or n-grams are kept")
-    return out.astype(np.uint32)
+    """Numbers from 1 of 64 bits that no two buckets share."""
+    return (index.astype(np.uint64) * np.uint64(buckets)) + np.uint64(bucket + 1)
+
+
+_LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
+
+
+def _halves(x: np.ndarray) -> list[np.ndarray]:
+    x = x.astype(np.uint64)
+    return [x & _LOW, x >> _SHIFT]
+
+
+def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << _SHIFT
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """31 well-mixed bits of each number."""
+    return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+
+def _small(*x: np.ndarray) -> bool:
+    return all(not len(v) or v.max() <= _LOW for v in x)
+
+
+def _order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places in order of (h, w); as one number where both fit into it."""
+    return np.argsort(h << _SHIFT | w) if _small(h, w) else np.lexsort((w, h))
+
+
+def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of (h, w), and which of the ordered are the first of their kind."""
+    order = _order(h, w)
+    first = np.ones(len(order), bool)
+    first[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+    return order, first
+
+
+class _Pairs:
+    """Sorted distinct pairs (h, w) that can be searched."""
+
+    def __init__(self, h: np.ndarray, w: np.ndarray):
+        self.small = _small(h, w)
+        self.h, self.w = np.unique(h), np.unique(w)
+        self.keys = h << _SHIFT | w if self.small else self._dense(h, w)[0]
+
+    def _dense(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of pairs by the places of their halves, in the same order; and whether both halves are known."""
+        i, in_h = _find(self.h, h)
+        j, in_w = _find(self.w, w)
+        return i.astype(np.uint64) * np.uint64(max(1, len(self.w))) + j.astype(np.uint64), in_h & in_w
+
+    def find(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.small and _small(h, w):
+            return _find(self.keys, h << _SHIFT | w)
+        keys, known = self._dense(h, w)
+        at, hit = _find(self.keys if not self.small else self._dense(self.keys >> _SHIFT, self.keys & _LOW)[0], keys)
+        return at, hit & known
 
 
 class _Walk:
     """All places of a block: p of their words after the longest kept history below the current order (where p is set).
 
     state: number of the kept n-gram, one word shorter than the next order, that ends at a place, or 0; of: its count.
+
+    The n-grams of a history lie in one part; those of a history that occurs more than `split` times in several, by their word.
+    A block that has such a history asks each of its parts, if only for the sums that its weight needs.
     """
 
-    def __init__(self, x: dict, values: dict, buckets: int, parts: int, discount: float):
-        counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    def __init__(self, x: dict, values: dict, buckets: int, parts: int, discount: float, split: int):
+        counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for bucket, value in values.get(1, []):
-            three = value.reshape(-1, 3).astype(np.int64)
-            counts.append(three[:, 0] | three[:, 1] << 32)
-            numbers.append(np.where(three[:, 2] > 0, _numbers(np.maximum(three[:, 2] - 1, 0), bucket, buckets), np.uint32(0)))
-        self.parts, self.discount = parts, discount
+            four = value.reshape(-1, 4)
+            counts.append(_whole(four[:, 0], four[:, 1]).astype(np.int64))
+            index = _whole(four[:, 2], four[:, 3])
+            numbers.append(np.where(index > 0, _numbers(np.maximum(index, np.uint64(1)) - np.uint64(1), bucket, buckets), np.uint64(0)))
+        self.parts, self.discount, self.split = parts, discount, split
         self.of = np.concatenate(counts)[x["ids"]]
         self.word = self.state = np.concatenate(numbers)[x["ids"]]
         self.p = None
         self.inside = np.ones(len(self.word), bool)  # not the first of a text
         self.inside[x["ends"] - x["lengths"]] = False
 
-    def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places with a history; their distinct keys (history, word or 0) by part; the parts' edges; the key of each place."""
+    def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places with a history; the distinct keys (history, word or 0) in order of part, history and word, and their parts; the key of each place."""
         at = np.flatnonzero(self.inside[1:] & (self.state[:-1] > 0)) + 1
-        keys = self.state[at - 1].astype(np.uint64)
-        keys <<= np.uint64(32)
-        keys |= self.word[at]
-        order = np.argsort(keys)
-        keys = keys[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        back = np.empty(len(keys), np.int32)
-        back[order] = np.cumsum(first, dtype=np.int32) - 1
-        keys = keys[first]
-        part = ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.parts)
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        return at, keys[order], np.searchsorted(part[order], np.arange(self.parts + 1)), place[back]
+        h, w, of = self.state[at - 1], self.word[at], self.of[at - 1]
+        order, first = _distinct(h, w)
+        back = np.empty(len(at), np.int64)
+        back[order] = np.cumsum(first) - 1
+        h, w, of = h[order][first], w[order][first], of[order][first]
+        shares = np.minimum(-(-of // self.split), self.parts).astype(np.int64)
+        part = (_spread(h) + np.where(shares > 1, _spread(w) % np.maximum(shares, 1), 0)) % self.parts
+        if (shares > 1).any():
+            split, one = np.unique(h[shares > 1], return_index=True)
+            n = shares[shares > 1][one]
+            also = (np.repeat(_spread(split), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) % self.parts
+            h, w, part = np.concatenate([h, np.repeat(split, n)]), np.concatenate([w, np.zeros(len(also), np.uint64)]), np.concatenate([part, also])
+            order = np.lexsort((w, h, part))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(part[order]) != 0) | (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            order = order[new]
+        else:
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+        return at, part[order], h[order], w[order], place[back]
 
     def step(self, values: list[tuple[int, np.ndarray]]) -> None:
         """To the next order. values: (part, answers) as _merge gives them."""
-        at, keys, edges, back = self.ask()
-        history = np.cumsum(np.diff(keys >> np.uint64(32), prepend=np.uint64(0)) != 0) - 1
-        found = [np.zeros((3, 0), np.uint32)], [np.zeros((3, 0), np.uint32)]
-        for part, value in values:
-            cut = 3 * int(edges[part + 1] - edges[part])
-            found[0].append(value[:cut].reshape(3, -1))
+        at, part, h, w, back = self.ask()
+        full, starts = np.unique(part, return_index=True)
+        sizes = dict(zip(full.tolist(), np.diff(starts, append=len(part)).tolist()))
+        found = [np.zeros((4, 0), np.uint32)], [np.zeros((3, 0), np.uint32)]
+        for p, value in values:
+            cut = 4 * sizes[p]
+            found[0].append(value[:cut].reshape(4, -1))
             found[1].append(value[cut:].reshape(3, -1))
-        low, high, number = np.concatenate(found[0], 1)
-        count = low.astype(np.int64) | high.astype(np.int64) << 32
+        low, high, *number = np.concatenate(found[0], 1)
+        count, number = _whole(low, high).astype(np.int64), _whole(*number)
         if self.p is not None:
             low, high, kinds = np.concatenate(found[1], 1)
-            taken = (low.astype(np.int64) | high.astype(np.int64) << 32) - self.discount * kinds
+            # a history's sums from all its parts
+            each = np.ones(len(h), bool)
+            each[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+            names, history = np.unique(h, return_inverse=True)
+            group = history[each]
+            taken = np.bincount(group, _whole(low, high).astype(np.int64) - self.discount * kinds, len(names))
             of, c = self.of[at - 1], count[back]
             own = np.where(c > 0, np.maximum(c - self.discount, 0), 0) / of
             self.p[at] = own + np.maximum(1 - taken[history[back]] / of, 1e-12) * self.p[at]
         self.state, self.of = np.zeros_like(self.state), np.zeros_like(self.of)
         self.state[at], self.of[at] = number[back], count[back]
-        self.word = np.where(self.state > 0, self.word, np.uint32(0))  # a longer n-gram ends with a kept one
+        self.word = np.where(self.state > 0, self.word, np.uint64(0))  # a longer n-gram ends with a kept one
 
 
-def _ask(x: dict | None, values: dict, level: int, buckets: int, parts: int, discount: float) -> pd.DataFrame:
+def _ask(x: dict | None, values: dict, level: int, buckets: int, parts: int, discount: float, split: int) -> pd.DataFrame:
     """A block's distinct n-grams of one length by part, and how often they occur in its training texts."""
     if x is None:
         return pd.DataFrame({c.split()[0]: [] for c in ASKED.split(", ")})
-    walk = _Walk(x, values, buckets, parts, discount)
+    walk = _Walk(x, values, buckets, parts, discount, split)
     for k in range(2, level):
         walk.step(values.get(k, []))
-    at, keys, edges, back = walk.ask()
+    at, part, h, w, back = walk.ask()
     train = np.repeat(x["weight"] == 1, x["lengths"])[at]
-    counts = np.bincount(back[train], minlength=len(keys))
-    full = np.flatnonzero(np.diff(edges)).tolist()
-    cuts = [slice(edges[i], edges[i + 1]) for i in full]
-    return pd.DataFrame({"block": int(x["block"]), "bucket": full, "keys": [_pack_keys(keys[c]) for c in cuts], "counts": [squeeze(counts[c]) for c in cuts]})
+    counts = np.bincount(back[train], minlength=len(h))
+    full, starts = np.unique(part, return_index=True)
+    cuts = [slice(i, j) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)])]
+    return pd.DataFrame({"block": int(x["block"]), "bucket": full, "keys": [_pack_keys(h[c], w[c]) for c in cuts], "counts": [squeeze(counts[c]) for c in cuts]})
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    return squeeze(np.concatenate([np.diff(keys >> np.uint64(32), prepend=np.uint64(0)), keys & np.uint64(0xFFFFFFFF)]))
+def _pack_keys(h: np.ndarray, w: np.ndarray) -> bytes:
+    """Steps of the histories and words; the upper halves only where there are any."""
+    steps = np.diff(h, prepend=np.uint64(0))
+    wide = not _small(steps, w)
+    return squeeze(np.concatenate([[np.uint64(wide)], *(half for x in (steps, w) for half in _halves(x)[: 1 + wide])]))
 
 
-def _unpack_keys(x: bytes) -> np.ndarray:
-    steps, words = unsqueeze(x).reshape(2, -1).astype(np.uint64)
-    return np.cumsum(steps, dtype=np.uint64) << np.uint64(32) | words
+def _unpack_keys(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = unsqueeze(x)
+    if x[0]:
+        a, b, c, d = x[1:].reshape(4, -1)
+        steps, w = _whole(a, b), _whole(c, d)
+    else:
+        steps, w = x[1:].reshape(2, -1).astype(np.uint64)
+    return np.cumsum(steps, dtype=np.uint64), w
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,44 +354,47 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merge(group: pd.DataFrame, level: int, parts: int, least: int, last: bool) -> pd.DataFrame:
-    """One part of the histories, of all blocks: each block's n-grams answered.
+    """One part of the n-grams, of all blocks: each block's n-grams answered.
 
-    An answer: counts (low, high) and numbers of the keys, 0 where not kept; then of each history the counts
-    (low, high) and the number of its kept n-grams.
+    An answer: counts and numbers of the keys (low and high halves of each), 0 where not kept; then of each history the sum of
+    the counts (low, high) and the number of its kept n-grams in this part.
     """
-    keys, total = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, w, total = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held, size = [], 0
 
     def fold() -> None:
-        nonlocal keys, total
-        keys, back = np.unique(np.concatenate([keys, *(k for k, _ in held)]), return_inverse=True)
-        total = np.bincount(back, np.concatenate([total, *(c for _, c in held)]), len(keys)).astype(np.int64)
+        nonlocal h, w, total
+        h, w = (np.concatenate([x, *(k[i] for k in held)]) for i, x in enumerate((h, w)))
+        order, first = _distinct(h, w)
+        sums = np.concatenate([total, *(k[2] for k in held)])[order]
+        total = np.add.reduceat(sums, np.flatnonzero(first)) if len(sums) else sums
+        h, w = h[order][first], w[order][first]
 
     for packed, counts in zip(group["keys"], group["counts"]):
-        own, c = _unpack_keys(packed), unsqueeze(counts)
-        ok = (c > 0) & ((own & np.uint64(0xFFFFFFFF)) > 0)
-        held.append((own[ok], c[ok]))
+        (own_h, own_w), c = _unpack_keys(packed), unsqueeze(counts).astype(np.int64)
+        ok = (c > 0) & (own_w > 0)
+        held.append((own_h[ok], own_w[ok], c[ok]))
         size += int(ok.sum())
-        if size > max(2_000_000, len(keys)):
+        if size > max(2_000_000, len(h)):
             fold()
             held, size = [], 0
     fold()
     part = int(group["bucket"].iloc[0])
-    keys, total = keys[total >= least], total[total >= least]
-    numbers = np.zeros(len(keys), np.uint32) if last else _numbers(np.arange(len(keys)), part, parts)
-    histories, starts = np.unique(keys >> np.uint64(32), return_index=True)
-    sums = np.add.reduceat(total, starts) if len(keys) else total
-    kinds = np.diff(starts, append=len(keys))
-    halves = lambda x: [x & 0xFFFFFFFF, x >> 32]
-    pick = lambda x, at, hit: np.where(hit, x[at], 0) if len(x) else np.zeros(len(at), np.int64)
-    values = []
+    kept = total >= least
+    h, w, total = h[kept], w[kept], total[kept]
+    numbers = np.zeros(len(h), np.uint64) if last else _numbers(np.arange(len(h)), part, parts)
+    histories, starts = np.unique(h, return_index=True)
+    sums = np.add.reduceat(total, starts) if len(h) else total
+    kinds = np.diff(starts, append=len(h))
+    pick = lambda x, at, hit: np.where(hit, x[at], x.dtype.type(0)) if len(x) else np.zeros(len(at), x.dtype)
+    table, values = _Pairs(h, w), []
     for packed in group["keys"]:
-        own = _unpack_keys(packed)
-        at, hit = _find(keys, own)
-        h, there = _find(histories, np.unique(own >> np.uint64(32)))
-        values.append(squeeze(np.concatenate([*halves(pick(total, at, hit)), pick(numbers, at, hit), *halves(pick(sums, h, there)), pick(kinds, h, there)])))
+        own_h, own_w = _unpack_keys(packed)
+        at, hit = table.find(own_h, own_w)
+        k, there = _find(histories, np.unique(own_h))
+        values.append(squeeze(np.concatenate([*_halves(pick(total, at, hit)), *_halves(pick(numbers, at, hit)), *_halves(pick(sums, k, there)), pick(kinds, k, there).astype(np.uint64)])))
     out = pd.DataFrame({"block": group["block"], "level": level, "bucket": part, "value": values, "n": 0})
-    return pd.concat([out, pd.DataFrame({"block": [-1], "level": [level], "bucket": [part], "value": [b""], "n": [len(keys)]})])
+    return pd.concat([out, pd.DataFrame({"block": [-1], "level": [level], "bucket": [part], "value": [b""], "n": [len(h)]})])
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
