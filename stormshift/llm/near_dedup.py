@@ -120,7 +120,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     copies = live.groupBy("copy").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"), F.count("*").alias("n"))
     copies = written(copies, "copies")
     buckets = written(copies.select("node", F.explode("bands").alias("band")), "bands")
-    shared = buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # this and the other small sides below are written: then their joins have no aggregation in their stage, and a hot key can be split
+    shared = written(buckets.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared-bands")
     stars = written(buckets.join(shared, "band").select("band", F.col("first").alias("hub"), "node"), "stars")
 
     def link(group: pa.Table) -> pa.Table:
@@ -152,8 +153,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     labels = settled.withColumnRenamed("component", "label")
     marked = written(stars.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
     open_ = marked.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    open_ = written(open_, "open-bands")
     groups = components(marked.join(open_, "band").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component").join(labels, "node", "left")
+    members = written(groups.groupBy("component").agg(F.count("*").alias("n")), "group-sizes")
+    sized = groups.join(members, "component").join(labels, "node", "left")
     sized = written(sized.select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), F.coalesce("label", "node").alias("label")), "groups")
     # blocks (i, j), i <= j, of a group's chunks: a document of chunk c goes to (c, j >= c) and (i <= c, c)
     dealt = texts.join(sized, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
@@ -169,7 +172,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, chunk: i
     named = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
     named = named.join(linked.withColumnRenamed("component", "name"), "node", "left").select("doc_id", F.coalesce("name", "node").alias("name"))
     named = written(named, "names")
-    # written, so that the join below has no aggregation in it and a hot name can be split
     lowest = written(named.groupBy("name").agg(F.min("doc_id").alias("component_id")), "lowest")
     found = named.join(lowest, "name").select("doc_id", "component_id")
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
