@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_ROWS = 20_000
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, as a full URI of its file system; where that is unset (a local session), one of our own."""
+    """The folder in spark.checkpoint.dir, as a full URI of its file system; where that is unset, one of our own in a local session and an error on a cluster."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="stormshift-work-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:  # a path of the cluster's default file system

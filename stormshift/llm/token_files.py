@@ -27,6 +27,8 @@ MANIFEST = "shard int, n_sequences long, n_tokens long, n_docs long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long, sequence long"
 BATCH_ROWS = 256
 SHARD_BYTES = 64_000_000  # of text, about
+#: What a row counts besides its text, so that empty ones fill shards, too.
+ROW_BYTES = 64
 
 
 def _open(uri: str):
@@ -110,7 +112,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, l
         yield pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([x], pa.int64()) for x in (rows, tokens, len(index)))], names=["shard", "n_sequences", "n_tokens", "n_docs"])
 
     dealt = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(text_column).alias("text"))
-    size = 0 if shards else dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = 0 if shards else dealt.agg(F.coalesce(F.sum(F.octet_length("text") + ROW_BYTES), F.lit(0))).first()[0]
     n = shards or max(partitions(spark), math.ceil(size / SHARD_BYTES))
     order = ("doc_id", F.xxhash64("text"), "text")  # rows of one doc_id, or of none, may be many: they are split, too
     dealt = dealt.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)

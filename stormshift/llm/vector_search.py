@@ -168,13 +168,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = 0.95, rep
     n, width, norm = distinct.agg(F.count("*"), F.coalesce(F.max(F.size("x")), F.lit(1)), F.sqrt(F.coalesce(F.max(F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)), F.lit(0.0)))).first()
     asked = written(v.where("asked").select("id", "x").distinct(), "queries")
     queries = asked.groupBy("x").agg(F.min("id").alias("q"))
-    rows = distinct.orderBy(F.xxhash64("e"), "e").limit(SAMPLE).select("x").collect()
+    # only rows under a hash bound that about twice the sample stays under are sorted, however many there are
+    drawn = lambda key, some: distinct.where(F.shiftrightunsigned(key, 11) * F.lit(2.0**-53) <= min(1.0, 2.0 * some / max(1, n))).orderBy(F.shiftrightunsigned(key, 11), "e").limit(some)
+    rows = drawn(F.xxhash64("e"), SAMPLE).select("x").collect()
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pad = lambda xs: np.array([np.pad(np.asarray(x, float), (0, width - len(x))) for x in xs]).reshape(-1, width)
     sample = pad([r.x for r in rows])
     # drawn anew from all rows: as many of them as of the queries are among those that the centroids are trained on
-    trials = distinct.orderBy(F.xxhash64("e", F.lit(1)), "e").limit(TRIALS).select("x", "e").collect()
+    trials = drawn(F.xxhash64("e", F.lit(1)), TRIALS).select("x", "e").collect()
     trials, own = pad([r.x for r in trials]), np.array([r.e for r in trials])
     index = fit(sample, n, norm, list_size)  # at most MOST_LISTS centroids
     shared = spark.sparkContext.broadcast(index)

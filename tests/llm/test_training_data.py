@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -217,6 +219,31 @@ def test_mixing(spark, docs):
     assert [r.n for r in n] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in TEXTS]
 
 
+def test_mix_by_brute_force(spark):
+    """Rates, the seed of each source, and what each document gives, from the same targets."""
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(draw.integers(0, 60))), [None, "a", "b", "c"][i % 4] if i < 300 else "a") for i in range(400)] + [(None, "x y z", "b"), (7, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, t = mixing.rates(df)
+    target = {r.source: r.target for r in t.collect()}
+    hashed = lambda d, k: xxhash.xxh64_intdigest(struct.pack("<i", k), 42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), 42))
+    uniform = lambda d, k: (hashed(d, k) >> 11) * 2.0**-53
+    size = {s: sum(len((x or "").split()) for _, x, o in rows if o == s) for s in target}
+    taken, want = collections.Counter(), {}
+    for s, goal in target.items():
+        own = [(d, len((x or "").split())) for d, x, o in rows if o == s]
+        times, fraction = divmod(goal / size[s] if size[s] else 0.0, 1)
+        seed = min(range(mixing.SEEDS), key=lambda k: (abs(goal - times * size[s] - sum(n for d, n in own if uniform(d, k) < fraction)), k))
+        for d, n in own:
+            copies = int(times) + (uniform(d, seed) < fraction)
+            want[d, s, n], taken[s] = n * copies, taken[s] + n * copies
+    got = mixing._with_source(sizes, t).select("_doc", "source", "size", (F.col("size") * mixing.copies()).alias("taken"))
+    assert {(r._doc, r.source, r.size): r.taken for r in got.collect()} == want
+    assert all(abs(taken[s] - target[s]) <= 60 and target[s] <= 2 * size[s] for s in target)
+    mixed = collections.Counter((r.doc_id, r.source) for r in mixing.mix(df).collect())
+    assert sum(mixed.values()) == mixing.mix(df).count() and all(want[d, s, n] == n * mixed[d, s] for d, s, n in want if n and (d, s) != (7, "c"))
+
+
 def brute_components(rows, percent=85):
     sets = {}
     for i, t in rows:
@@ -311,6 +338,29 @@ def test_language_id(spark):
     assert all(r.lang_pred == "und" for r in language_id.predict(df, language_id.fit(df.where("lang = 'none'"))).collect())
 
 
+def test_language_prediction_by_brute_force(spark):
+    """Subwords, their mean, the softmax and the threshold, one text at a time, for a model of any numbers."""
+    draw = np.random.default_rng(3)
+    model = language_id.Model(["p", "q", "r"], draw.normal(0, 9, (language_id.BUCKETS, 3)).astype(np.float32), np.array([0.1, -0.2, 0.0], np.float32), 0.7, 0.45)
+    texts = ["Plain words, and 12 numbers", "é", "Ünï cödé — mixed\tup", "x" * 5000, None, "", "77 !?", "a b"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).orderBy("i").collect()
+    for r, text in zip(got, texts):
+        kept = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+        if not kept:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        b, places = f" {kept} ".encode(), []
+        for n in language_id.GRAMS:
+            for i in range(len(b) - n + 1):
+                h = n
+                for c in b[i : i + n]:
+                    h = (h ^ c) * 0x01000193 % 2**32
+                places.append((h ^ h >> 15) % language_id.BUCKETS)
+        z = (model.table[places].mean(0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-3 and r.rejected == bool(p.max() < 0.45)
+
+
 def test_lm_scoring(spark, docs):
     scores, model = lm_scoring.score(docs.where("doc_id <> 9").unionByName(docs.where("doc_id = 9")), "case when doc_id % 7 = 3 then 0 else 1 end")
     got = {r.doc_id: r for r in scores.collect()}
@@ -348,6 +398,33 @@ def test_lm_keeps_ngrams_however_large_the_corpus(spark):
         assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-6 for d in want)
 
 
+@pytest.mark.parametrize(("parts", "split"), [(7, 3), (2**31, 10**9), (2**31 - 1, 2), (1, 1)])
+def test_lm_with_split_histories_and_wide_numbers(spark, parts, split):
+    """Histories in several parts, and so many parts that a history's third bigram has a number over 2^32."""
+    draw = np.random.default_rng(5)
+    rows = [(i, " ".join(f"the w{x}" if x % 3 else f"w{x}" for x in np.minimum(draw.zipf(1.3, 120), 60))) for i in range(30)] + [(40, None), (41, "the unseen the w3 w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.score for r in lm_scoring.score(df, "case when doc_id % 5 = 1 then 0 else 1 end", parts=parts, split=split)[0].collect()}
+    want = brute_scores(rows, {d for d, _ in rows if d % 5 == 1})
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+
+
+def test_wide_pairs_are_found():
+    draw = np.random.default_rng(6)
+    h, w = draw.integers(1, 2**63, 300, dtype=np.uint64) // np.uint64(7), draw.integers(1, 2**40, 300, dtype=np.uint64)
+    h[:100], w[100:150] = draw.integers(1, 9, 100), 5
+    order, first = lm_scoring._distinct(h, w)
+    table = lm_scoring._Pairs(h[order][first], w[order][first])
+    at, hit = table.find(h, w)
+    assert hit.all() and (h[order][first][at] == h).all() and (w[order][first][at] == w).all()
+    assert not table.find(h, w + np.uint64(1))[1].all() and not table.find(h + np.uint64(2**41), w)[1].any()
+    small = lm_scoring._Pairs(np.array([1, 2], np.uint64), np.array([5, 3], np.uint64))
+    assert small.find(np.array([2, 1, 2**40 + 2], np.uint64), np.array([3, 6, 3], np.uint64))[1].tolist() == [True, False, False]
+    own_h, own_w = h[order][first], w[order][first]
+    back = lm_scoring._unpack_keys(lm_scoring._pack_keys(own_h, own_w))
+    assert (back[0] == own_h).all() and (back[1] == own_w).all()
+
+
 def test_automaton_is_a_distribution():
     words, n = {1: 50, 2: 30, 3: 20}, 120
     kept = {2: {(1, 2): 20, (2, 3): 10}, 3: {(1, 2, 3): 8}}
