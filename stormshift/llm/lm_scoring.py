@@ -125,8 +125,9 @@ def score(docs: DataFrame, weight: str, order: int = 3, least: int = 2, discount
                 total[w] = total.get(w, 0) + c
         often = {w: i for i, w in enumerate(sorted(w for w, c in total.items() if c >= least))}
         bucket = int(group["bucket"].iloc[0])
-        # the count, and the number of a frequent word in its bucket, from 1, as two halves of 32 bits each
-        value = [squeeze(np.array([y for w in own for x in (total[w], often.get(w, -1) + 1) for y in (x & 0xFFFFFFFF, x >> 32)], np.int64)) for own in words]
+        # counts, and numbers of the frequent words in their bucket, from 1, as two halves of 32 bits each
+        column = lambda own, get: _halves(np.fromiter(map(get, own), np.int64, len(own)))
+        value = [squeeze(np.concatenate([*column(own, total.__getitem__), *column(own, lambda w: often.get(w, -1) + 1)])) for own in words]
         out = pd.DataFrame({"block": group["block"], "level": 1, "bucket": group["bucket"], "value": value, "n": 0})
         return pd.concat([out, pd.DataFrame({"block": [-1], "level": [1], "bucket": [bucket], "value": [b""], "n": [sum(c > 0 for c in total.values())]})])
 
@@ -175,12 +176,21 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, use, schema: str) -> Da
     return payloads.groupBy("block").cogroup(answers.where("block >= 0").select("block", "level", "bucket", "value").groupBy("block")).applyInPandas(one, schema)
 
 
-def _numbers(index: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    """Numbers from 1 of 64 bits that no two buckets share."""
-    return (index.astype(np.uint64) * np.uint64(buckets)) + np.uint64(bucket + 1)
+_LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
-_LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
+def _small(*x: np.ndarray) -> bool:
+    return all(not len(v) or v.max() <= _LOW for v in x)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers of 32 bits where that is enough; places of a block are many."""
+    return x.astype(np.uint32) if _small(x) else x
+
+
+def _numbers(index: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers from 1 of up to 64 bits that no two buckets share."""
+    return _narrow(index.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1))
 
 
 def _halves(x: np.ndarray) -> list[np.ndarray]:
@@ -188,30 +198,36 @@ def _halves(x: np.ndarray) -> list[np.ndarray]:
     return [x & _LOW, x >> _SHIFT]
 
 
-def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | high.astype(np.uint64) << _SHIFT
+def _whole(low: np.ndarray, high: np.ndarray | None = None) -> np.ndarray:
+    return low.astype(np.uint64) if high is None else low.astype(np.uint64) | high.astype(np.uint64) << _SHIFT
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
     """31 well-mixed bits of each number."""
-    return (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+    return (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
 
 
-def _small(*x: np.ndarray) -> bool:
-    return all(not len(v) or v.max() <= _LOW for v in x)
+def _packed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    keys = h.astype(np.uint64)
+    keys <<= _SHIFT
+    keys |= w.astype(np.uint64, copy=False)
+    return keys
 
 
-def _order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places in order of (h, w); as one number where both fit into it."""
-    return np.argsort(h << _SHIFT | w) if _small(h, w) else np.lexsort((w, h))
-
-
-def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of (h, w), and which of the ordered are the first of their kind."""
-    order = _order(h, w)
-    first = np.ones(len(order), bool)
-    first[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
-    return order, first
+def _distinct(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the pairs (h, w), which of the ordered are the first of their kind, and these; as one number where both halves fit into it."""
+    first = np.ones(len(h), bool)
+    if _small(h, w):
+        keys = _packed(h, w)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first[1:] = keys[1:] != keys[:-1]
+        keys = keys[first]
+        return order, first, keys >> _SHIFT, keys & _LOW
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    first[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    return order, first, h[first].astype(np.uint64), w[first].astype(np.uint64)
 
 
 class _Pairs:
@@ -219,8 +235,8 @@ class _Pairs:
 
     def __init__(self, h: np.ndarray, w: np.ndarray):
         self.small = _small(h, w)
-        self.h, self.w = np.unique(h), np.unique(w)
-        self.keys = h << _SHIFT | w if self.small else self._dense(h, w)[0]
+        self.h, self.w = (None, None) if self.small else (np.unique(h), np.unique(w))
+        self.keys = _packed(h, w) if self.small else self._dense(h, w)[0]
 
     def _dense(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of pairs by the places of their halves, in the same order; and whether both halves are known."""
@@ -229,11 +245,13 @@ class _Pairs:
         return i.astype(np.uint64) * np.uint64(max(1, len(self.w))) + j.astype(np.uint64), in_h & in_w
 
     def find(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.small and _small(h, w):
-            return _find(self.keys, h << _SHIFT | w)
-        keys, known = self._dense(h, w)
-        at, hit = _find(self.keys if not self.small else self._dense(self.keys >> _SHIFT, self.keys & _LOW)[0], keys)
-        return at, hit & known
+        if not self.small:
+            keys, known = self._dense(h, w)
+            at, hit = _find(self.keys, keys)
+            return at, hit & known
+        fits = (h <= _LOW) & (w <= _LOW)  # a wide pair is not in a table of small ones
+        at, hit = _find(self.keys, _packed(h & _LOW, w & _LOW))
+        return at, hit & fits
 
 
 class _Walk:
@@ -246,12 +264,13 @@ class _Walk:
     """
 
     def __init__(self, x: dict, values: dict, buckets: int, parts: int, discount: float, split: int):
-        counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        counts, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for bucket, value in values.get(1, []):
-            four = value.reshape(-1, 4)
-            counts.append(_whole(four[:, 0], four[:, 1]).astype(np.int64))
-            index = _whole(four[:, 2], four[:, 3])
-            numbers.append(np.where(index > 0, _numbers(np.maximum(index, np.uint64(1)) - np.uint64(1), bucket, buckets), np.uint64(0)))
+            four = value.reshape(4, -1)
+            counts.append(_whole(*four[:2]).astype(np.int64))
+            index = _whole(*four[2:])
+            own = _numbers(np.maximum(index, np.uint64(1)) - np.uint64(1), bucket, buckets)
+            numbers.append(np.where(index > 0, own, own.dtype.type(0)))
         self.parts, self.discount, self.split = parts, discount, split
         self.of = np.concatenate(counts)[x["ids"]]
         self.word = self.state = np.concatenate(numbers)[x["ids"]]
@@ -262,13 +281,16 @@ class _Walk:
     def ask(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places with a history; the distinct keys (history, word or 0) in order of part, history and word, and their parts; the key of each place."""
         at = np.flatnonzero(self.inside[1:] & (self.state[:-1] > 0)) + 1
-        h, w, of = self.state[at - 1], self.word[at], self.of[at - 1]
-        order, first = _distinct(h, w)
-        back = np.empty(len(at), np.int64)
-        back[order] = np.cumsum(first) - 1
-        h, w, of = h[order][first], w[order][first], of[order][first]
+        order, first, h, w = _distinct(self.state[at - 1], self.word[at])
+        back = np.empty(len(at), np.int32)
+        back[order] = np.cumsum(first, dtype=np.int32) - 1
+        of = self.of[at[order[first]] - 1]
+        del order, first
         shares = np.minimum(-(-of // self.split), self.parts).astype(np.int64)
-        part = (_spread(h) + np.where(shares > 1, _spread(w) % np.maximum(shares, 1), 0)) % self.parts
+        part = _spread(h)
+        if (shares > 1).any():
+            part += np.where(shares > 1, _spread(w) % np.maximum(shares, 1), 0)
+        part %= self.parts
         if (shares > 1).any():
             split, one = np.unique(h[shares > 1], return_index=True)
             n = shares[shares > 1][one]
@@ -277,13 +299,13 @@ class _Walk:
             order = np.lexsort((w, h, part))
             new = np.ones(len(order), bool)
             new[1:] = (np.diff(part[order]) != 0) | (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
-            place = np.empty(len(order), np.int64)
-            place[order] = np.cumsum(new) - 1
+            place = np.empty(len(order), np.int32)
+            place[order] = np.cumsum(new, dtype=np.int32) - 1
             order = order[new]
         else:
             order = np.argsort(part, kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
         return at, part[order], h[order], w[order], place[back]
 
     def step(self, values: list[tuple[int, np.ndarray]]) -> None:
@@ -291,27 +313,30 @@ class _Walk:
         at, part, h, w, back = self.ask()
         full, starts = np.unique(part, return_index=True)
         sizes = dict(zip(full.tolist(), np.diff(starts, append=len(part)).tolist()))
-        found = [np.zeros((4, 0), np.uint32)], [np.zeros((3, 0), np.uint32)]
+        count, number, total, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for p, value in values:
-            cut = 4 * sizes[p]
-            found[0].append(value[:cut].reshape(4, -1))
-            found[1].append(value[cut:].reshape(3, -1))
-        low, high, *number = np.concatenate(found[0], 1)
-        count, number = _whole(low, high).astype(np.int64), _whole(*number)
+            k, body = 2 if value[0] else 1, value[1:]
+            cut = 2 * k * sizes[p]
+            own, sums = body[:cut].reshape(2, k, -1), body[cut:].reshape(k + 1, -1)
+            count.append(_whole(*own[0]))
+            number.append(_whole(*own[1]))
+            total.append(_whole(*sums[:k]))
+            kinds.append(sums[k])
+        count, number = np.concatenate(count).astype(np.int64), _narrow(np.concatenate(number))
         if self.p is not None:
-            low, high, kinds = np.concatenate(found[1], 1)
             # a history's sums from all its parts
             each = np.ones(len(h), bool)
             each[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
             names, history = np.unique(h, return_inverse=True)
-            group = history[each]
-            taken = np.bincount(group, _whole(low, high).astype(np.int64) - self.discount * kinds, len(names))
+            history = history.astype(np.int32)
+            taken = np.bincount(history[each], np.concatenate(total).astype(np.int64) - self.discount * np.concatenate(kinds), len(names))
             of, c = self.of[at - 1], count[back]
             own = np.where(c > 0, np.maximum(c - self.discount, 0), 0) / of
             self.p[at] = own + np.maximum(1 - taken[history[back]] / of, 1e-12) * self.p[at]
-        self.state, self.of = np.zeros_like(self.state), np.zeros_like(self.of)
+        self.state = np.zeros(len(self.word), number.dtype)
+        self.of = np.zeros_like(self.of)
         self.state[at], self.of[at] = number[back], count[back]
-        self.word = np.where(self.state > 0, self.word, np.uint64(0))  # a longer n-gram ends with a kept one
+        self.word = np.where(self.state > 0, self.word, self.word.dtype.type(0))  # a longer n-gram ends with a kept one
 
 
 def _ask(x: dict | None, values: dict, level: int, buckets: int, parts: int, discount: float, split: int) -> pd.DataFrame:
@@ -356,8 +381,8 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _merge(group: pd.DataFrame, level: int, parts: int, least: int, last: bool) -> pd.DataFrame:
     """One part of the n-grams, of all blocks: each block's n-grams answered.
 
-    An answer: counts and numbers of the keys (low and high halves of each), 0 where not kept; then of each history the sum of
-    the counts (low, high) and the number of its kept n-grams in this part.
+    An answer: whether numbers have upper halves; counts and numbers of the keys, 0 where not kept; then of each history the sum of
+    the counts and the number of its kept n-grams in this part.
     """
     h, w, total = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     held, size = [], 0
@@ -365,10 +390,9 @@ def _merge(group: pd.DataFrame, level: int, parts: int, least: int, last: bool)
     def fold() -> None:
         nonlocal h, w, total
         h, w = (np.concatenate([x, *(k[i] for k in held)]) for i, x in enumerate((h, w)))
-        order, first = _distinct(h, w)
+        order, first, h, w = _distinct(h, w)
         sums = np.concatenate([total, *(k[2] for k in held)])[order]
         total = np.add.reduceat(sums, np.flatnonzero(first)) if len(sums) else sums
-        h, w = h[order][first], w[order][first]
 
     for packed, counts in zip(group["keys"], group["counts"]):
         (own_h, own_w), c = _unpack_keys(packed), unsqueeze(counts).astype(np.int64)
@@ -382,7 +406,7 @@ def _merge(group: pd.DataFrame, level: int, parts: int, least: int, last: bool)
     part = int(group["bucket"].iloc[0])
     kept = total >= least
     h, w, total = h[kept], w[kept], total[kept]
-    numbers = np.zeros(len(h), np.uint64) if last else _numbers(np.arange(len(h)), part, parts)
+    numbers = np.zeros(len(h), np.uint32) if last else _numbers(np.arange(len(h)), part, parts)
     histories, starts = np.unique(h, return_index=True)
     sums = np.add.reduceat(total, starts) if len(h) else total
     kinds = np.diff(starts, append=len(h))
@@ -392,7 +416,9 @@ def _merge(group: pd.DataFrame, level: int, parts: int, least: int, last: bool)
         own_h, own_w = _unpack_keys(packed)
         at, hit = table.find(own_h, own_w)
         k, there = _find(histories, np.unique(own_h))
-        values.append(squeeze(np.concatenate([*_halves(pick(total, at, hit)), *_halves(pick(numbers, at, hit)), *_halves(pick(sums, k, there)), pick(kinds, k, there).astype(np.uint64)])))
+        columns = pick(total, at, hit), pick(numbers, at, hit), pick(sums, k, there)
+        wide = not _small(*columns)
+        values.append(squeeze(np.concatenate([[np.uint64(wide)], *(half for x in columns for half in _halves(x)[: 1 + wide]), pick(kinds, k, there).astype(np.uint64)])))
     out = pd.DataFrame({"block": group["block"], "level": level, "bucket": part, "value": values, "n": 0})
     return pd.concat([out, pd.DataFrame({"block": [-1], "level": [level], "bucket": [part], "value": [b""], "n": [len(h)]})])
 

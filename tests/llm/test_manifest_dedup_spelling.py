@@ -79,7 +79,7 @@ def brute_tree(digests, arity):
     return digests[0], chains
 
 
-@pytest.mark.parametrize(("arity", "stride"), [(16, 2), (3, 2), (2, 3), (4, 1)])
+@pytest.mark.parametrize(("arity", "stride"), [(16, 2), (3, 2), (2, 3)])
 def test_manifest_against_a_whole_tree(spark, arity, stride):
     docs = [(i, s) for s, n in (("b", 1), ("a", arity), (None, arity + 1), ("c", 83)) for i in range(n)]
     leaves = spark.createDataFrame([(i, s, sha(f"{s}{i}")) for i, s in docs], "doc_id long, source string, digest string").repartition(3)
@@ -190,7 +190,7 @@ def test_long_texts_are_cut_between_words(spark, monkeypatch):
     assert [w for r in got for w in re.findall("[A-Za-z]+", r.p or "")] == re.findall("[A-Za-z]+", text)
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.dictionaries(st.text("abé", min_size=1, max_size=6), st.integers(3, 40), min_size=1, max_size=60))
 def test_variants(spark, counts):
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
