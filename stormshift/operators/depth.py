@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormshift.sources.store import snapshot
+
 PLACE = ["watershed", "storm_path", "dy", "dx"]
 
 
@@ -68,7 +70,7 @@ ONE_TASK = 5_000_000
 
 
 def exceedance_by_size(depths: DataFrame, events: DataFrame, keys: tuple = ("watershed", "scenario", "realization"), renormalize: bool = False, largest: int | None = None, **names) -> DataFrame:
-    """exceedance, or the same in buckets where a realization of events, which depths come from, has more than ONE_TASK rows.
+    """exceedance, or the same by ranges where a realization of events, which depths come from, has more than ONE_TASK rows.
 
     largest: rows of the largest realization, where they are known; else they are counted.
     """
@@ -78,34 +80,28 @@ def exceedance_by_size(depths: DataFrame, events: DataFrame, keys: tuple = ("wat
         return exceedance(depths, keys, renormalize=renormalize, **names)
     weight = names.get("weight", "weight")
     if not renormalize:
-        return exceedance_by_buckets(depths, max(64, 4 * largest // ONE_TASK), keys, **names)
+        return exceedance_by_ranges(depths, max(64, 4 * largest // ONE_TASK), keys, **names)
     sums = depths.groupBy(*keys).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
     scaled = depths.join(sums, list(keys)).withColumn("_weight", F.col(weight))
     scaled = scaled.withColumn(weight, F.when(F.col("_sum") > 0, F.expr(f"try_divide({weight}, _sum)")).otherwise(1 / F.col("_n"))).drop("_sum", "_n")
-    out = exceedance_by_buckets(scaled, max(64, 4 * largest // ONE_TASK), keys, **names)
+    out = exceedance_by_ranges(scaled, max(64, 4 * largest // ONE_TASK), keys, **names)
     return out.withColumn(weight, F.col("_weight")).drop("_weight")
 
 
-def exceedance_by_buckets(depths: DataFrame, buckets: int = 256, keys: tuple = ("watershed", "scenario", "realization"), depth: str = "precip_avg_mm", weight: str = "weight") -> DataFrame:
-    """exceedance for realizations too large for one task: a running sum inside buckets, plus the weight of all deeper ones.
+def exceedance_by_ranges(depths: DataFrame, ranges: int = 256, keys: tuple = ("watershed", "scenario", "realization"), depth: str = "precip_avg_mm", weight: str = "weight") -> DataFrame:
+    """exceedance for realizations too large for one task: a running sum inside ranges of the order, plus the weight of all ranges before.
 
-    Buckets are cut at quantiles of (depth, place in a hash of the event), so that a depth that many events share is split, too.
+    Events are dealt by ranges of (realization, depth, event), so a depth that many events share is split like any other,
+    and event ids may be of any type that has an order. A task holds one range; offsets are a row for each realization and range.
     """
     keys = list(keys)
-    known = depths.where(F.col(depth).isNotNull())
-    cuts = known.groupBy(*keys).agg(F.percentile_approx(depth, [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_cuts"))
-    b = known.join(cuts, keys)
-    # twice the number of cuts below the depth, and one more if the depth is a cut itself: such depths stand alone and are split by ranges of the event
-    at = F.size(F.filter("_cuts", lambda c: c < F.col(depth)))
-    same = F.exists("_cuts", lambda c: c == F.col(depth))
-    ids = known.groupBy(*keys).agg(F.min("event_id").alias("_first"), F.max("event_id").alias("_last"))
-    b = b.join(ids, keys)
-    later = F.floor(F.coalesce(F.try_divide((F.col("_last") - F.col("event_id")) * F.lit(buckets), F.col("_last") - F.col("_first") + 1), F.lit(0)))
-    b = b.withColumn("_b", (2 * at.cast("long") + same.cast("long")) * (buckets + 1) + F.when(same, later).otherwise(0).cast("long")).drop("_cuts", "_first", "_last")
-    sums = b.groupBy(*keys, "_b").agg(F.sum(weight).alias("_sum"))
-    deeper = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_sum").over(deeper), F.lit(0.0)).alias("_deeper"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc(depth), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = b.withColumn("_own", F.sum(weight).over(inside)).join(sums, [*keys, "_b"]).withColumn("exc_prb", F.col("_deeper") + F.col("_own"))
+    order = [*keys, F.desc(depth), F.asc("event_id")]
+    known = depths.where(F.col(depth).isNotNull()).repartitionByRange(ranges, *order)
+    dealt = snapshot(known.withColumn("_p", F.spark_partition_id()), "ranges")  # read twice, and dealt once
+    sums = dealt.groupBy(*keys, "_p").agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, "_p", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_p").orderBy(F.desc(depth), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumn("_own", F.sum(weight).over(inside)).join(sums, [*keys, "_p"]).withColumn("exc_prb", F.col("_before") + F.col("_own"))
     missing = depths.where(F.col(depth).isNull()).withColumn("exc_prb", F.lit(None).cast("double"))
     return out.select(*depths.columns, "exc_prb").unionByName(missing)

@@ -341,7 +341,8 @@ def w2(spark, sf_dir):
 
 @query("w3_exceedance_by_buckets", ORACLE_SQL["w1_exceedance"])
 def w3(spark, sf_dir):
-    return rounded(depth.exceedance_by_buckets(event_depths(spark, sf_dir), 64, ("realization",), "depth").select("event_id", "realization", "exc_prb"))
+    """By ranges of the order, each of which one task holds."""
+    return rounded(depth.exceedance_by_ranges(event_depths(spark, sf_dir), 64, ("realization",), "depth").select("event_id", "realization", "exc_prb"))
 
 
 # curves -------------------------------------------------------------------------------------------------------------

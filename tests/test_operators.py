@@ -184,9 +184,14 @@ def test_proposal_checks():
 def test_exceedance(spark):
     df = spark.createDataFrame([(1, i, float(d) if d is not None else None, 0.25) for i, d in enumerate([5, 7, 7, None])], "realization int, event_id int, depth double, weight double")
     want = {0: 0.75, 1: 0.25, 2: 0.5, 3: None}
-    for f in (depth.exceedance, depth.exceedance_by_buckets):
+    for f in (depth.exceedance, depth.exceedance_by_ranges):
         got = {r.event_id: r.exc_prb for r in f(df, keys=("realization",), depth="depth").collect()}
         assert got == want
+    # text ids, many ties, several realizations, more ranges than some of them have events
+    rows = [(k, f"e{i:03d}", float(i % 3), 1.0 + i % 4) for k, n in ((1, 200), (2, 5), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "realization int, event_id string, depth double, weight double").repartition(3)
+    one, other = ({(r.realization, r.event_id): r.exc_prb for r in f(df).collect()} for f in (lambda d: depth.exceedance(d, ("realization",), "depth"), lambda d: depth.exceedance_by_ranges(d, 11, ("realization",), "depth")))
+    assert one == other and len(one) == 206
 
 
 def test_curves_equal_numpy(spark):
