@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet and read
 again before the next. All but the last return the columns of documents.
+
+Edge cases, in each stage: other columns are kept, whatever their names, and an empty table gives an empty result. Language ID
+drops null texts and texts without a letter; near-dedup keeps rows without a doc_id and links nothing to an empty text;
+mixing takes a null source as the last one and leaves out sources without words; packing gives an empty or null text one piece
+of one token, the end. Repeated rows: language ID keeps them all, near-dedup one of equal doc_id and text, mixing lets rows of
+one doc_id fare alike, packing packs each copy. A very long text is read whole by every stage, and cut by packing alone.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable]] = [("language_id", language_id), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
-#: A trained classifier, hashed candidates and a tokenizer: no stage is SQL. tests/llm has a brute-force version.
+#: A trained classifier, hashed candidates and a tokenizer: no stage is SQL. tests/llm holds each against a brute-force version.
 ORACLE_SQL = None
 
 
