@@ -14,7 +14,7 @@ other columns are kept by `mix`, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stormshift.llm._shared import checked_broadcast, free_name, partitions, written
@@ -35,13 +35,9 @@ def _numbered(df: DataFrame, *order) -> DataFrame:
     spark = df.sparkSession
     df = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     df = written(df.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("_r")), "numbered")
-    sizes = sorted((r[0], r[1]) for r in df.groupBy("_p").count().collect())  # a row per partition
-    before, total = {}, 0
-    for p, n in sizes:
-        before[p], total = total, total + n
-    pairs = [F.lit(x) for item in before.items() for x in item]
-    base = F.create_map(*pairs)[F.col("_p")] if pairs else F.lit(0)
-    return df.withColumn("_i", base + F.col("_r")).drop("_p", "_r")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = df.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return df.join(checked_broadcast(base), "_p").withColumn("_i", F.col("_base") + F.col("_r")).drop("_p", "_r", "_base")
 
 
 def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
