@@ -477,6 +477,28 @@ def g8(spark, sf_dir):
     return n.join(total, "stream").select("tenth", "stream", (F.abs(F.col("n") - F.col("total") / 10) < 5 * F.sqrt(0.09 * F.col("total"))).alias("even"))
 
 
+_EVERY = "samples AS (SELECT v.watershed, v.storm_path, v.x - c.x AS delx, v.y - c.y AS dely FROM valid v JOIN centers c ON c.storm_path = v.storm_path)"
+
+
+@query(
+    "g8_unbiased_depths",
+    sql.steps(sql.GRID, sql.PLACES, _EVERY, sql.means())
+    + f""" SELECT watershed, scenario, round(avg(m), 6) AS expected_mm, {derived.DRAWS_SQL} * {REALIZATIONS} AS events, true AS reached
+FROM (SELECT watershed, storm_path, avg(precip_avg_mm) AS m FROM means GROUP BY watershed, storm_path), (VALUES ('uniform'), ('gaussian')) AS v(scenario) GROUP BY watershed, scenario""",
+)
+def g8_unbiased(spark, sf_dir):
+    """Hashed streams in a whole study: the weighted mean depth of each proposal reaches that of all valid cells of all storms within six deviations."""
+    c, n = catalog(spark, sf_dir), derived.draws(spark, sf_dir)
+    every = study.placed(c.valid_cells.select("watershed", "storm_path", F.col("x").alias("newx"), F.col("y").alias("newy")), c)
+    means = depth.mean_depths_by_runs(every, c.watershed_mask, c.storm_rows)
+    expected = means.groupBy("watershed", "storm_path").agg(F.avg("precip_avg_mm").alias("m")).groupBy("watershed").agg(F.avg("m").alias("expected_mm"))
+    names = ("uniform", "gaussian")
+    events = store.snapshot(study.sample_events(c, {s: PROPOSALS[s] for s in names}, {s: (n, REALIZATIONS) for s in names}, seed=7), "events")
+    d = study.evaluate_depths(events, c, largest=n).join(expected, "watershed").withColumn("off", F.col("weight") * (F.col("precip_avg_mm") - F.col("expected_mm")))
+    sums = d.groupBy("watershed", "scenario", "expected_mm").agg(F.count("*").alias("events"), F.sum("off").alias("off"), F.sum(F.col("off") * F.col("off")).alias("square"))
+    return sums.select("watershed", "scenario", F.round("expected_mm", 6).alias("expected_mm"), "events", (F.abs("off") < 6 * F.sqrt("square")).alias("reached"))
+
+
 # grids ---------------------------------------------------------------------------------------------------------------
 
 _FINE = "fine AS (SELECT CAST(i // 40 AS INT) AS row, CAST(i % 40 AS INT) AS col, (5e-1 + i % 40) * 3e3 AS x, (5e-1 + i // 40) * 3e3 AS y FROM range(1200) t(i))"
