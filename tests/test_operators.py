@@ -1,6 +1,7 @@
 """Operators against numpy models on small data."""
 
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -265,6 +266,14 @@ def test_storms_from_files(spark, tmp_path):
         records.list_storms(spark, str(tmp_path), "*.none")
 
 
+def test_no_local_folder_on_a_cluster():
+    session = lambda master, **conf: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: {}), conf=conf)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            store.scratch(session(master), "x")
+        assert store.scratch(session(master, **{"spark.checkpoint.dir": "hdfs://all/work"}), "x").startswith("hdfs://all/work/x-")
+
+
 def test_baseline_columns(spark, tmp_path):
     spark.range(1).write.parquet(str(tmp_path / "x"))
     with pytest.raises(ValueError):
