@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormshift.sources.store import snapshot
+from stormshift.sources.store import growing, snapshot
 
 PLACE = ["watershed", "storm_path", "dy", "dx"]
 
@@ -19,7 +19,7 @@ def mean_depths(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, zero
     """
     wanted = shifts.select(*PLACE, "grid_id").distinct().join(mask, ["watershed", "grid_id"])
     wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("col") - F.col("dx")).alias("col"))
-    found = wanted.join(storm_cells.select("storm_path", "row", "col", "precip_mm"), ["storm_path", "row", "col"], "left")
+    found = wanted.join(growing(storm_cells.select("storm_path", "row", "col", "precip_mm")), ["storm_path", "row", "col"], "left")
     mean = F.sum(F.coalesce("precip_mm", F.lit(0.0))) / F.count("*") if zero_pad else F.when(F.count("precip_mm") == F.count("*"), F.avg("precip_mm"))
     return found.groupBy(*PLACE).agg(mean.alias("precip_avg_mm"))
 
@@ -44,7 +44,7 @@ def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_rows: DataFram
     """
     wanted = shifts.select(*PLACE, "grid_id").distinct().join(mask, ["watershed", "grid_id"])
     wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("c0") - F.col("dx") - 1).alias("_before"), (F.col("c1") - F.col("dx")).alias("_last"))
-    found = wanted.join(storm_rows, ["storm_path", "row"], "left")
+    found = wanted.join(growing(storm_rows), ["storm_path", "row"], "left")
     upto = lambda name, at: F.expr(f"CASE WHEN {at} < first OR first IS NULL THEN 0 ELSE {name}[least({at} - first, size({name}) - 1)] END")
     part = {name: upto(name, "_last") - upto(name, "_before") for name in ("ps", "seen")}
     total = found.groupBy(*PLACE).agg(F.sum(part["ps"]).alias("total"), F.sum(part["seen"]).alias("seen"), F.sum(F.col("_last") - F.col("_before")).alias("cells"))
@@ -58,7 +58,7 @@ def exceedance(depths: DataFrame, keys: tuple = ("watershed", "scenario", "reali
     if renormalize:
         sums = df.groupBy(*keys).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
         w = F.when(F.col("_sum") > 0, F.expr(f"try_divide({weight}, _sum)")).otherwise(1 / F.col("_n"))
-        df = df.join(sums, list(keys)).withColumn("_w", w)
+        df = df.join(sums.hint("shuffle_hash"), list(keys)).withColumn("_w", w)
     else:
         df = df.withColumn("_w", F.col(weight))
     order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(depth), "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -82,7 +82,7 @@ def exceedance_by_size(depths: DataFrame, events: DataFrame, keys: tuple = ("wat
     if not renormalize:
         return exceedance_by_ranges(depths, max(64, 4 * largest // ONE_TASK), keys, **names)
     sums = depths.groupBy(*keys).agg(F.sum(weight).alias("_sum"), F.count("*").alias("_n"))
-    scaled = depths.join(sums, list(keys)).withColumn("_weight", F.col(weight))
+    scaled = depths.join(sums.hint("shuffle_hash"), list(keys)).withColumn("_weight", F.col(weight))
     scaled = scaled.withColumn(weight, F.when(F.col("_sum") > 0, F.expr(f"try_divide({weight}, _sum)")).otherwise(1 / F.col("_n"))).drop("_sum", "_n")
     out = exceedance_by_ranges(scaled, max(64, 4 * largest // ONE_TASK), keys, **names)
     return out.withColumn(weight, F.col("_weight")).drop("_weight")
@@ -102,6 +102,6 @@ def exceedance_by_ranges(depths: DataFrame, ranges: int = 256, keys: tuple = ("w
     earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_p", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_p").orderBy(F.desc(depth), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.withColumn("_own", F.sum(weight).over(inside)).join(sums, [*keys, "_p"]).withColumn("exc_prb", F.col("_before") + F.col("_own"))
+    out = dealt.withColumn("_own", F.sum(weight).over(inside)).join(sums.hint("shuffle_hash"), [*keys, "_p"]).withColumn("exc_prb", F.col("_before") + F.col("_own"))
     missing = depths.where(F.col(depth).isNull()).withColumn("exc_prb", F.lit(None).cast("double"))
     return out.select(*depths.columns, "exc_prb").unionByName(missing)

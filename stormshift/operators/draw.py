@@ -1,6 +1,6 @@
 """Drawing events: uniforms, storms, cells and weights.
 
-Tables per storm, scenario or realization grow with the study, so no join here is forced to broadcast them.
+Tables per storm, scenario or realization grow with the study, so no join here broadcasts them; only the row per watershed is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormshift.operators.geometry import Grid, run_cells
+from stormshift.sources.store import growing
 
 KEYS = ["watershed", "scenario"]
 RUN = 5_000
@@ -56,7 +57,7 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 def drawable_storms(valid: DataFrame, centers: DataFrame) -> DataFrame:
     """watershed, storm_path, x, y, index from 0, storms: the storms that have a centre and a valid cell."""
-    live = valid.select("watershed", "storm_path").distinct().join(centers.select("storm_path", "x", "y"), "storm_path")
+    live = valid.select("watershed", "storm_path").distinct().join(growing(centers.select("storm_path", "x", "y")), "storm_path")
     w = Window.partitionBy("watershed")
     return live.select("watershed", "storm_path", "x", "y", (F.row_number().over(w.orderBy("storm_path")) - 1).cast("int").alias("index"), F.count("*").over(w).alias("storms"))
 
@@ -65,7 +66,7 @@ def weigh_cells(valid: DataFrame, density: DataFrame, grid: Grid) -> DataFrame:
     """Cells of valid runs for each scenario, with the densities, the running mass (lo, hi] and mass of their storm, its count, and rank."""
     cells = grid.placed(run_cells(valid, "watershed", "storm_path", "c0", "before", "count"))
     cells = cells.withColumn("rank", F.col("before") + F.col("col") - F.col("c0")).drop("c0", "before")
-    cells = cells.join(density, ["watershed", "row", "col"])
+    cells = cells.join(density.hint("shuffle_hash"), ["watershed", "row", "col"])  # no more rows than the grid has cells, for each scenario
     w = Window.partitionBy(*KEYS, "storm_path")
     order = w.orderBy("row", "col")
     cells = cells.withColumn("hi", F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -75,8 +76,8 @@ def weigh_cells(valid: DataFrame, density: DataFrame, grid: Grid) -> DataFrame:
 def draw_storms(events: DataFrame, storms: DataFrame, u: Column) -> DataFrame:
     """Every storm equally likely."""
     sizes = storms.groupBy("watershed").agg(F.max("storms").alias("storms"))
-    e = events.join(sizes, "watershed").withColumn("index", F.floor(u * F.col("storms")).cast("int"))
-    return e.drop("storms").join(storms.drop("storms"), ["watershed", "index"]).drop("index")
+    e = events.join(F.broadcast(sizes), "watershed").withColumn("index", F.floor(u * F.col("storms")).cast("int"))
+    return e.drop("storms").join(growing(storms.drop("storms")), ["watershed", "index"]).drop("index")
 
 
 def draw_uniform_cells(events: DataFrame, valid: DataFrame, u: Column, grid: Grid) -> DataFrame:
@@ -87,10 +88,10 @@ def draw_uniform_cells(events: DataFrame, valid: DataFrame, u: Column, grid: Gri
     """
     sizes = valid.groupBy("watershed", "storm_path").agg(F.first("count").alias("count"), F.count("*").alias("_runs"))
     bucket = lambda k: f"({k}) * _runs div count"
-    runs = valid.select("watershed", "storm_path", "row", "c0", "before", (F.col("c1") - F.col("c0") + 1).alias("_size")).join(sizes, ["watershed", "storm_path"])
+    runs = valid.select("watershed", "storm_path", "row", "c0", "before", (F.col("c1") - F.col("c0") + 1).alias("_size")).join(growing(sizes), ["watershed", "storm_path"])
     runs = runs.withColumn("_bucket", F.explode(F.expr(f"sequence({bucket('before')}, {bucket('before + _size - 1')})"))).drop("_runs", "count")
-    e = events.join(sizes, ["watershed", "storm_path"]).withColumn("_k", F.floor(u * F.col("count"))).withColumn("_bucket", F.expr(bucket("_k")))
-    e = e.join(runs, ["watershed", "storm_path", "_bucket"]).where("before <= _k and _k < before + _size")
+    e = events.join(growing(sizes), ["watershed", "storm_path"]).withColumn("_k", F.floor(u * F.col("count"))).withColumn("_bucket", F.expr(bucket("_k")))
+    e = e.join(growing(runs), ["watershed", "storm_path", "_bucket"]).where("before <= _k and _k < before + _size")
     e = e.withColumn("col", F.expr("CAST(c0 + _k - before AS INT)"))
     e = grid.placed(e.withColumnsRenamed({"x": "_x", "y": "_y"})).withColumnsRenamed({"x": "newx", "y": "newy", "_x": "x", "_y": "y"})
     return e.withColumns({"q": F.lit(1.0), "mass": F.col("count").cast("double")}).drop("_k", "_bucket", "_runs", "_size", "before", "c0", "row", "col")
@@ -105,11 +106,11 @@ def guide_table(weighed: DataFrame) -> DataFrame:
 def draw_weighted_cells(events: DataFrame, weighed: DataFrame, u: Column) -> DataFrame:
     """The cell whose running mass holds u times the storm's mass: an equi-join on the bucket, not a range join."""
     masses = weighed.groupBy(*KEYS, "storm_path").agg(F.first("mass").alias("mass"), F.first("count").alias("count"))
-    e = events.join(masses, [*KEYS, "storm_path"]).withColumn("_t", u * F.col("mass"))
+    e = events.join(growing(masses), [*KEYS, "storm_path"]).withColumn("_t", u * F.col("mass"))
     e = e.withColumn("_bucket", F.expr("CAST(least(floor(_t / mass * count), count - 1) AS LONG)"))
     own = [c for c in ("q_narrow", "q_wide") if c in weighed.columns]
     cells = guide_table(weighed).select(*KEYS, "storm_path", "_bucket", "lo", "hi", F.col("x").alias("newx"), F.col("y").alias("newy"), "row", "col", "q", *own)
-    return e.join(cells, [*KEYS, "storm_path", "_bucket"]).where("lo <= _t and _t < hi").drop("_bucket", "_t", "lo", "hi")
+    return e.join(growing(cells), [*KEYS, "storm_path", "_bucket"]).where("lo <= _t and _t < hi").drop("_bucket", "_t", "lo", "hi")
 
 
 def with_weights(events: DataFrame, fallback: bool = False) -> DataFrame:
@@ -127,6 +128,6 @@ def with_weights(events: DataFrame, fallback: bool = False) -> DataFrame:
 def with_shifts(events: DataFrame, storms: DataFrame) -> DataFrame:
     """Events with grid_id and the shift of their storm in whole cells of its grid, half to even. storms(storm_path, x, y, grid_id, cell_size)."""
     at = storms.select("storm_path", "grid_id", "cell_size", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    e = events.join(at, "storm_path")
+    e = events.join(growing(at), "storm_path")
     shift = lambda to, of: F.rint((F.col(to) - F.col(of)) / F.col("cell_size")).cast("int")
     return e.withColumns({"dx": shift("newx", "_x"), "dy": shift("newy", "_y")}).drop("_x", "_y", "cell_size")

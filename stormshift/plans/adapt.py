@@ -18,7 +18,7 @@ from stormshift.functions.text import num
 from stormshift.operators import depth as depth_
 from stormshift.operators import draw, proposal
 from stormshift.plans.study import SAMPLES, evaluate_depths, placed, sample_with, sampling_plan
-from stormshift.sources.store import Catalog, scratch, snapshot
+from stormshift.sources.store import Catalog, growing, scratch, snapshot
 
 KEYS = draw.KEYS
 #: Fixed value: the clip of latent scores in the correlation step.
@@ -72,7 +72,7 @@ class DepthMemo:
         spark, schema = shifts.sparkSession, "watershed string, storm_path string, dy int, dx int, precip_avg_mm double"
         fresh = shifts.select(*depth_.PLACE, "grid_id").distinct()
         if self.evaluated:
-            fresh = fresh.join(spark.read.schema(schema).parquet(f"{self.path}/*"), depth_.PLACE, "left_anti")
+            fresh = fresh.join(growing(spark.read.schema(schema).parquet(f"{self.path}/*")), depth_.PLACE, "left_anti")
         part = f"{self.path}/{len(self.evaluated)}"
         depth_.mean_depths_by_runs(fresh, self.catalog.watershed_mask, self.catalog.storm_rows).write.parquet(part)
         self.evaluated.append(spark.read.schema(schema).parquet(part).count())
@@ -139,13 +139,13 @@ class AdaptedProposals:
         """Events with normalized weight, reward and the narrow component's responsibility."""
         e = sample_with(self.catalog, self._plan(samples, 1), self.components(), uniforms=uniforms, fallback=True)
         e = snapshot(placed(e, self.catalog), "drawn")  # read twice: for the shifts that are new, and with their depths
-        e = e.join(self.memo.depths(e), depth_.PLACE).join(self.parameters().select(*KEYS, "mix"), KEYS)
+        e = e.join(growing(self.memo.depths(e)), depth_.PLACE).join(F.broadcast(self.parameters().select(*KEYS, "mix")), KEYS)
         e = e.withColumns({"r": F.expr(responsibility("mix", "q_narrow", "q_wide")), "reward": F.expr(reward("coalesce(precip_avg_mm, 0e0)", num(threshold)))})
         return e.select(*KEYS, "event_id", "newx", "newy", "row", "col", "weight", "reward", "r", "precip_avg_mm")
 
     def _moments(self, events: DataFrame) -> dict:
         """One job: responsibility's share of the reward, and moments about the present centre."""
-        e = events.join(self.parameters().select(*KEYS, "mu_x_n", "mu_y_n"), KEYS)
+        e = events.join(F.broadcast(self.parameters().select(*KEYS, "mu_x_n", "mu_y_n")), KEYS)  # a row per watershed and scenario, as in the driver
         w = F.col("weight") * F.col("reward")
         n = w * F.col("r")
         dx, dy = F.col("newx") - F.col("mu_x_n"), F.col("newy") - F.col("mu_y_n")
@@ -180,7 +180,7 @@ class AdaptedProposals:
         e = events
         for axis, i in (("x", "col"), ("y", "row")):
             scores = proposal.axis_scores(narrow, self.catalog.domain_grid, axis, SCORE_CLIP)
-            e = e.join(scores.select(*KEYS, i, f"s{axis}"), [*KEYS, i])
+            e = e.join(F.broadcast(scores.select(*KEYS, i, f"s{axis}")), [*KEYS, i])  # values of one axis of the grid
         w = F.col("weight") * F.col("reward") * F.col("r")
         sums = e.groupBy(*KEYS).agg(F.sum(w).alias("w"), *(F.sum(w * c).alias(k) for k, c in (("x", F.col("sx")), ("y", F.col("sy")), ("xx", F.col("sx") * F.col("sx")), ("yy", F.col("sy") * F.col("sy")), ("xy", F.col("sx") * F.col("sy")))))
         return {(r.watershed, r.scenario): r for r in sums.collect()}  # a row per watershed and scenario
@@ -202,4 +202,4 @@ class AdaptedProposals:
         e = snapshot(e, "final")  # read twice
         d = evaluate_depths(e, self.catalog, renormalize=True, largest=n)
         found = d.select(*KEYS, "realization", "event_id", "precip_avg_mm", "exc_prb")
-        return e.join(found, [*KEYS, "realization", "event_id"])
+        return e.join(growing(found), [*KEYS, "realization", "event_id"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stormshift.operators import curves, depth, draw, proposal
 from stormshift.operators.geometry import depth_of_runs, run_cells
 from stormshift.operators.proposal import Proposal
-from stormshift.sources.store import Catalog, snapshot
+from stormshift.sources.store import Catalog, growing, snapshot
 
 SAMPLES = ("watershed", "scenario", "realization", "realization_seed", "event_id", "storm_path", "x", "y", "newx", "newy", "delx", "dely", "weight_raw", "weight")
 
@@ -25,7 +25,7 @@ def sampling_plan(catalog: Catalog, sizes: dict[str, tuple[int, int]]) -> DataFr
 def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
     """The cells that weighted draws choose from, with densities of the cells that are valid for any storm."""
     grid = catalog.domain_grid
-    valid = catalog.valid_runs.join(catalog.storm_centers.select("storm_path"), "storm_path", "left_semi")
+    valid = catalog.valid_runs.join(growing(catalog.storm_centers.select("storm_path")), "storm_path", "left_semi")
     places = run_cells(depth_of_runs(valid, ["watershed"]), "watershed")
     density = proposal.densities(places, components, grid, floor, custom)
     return draw.weigh_cells(valid, density, grid)
@@ -33,7 +33,7 @@ def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Pro
 
 def sample_with(catalog: Catalog, plan: DataFrame, components: DataFrame, seed: int = 0, uniforms: Callable | None = None, guided: bool = True, fallback: bool = False, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
     """Events of every row of plan, with the density at the cell drawn. guided: by mass; else by rank, for uniform proposals."""
-    valid = catalog.valid_runs.join(catalog.storm_centers.select("storm_path"), "storm_path", "left_semi")
+    valid = catalog.valid_runs.join(growing(catalog.storm_centers.select("storm_path")), "storm_path", "left_semi")
     storms = draw.drawable_storms(valid, catalog.storm_centers)
     u = uniforms or draw.hashed(seed)
     events = draw.draw_storms(draw.generate(plan, seed), storms, u(1))
@@ -51,7 +51,7 @@ def sample_events(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[
 
     Uniform scenarios draw a cell by rank, the others by mass; both give the same distribution for a uniform proposal.
     """
-    draw.require_rows(catalog.valid_runs.join(catalog.storm_centers, "storm_path", "left_semi").limit(1), "no storm has a valid cell")
+    draw.require_rows(catalog.valid_runs.join(growing(catalog.storm_centers), "storm_path", "left_semi").limit(1), "no storm has a valid cell")
     stats = catalog.layer_stats.join(catalog.valid_runs.select(F.col("watershed").alias("layer")).distinct(), "layer", "left_semi")
     custom = {s: p for s, p in proposals.items() if p.family == "custom"}
     out = []
@@ -65,7 +65,7 @@ def sample_events(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[
 
 def placed(events: DataFrame, catalog: Catalog) -> DataFrame:
     """Events of known storms with grid_id and the shift (dy, dx) in cells of the storm's own grid."""
-    return draw.with_shifts(events, catalog.storm_centers.join(catalog.storm_grids.drop("x0", "y0", "rows", "cols"), "storm_path"))
+    return draw.with_shifts(events, catalog.storm_centers.join(growing(catalog.storm_grids.drop("x0", "y0", "rows", "cols")), "storm_path"))
 
 
 def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True, by_cells: bool = False, renormalize: bool = False, largest: int | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True,
             events = events.withColumn(c, F.lit(value))
     e = placed(events, catalog)
     means = depth.mean_depths(e, catalog.mask_cells, catalog.storm_cells, zero_pad) if by_cells else depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_rows, zero_pad)
-    e = e.join(means, depth.PLACE)
+    e = e.join(growing(means), depth.PLACE)
     names = [c for c in ("realization_seed",) if c in events.columns]
     e = e.select("watershed", "scenario", "realization", *names, "event_id", "storm_path", F.col("newx").alias("x"), F.col("newy").alias("y"), "newx", "newy", "weight", "precip_avg_mm")
     return depth.exceedance_by_size(e, events, renormalize=renormalize, largest=largest)
@@ -103,7 +103,7 @@ def nested_depths(depths: DataFrame, numbers: list[int]) -> DataFrame:
     by = ["watershed", "scenario", "realization"]
     sums = d.groupBy(*by).agg(F.sum("weight").alias("_sum"), F.count("*").alias("_rows"))
     share = F.when((F.col("_sum") > 0) & (F.col("_sum") < F.lit(float("inf"))), F.expr("try_divide(weight, _sum)")).otherwise(1 / F.col("_rows"))
-    d = d.join(sums, by).withColumn("weight", share).drop("_sum", "_rows")
+    d = d.join(sums.hint("shuffle_hash"), by).withColumn("weight", share).drop("_sum", "_rows")
     return depth.exceedance_by_size(d, d, largest=max(numbers))
 
 
