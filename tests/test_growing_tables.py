@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stormshift.operators import depth, draw
+from stormshift.operators import depth, draw, fields
 from stormshift.sources.store import snapshot
 
 
@@ -25,3 +25,16 @@ def test_no_growing_table_is_broadcast(spark):
     means = depth.mean_depths_by_runs(placed, mask, rows)
     assert means._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") <= 1  # the mask
     assert [r.precip_avg_mm for r in means.collect()] == [1.5]
+
+
+def test_totals_do_not_depend_on_the_order_of_rows(spark):
+    """0.1 + 0.2 + 0.3 is not 0.3 + 0.2 + 0.1 in floating point; the first of two equal cells must be the centre in any order."""
+    rows = [("s", f"r{i}", 0, col, v, 0.0, 0.0, 1.0) for col, vs in ((0, (0.1, 0.2, 0.3)), (1, (0.3, 0.2, 0.1))) for i, v in enumerate(vs)]
+    names = "storm_path string, record string, row int, col int, value double, ll_x double, ll_y double, cell_size double"
+    for each in (rows, rows[::-1]):
+        c = fields.cumulative(spark.createDataFrame(each, names).coalesce(1))
+        assert len({r.precip_mm for r in c.collect()}) == 1
+        assert fields.storm_centers(c).first().x == 0.5
+    odd = [("s", "r", 0, i, v, 0.0, 0.0, 1.0) for i, v in enumerate((None, float("inf"), float("nan"), 1e30))]
+    got = {r.col: r.precip_mm for r in fields.cumulative(spark.createDataFrame(odd, names)).collect()}
+    assert got[0] == 0.0 and got[1] == float("inf") and got[2] != got[2] and got[3] == 1e30
