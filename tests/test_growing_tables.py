@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stormshift.operators import depth, draw, fields
+from stormshift.operators import align, depth, draw, fields
 from stormshift.sources.store import snapshot
 
 
@@ -38,3 +38,14 @@ def test_totals_do_not_depend_on_the_order_of_rows(spark):
     odd = [("s", "r", 0, i, v, 0.0, 0.0, 1.0) for i, v in enumerate((None, float("inf"), float("nan"), 1e30))]
     got = {r.col: r.precip_mm for r in fields.cumulative(spark.createDataFrame(odd, names)).collect()}
     assert got[0] == 0.0 and got[1] == float("inf") and got[2] != got[2] and got[3] == 1e30
+
+
+def test_alignment_deals_its_source_by_size(spark, monkeypatch):
+    """Tasks grow with the source, so that the memory of one does not."""
+    monkeypatch.setattr(align, "CELLS_PER_TASK", 8)
+    cells = spark.sql("SELECT concat('s', s) AS storm_path, x + 5e-1 AS x, y + 5e-1 AS y, CAST(10 * s + x + y AS DOUBLE) AS precip_mm FROM (SELECT explode(sequence(1, 8)) AS s), (SELECT explode(sequence(0, 1)) AS x), (SELECT explode(sequence(0, 1)) AS y)")
+    grid = spark.createDataFrame([(0, 0, 1.0, 1.0), (0, 1, 0.5, 1.5)], "row int, col int, x double, y double")
+    out = align.align(cells, grid, "linear")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(storm_path" in plan and ", 5)" in plan.split("hashpartitioning(storm_path", 1)[1][:40]
+    assert {(r.storm_path, r.col): r.precip_mm for r in out.collect()} == {(f"s{s}", c): 10 * s + 1.0 for s in range(1, 9) for c in (0, 1)}
