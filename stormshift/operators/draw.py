@@ -63,14 +63,22 @@ def drawable_storms(valid: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def weigh_cells(valid: DataFrame, density: DataFrame, grid: Grid) -> DataFrame:
-    """Cells of valid runs for each scenario, with the densities, the running mass (lo, hi] and mass of their storm, its count, and rank."""
+    """Cells of valid runs for each scenario, with the densities, the running mass (lo, hi] and mass of their storm, its count, and rank.
+
+    Mass is added in whole units, 2^62 / count of them for the storm's densest cell: as fine as doubles are, but a total that the order
+    of adding does not change, and that stays below 2^63.
+    """
     cells = grid.placed(run_cells(valid, "watershed", "storm_path", "c0", "before", "count"))
     cells = cells.withColumn("rank", F.col("before") + F.col("col") - F.col("c0")).drop("c0", "before")
     cells = cells.join(density.hint("shuffle_hash"), ["watershed", "row", "col"])  # no more rows than the grid has cells, for each scenario
     w = Window.partitionBy(*KEYS, "storm_path")
-    order = w.orderBy("row", "col")
-    cells = cells.withColumn("hi", F.sum("q").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return cells.withColumns({"lo": F.coalesce(F.lag("hi").over(order), F.lit(0.0)), "mass": F.max("hi").over(w)})
+    cells = cells.withColumn("_top", F.max("q").over(w)).withColumn("_scale", F.lit(2.0**62) / F.col("count"))
+    cells = cells.withColumn("_units", F.floor(F.col("q") / F.col("_top") * F.col("_scale")))
+    upto = F.sum("_units").over(w.orderBy("row", "col").rowsBetween(Window.unboundedPreceding, 0))
+    cells = cells.withColumns({"_upto": upto, "_total": F.sum("_units").over(w)})
+    mass = lambda units: units / F.col("_scale") * F.col("_top")
+    cells = cells.withColumns({"hi": mass(F.col("_upto")), "lo": mass(F.col("_upto") - F.col("_units")), "mass": mass(F.col("_total"))})
+    return cells.drop("_top", "_scale", "_units", "_upto", "_total")
 
 
 def draw_storms(events: DataFrame, storms: DataFrame, u: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormshift.functions.normal import CLIP, copula, truncated
-from stormshift.functions.scalars import center
+from stormshift.functions.scalars import center, short
 from stormshift.functions.text import num
 from stormshift.operators.geometry import Grid
 
@@ -90,7 +90,10 @@ def axis_scores(component_rows: DataFrame, grid: Grid, axis: str, clip: float =
 
 
 def densities(places: DataFrame, component_rows: DataFrame, grid: Grid, floor: float = FLOOR, custom: dict[str, Proposal] | None = None) -> DataFrame:
-    """watershed, scenario, row, col, q, q_narrow, q_wide for places(watershed, row, col): the cells that are asked for, not the grid."""
+    """watershed, scenario, row, col, q, q_narrow, q_wide for places(watershed, row, col): the cells that are asked for, not the grid.
+
+    q has 32 bits, so that the last bit of a logarithm, which engines differ in, does not reach masses and weights.
+    """
     keys = ["watershed", "scenario", "component"]
     fx, fy = (axis_scores(component_rows, grid, a) for a in "xy")
     t = grid.placed(places.select("watershed", "row", "col")).join(component_rows, "watershed")
@@ -103,4 +106,5 @@ def densities(places: DataFrame, component_rows: DataFrame, grid: Grid, floor: f
     t = t.withColumn("d", own)
     q = F.greatest(F.sum(F.col("share") * F.col("d")), F.lit(floor))
     of = lambda name: F.max(F.when(F.col("component") == name, F.greatest("d", F.lit(floor))))
-    return t.groupBy("watershed", "scenario", "row", "col").agg(q.alias("q"), of("narrow").alias("q_narrow"), of("wide").alias("q_wide"))
+    out = t.groupBy("watershed", "scenario", "row", "col").agg(q.alias("q"), of("narrow").alias("q_narrow"), of("wide").alias("q_wide"))
+    return out.withColumn("q", F.expr(short("q")))

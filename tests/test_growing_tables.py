@@ -1,8 +1,12 @@
 """Tables that grow: what the driver must not collect, what must not depend on the order of rows."""
 
+import math
+
 from pyspark.sql import functions as F
 
+from stormshift.functions import scalars
 from stormshift.operators import align, depth, draw, fields
+from stormshift.operators.geometry import Grid
 from stormshift.sources.store import snapshot
 
 
@@ -49,3 +53,26 @@ def test_alignment_deals_its_source_by_size(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(storm_path" in plan and ", 5)" in plan.split("hashpartitioning(storm_path", 1)[1][:40]
     assert {(r.storm_path, r.col): r.precip_mm for r in out.collect()} == {(f"s{s}", c): 10 * s + 1.0 for s in range(1, 9) for c in (0, 1)}
+
+
+def test_masses_do_not_depend_on_the_order_of_adding(spark):
+    """Sums of doubles differ in their last bits between engines; masses are whole units of the densest cell, the same however they are added."""
+    n = 300
+    valid = spark.createDataFrame([("a", "storm_1", 0, 0, n - 1, 0, n)], "watershed string, storm_path string, row int, c0 int, c1 int, before long, count long")
+    q = [1e-10 / (1 + 0.37 * i) ** 2 for i in range(n)]
+    density = spark.createDataFrame([("a", "s", 0, i, x, x, x) for i, x in enumerate(q)], "watershed string, scenario string, row int, col int, q double, q_narrow double, q_wide double")
+    got = {r.col: r for r in draw.weigh_cells(valid, density, Grid.over(0, 0, n, 1, 1.0)).collect()}
+    top, scale = max(q), 2.0**62 / n
+    units = [math.floor(x / top * scale) for x in q]
+    mass = lambda u: u / scale * top
+    for i in range(n):
+        assert (got[i].lo, got[i].hi, got[i].mass) == (mass(sum(units[:i])), mass(sum(units[: i + 1])), mass(sum(units)))
+    assert abs(got[0].mass - math.fsum(q)) < 1e-14 * math.fsum(q)
+
+
+def test_densities_end_before_the_bits_that_engines_differ_in(spark):
+    x = spark.createDataFrame([(1.0,), (0.1,), (math.nextafter(0.1, 1.0),), (3.7e-10,), (1e-300,), (1e301,)], "q double")
+    got = [r[0] for r in x.select(F.expr(scalars.short("q"))).collect()]
+    assert got[0] == 1.0 and got[1] == got[2] and got[5] == 1e301
+    for want, value in zip((1.0, 0.1, 0.1, 3.7e-10, 1e-300), got):
+        assert abs(value - want) <= 2.0**-32 * want and (math.frexp(value)[0] * 2**32).is_integer()
