@@ -132,6 +132,7 @@ def summarize(
     keys = [c for c in keys if c in depths.columns]
     grouped = depths if keys else depths.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
+    grouped = snapshot(grouped.select(*by, realization_col, precip_col, exc_col), "depths")  # read three times
     points = curve_points(grouped, by, k, precip_col, exc_col, realization_col)
     curves = interpolate(points, by, rp_min, top_period(points, by, rp_min, rp_max_cap, use_common_min))
     out = (bands_by_selection if realizations > ONE_TASK else bands)(curves, by).where(F.coalesce("mean_in", "median_in").isNotNull())

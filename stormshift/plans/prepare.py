@@ -36,7 +36,7 @@ def prepare_catalog(grid_cells: DataFrame, domain: DataFrame, watersheds: DataFr
         outer = geometry.layer_stats(domain).first()
         box = (outer.minx, outer.miny, outer.maxx, outer.maxy)
     grid = geometry.Grid.over(*box, cell)
-    region = standing_region(domain, watersheds, grid, max_seg_len)
+    region = snapshot(standing_region(domain, watersheds, grid, max_seg_len), "region")
     valid = geometry.valid_runs(geometry.layer_runs(domain, grid), region, centers, geometry.layer_stats(watersheds), grid)
     mask = geometry.layer_runs(watersheds, grids.drop("storm_path").distinct()).withColumnRenamed("layer", "watershed")
     return Catalog(

@@ -25,7 +25,7 @@ def sampling_plan(catalog: Catalog, sizes: dict[str, tuple[int, int]]) -> DataFr
 def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
     """The cells that weighted draws choose from, with densities of the cells that are valid for any storm."""
     grid = catalog.domain_grid
-    valid = catalog.valid_runs.join(growing(catalog.storm_centers.select("storm_path")), "storm_path", "left_semi")
+    valid = catalog.live_runs
     places = run_cells(depth_of_runs(valid, ["watershed"]), "watershed")
     density = proposal.densities(places, components, grid, floor, custom)
     return draw.weigh_cells(valid, density, grid)
@@ -33,8 +33,8 @@ def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Pro
 
 def sample_with(catalog: Catalog, plan: DataFrame, components: DataFrame, seed: int = 0, uniforms: Callable | None = None, guided: bool = True, fallback: bool = False, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
     """Events of every row of plan, with the density at the cell drawn. guided: by mass; else by rank, for uniform proposals."""
-    valid = catalog.valid_runs.join(growing(catalog.storm_centers.select("storm_path")), "storm_path", "left_semi")
-    storms = draw.drawable_storms(valid, catalog.storm_centers)
+    valid = catalog.live_runs
+    storms = snapshot(draw.drawable_storms(valid, catalog.storm_centers), "storms")  # read twice
     u = uniforms or draw.hashed(seed)
     events = draw.draw_storms(draw.generate(plan, seed), storms, u(1))
     if guided:
@@ -42,7 +42,7 @@ def sample_with(catalog: Catalog, plan: DataFrame, components: DataFrame, seed:
         events = draw.draw_weighted_cells(events, weighed, u(2))
     else:
         events = draw.draw_uniform_cells(events, valid, u(2), catalog.domain_grid)
-    events = draw.with_weights(events, fallback)
+    events = draw.with_weights(snapshot(events, "drawn"), fallback)  # read twice: for the sum of weights, and to be weighed
     return events.withColumns({"delx": F.col("newx") - F.col("x"), "dely": F.col("newy") - F.col("y")})
 
 
@@ -51,7 +51,7 @@ def sample_events(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[
 
     Uniform scenarios draw a cell by rank, the others by mass; both give the same distribution for a uniform proposal.
     """
-    draw.require_rows(catalog.valid_runs.join(growing(catalog.storm_centers), "storm_path", "left_semi").limit(1), "no storm has a valid cell")
+    draw.require_rows(catalog.live_runs.limit(1), "no storm has a valid cell")
     stats = catalog.layer_stats.join(catalog.valid_runs.select(F.col("watershed").alias("layer")).distinct(), "layer", "left_semi")
     custom = {s: p for s, p in proposals.items() if p.family == "custom"}
     out = []
@@ -65,7 +65,7 @@ def sample_events(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[
 
 def placed(events: DataFrame, catalog: Catalog) -> DataFrame:
     """Events of known storms with grid_id and the shift (dy, dx) in cells of the storm's own grid."""
-    return draw.with_shifts(events, catalog.storm_centers.join(growing(catalog.storm_grids.drop("x0", "y0", "rows", "cols")), "storm_path"))
+    return draw.with_shifts(events, catalog.storm_places)
 
 
 def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True, by_cells: bool = False, renormalize: bool = False, largest: int | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True,
             events = events.withColumn(c, F.lit(value))
     e = placed(events, catalog)
     means = depth.mean_depths(e, catalog.mask_cells, catalog.storm_cells, zero_pad) if by_cells else depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_rows, zero_pad)
-    e = e.join(growing(means), depth.PLACE)
+    e = e.join(growing(snapshot(means, "means")), depth.PLACE)  # a plan of its own: else every later one holds it, as often as it reads depths
     names = [c for c in ("realization_seed",) if c in events.columns]
     e = e.select("watershed", "scenario", "realization", *names, "event_id", "storm_path", F.col("newx").alias("x"), F.col("newy").alias("y"), "newx", "newy", "weight", "precip_avg_mm")
     return depth.exceedance_by_size(e, events, renormalize=renormalize, largest=largest)
@@ -112,7 +112,8 @@ def sweep(catalog: Catalog, family: Proposal, numbers: list[int], realizations:
     most = max(numbers)
     events = snapshot(sample_events(catalog, {"n": family}, {"n": (most, realizations)}, seed, uniforms), "events")  # read twice
     depths = snapshot(evaluate_depths(events, catalog, largest=most), "depths")  # read once for each number
-    out = curves.compare(baseline, curves.summarize(nested_depths(depths, numbers), realizations=realizations, **summary))
+    sim = snapshot(curves.summarize(nested_depths(depths, numbers), realizations=realizations, **summary), "summary")  # read twice
+    out = curves.compare(baseline, sim)
     out = out.withColumn("num_simulations", F.substring("scenario", 2, 20).cast("long"))
     return out.withColumn("reduction_pct", 100.0 * (baseline_n - F.col("num_simulations")) / baseline_n)
 

@@ -5,8 +5,10 @@ import math
 from pyspark.sql import functions as F
 
 from stormshift.functions import scalars
-from stormshift.operators import align, depth, draw, fields
+from stormshift.operators import align, curves, depth, draw, fields
 from stormshift.operators.geometry import Grid
+from stormshift.operators.proposal import Proposal
+from stormshift.plans import prepare, study
 from stormshift.sources.store import snapshot
 
 
@@ -76,3 +78,20 @@ def test_densities_end_before_the_bits_that_engines_differ_in(spark):
     assert got[0] == 1.0 and got[1] == got[2] and got[5] == 1e301
     for want, value in zip((1.0, 0.1, 0.1, 3.7e-10, 1e-300), got):
         assert abs(value - want) <= 2.0**-32 * want and (math.frexp(value)[0] * 2**32).is_integer()
+
+
+def test_plans_of_a_study_are_cut(spark):
+    """A plan that holds the steps before it, once for each time it reads them, fills the driver's memory: one of m6 had 49 scans, each with broadcasts of its own."""
+    cells = spark.sql("SELECT 'storm_1' AS storm_path, 'SHG PRECIPITATION' AS record, r AS row, c AS col, CAST(r + c AS DOUBLE) AS value, 0e0 AS ll_x, 0e0 AS ll_y, 1e0 AS cell_size FROM (SELECT explode(sequence(0, 5)) AS r), (SELECT explode(sequence(0, 5)) AS c)")
+    ring = lambda name, a, b: [(name, 0, 0, i, x, y) for i, (x, y) in enumerate(((a, a), (b, a), (b, b), (a, b), (a, a)))]
+    domain, shed = (spark.createDataFrame(ring(*x), "layer string, part int, ring int, seq int, x double, y double") for x in (("domain", 0.0, 6.0), ("a", 2.0, 4.0)))
+    catalog = prepare.prepare_catalog(cells, domain, shed, 1.0, 1.0).written()
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    events = study.sample_events(catalog, {"u": Proposal(), "g": Proposal("gaussian", sd_x=2.0, sd_y=2.0)}, {"u": (50, 2), "g": (40, 2)})
+    assert scans(events) == 4  # drawn events of both kinds, and the sums of their weights
+    events = snapshot(events, "events")
+    depths = study.evaluate_depths(events, catalog)
+    assert scans(depths) == 3  # events, places of storms, means
+    summary = curves.summarize(depths)
+    assert scans(summary) == 3  # depths for the curves, for the longest period, and for the census
+    assert depths.count() == 180 and {(r.scenario, r.n_realizations, r.n_samples_per_realization) for r in summary.collect()} == {("u", 2, 50), ("g", 2, 40)}
