@@ -9,7 +9,7 @@ from stormshift.operators import align, curves, depth, draw, fields
 from stormshift.operators.geometry import Grid
 from stormshift.operators.proposal import Proposal
 from stormshift.plans import prepare, study
-from stormshift.sources.store import snapshot
+from stormshift.sources.store import dealt, snapshot
 
 
 def events_of(spark, n=1000):
@@ -95,3 +95,10 @@ def test_plans_of_a_study_are_cut(spark):
     summary = curves.summarize(depths)
     assert scans(summary) == 3  # depths for the curves, for the longest period, and for the census
     assert depths.count() == 180 and {(r.scenario, r.n_realizations, r.n_samples_per_realization) for r in summary.collect()} == {("u", 2, 50), ("g", 2, 40)}
+
+
+def test_files_of_many_storms_are_written_by_many_tasks(spark):
+    """Spark puts small partitions together by their bytes, but a task's work is the number of files that it writes."""
+    storms = spark.range(64).select(F.concat(F.lit("storm_"), "id").alias("storm_path"))
+    assert dealt(storms, "storm_path").select(F.spark_partition_id()).distinct().count() == 4
+    assert storms.repartition("storm_path").select(F.spark_partition_id()).distinct().count() == 1
