@@ -15,6 +15,8 @@ from stormshift.sources.store import growing
 
 KEYS = ["watershed", "scenario"]
 RUN = 5_000
+#: More than a share of the mass can change by rounding.
+ROUNDING = 1e-14
 
 
 def hashed(seed: int) -> Callable[[int], Column]:
@@ -62,6 +64,16 @@ def drawable_storms(valid: DataFrame, centers: DataFrame) -> DataFrame:
     return live.select("watershed", "storm_path", "x", "y", (F.row_number().over(w.orderBy("storm_path")) - 1).cast("int").alias("index"), F.count("*").over(w).alias("storms"))
 
 
+def alike(valid: DataFrame) -> DataFrame:
+    """watershed, storm_path, like, count, _runs: for each storm the first, by name, of those with the very same valid runs, and how many cells and runs these are.
+
+    What a storm may be moved to hangs on its centre alone, so storms on one grid have no more sets of valid cells than the grid has cells.
+    """
+    runs = F.array_sort(F.collect_list(F.struct("row", "c0", "c1"))).cast("string")
+    each = valid.groupBy("watershed", "storm_path").agg(F.sha2(runs, 256).alias("_set"), F.first("count").alias("count"), F.count("*").alias("_runs"))
+    return each.withColumn("like", F.min("storm_path").over(Window.partitionBy("watershed", "_set"))).select("watershed", "storm_path", "like", "count", "_runs")
+
+
 def weigh_cells(valid: DataFrame, density: DataFrame, grid: Grid) -> DataFrame:
     """Cells of valid runs for each scenario, with the densities, the running mass (lo, hi] and mass of their storm, its count, and rank.
 
@@ -92,13 +104,14 @@ def draw_uniform_cells(events: DataFrame, valid: DataFrame, u: Column, grid: Gri
     """The floor(u count)-th valid cell of the event's storm, found in its runs by their counts.
 
     A storm's ranks are cut into as many equal buckets as it has runs; a run lies under the buckets that it reaches into, twice as
-    many rows as runs at most, and an event meets the few runs of its bucket.
+    many rows as runs at most, and an event meets the few runs of its bucket. Events may hold count and _runs, see alike.
     """
     sizes = valid.groupBy("watershed", "storm_path").agg(F.first("count").alias("count"), F.count("*").alias("_runs"))
     bucket = lambda k: f"({k}) * _runs div count"
     runs = valid.select("watershed", "storm_path", "row", "c0", "before", (F.col("c1") - F.col("c0") + 1).alias("_size")).join(growing(sizes), ["watershed", "storm_path"])
     runs = runs.withColumn("_bucket", F.explode(F.expr(f"sequence({bucket('before')}, {bucket('before + _size - 1')})"))).drop("_runs", "count")
-    e = events.join(growing(sizes), ["watershed", "storm_path"]).withColumn("_k", F.floor(u * F.col("count"))).withColumn("_bucket", F.expr(bucket("_k")))
+    e = events if "_runs" in events.columns else events.join(growing(sizes), ["watershed", "storm_path"])
+    e = e.withColumn("_k", F.floor(u * F.col("count"))).withColumn("_bucket", F.expr(bucket("_k")))
     e = e.join(growing(runs), ["watershed", "storm_path", "_bucket"]).where("before <= _k and _k < before + _size")
     e = e.withColumn("col", F.expr("CAST(c0 + _k - before AS INT)"))
     e = grid.placed(e.withColumnsRenamed({"x": "_x", "y": "_y"})).withColumnsRenamed({"x": "newx", "y": "newy", "_x": "x", "_y": "y"})
@@ -106,19 +119,19 @@ def draw_uniform_cells(events: DataFrame, valid: DataFrame, u: Column, grid: Gri
 
 
 def guide_table(weighed: DataFrame) -> DataFrame:
-    """Cells under the buckets of equal mass that they reach into: at most twice as many rows as cells."""
-    to = lambda c: F.expr(f"CAST(least(floor({c} / mass * count), count - 1) AS LONG)")
-    return weighed.withColumn("_bucket", F.explode(F.sequence(to("lo"), to("hi"))))
+    """Cells under the buckets of equal mass that they reach into, and that rounding may reach: hardly more than twice as many rows as cells."""
+    to = lambda c, of: F.expr(f"CAST(least(floor({c} / mass * count * {of!r}), count - 1) AS LONG)")
+    return weighed.withColumn("_bucket", F.explode(F.sequence(to("lo", 1 - ROUNDING), to("hi", 1 + ROUNDING))))
 
 
 def draw_weighted_cells(events: DataFrame, weighed: DataFrame, u: Column) -> DataFrame:
-    """The cell whose running mass holds u times the storm's mass: an equi-join on the bucket, not a range join."""
-    masses = weighed.groupBy(*KEYS, "storm_path").agg(F.first("mass").alias("mass"), F.first("count").alias("count"))
-    e = events.join(growing(masses), [*KEYS, "storm_path"]).withColumn("_t", u * F.col("mass"))
-    e = e.withColumn("_bucket", F.expr("CAST(least(floor(_t / mass * count), count - 1) AS LONG)"))
+    """The cell whose running mass holds u times the storm's mass: an equi-join on the bucket, not a range join. Events may hold count, see alike."""
+    if "count" not in events.columns:
+        events = events.join(growing(weighed.groupBy(*KEYS, "storm_path").agg(F.first("count").alias("count"))), [*KEYS, "storm_path"])
+    e = events.withColumn("_u", u).withColumn("_bucket", F.expr("CAST(least(floor(_u * count), count - 1) AS LONG)")).drop("count")
     own = [c for c in ("q_narrow", "q_wide") if c in weighed.columns]
-    cells = guide_table(weighed).select(*KEYS, "storm_path", "_bucket", "lo", "hi", F.col("x").alias("newx"), F.col("y").alias("newy"), "row", "col", "q", *own)
-    return e.join(growing(cells), [*KEYS, "storm_path", "_bucket"]).where("lo <= _t and _t < hi").drop("_bucket", "_t", "lo", "hi")
+    cells = guide_table(weighed).select(*KEYS, "storm_path", "_bucket", "lo", "hi", F.col("x").alias("newx"), F.col("y").alias("newy"), "row", "col", "q", "mass", "count", *own)
+    return e.join(growing(cells), [*KEYS, "storm_path", "_bucket"]).where("lo <= _u * mass and _u * mass < hi").drop("_bucket", "_u", "lo", "hi")
 
 
 def with_weights(events: DataFrame, fallback: bool = False) -> DataFrame:

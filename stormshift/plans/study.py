@@ -22,10 +22,10 @@ def sampling_plan(catalog: Catalog, sizes: dict[str, tuple[int, int]]) -> DataFr
     return names.select("watershed", F.explode(each).alias("p")).select("watershed", "p.*")
 
 
-def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
-    """The cells that weighted draws choose from, with densities of the cells that are valid for any storm."""
+def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR, runs: DataFrame | None = None) -> DataFrame:
+    """The cells that weighted draws choose from, with densities of the cells that are valid for any storm. runs: those of all storms, by default."""
     grid = catalog.domain_grid
-    valid = catalog.live_runs
+    valid = catalog.live_runs if runs is None else runs
     places = run_cells(depth_of_runs(valid, ["watershed"]), "watershed")
     density = proposal.densities(places, components, grid, floor, custom)
     return draw.weigh_cells(valid, density, grid)
@@ -33,15 +33,18 @@ def weighed_cells(catalog: Catalog, components: DataFrame, custom: dict[str, Pro
 
 def sample_with(catalog: Catalog, plan: DataFrame, components: DataFrame, seed: int = 0, uniforms: Callable | None = None, guided: bool = True, fallback: bool = False, custom: dict[str, Proposal] | None = None, floor: float = proposal.FLOOR) -> DataFrame:
     """Events of every row of plan, with the density at the cell drawn. guided: by mass; else by rank, for uniform proposals."""
-    valid = catalog.live_runs
-    storms = snapshot(draw.drawable_storms(valid, catalog.storm_centers), "storms")  # read twice
+    storms = draw.drawable_storms(catalog.live_runs, catalog.storm_centers).join(growing(catalog.alike_storms), ["watershed", "storm_path"])
+    storms = snapshot(storms, "storms")  # read twice
     u = uniforms or draw.hashed(seed)
     events = draw.draw_storms(draw.generate(plan, seed), storms, u(1))
+    # cells are looked up under the first storm that has the same
+    valid, events = catalog.shared_runs, events.withColumnsRenamed({"storm_path": "_storm", "like": "storm_path"})
     if guided:
-        weighed = snapshot(weighed_cells(catalog, components, custom, floor), "weighed")  # read twice
-        events = draw.draw_weighted_cells(events, weighed, u(2))
+        weighed = snapshot(weighed_cells(catalog, components, custom, floor, valid), "weighed")
+        events = draw.draw_weighted_cells(events.drop("_runs"), weighed, u(2))
     else:
         events = draw.draw_uniform_cells(events, valid, u(2), catalog.domain_grid)
+    events = events.drop("storm_path").withColumnRenamed("_storm", "storm_path")
     events = draw.with_weights(snapshot(events, "drawn"), fallback)  # read twice: for the sum of weights, and to be weighed
     return events.withColumns({"delx": F.col("newx") - F.col("x"), "dely": F.col("newy") - F.col("y")})
 
@@ -68,28 +71,40 @@ def placed(events: DataFrame, catalog: Catalog) -> DataFrame:
     return draw.with_shifts(events, catalog.storm_places)
 
 
-def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True, by_cells: bool = False, renormalize: bool = False, largest: int | None = None) -> DataFrame:
-    """Mean depth over the watershed and exceedance for each event. x, y are the new centre, as are newx, newy.
+def event_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True, by_cells: bool = False) -> DataFrame:
+    """Mean depth over the watershed for each event. x, y are the new centre, as are newx, newy.
 
     Events without a realization belong to realization 1; events of unknown storms are dropped; empty in, empty out.
-    by_cells: cell by cell instead of run by run. largest: events of the largest realization, if known.
+    by_cells: cell by cell instead of run by run.
     """
-    for c, value in (("realization", 1), ("scenario", "")):
-        if c not in events.columns:
-            events = events.withColumn(c, F.lit(value))
+    events = _with_keys(events)
     e = placed(events, catalog)
     means = depth.mean_depths(e, catalog.mask_cells, catalog.storm_cells, zero_pad) if by_cells else depth.mean_depths_by_runs(e, catalog.watershed_mask, catalog.storm_rows, zero_pad)
     e = e.join(growing(snapshot(means, "means")), depth.PLACE)  # a plan of its own: else every later one holds it, as often as it reads depths
     names = [c for c in ("realization_seed",) if c in events.columns]
-    e = e.select("watershed", "scenario", "realization", *names, "event_id", "storm_path", F.col("newx").alias("x"), F.col("newy").alias("y"), "newx", "newy", "weight", "precip_avg_mm")
-    return depth.exceedance_by_size(e, events, renormalize=renormalize, largest=largest)
+    return e.select("watershed", "scenario", "realization", *names, "event_id", "storm_path", F.col("newx").alias("x"), F.col("newy").alias("y"), "newx", "newy", "weight", "precip_avg_mm")
+
+
+def _with_keys(events: DataFrame) -> DataFrame:
+    return events.withColumns({c: F.lit(value) for c, value in (("realization", 1), ("scenario", "")) if c not in events.columns})
+
+
+def evaluate_depths(events: DataFrame, catalog: Catalog, zero_pad: bool = True, by_cells: bool = False, renormalize: bool = False, largest: int | None = None) -> DataFrame:
+    """event_depths and exceedance for each event. largest: events of the largest realization, if known."""
+    return depth.exceedance_by_size(event_depths(events, catalog, zero_pad, by_cells), _with_keys(events), renormalize=renormalize, largest=largest)
+
+
+def curve_depths(events: DataFrame, catalog: Catalog, *names: str, largest: int | None = None) -> DataFrame:
+    """evaluate_depths with no more columns than curves need, and names: large realizations are written in between, with all that they hold."""
+    d = event_depths(events, catalog).select("watershed", "scenario", "realization", "event_id", *names, "weight", "precip_avg_mm")
+    return depth.exceedance_by_size(d, _with_keys(events), largest=largest)
 
 
 def study(catalog: Catalog, proposals: dict[str, Proposal], sizes: dict[str, tuple[int, int]], seed: int = 0, uniforms: Callable | None = None, **summary) -> DataFrame:
     """Sample, evaluate, summarize."""
     events = snapshot(sample_events(catalog, proposals, sizes, seed, uniforms), "events")  # read twice
     n, realizations = (max(x) for x in zip(*sizes.values()))
-    return curves.summarize(evaluate_depths(events, catalog, largest=n), realizations=realizations, **summary)
+    return curves.summarize(curve_depths(events, catalog, largest=n), realizations=realizations, **summary)
 
 
 def nested_depths(depths: DataFrame, numbers: list[int]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Tables that grow: what the driver must not collect, what must not depend on the order of rows."""
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,36 @@ def test_files_of_many_storms_are_written_by_many_tasks(spark):
     storms = spark.range(64).select(F.concat(F.lit("storm_"), "id").alias("storm_path"))
     assert dealt(storms, "storm_path").select(F.spark_partition_id()).distinct().count() == 4
     assert storms.repartition("storm_path").select(F.spark_partition_id()).distinct().count() == 1
+
+
+def same_place_study(spark, storms=5):
+    """A catalog of storms with one centre and one with another, and its domain of 6 by 6 cells."""
+    wet = "CASE WHEN s = 1 THEN r = 2 AND c = 2 ELSE r = 3 AND c = 3 END"
+    cells = spark.sql(f"SELECT concat('storm_', s) AS storm_path, 'SHG PRECIPITATION' AS record, r AS row, c AS col, CAST(r + c + s + IF({wet}, 50, 0) AS DOUBLE) AS value, 0e0 AS ll_x, 0e0 AS ll_y, 1e0 AS cell_size FROM (SELECT explode(sequence(1, {storms})) AS s), (SELECT explode(sequence(0, 5)) AS r), (SELECT explode(sequence(0, 5)) AS c)")
+    ring = lambda name, a, b: [(name, 0, 0, i, x, y) for i, (x, y) in enumerate(((a, a), (b, a), (b, b), (a, b), (a, a)))]
+    domain, shed = (spark.createDataFrame(ring(*x), "layer string, part int, ring int, seq int, x double, y double") for x in (("domain", 0.0, 6.0), ("a", 2.0, 4.0)))
+    return prepare.prepare_catalog(cells, domain, shed, 1.0, 1.0).written()
+
+
+def test_storms_that_may_go_to_the_same_cells_share_them(spark):
+    """Cells with their masses, and the buckets they are drawn by, were written once for each storm and scenario; they hang on its centre alone."""
+    catalog = same_place_study(spark)
+    like = {r.storm_path: (r.like, r["count"]) for r in catalog.alike_storms.collect()}
+    assert {n: x[0] for n, x in like.items()} == {"storm_1": "storm_1"} | {f"storm_{i}": "storm_2" for i in range(2, 6)}
+    own = {r.storm_path: r["count"] for r in catalog.valid_runs.select("storm_path", "count").distinct().collect()}
+    assert {n: x[1] for n, x in like.items()} == own
+    assert {r.storm_path for r in catalog.shared_runs.select("storm_path").distinct().collect()} == {"storm_1", "storm_2"}
+    proposals = {"u": Proposal(), "g": Proposal("gaussian", sd_x=2.0, sd_y=2.0)}
+    got = study.sample_events(catalog, proposals, {"u": (300, 2), "g": (300, 2)})
+    assert got.count() == 1200 and {r.storm_path for r in got.collect()} == set(own)
+    valid = catalog.valid_cells.select("storm_path", F.col("x").alias("newx"), F.col("y").alias("newy"))
+    assert got.join(valid, ["storm_path", "newx", "newy"], "left_semi").count() == 1200
+    # each storm's own cells and densities give the same draws
+    plan = study.sampling_plan(catalog, {"g": (300, 2)})
+    rows = study.proposal.components({"g": proposals["g"]}, catalog.layer_stats.where("layer = 'a'"))
+    weighed, u = study.weighed_cells(catalog, rows), draw.hashed(0)
+    e = draw.draw_storms(draw.generate(plan, 0), draw.drawable_storms(catalog.live_runs, catalog.storm_centers), u(1)).withColumn("u", u(2))
+    plain = e.join(weighed.withColumnsRenamed({"x": "newx", "y": "newy"}), ["watershed", "scenario", "storm_path"]).where("lo <= u * mass and u * mass < hi")
+    names = ["realization", "event_id", "storm_path", "newx", "newy"]
+    plain, drawn = plain.select(*names), got.where("scenario = 'g'").select(*names)
+    assert plain.count() == 600 and drawn.exceptAll(plain).isEmpty()
