@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormshift.sources.store import growing, snapshot
@@ -10,6 +10,18 @@ from stormshift.sources.store import growing, snapshot
 PLACE = ["watershed", "storm_path", "dy", "dx"]
 
 
+def _rows_met(shifts: DataFrame, mask: DataFrame, size: Column, rows: DataFrame) -> DataFrame:
+    """Each distinct shift, and how many cells its mask has (`size` of mask's rows), with its storm's rows that come to lie on the mask's and what mask has there, or nulls.
+
+    Rows meet shifts by storm alone, and the mask is looked up beside them, so neither shifts nor lookups are shuffled where rows are bucketed by storm.
+    """
+    spans = mask.groupBy("watershed", "grid_id").agg(size.alias("cells"), F.min("row").alias("_low"), F.max("row").alias("_high"))
+    wanted = shifts.select(*PLACE, "grid_id").distinct().join(spans, ["watershed", "grid_id"])
+    on = (F.col("storm_path") == F.col("_storm")) & (F.col("_row") + F.col("dy")).between(F.col("_low"), F.col("_high"))
+    met = wanted.join(growing(rows.withColumnsRenamed({"storm_path": "_storm", "row": "_row"})), on, "left").withColumn("row", F.col("_row") + F.col("dy"))
+    return met.drop("_storm", "_row", "_low", "_high").join(mask, ["watershed", "grid_id", "row"], "left")
+
+
 def mean_depths(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, zero_pad: bool = True) -> DataFrame:
     """precip_avg_mm for each distinct (watershed, storm_path, dy, dx), cell by cell of mask(watershed, grid_id, row, col).
 
@@ -17,11 +29,12 @@ def mean_depths(shifts: DataFrame, mask: DataFrame, storm_cells: DataFrame, zero
     (r - dy, c - dx) on cell (r, c) of the watershed. A cell off the storm's grid is 0; without zero_pad, one missing cell
     makes the mean missing.
     """
-    wanted = shifts.select(*PLACE, "grid_id").distinct().join(mask, ["watershed", "grid_id"])
-    wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("col") - F.col("dx")).alias("col"))
-    found = wanted.join(growing(storm_cells.select("storm_path", "row", "col", "precip_mm")), ["storm_path", "row", "col"], "left")
-    mean = F.sum(F.coalesce("precip_mm", F.lit(0.0))) / F.count("*") if zero_pad else F.when(F.count("precip_mm") == F.count("*"), F.avg("precip_mm"))
-    return found.groupBy(*PLACE).agg(mean.alias("precip_avg_mm"))
+    rows = storm_cells.groupBy("storm_path", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "precip_mm"))).alias("_own"))
+    found = _rows_met(shifts, mask, F.count("*"), rows)
+    found = found.withColumn("precip_mm", F.expr("_own[col - dx]"))
+    total = found.groupBy(*PLACE, "cells").agg(F.sum("precip_mm").alias("total"), F.count("precip_mm").alias("seen"))
+    mean = F.coalesce("total", F.lit(0.0)) / F.col("cells")
+    return total.select(*PLACE, (mean if zero_pad else F.when(F.col("seen") == F.col("cells"), mean)).alias("precip_avg_mm"))
 
 
 def running_rows(storm_cells: DataFrame) -> DataFrame:
@@ -32,7 +45,7 @@ def running_rows(storm_cells: DataFrame) -> DataFrame:
         "storm_path", "row", "col", F.sum(F.coalesce("precip_mm", F.lit(0.0))).over(upto).alias("p"), F.count("precip_mm").over(upto).cast("int").alias("n"),
         F.coalesce(F.lead("col").over(w) - F.col("col"), F.lit(1)).alias("wide"),
     )
-    rows = cells.groupBy("storm_path", "row").agg(F.min("col").alias("first"), F.array_sort(F.collect_list(F.struct("col", "p", "n", "wide"))).alias("c"))
+    rows = cells.groupBy("storm_path", "row").agg(F.min("col").alias("first"), F.sort_array(F.collect_list(F.struct("col", "p", "n", "wide"))).alias("c"))
     filled = (F.expr(f"flatten(transform(c, x -> array_repeat(x.{key}, x.wide)))").alias(name) for name, key in (("ps", "p"), ("seen", "n")))
     return rows.select("storm_path", "row", "first", *filled)
 
@@ -40,14 +53,13 @@ def running_rows(storm_cells: DataFrame) -> DataFrame:
 def mean_depths_by_runs(shifts: DataFrame, mask: DataFrame, storm_rows: DataFrame, zero_pad: bool = True) -> DataFrame:
     """mean_depths by one lookup per run of mask(watershed, grid_id, row, c0, c1), in the running sums of the storm's row.
 
-    shifts need the storm's grid_id. storm_rows is the side that stays in place if it is bucketed by storm and row.
+    shifts need the storm's grid_id. storm_rows is the side that stays in place if it is bucketed by storm.
     """
-    wanted = shifts.select(*PLACE, "grid_id").distinct().join(mask, ["watershed", "grid_id"])
-    wanted = wanted.select(*PLACE, (F.col("row") - F.col("dy")).alias("row"), (F.col("c0") - F.col("dx") - 1).alias("_before"), (F.col("c1") - F.col("dx")).alias("_last"))
-    found = wanted.join(growing(storm_rows), ["storm_path", "row"], "left")
-    upto = lambda name, at: F.expr(f"CASE WHEN {at} < first OR first IS NULL THEN 0 ELSE {name}[least({at} - first, size({name}) - 1)] END")
+    found = _rows_met(shifts, mask, F.sum(F.col("c1") - F.col("c0") + 1), storm_rows)
+    found = found.withColumns({"_before": F.col("c0") - F.col("dx") - 1, "_last": F.col("c1") - F.col("dx")})
+    upto = lambda name, at: F.expr(f"CASE WHEN {at} < first OR {at} IS NULL OR first IS NULL THEN 0 ELSE {name}[least({at} - first, size({name}) - 1)] END")
     part = {name: upto(name, "_last") - upto(name, "_before") for name in ("ps", "seen")}
-    total = found.groupBy(*PLACE).agg(F.sum(part["ps"]).alias("total"), F.sum(part["seen"]).alias("seen"), F.sum(F.col("_last") - F.col("_before")).alias("cells"))
+    total = found.groupBy(*PLACE, "cells").agg(F.sum(part["ps"]).alias("total"), F.sum(part["seen"]).alias("seen"))
     mean = F.col("total") / F.col("cells")
     return total.select(*PLACE, (mean if zero_pad else F.when(F.col("seen") == F.col("cells"), mean)).alias("precip_avg_mm"))
 

@@ -9,7 +9,7 @@ from stormshift.operators import depth, fields, geometry
 from stormshift.operators.geometry import Grid
 from stormshift.sources.polygons import read_geojson
 from stormshift.sources.records import list_storms, precipitation, read_storms
-from stormshift.sources.store import Catalog, snapshot
+from stormshift.sources.store import Catalog, bucketed_snapshot, snapshot
 
 _CONFIG = """watershed struct<id: string, geometry_file: string>, transposition_region struct<id: string, geometry_file: string>,
     catalog struct<id: string, catalog_folder: string>, preprocess_opts struct<valid_region_max_seg_len: double, valid_region_simplify_tol: double>"""
@@ -27,8 +27,8 @@ def prepare_catalog(grid_cells: DataFrame, domain: DataFrame, watersheds: DataFr
     Storms keep grids of their own, wherever these start: each watershed's mask is cut on every one of them. New centres lie
     on one grid of `cell` over bounds (minx, miny, maxx, maxy; the domain's by default).
     """
-    storm_cells = snapshot(fields.cumulative(precipitation(grid_cells)), "storm_cells")
-    centers = fields.storm_centers(storm_cells)
+    storm_cells = bucketed_snapshot(fields.cumulative(precipitation(grid_cells)), "storm_cells", "storm_path")
+    centers = snapshot(fields.storm_centers(storm_cells), "centers")  # read twice
     grids = snapshot(fields.storm_grids(storm_cells), "storm_grids")
     stats = geometry.layer_stats(domain.unionByName(watersheds))
     box = bounds

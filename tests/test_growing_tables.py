@@ -136,3 +136,15 @@ def test_storms_that_may_go_to_the_same_cells_share_them(spark):
     names = ["realization", "event_id", "storm_path", "newx", "newy"]
     plain, drawn = plain.select(*names), got.where("scenario = 'g'").select(*names)
     assert plain.count() == 600 and drawn.exceptAll(plain).isEmpty()
+
+
+def test_no_shift_is_shuffled_to_be_looked_up(spark):
+    """A run or a cell of the mask was a row of two shuffles; rows of storms are bucketed by storm, by which shifts are dealt already."""
+    catalog = same_place_study(spark)
+    shifts = study.placed(snapshot(events_of(spark), "events"), catalog)
+    for means in (depth.mean_depths_by_runs(shifts, catalog.watershed_mask, catalog.storm_rows), depth.mean_depths(shifts, catalog.mask_cells, catalog.storm_cells)):
+        plan = means._jdf.queryExecution().executedPlan().toString()
+        exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert sum("storm_path" in x for x in exchanges) == 2  # events and places of storms, to be placed
+        assert not any("dy" in x or "row" in x for x in exchanges)
+        assert [r.precip_avg_mm for r in means.collect()]
