@@ -17,13 +17,20 @@ def census(depths: DataFrame, keys: list[str], realization: str = "realization")
     return counts.withColumn("n_samples_per_realization", F.expr("CAST(_rows div n_realizations AS LONG)")).drop("_rows")
 
 
-def curve_points(depths: DataFrame, keys: list[str], per_year: float = 10.0, depth: str = "precip_avg_mm", exceedance: str = "exc_prb", realization: str = "realization") -> DataFrame:
-    """keys, realization, RP, depth_in: finite points; of equal periods the largest depth."""
+def curve_points(depths: DataFrame, keys: list[str], per_year: float = 10.0, depth: str = "precip_avg_mm", exceedance: str = "exc_prb", realization: str = "realization", rp_min: float = 1) -> DataFrame:
+    """keys, realization, RP, depth_in: finite points; of equal periods the largest depth.
+
+    Of points below rp_min only the last of each curve is kept, from which a segment may reach rp_min: most events are that frequent, and are not shuffled.
+    """
     points = depths.where(F.col(depth).isNotNull() & F.col(exceedance).isNotNull())
     points = points.select(*keys, F.col(realization).alias("realization"), F.expr(return_period(exceedance, per_year)).alias("RP"), F.expr(inches(depth)).alias("depth_in"))
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
     points = points.where(finite("RP") & finite("depth_in"))
-    return points.groupBy(*keys, "realization", "RP").agg(F.max("depth_in").alias("depth_in"))
+    if rp_min <= 1:  # no period is shorter
+        return points.groupBy(*keys, "realization", "RP").agg(F.max("depth_in").alias("depth_in"))
+    rest = points.where(F.col("RP") >= rp_min).groupBy(*keys, "realization", "RP").agg(F.max("depth_in").alias("depth_in"))
+    last = points.where(F.col("RP") < rp_min).groupBy(*keys, "realization").agg(F.max(F.struct("RP", "depth_in")).alias("p"))
+    return rest.unionByName(last.select(*keys, "realization", "p.*"))
 
 
 def interpolate(points: DataFrame, keys: list[str], rp_min: int, top: DataFrame) -> DataFrame:
@@ -133,7 +140,7 @@ def summarize(
     grouped = depths if keys else depths.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     grouped = snapshot(grouped.select(*by, realization_col, precip_col, exc_col), "depths")  # read three times
-    points = curve_points(grouped, by, k, precip_col, exc_col, realization_col)
+    points = snapshot(curve_points(grouped, by, k, precip_col, exc_col, realization_col, rp_min), "points")  # read twice
     curves = interpolate(points, by, rp_min, top_period(points, by, rp_min, rp_max_cap, use_common_min))
     out = (bands_by_selection if realizations > ONE_TASK else bands)(curves, by).where(F.coalesce("mean_in", "median_in").isNotNull())
     out = out.join(census(grouped, by, realization_col), by)

@@ -148,3 +148,17 @@ def test_no_shift_is_shuffled_to_be_looked_up(spark):
         assert sum("storm_path" in x for x in exchanges) == 2  # events and places of storms, to be placed
         assert not any("dy" in x or "row" in x for x in exchanges)
         assert [r.precip_avg_mm for r in means.collect()]
+
+
+def test_curves_keep_what_reaches_the_least_period(spark):
+    """Nine of ten events come more often than every other year, and were shuffled twice."""
+    exc = [0.001, 0.01, 0.03, 0.05, 0.0693, 0.0694, 0.0694, 0.2, 0.9]
+    rows = [("a", k, float(100 - i), x) for k in (1, 2) for i, x in enumerate(exc)] + [("a", 3, 7.0, 0.5)]
+    d = spark.createDataFrame(rows, "watershed string, realization int, precip_avg_mm double, exc_prb double")
+    every, kept = curves.curve_points(d, ["watershed"]), curves.curve_points(d, ["watershed"], rp_min=2)
+    assert every.count() == 2 * 8 + 1 and kept.count() == 2 * 6 + 1
+    assert max(r.depth_in for r in kept.where("realization = 1 and RP < 2").collect()) == 95.0 / 25.4  # the deepest of two of one period
+    for common in (True, False):
+        top = [curves.top_period(p, ["watershed"], 2, 2000, common) for p in (every, kept)]
+        a, b = (sorted(map(tuple, curves.interpolate(p, ["watershed"], 2, t).collect())) for p, t in zip((every, kept), top))
+        assert a == b and (common or a)
