@@ -126,7 +126,7 @@ def sweep(catalog: Catalog, family: Proposal, numbers: list[int], realizations:
     """Errors against a baseline for several numbers of draws, with the draws saved in per cent. Smaller samples are the first events of larger ones."""
     most = max(numbers)
     events = snapshot(sample_events(catalog, {"n": family}, {"n": (most, realizations)}, seed, uniforms), "events")  # read twice
-    depths = snapshot(evaluate_depths(events, catalog, largest=most), "depths")  # read once for each number
+    depths = snapshot(event_depths(events, catalog), "depths")  # read for all numbers, and for the sums of their weights
     sim = snapshot(curves.summarize(nested_depths(depths, numbers), realizations=realizations, **summary), "summary")  # read twice
     out = curves.compare(baseline, sim)
     out = out.withColumn("num_simulations", F.substring("scenario", 2, 20).cast("long"))

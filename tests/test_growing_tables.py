@@ -162,3 +162,13 @@ def test_curves_keep_what_reaches_the_least_period(spark):
         top = [curves.top_period(p, ["watershed"], 2, 2000, common) for p in (every, kept)]
         a, b = (sorted(map(tuple, curves.interpolate(p, ["watershed"], 2, t).collect())) for p, t in zip((every, kept), top))
         assert a == b and (common or a)
+
+
+def test_depths_that_nobody_ranks_are_not_ranked(spark, monkeypatch):
+    """A sweep ranked the largest sample, dropped the ranks, and ranked its parts."""
+    catalog = same_place_study(spark)
+    calls, plain = [], depth.exceedance_by_size
+    monkeypatch.setattr(depth, "exceedance_by_size", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    base = spark.createDataFrame([("a", 2, *[1.0] * 6)], "watershed string, RP int, " + ", ".join(f"{s}_in double" for s in curves.STATISTICS))
+    out = study.sweep(catalog, Proposal("gaussian", sd_x=2.0, sd_y=2.0), [40, 80], 2, base, 100)
+    assert {r.num_simulations for r in out.collect()} == {40, 80} and len(calls) == 1
