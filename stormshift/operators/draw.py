@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormshift.operators.geometry import Grid, run_cells
-from stormshift.sources.store import growing
+from stormshift.sources.store import dealt, growing
 
 KEYS = ["watershed", "scenario"]
 RUN = 5_000
@@ -46,7 +46,7 @@ def generate(plan: DataFrame, seed: int = 0) -> DataFrame:
     # in runs of RUN events, so that neither an array nor a task holds a whole realization
     r = r.withColumn("_run", F.explode(F.expr(f"sequence(0L, greatest(0L, (CAST(n AS BIGINT) - 1) div {RUN}))"))).where("n > 0")
     r = r.withColumn("realization_seed", F.xxhash64(F.lit(seed), "watershed", "scenario", "realization"))
-    r = r.repartition(*KEYS, "realization", "_run")
+    r = dealt(r, *KEYS, "realization", "_run")  # by a given number of tasks, as the runs are few bytes but many events
     events = F.expr(f"sequence(CAST(_run * {RUN} + 1 AS INT), CAST(least(n, (_run + 1) * {RUN}) AS INT))")
     return r.select(*KEYS, "n", "realization", "realization_seed", F.explode(events).alias("event_id"))
 

@@ -172,3 +172,11 @@ def test_depths_that_nobody_ranks_are_not_ranked(spark, monkeypatch):
     base = spark.createDataFrame([("a", 2, *[1.0] * 6)], "watershed string, RP int, " + ", ".join(f"{s}_in double" for s in curves.STATISTICS))
     out = study.sweep(catalog, Proposal("gaussian", sd_x=2.0, sd_y=2.0), [40, 80], 2, base, 100)
     assert {r.num_simulations for r in out.collect()} == {40, 80} and len(calls) == 1
+
+
+def test_events_are_generated_by_many_tasks(spark):
+    """Runs of events are a few bytes each, so Spark put them together, and one task made millions of events."""
+    plan = spark.createDataFrame([("a", "s", 200_000, 2)], "watershed string, scenario string, n long, realizations long")
+    events = draw.generate(plan)
+    assert events.select(F.spark_partition_id()).distinct().count() == 4
+    assert events.count() == 400_000 and events.select("realization", "event_id").distinct().count() == 400_000
